@@ -2,8 +2,9 @@
 
 Grouping key is (symbol, window_sec, bucket start): even a hot symbol spreads
 over many buckets, and the aggregate is algebraic (min/max/sum/count plus
-min_by/max_by), so Spark combines map-side before the shuffle and only one
-partial row per key and map task moves.
+min_by/max_by keyed by one ``long``), so Spark plans a HashAggregate that
+combines map-side before the shuffle: one partial row per key and map task
+moves, and nothing is sorted.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickspark.functions.timefn import bucket_start, epoch_micros, plus_seconds
+from tickspark.functions.timefn import bucket_start, epoch_micros, event_order_key, plus_seconds
 from tickspark.schemas import CANDLE_WINDOWS
 
 CANDLE_COLUMNS = ["time", "symbol", "window_sec", "open", "high", "low", "close",
@@ -32,7 +33,7 @@ def candle_input(ticks: DataFrame) -> DataFrame:
 
 
 def _ohlcv(grouped_src: DataFrame, keys: list[str]) -> DataFrame:
-    order_key = F.struct(F.col("time"), F.col("event_id"))
+    order_key = event_order_key("time", "event_id")
     agg = grouped_src.groupBy(*keys).agg(
         F.min_by("price", order_key).alias("open"),
         F.max("price").alias("high"),
@@ -127,9 +128,10 @@ def candle_update_log(ticks: DataFrame, windows: Sequence[int] = CANDLE_WINDOWS)
                    F.coalesce(F.col("volume").cast("long"), F.lit(0)).alias("volume"))
            .withColumn("window_sec", F.explode(F.array(*[F.lit(int(w)) for w in windows])))
            .withColumn("bucket", bucket_start("time", F.col("window_sec"))))
+    key = event_order_key("time", "event_id")
     per = src.groupBy("symbol", "window_sec", "bucket", "batch_id").agg(
-        F.min(F.struct("time", "event_id", "price")).alias("_first"),
-        F.max(F.struct("time", "event_id", "price")).alias("_last"),
+        F.min(key).alias("_first_key"), F.min_by("price", key).alias("_first"),
+        F.max(key).alias("_last_key"), F.max_by("price", key).alias("_last"),
         F.max("price").alias("_high"), F.min("price").alias("_low"),
         F.sum("volume").alias("_vol"), F.sum(F.col("price") * F.col("volume")).alias("_pv"),
         F.count(F.lit(1)).alias("_n"))
@@ -137,14 +139,11 @@ def candle_update_log(ticks: DataFrame, windows: Sequence[int] = CANDLE_WINDOWS)
          .rowsBetween(Window.unboundedPreceding, 0))
     cum = per.select(
         "symbol", "window_sec", "batch_id", F.col("bucket").alias("time"),
-        F.min("_first").over(w)["price"].alias("open"), F.max("_high").over(w).alias("high"),
-        F.min("_low").over(w).alias("low"), F.max("_last").over(w)["price"].alias("close"),
+        F.min_by("_first", "_first_key").over(w).alias("open"), F.max("_high").over(w).alias("high"),
+        F.min("_low").over(w).alias("low"), F.max_by("_last", "_last_key").over(w).alias("close"),
         F.sum("_vol").over(w).alias("volume"), F.sum("_pv").over(w).alias("_pv"),
         F.sum("_n").over(w).alias("trade_count"))
     return (cum.withColumn("vwap", F.when(F.col("volume") > 0, F.col("_pv") / F.col("volume")).otherwise(F.col("open")))
             .withColumn("window_sec", F.col("window_sec").cast("int"))
             .withColumn("window_end", plus_seconds("time", F.col("window_sec")))
-            .withColumn("event_id", F.sha2(F.concat_ws("_", "symbol", F.col("window_sec").cast("string"),
-                                                       F.col("batch_id").cast("string"),
-                                                       epoch_micros("time").cast("string")), 256))
             .drop("_pv"))

@@ -15,14 +15,17 @@ MATCH_COLUMNS = ["event_id", "symbol", "time", "source", "price", "volume", "rul
                  "threshold", "window_sec", "rule_key", "value"]
 
 
-def rule_matches(ticks: DataFrame, rules: DataFrame, max_broadcast_rows: int = 100_000) -> DataFrame:
+def rule_matches(ticks: DataFrame, rules: DataFrame, max_broadcast_rows: int | None = None) -> DataFrame:
     """Ticks that hit a rule of their symbol. ``price_above``/``volume_above``
     are strict >, ``price_below`` strict <; unknown rule types never match.
-    The rule table is broadcast when its row count is below the bound,
-    otherwise it is shuffle-joined on symbol."""
+
+    By default AQE sizes the rule side at runtime and broadcasts it when it
+    is below the broadcast threshold (a hash join on symbol otherwise).
+    ``max_broadcast_rows`` forces an explicit row-count check first."""
     r = rules.select(F.col("id").alias("rule_id"), "symbol", "rule_type", "threshold",
                      F.coalesce(F.col("window_sec"), F.lit(60)).alias("window_sec"))
-    r = broadcast_if_small(r, max_broadcast_rows)
+    if max_broadcast_rows is not None:
+        r = broadcast_if_small(r, max_broadcast_rows)
     j = ticks.select("event_id", "symbol", "time", "source", "price", "volume").join(r, "symbol")
     rt, th = F.col("rule_type"), F.col("threshold")
     hit = (((rt == "price_above") & (F.col("price") > th))

