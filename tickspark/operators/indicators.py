@@ -13,15 +13,19 @@ Two forms:
   ((period-1)/(period+1))**K, 4e-18 for period 20 and K 400, far below a
   double's resolution. Each row therefore folds only its last K closes,
   taken with a halo-split row window, so no key is ever gathered in one
-  task; rows within K of the series start fold exactly from the seed.
+  task; rows within K of the series start fold exactly from the seed. The
+  fold itself is sequential, so it runs per (key, week) group in a pandas
+  task (``applyInPandas``), one loop step per row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickspark.operators.rolling import CHUNK_COL, OWN_COL, halo_window, with_halo
 from tickspark.schemas import EMA_PERIOD
@@ -50,35 +54,58 @@ def ema_series(series: DataFrame, keys: Sequence[str], pos_col: str, value_col:
 def ema_rolling(df: DataFrame, keys: Sequence[str], time_col: str = "time", value_col: str = "close",
                 period: int = EMA_PERIOD, kernel: int = EMA_KERNEL,
                 chunk_seconds: int = 86400 * 7) -> DataFrame:
-    """EMA over the whole history of every key (see module doc). Returns the
-    input columns plus ``pos`` (0-based row index within the key) and ``ema``."""
+    """EMA over the whole history of every key (see module doc).
+
+    Rows are split into (key, week) groups; each group also receives the
+    ``kernel - 1`` rows before it (halo) and the key's seed. The recurrence
+    is inherently sequential, so each group runs it in one vectorised pandas
+    task (``applyInPandas``): O(1) per row, the group bounded by the chunk
+    length, never by the key. Returns the input columns plus ``pos`` (0-based
+    row index within the key) and ``ema``.
+    """
     keys = list(keys)
     order = [time_col]
-    mult = 2.0 / (period + 1)
     h = with_halo(df, keys, order, time_col, kernel - 1, chunk_seconds, with_offsets=True)
     w = halo_window(keys, order)
-    h = h.select("*", F.row_number().over(w).alias("_rn"),
-                 F.collect_list(value_col).over(w.rowsBetween(-(kernel - 1), 0)).alias("_last"))
-    own = h.filter(F.col(OWN_COL)).drop(OWN_COL)
-    # rows of a chunk are preceded by min(kernel-1, offset) halo rows
-    own = own.withColumn("pos", F.col("_off") - F.least(F.col("_off"), F.lit(kernel - 1)) + F.col("_rn") - 1)
+    # global position: own rows are preceded by min(kernel-1, offset) halo rows
+    h = h.withColumn("_rn", F.row_number().over(w))
+    off = F.max("_off").over(Window.partitionBy(*keys, CHUNK_COL))
+    h = h.withColumn("pos", (off - F.least(off, F.lit(kernel - 1)) + F.col("_rn") - 1).cast("long"))
+    own = h.filter(F.col(OWN_COL))
     seeds = (own.filter(F.col("pos") < period)
              .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", value_col))).alias("_h"))
              .select(*keys, (F.aggregate("_h", F.lit(0.0), lambda a, x: a + x[value_col])
                              / F.size("_h")).alias("_seed")))
-    own = own.join(seeds, keys)  # one row per key; AQE broadcasts it
-    n_last = F.size("_last")
-    first_pos = F.col("pos") - n_last + 1
-    # exact start: the frame reaches the seed position -> fold from the seed
-    # over positions >= period; otherwise start from the oldest close held.
-    exact = first_pos <= period
-    from_seed = F.slice("_last", F.greatest(F.lit(period) - first_pos + 1, F.lit(1)).cast("int"),
-                        F.greatest(F.col("pos") - F.lit(period) + 1, F.lit(0)).cast("int"))
-    step = lambda acc, x: (x - acc) * mult + acc
-    ema_exact = F.aggregate(from_seed, F.col("_seed"), step)
-    ema_tail = F.aggregate(F.slice("_last", 2, kernel), F.element_at("_last", 1), step)
-    ema = F.when(F.col("pos") < period, F.col("_seed")).when(exact, ema_exact).otherwise(ema_tail)
-    return own.withColumn("ema", ema).drop("_rn", "_last", "_seed", "_off", CHUNK_COL)
+    g = h.select(*keys, CHUNK_COL, OWN_COL, "pos", time_col, value_col).join(seeds, keys)
+    out_fields = [f for f in g.schema.fields if f.name not in ("_seed",)]
+    schema = T.StructType(out_fields + [T.StructField("ema", T.DoubleType())])
+    mult = 2.0 / (period + 1)
+    fn = _ema_group_fn(period, mult, value_col)
+    res = g.groupBy(*keys, CHUNK_COL).applyInPandas(fn, schema)
+    return res.filter(F.col(OWN_COL)).drop(OWN_COL, CHUNK_COL)
+
+
+def _ema_group_fn(period: int, mult: float, value_col: str):
+    def run(pdf):
+        pdf = pdf.sort_values("pos", kind="stable")
+        pos = pdf["pos"].to_numpy()
+        closes = pdf[value_col].to_numpy(dtype=float)
+        seed = float(pdf["_seed"].iloc[0])
+        out = np.empty(len(pdf))
+        ema = None
+        for i in range(len(pdf)):
+            if pos[i] < period:
+                ema = seed
+            elif ema is None:
+                # oldest halo row: its weight after kernel-1 steps is < 1e-17
+                ema = closes[i] if pos[i] > period else (closes[i] - seed) * mult + seed
+            else:
+                ema = (closes[i] - ema) * mult + ema
+            out[i] = ema
+        pdf = pdf.drop(columns=["_seed"])
+        pdf["ema"] = out
+        return pdf
+    return run
 
 
 def sma_rolling(df: DataFrame, keys: Sequence[str], time_col: str = "time", value_col: str = "close",

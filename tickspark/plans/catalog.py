@@ -16,6 +16,7 @@ from tickspark.operators import alerts as alerts_op
 from tickspark.operators import candles as candles_op
 from tickspark.operators import detect, indicators, route, rules, serve, validate
 from tickspark.plans import oracle
+from tickspark.session import ensure_checkpoint_dir
 from tickspark.sources import codec, fixtures as fx, sinks
 
 CANDLE_COLS = candles_op.CANDLE_COLUMNS
@@ -254,7 +255,12 @@ def q_anomaly_markers(spark, d):
 
 
 def q_moving_averages(spark, d):
-    return indicators.moving_averages(_candles_multi(spark, d)).drop("event_id")
+    """Reads the candles once: they are materialised with a reliable
+    checkpoint (the shared ``spark.checkpoint.dir``), standing in for the
+    stored aggregates table the SMA and EMA branches both scan."""
+    ensure_checkpoint_dir(spark)
+    candles = _candles_multi(spark, d).checkpoint()
+    return indicators.moving_averages(candles).drop("event_id")
 
 
 def q_market_open(spark, d):
