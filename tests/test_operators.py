@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import Row, Window
 from pyspark.sql import functions as F
 
@@ -133,22 +134,28 @@ def py_fold(times, c):
     return out
 
 
-def test_cooldown_boundaries(spark):
+@pytest.mark.parametrize("max_fold", [4096, 1])
+def test_cooldown_boundaries(spark, max_fold):
     # 0 fires; 300 exactly is suppressed; 300.000001 is not (relative to 0);
     # suppressed hits do not extend the cooldown
     secs = [0, 100, 200, 300, 300.000001, 500, 601, 1000]
     t = tick_df(spark, [(s, "A", 200.0, 1, "x", f"{i}") for i, s in enumerate(secs)])
     r = rule_df(spark, [(1, "A", "price_above", 100.0, 60)])
-    fired = sorted((f.time - T0).total_seconds() for f in rules.cooldown(rules.rule_matches(t, r)).collect())
+    fired = sorted((f.time - T0).total_seconds()
+                   for f in rules.cooldown(rules.rule_matches(t, r), max_fold=max_fold).collect())
     assert fired == py_fold(secs, 300) == [0, 300.000001, 601, 1000]
 
 
-def test_cooldown_island_fold_equals_sequential(spark):
+@pytest.mark.parametrize("max_fold,cool", [(4096, 300), (2, 300), (2, 7200)])
+def test_cooldown_island_fold_equals_sequential(spark, max_fold, cool):
+    """Island fold and the pointer-doubling path (max_fold=2 sends every
+    island of 3+ hits through it) equal the plain sequential fold."""
     from tickspark.sources import fixtures as fx
     d = "/root/testdata/sf0.001"
     t, r = fx.ticks(spark, d), fx.rules(spark, d)
     m = rules.rule_matches(t, r)
-    got = sorted((x.rule_key, x.time, x.rule_id) for x in rules.cooldown(m, 300, chunk_seconds=3600).collect())
+    got = sorted((x.rule_key, x.time, x.rule_id)
+                 for x in rules.cooldown(m, cool, chunk_seconds=3600, max_fold=max_fold).collect())
     hits = sorted((x.rule_key, x.time, x.rule_id, x.event_id) for x in m.collect())
     exp = []
     by_key = {}
@@ -157,7 +164,7 @@ def test_cooldown_island_fold_equals_sequential(spark):
     for k, lst in by_key.items():
         last = None
         for tm, rid, eid in sorted(lst):
-            if last is None or (tm - last).total_seconds() > 300:
+            if last is None or (tm - last).total_seconds() > cool:
                 exp.append((k, tm, rid))
                 last = tm
     assert got == sorted(exp)

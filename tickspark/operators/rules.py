@@ -10,6 +10,7 @@ from tickspark.functions.values import fmt_money
 from tickspark.operators.rolling import CHUNK_COL, DEFAULT_CHUNK_SECONDS, OWN_COL, halo_window, with_halo
 from tickspark.plans.joins import broadcast_if_small
 from tickspark.schemas import RULE_COOLDOWN_SECONDS, USER_RULE
+from tickspark.session import ensure_checkpoint_dir
 
 MATCH_COLUMNS = ["event_id", "symbol", "time", "source", "price", "volume", "rule_id", "rule_type",
                  "threshold", "window_sec", "rule_key", "value"]
@@ -64,8 +65,11 @@ def rule_messages(matches: DataFrame) -> DataFrame:
                   .withColumn("message", msg)
 
 
+MAX_ISLAND_FOLD = 4096
+
+
 def cooldown(matches: DataFrame, cooldown_seconds: int = RULE_COOLDOWN_SECONDS,
-             chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
+             chunk_seconds: int = DEFAULT_CHUNK_SECONDS, max_fold: int = MAX_ISLAND_FOLD) -> DataFrame:
     """Keep the rule hits that fire: per ``rule_key`` a hit fires when more
     than ``cooldown_seconds`` passed since the last *fired* hit; suppressed
     hits do not extend the cooldown.
@@ -73,8 +77,10 @@ def cooldown(matches: DataFrame, cooldown_seconds: int = RULE_COOLDOWN_SECONDS,
     Hits are split into islands wherever the gap to the previous hit exceeds
     the cooldown; an island's first hit always fires, so islands are
     independent. Island boundaries come from a lag over (key, day) chunks
-    with a one-row halo; the sequential fold then runs per island over its
-    sorted hit times (``aggregate``, JVM side).
+    with a one-row halo. Islands of at most ``max_fold`` hits are folded
+    sequentially in one task (``aggregate`` over the sorted hits, JVM side);
+    larger islands go through ``_pointer_fold`` (exact, distributed), so no
+    task ever holds more than ``max_fold`` hits of one island.
     """
     c_us = int(cooldown_seconds) * 1_000_000
     keys, order = ["rule_key"], ["time", "rule_id", "event_id"]
@@ -90,8 +96,23 @@ def cooldown(matches: DataFrame, cooldown_seconds: int = RULE_COOLDOWN_SECONDS,
              .withColumn("_carry", F.max("_m").over(Window.partitionBy(*keys).orderBy(CHUNK_COL)
                                                    .rowsBetween(Window.unboundedPreceding, -1)))
              .select(*keys, CHUNK_COL, "_carry"))
-    h = h.join(carry, keys + [CHUNK_COL], "left").withColumn("_head", F.coalesce("_head_local", "_carry"))
+    h = (h.join(carry, keys + [CHUNK_COL], "left").withColumn("_head", F.coalesce("_head_local", "_carry"))
+         .drop("_head_local", "_carry", "_prev", "_start", CHUNK_COL))
+    sizes = h.groupBy(*keys, "_head").agg(F.count(F.lit(1)).alias("_isz"))
+    h = h.join(sizes, keys + ["_head"])
     payload = list(matches.columns)
+    # both paths read the island-annotated hits: materialise them once (reliable
+    # checkpoint in the shared folder) so the size check does not recompute them
+    ensure_checkpoint_dir(h.sparkSession)
+    h = h.checkpoint()
+    small = _fold_islands(h.filter(F.col("_isz") <= max_fold), keys, payload, c_us)
+    big = h.filter(F.col("_isz") > max_fold).drop("_isz")
+    if big.limit(1).count() == 0:
+        return small
+    return small.unionByName(_pointer_fold(big, payload, c_us))
+
+
+def _fold_islands(h: DataFrame, keys: list[str], payload: list[str], c_us: int) -> DataFrame:
     islands = h.groupBy(*keys, "_head").agg(
         F.array_sort(F.collect_list(F.struct(F.col("_t"), F.col("rule_id"), F.col("event_id"),
                                              *[F.col(c).alias(f"p_{c}") for c in payload if c not in ("rule_id", "event_id")])))
@@ -106,13 +127,49 @@ def cooldown(matches: DataFrame, cooldown_seconds: int = RULE_COOLDOWN_SECONDS,
         .otherwise(acc),
     )
     fired = islands.select(F.explode(fold["fired"]).alias("f"))
-    out = []
-    for c in payload:
-        if c in ("rule_id", "event_id"):
-            out.append(F.col(f"f.{c}").alias(c))
-        else:
-            out.append(F.col(f"f.p_{c}").alias(c))
-    return fired.select(*out)
+    return fired.select(*[F.col(f"f.{c}").alias(c) if c in ("rule_id", "event_id") else F.col(f"f.p_{c}").alias(c)
+                          for c in payload])
+
+
+def _pointer_fold(big: DataFrame, payload: list[str], c_us: int) -> DataFrame:
+    """Exact cooldown for large islands without gathering an island.
+
+    ``next(v)`` = first hit of the island later than ``v + cooldown`` (total
+    order time, rule_id, event_id). Fired hits are exactly the island head
+    and its successors under ``next``. Inside an island gaps are <= the
+    cooldown, so ``next(v)`` lies in the 300-s slot of ``v + cooldown`` or
+    the slot after it: one window per (island, slot) finds it. The fired set
+    is then the set reachable from the head, found by pointer doubling:
+    ``R <- R + J(R)``, ``J <- J o J``, O(log fires) join rounds, each round's
+    output cut from its lineage by a reliable checkpoint.
+    """
+    isl = ["rule_key", "_head"]
+    nid = F.struct("_t", "rule_id", "event_id")
+    nodes = big.withColumn("_nid", nid).withColumn("_slot", F.floor(F.col("_t") / F.lit(c_us)).cast("long"))
+    hits = nodes.select(*isl, "_slot", F.col("_t").alias("_at"), F.lit(0).alias("_kind"), "rule_id", "event_id",
+                        F.col("_nid").alias("_hit"), F.lit(None).cast(nodes.schema["_nid"].dataType).alias("_src"))
+    queries = nodes.select(*isl, F.floor((F.col("_t") + F.lit(c_us)) / F.lit(c_us)).cast("long").alias("_slot"),
+                           (F.col("_t") + F.lit(c_us)).alias("_at"), F.lit(1).alias("_kind"), "rule_id", "event_id",
+                           F.lit(None).cast(nodes.schema["_nid"].dataType).alias("_hit"), F.col("_nid").alias("_src"))
+    w = (Window.partitionBy(*isl, "_slot").orderBy("_at", "_kind", "rule_id", "event_id")
+         .rowsBetween(1, Window.unboundedFollowing))
+    q = (hits.unionByName(queries).withColumn("_next", F.first("_hit", ignorenulls=True).over(w))
+         .filter(F.col("_kind") == 1))
+    slot_first = nodes.groupBy(*isl, F.col("_slot").alias("_nslot")).agg(F.min("_nid").alias("_first"))
+    q = (q.withColumn("_nslot", F.col("_slot") + 1).join(slot_first, isl + ["_nslot"], "left")
+         .select(*isl, "_src", F.coalesce("_next", "_first").alias("_dst")))
+    jump = q.filter(F.col("_dst").isNotNull()).select(*isl, F.col("_src").alias("a"), F.col("_dst").alias("b"))
+    reach = nodes.groupBy(*isl).agg(F.min("_nid").alias("n"))
+    jump = jump.checkpoint()
+    reach = reach.checkpoint()
+    while jump.limit(1).count() > 0:
+        step = reach.withColumnRenamed("n", "a").join(jump, isl + ["a"]).select(*isl, F.col("b").alias("n"))
+        reach = reach.unionByName(step).distinct().checkpoint()
+        x = jump.withColumnRenamed("b", "m")
+        y = jump.withColumnRenamed("a", "m").withColumnRenamed("b", "b2")
+        jump = x.join(y, isl + ["m"]).select(*isl, "a", F.col("b2").alias("b")).checkpoint()
+    fired = nodes.join(reach.withColumnRenamed("n", "_nid"), isl + ["_nid"], "left_semi")
+    return fired.select(*payload)
 
 
 def user_detections(ticks: DataFrame, rules: DataFrame, cooldown_seconds: int = RULE_COOLDOWN_SECONDS) -> DataFrame:
