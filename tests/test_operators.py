@@ -282,3 +282,20 @@ def test_halo_window_equals_single_partition(spark):
         got = own_rows(h.withColumn("s", F.sum("price").over(rows_frame(["symbol"], ["time", "event_id"], -29, 0))))
         diff = got.alias("g").join(plain.alias("p"), "event_id").filter(F.abs(F.col("g.s") - F.col("p.s")) > 1e-6)
         assert got.count() == plain.count() and diff.count() == 0, chunk
+
+
+def test_alert_time_epoch_iso_or_now(spark):
+    from tickspark.functions.timefn import parse_epoch_or_iso
+    df = spark.createDataFrame([("1704207600.25",), ("2024-01-02T15:00:00Z",), ("2024-01-02T15:00:00+02:00",),
+                                ("garbage",), (None,)], "s string")
+    now = ts_literal("2024-01-03 00:00:00")
+    got = [r[0] for r in df.select(parse_epoch_or_iso("s", now)).collect()]
+    assert got == [dt.datetime(2024, 1, 2, 15, 0, 0, 250000), dt.datetime(2024, 1, 2, 15, 0),
+                   dt.datetime(2024, 1, 2, 13, 0), dt.datetime(2024, 1, 3), dt.datetime(2024, 1, 3)]
+
+
+def test_nan_to_null(spark):
+    from tickspark.functions.values import nan_to_null
+    df = spark.createDataFrame([(float("nan"), 1.0, "x")], "a double, b double, c string")
+    r = nan_to_null(df).first()
+    assert r.a is None and r.b == 1.0 and r.c == "x"

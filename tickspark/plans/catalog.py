@@ -313,6 +313,18 @@ def q_latest_bar(spark, d):
     return sinks.latest_bar_ticks(fx.bars(spark, d), _as_of())
 
 
+def q_health_latest(spark, d):
+    return serve.health_latest(fx.heartbeats(spark, d))
+
+
+def q_health_liveness(spark, d):
+    return serve.health_liveness(serve.health_latest(fx.heartbeats(spark, d)), _as_of())
+
+
+def q_encode_ticks(spark, d):
+    return codec.encode_events(fx.ticks(spark, d).drop("bid", "ask"))
+
+
 def q_retention(spark, d):
     return sinks.retain(fx.ticks(spark, d), 24, _as_of()).select("event_id", "time", "symbol")
 
@@ -372,10 +384,13 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "backfill_tail": q_backfill_tail,
     "latest_bar": q_latest_bar,
     "retention": q_retention,
+    "health_latest": q_health_latest,
+    "health_liveness": q_health_liveness,
+    "encode_ticks": q_encode_ticks,
 }
 
 # Queries without a SQL oracle (nested or JSON-text output): rows-only check.
-ROWS_ONLY = {"heatmap", "chat_outbox"}
+ROWS_ONLY = {"heatmap", "chat_outbox", "encode_ticks"}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

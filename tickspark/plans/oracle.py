@@ -447,6 +447,20 @@ def queries_sql() -> dict[str, str]:
             coalesce(close, 0.0) AS price, coalesce(volume, 0) AS volume, 'yfinance' AS source, time AS bar_time
         FROM (SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY time DESC) = 1)
         WHERE coalesce(close, 0.0) > 0"""
+    beats = cte("beats", """SELECT event_type AS service_name,
+            make_timestamp((epoch_us(CAST(ts AS TIMESTAMP)) // 10000000) * 10000000 + 10000000) AS last_heartbeat,
+            'running' AS status, round(count(*) / 10.0, 2) AS mps, count(*) AS total_processed
+        FROM events GROUP BY 1, 2""")
+    latest = cte("latest", """SELECT service_name, last_heartbeat, status, mps, total_processed,
+            CAST(json_object('mps', mps, 'total_processed', total_processed) AS VARCHAR) AS metrics
+        FROM beats QUALIFY row_number() OVER (PARTITION BY service_name ORDER BY last_heartbeat DESC) = 1""")
+    q["health_latest"] = _with(beats, latest) + "SELECT * FROM latest"
+    q["health_liveness"] = _with(beats, latest) + f"""SELECT service_name, last_heartbeat,
+            (epoch_us({AS_OF}) - epoch_us(last_heartbeat)) // 1000 AS age_ms,
+            CASE WHEN (epoch_us({AS_OF}) - epoch_us(last_heartbeat)) // 1000 < 30000 THEN 'healthy' ELSE 'dead' END
+                AS liveness,
+            CASE WHEN (epoch_us({AS_OF}) - epoch_us(last_heartbeat)) // 1000 < 30000 THEN mps END AS mps_shown
+        FROM latest"""
     q["retention"] = _with(ticks_cte()) + \
         f"SELECT event_id, time, symbol FROM ticks WHERE epoch_us(time) >= epoch_us({AS_OF}) - 86400000000"
     return q

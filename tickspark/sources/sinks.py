@@ -111,6 +111,21 @@ def retain(df: DataFrame, hours: int, as_of: Column, time_col: str = "time") ->
     return df.filter(epoch_micros(time_col) >= cutoff_us)
 
 
+def read_jdbc(spark, url: str, table: str, partition_column: str, lower: int, upper: int,
+              num_partitions: int, properties: dict | None = None) -> DataFrame:
+    """Relational source read in parallel ranges of ``partition_column``
+    (needs the database's JDBC driver on the classpath)."""
+    return spark.read.jdbc(url, table, column=partition_column, lowerBound=lower, upperBound=upper,
+                           numPartitions=num_partitions, properties=properties or {})
+
+
+def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", batch_size: int = 10_000,
+               properties: dict | None = None) -> None:
+    """Relational sink; ``batchsize`` rows per insert batch, one connection per task."""
+    (df.write.mode(mode).option("batchsize", batch_size)
+       .jdbc(url, table, properties=properties or {}))
+
+
 def write_partitioned(df: DataFrame, path: str, time_col: str = "time", sort_cols=("symbol", "time"),
                       mode: str = "append") -> None:
     """Day-partitioned parquet, sorted within files by (symbol, time) so
