@@ -277,11 +277,12 @@ def test_halo_window_equals_single_partition(spark):
     t = fx.ticks(spark, "/root/testdata/sf0.001").select("symbol", "time", "event_id", "price")
     plain = t.withColumn("s", F.sum("price").over(
         Window.partitionBy("symbol").orderBy("time", "event_id").rowsBetween(-29, 0)))
-    for chunk in (600, 3600, 86400):
-        h = with_halo(t, ["symbol"], ["time", "event_id"], "time", 29, chunk)
+    for chunk, target in ((600, None), (3600, None), (86400, None), (None, 50), (None, 10_000_000)):
+        kw = {"target_rows": target} if target else {}
+        h = with_halo(t, ["symbol"], ["time", "event_id"], "time", 29, chunk, **kw)
         got = own_rows(h.withColumn("s", F.sum("price").over(rows_frame(["symbol"], ["time", "event_id"], -29, 0))))
         diff = got.alias("g").join(plain.alias("p"), "event_id").filter(F.abs(F.col("g.s") - F.col("p.s")) > 1e-6)
-        assert got.count() == plain.count() and diff.count() == 0, chunk
+        assert got.count() == plain.count() and diff.count() == 0, (chunk, target)
 
 
 def test_alert_time_epoch_iso_or_now(spark):

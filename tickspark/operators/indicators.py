@@ -53,7 +53,7 @@ def ema_series(series: DataFrame, keys: Sequence[str], pos_col: str, value_col:
 
 def ema_rolling(df: DataFrame, keys: Sequence[str], time_col: str = "time", value_col: str = "close",
                 period: int = EMA_PERIOD, kernel: int = EMA_KERNEL,
-                chunk_seconds: int = 86400 * 7) -> DataFrame:
+                chunk_seconds: int | None = None) -> DataFrame:
     """EMA over the whole history of every key (see module doc).
 
     Rows are split into (key, week) groups; each group also receives the
@@ -109,7 +109,7 @@ def _ema_group_fn(period: int, mult: float, value_col: str):
 
 
 def sma_rolling(df: DataFrame, keys: Sequence[str], time_col: str = "time", value_col: str = "close",
-                period: int = 20, chunk_seconds: int = 86400 * 7) -> DataFrame:
+                period: int = 20, chunk_seconds: int | None = None) -> DataFrame:
     """Simple moving average of the last ``period`` rows (null until full)."""
     keys = list(keys)
     h = with_halo(df, keys, [time_col], time_col, period - 1, chunk_seconds)

@@ -34,7 +34,43 @@ from tickspark.functions.timefn import epoch_micros
 
 CHUNK_COL = "_chunk"
 OWN_COL = "_own"
-DEFAULT_CHUNK_SECONDS = 86400
+DEFAULT_CHUNK_SECONDS = None  # adaptive per key
+TARGET_CHUNK_ROWS = 2_000_000
+CHUNK_LADDER = [60, 300, 900, 3600, 4 * 3600, 86400, 7 * 86400, 28 * 86400]
+
+
+def adaptive_chunk_seconds(df: DataFrame, keys: Sequence[str], time_col: str,
+                           target_rows: int = TARGET_CHUNK_ROWS) -> DataFrame:
+    """One row per key: the chunk length (seconds) for that key.
+
+    The length is the largest ladder step whose row count at the key's
+    busiest-hour rate stays under ``target_rows``, so a hot key is cut into
+    short chunks and a quiet key into long ones (few halo copies). Hourly
+    counts are a partial aggregate; the result has one row per key.
+    """
+    keys = list(keys)
+    hour = F.floor(epoch_micros(time_col) / F.lit(3_600_000_000)).cast("long")
+    hourly = df.groupBy(*keys, hour.alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
+    peak = hourly.groupBy(*keys).agg(F.max("_n").alias("_peak"))
+    length = F.lit(CHUNK_LADDER[0])
+    for step in CHUNK_LADDER[1:]:
+        length = F.when(F.col("_peak") * F.lit(step / 3600.0) <= F.lit(float(target_rows)), F.lit(step)) \
+                  .otherwise(length)
+    return peak.select(*keys, length.cast("long").alias("_chunk_sec"))
+
+
+def _with_chunk(df: DataFrame, keys: list[str], time_col: str, chunk_seconds: int | None,
+                target_rows: int) -> DataFrame:
+    if chunk_seconds is not None:
+        return df.withColumn(CHUNK_COL, F.floor(epoch_micros(time_col) / F.lit(int(chunk_seconds) * 1_000_000))
+                             .cast("long"))
+    # one row per key (bounded by the key universe): broadcast, so rows get
+    # their chunk id map-side without a shuffle
+    per_key = F.broadcast(adaptive_chunk_seconds(df, keys, time_col, target_rows))
+    return (df.join(per_key, keys)
+            .withColumn(CHUNK_COL, F.floor(epoch_micros(time_col) / (F.col("_chunk_sec") * F.lit(1_000_000)))
+                        .cast("long"))
+            .drop("_chunk_sec"))
 
 
 def _order_cols(order: Sequence[str], descending: bool = False) -> list[Column]:
@@ -42,20 +78,20 @@ def _order_cols(order: Sequence[str], descending: bool = False) -> list[Column]:
 
 
 def with_halo(df: DataFrame, keys: Sequence[str], order: Sequence[str], time_col: str,
-              n_prev: int, chunk_seconds: int = DEFAULT_CHUNK_SECONDS,
-              with_offsets: bool = False) -> DataFrame:
+              n_prev: int, chunk_seconds: int | None = DEFAULT_CHUNK_SECONDS,
+              with_offsets: bool = False, target_rows: int = TARGET_CHUNK_ROWS) -> DataFrame:
     """Add ``_chunk`` and ``_own`` columns and the halo rows (``_own`` false).
 
     Windows over the result must be partitioned by ``keys + [_chunk]`` and
     ordered by ``order`` (a total order within a key, time first); keep only
     ``_own`` rows afterwards. ``n_prev`` is the largest number of preceding
     rows any frame needs. ``with_offsets`` adds ``_off`` to own rows: the
-    number of rows of the key in earlier chunks.
+    number of rows of the key in earlier chunks. ``chunk_seconds=None``
+    sizes chunks per key (``adaptive_chunk_seconds``).
     """
     keys = list(keys)
     order = list(order)
-    chunk_us = int(chunk_seconds) * 1_000_000
-    base = df.withColumn(CHUNK_COL, F.floor(epoch_micros(time_col) / F.lit(chunk_us)).cast("long"))
+    base = _with_chunk(df, keys, time_col, chunk_seconds, target_rows)
     part = keys + [CHUNK_COL]
     own = base.withColumn(OWN_COL, F.lit(True))
     if n_prev <= 0 and not with_offsets:

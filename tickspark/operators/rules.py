@@ -69,7 +69,7 @@ MAX_ISLAND_FOLD = 4096
 
 
 def cooldown(matches: DataFrame, cooldown_seconds: int = RULE_COOLDOWN_SECONDS,
-             chunk_seconds: int = DEFAULT_CHUNK_SECONDS, max_fold: int = MAX_ISLAND_FOLD) -> DataFrame:
+             chunk_seconds: int | None = DEFAULT_CHUNK_SECONDS, max_fold: int = MAX_ISLAND_FOLD) -> DataFrame:
     """Keep the rule hits that fire: per ``rule_key`` a hit fires when more
     than ``cooldown_seconds`` passed since the last *fired* hit; suppressed
     hits do not extend the cooldown.
