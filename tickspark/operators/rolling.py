@@ -59,8 +59,10 @@ def adaptive_chunk_seconds(df: DataFrame, keys: Sequence[str], time_col: str,
     return peak.select(*keys, length.cast("long").alias("_chunk_sec"))
 
 
-def _with_chunk(df: DataFrame, keys: list[str], time_col: str, chunk_seconds: int | None,
-                target_rows: int) -> DataFrame:
+def with_chunk(df: DataFrame, keys: list[str], time_col: str, chunk_seconds: int | None = DEFAULT_CHUNK_SECONDS,
+               target_rows: int = TARGET_CHUNK_ROWS) -> DataFrame:
+    """Add ``_chunk``: fixed-length time chunks, or per-key lengths when
+    ``chunk_seconds`` is None (``adaptive_chunk_seconds``)."""
     if chunk_seconds is not None:
         return df.withColumn(CHUNK_COL, F.floor(epoch_micros(time_col) / F.lit(int(chunk_seconds) * 1_000_000))
                              .cast("long"))
@@ -91,7 +93,7 @@ def with_halo(df: DataFrame, keys: Sequence[str], order: Sequence[str], time_col
     """
     keys = list(keys)
     order = list(order)
-    base = _with_chunk(df, keys, time_col, chunk_seconds, target_rows)
+    base = with_chunk(df, keys, time_col, chunk_seconds, target_rows)
     part = keys + [CHUNK_COL]
     own = base.withColumn(OWN_COL, F.lit(True))
     if n_prev <= 0 and not with_offsets:

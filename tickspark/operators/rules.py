@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickspark.functions.timefn import epoch_micros
 from tickspark.functions.values import fmt_money
-from tickspark.operators.rolling import CHUNK_COL, DEFAULT_CHUNK_SECONDS, OWN_COL, halo_window, with_halo
+from tickspark.operators.rolling import CHUNK_COL, DEFAULT_CHUNK_SECONDS, with_chunk
 from tickspark.plans.joins import broadcast_if_small
 from tickspark.schemas import RULE_COOLDOWN_SECONDS, USER_RULE
 from tickspark.session import ensure_checkpoint_dir
@@ -76,25 +76,28 @@ def cooldown(matches: DataFrame, cooldown_seconds: int = RULE_COOLDOWN_SECONDS,
 
     Hits are split into islands wherever the gap to the previous hit exceeds
     the cooldown; an island's first hit always fires, so islands are
-    independent. Island boundaries come from a lag over (key, day) chunks
-    with a one-row halo. Islands of at most ``max_fold`` hits are folded
+    independent. Island boundaries come from a lag within (key, time-chunk)
+    partitions; the first hit of a chunk takes the last hit time of the
+    earlier chunks from a small per-chunk table. Islands of at most ``max_fold`` hits are folded
     sequentially in one task (``aggregate`` over the sorted hits, JVM side);
     larger islands go through ``_pointer_fold`` (exact, distributed), so no
     task ever holds more than ``max_fold`` hits of one island.
     """
     c_us = int(cooldown_seconds) * 1_000_000
     keys, order = ["rule_key"], ["time", "rule_id", "event_id"]
-    base = matches.withColumn("_t", epoch_micros("time"))
-    h = with_halo(base, keys, order, "time", 1, chunk_seconds)
-    h = h.withColumn("_prev", F.lag("_t").over(halo_window(keys, order)))
-    h = h.filter(F.col(OWN_COL)).drop(OWN_COL)
+    base = with_chunk(matches.withColumn("_t", epoch_micros("time")), keys, "time", chunk_seconds)
+    by_chunk = Window.partitionBy(*keys).orderBy(CHUNK_COL).rowsBetween(Window.unboundedPreceding, -1)
+    before = (base.groupBy(*keys, CHUNK_COL).agg(F.max("_t").alias("_mx"))
+              .withColumn("_prev_chunk", F.max("_mx").over(by_chunk)).drop("_mx"))
+    h = (base.withColumn("_prev_local", F.lag("_t").over(Window.partitionBy(*keys, CHUNK_COL).orderBy(*order)))
+         .join(before, keys + [CHUNK_COL])
+         .withColumn("_prev", F.coalesce("_prev_local", "_prev_chunk")).drop("_prev_local", "_prev_chunk"))
     h = h.withColumn("_start", F.col("_prev").isNull() | ((F.col("_t") - F.col("_prev")) > F.lit(c_us)))
     # island head = latest start at or before the row; earlier chunks carry in
     in_chunk = Window.partitionBy(*keys, CHUNK_COL).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     h = h.withColumn("_head_local", F.max(F.when(F.col("_start"), F.col("_t"))).over(in_chunk))
     carry = (h.groupBy(*keys, CHUNK_COL).agg(F.max(F.when(F.col("_start"), F.col("_t"))).alias("_m"))
-             .withColumn("_carry", F.max("_m").over(Window.partitionBy(*keys).orderBy(CHUNK_COL)
-                                                   .rowsBetween(Window.unboundedPreceding, -1)))
+             .withColumn("_carry", F.max("_m").over(by_chunk))
              .select(*keys, CHUNK_COL, "_carry"))
     h = (h.join(carry, keys + [CHUNK_COL], "left").withColumn("_head", F.coalesce("_head_local", "_carry"))
          .drop("_head_local", "_carry", "_prev", "_start", CHUNK_COL))
