@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickspark.functions.timefn import epoch_micros
+from tickspark.session import ensure_checkpoint_dir
 
 CHUNK_COL = "_chunk"
 OWN_COL = "_own"
@@ -66,9 +67,11 @@ def with_chunk(df: DataFrame, keys: list[str], time_col: str, chunk_seconds: int
     if chunk_seconds is not None:
         return df.withColumn(CHUNK_COL, F.floor(epoch_micros(time_col) / F.lit(int(chunk_seconds) * 1_000_000))
                              .cast("long"))
-    # one row per key (bounded by the key universe): broadcast, so rows get
-    # their chunk id map-side without a shuffle
-    per_key = F.broadcast(adaptive_chunk_seconds(df, keys, time_col, target_rows))
+    # one row per key (bounded by the key universe): materialised once (every
+    # branch of a halo plan reads it) and broadcast, so rows get their chunk
+    # id map-side without a shuffle
+    ensure_checkpoint_dir(df.sparkSession)
+    per_key = F.broadcast(adaptive_chunk_seconds(df, keys, time_col, target_rows).checkpoint())
     return (df.join(per_key, keys)
             .withColumn(CHUNK_COL, F.floor(epoch_micros(time_col) / (F.col("_chunk_sec") * F.lit(1_000_000)))
                         .cast("long"))
@@ -101,8 +104,11 @@ def with_halo(df: DataFrame, keys: Sequence[str], order: Sequence[str], time_col
 
     counts = base.groupBy(*part).agg(F.count(F.lit(1)).alias("_cnt"))
     by_key = Window.partitionBy(*keys).orderBy(CHUNK_COL)
+    # one row per (key, chunk), read by up to three branches: materialise once
+    ensure_checkpoint_dir(df.sparkSession)
     offsets = counts.withColumn(
-        "_off", F.coalesce(F.sum("_cnt").over(by_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        "_off", F.coalesce(F.sum("_cnt").over(by_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ).checkpoint()
 
     if with_offsets:
         # small side (one row per key and chunk); AQE broadcasts it from its
