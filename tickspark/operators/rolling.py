@@ -31,12 +31,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickspark.functions.timefn import epoch_micros
+from tickspark.plans.joins import broadcast_if_small
 from tickspark.session import ensure_checkpoint_dir
 
 CHUNK_COL = "_chunk"
 OWN_COL = "_own"
 DEFAULT_CHUNK_SECONDS = None  # adaptive per key
 TARGET_CHUNK_ROWS = 2_000_000
+MAX_BROADCAST_KEYS = 1_000_000
 CHUNK_LADDER = [60, 300, 900, 3600, 4 * 3600, 86400, 7 * 86400, 28 * 86400]
 
 
@@ -67,11 +69,12 @@ def with_chunk(df: DataFrame, keys: list[str], time_col: str, chunk_seconds: int
     if chunk_seconds is not None:
         return df.withColumn(CHUNK_COL, F.floor(epoch_micros(time_col) / F.lit(int(chunk_seconds) * 1_000_000))
                              .cast("long"))
-    # one row per key (bounded by the key universe): materialised once (every
-    # branch of a halo plan reads it) and broadcast, so rows get their chunk
-    # id map-side without a shuffle
+    # one row per key: materialised once (every branch of a halo plan reads
+    # it) and broadcast after a row-count check on the materialised table, so
+    # rows get their chunk id map-side without a shuffle
     ensure_checkpoint_dir(df.sparkSession)
-    per_key = F.broadcast(adaptive_chunk_seconds(df, keys, time_col, target_rows).checkpoint())
+    per_key = broadcast_if_small(adaptive_chunk_seconds(df, keys, time_col, target_rows).checkpoint(),
+                                 MAX_BROADCAST_KEYS)
     return (df.join(per_key, keys)
             .withColumn(CHUNK_COL, F.floor(epoch_micros(time_col) / (F.col("_chunk_sec") * F.lit(1_000_000)))
                         .cast("long"))
