@@ -182,3 +182,32 @@ def test_late_file_dropped_by_watermark(spark):
     cols = ["time", "symbol", "open", "high", "low", "close", "volume", "trade_count"]
     assert got.count() > 0
     assert got.select(*cols).exceptAll(exp.select(*cols)).count() == 0
+
+
+def test_compaction_and_heartbeat_listener(spark):
+    """S8 compaction equals the log view; C6/H1 live heartbeats from query
+    progress feed the health queries."""
+    from tickspark.functions.timefn import ts_literal
+    from tickspark.operators import serve
+    root, schema = _split_ticks(spark)
+    listener = jobs.HeartbeatListener()
+    spark.streams.addListener(listener)
+    try:
+        chk = tempfile.mkdtemp(prefix="chk-")
+        log_path = tempfile.mkdtemp(prefix="candle-log-")
+        q = (jobs.candle_stream(_stream(spark, root, schema), 900).writeStream.outputMode("update")
+             .queryName("processor").option("checkpointLocation", chk)
+             .foreachBatch(jobs.CandleLogSink(log_path)).start())
+        q.processAllAvailable()
+        q.stop()
+    finally:
+        spark.streams.removeListener(listener)
+    out = os.path.join(tempfile.mkdtemp(prefix="compact-"), "candles")
+    jobs.compact_candle_log(spark, log_path, out)
+    compacted = spark.read.parquet(out).drop("date")
+    view = jobs.read_candle_log(spark, log_path)
+    assert compacted.exceptAll(view).count() == 0 and view.exceptAll(compacted).count() == 0
+    beats = listener.frame(spark)
+    assert [r.service_name for r in beats.collect()] == ["processor"]
+    live = serve.health_liveness(serve.health_latest(beats), ts_literal("2100-01-01 00:00:00")).first()
+    assert live.liveness == "dead" and live.mps_shown is None

@@ -21,11 +21,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from tickspark.functions.timefn import epoch_micros, event_order_key, plus_seconds
 from tickspark.operators import alerts as alerts_op
@@ -206,3 +208,44 @@ def tick_stream_with_rejects(messages: DataFrame, rejects_path: str, checkpoint:
 
 def window_end_of(c: Column, w: int) -> Column:
     return plus_seconds(c, w)
+
+
+def compact_candle_log(spark: SparkSession, log_path: str, out_path: str) -> None:
+    """S8 compaction: rewrite the append-only candle log as its latest view
+    (one row per candle), day-partitioned and sorted for symbol/time skipping."""
+    sinks.write_partitioned(read_candle_log(spark, log_path), out_path, mode="overwrite")
+
+
+class HeartbeatListener(StreamingQueryListener):
+    """C6/H1 live: every micro-batch progress of a streaming query becomes a
+    heartbeat row (service = query name, mps = processed rows per second,
+    total_processed = input rows of the batch, status running/idle).
+
+    Rows are kept in memory on the driver only as the last beat per service
+    (bounded by the number of queries); ``frame`` turns them into a
+    DataFrame that ``serve.health_latest``/``health_liveness`` accept."""
+
+    def __init__(self):
+        self.beats: dict[str, tuple] = {}
+
+    def onQueryStarted(self, event):  # noqa: N802 - listener API
+        pass
+
+    def onQueryProgress(self, event):  # noqa: N802
+        p = event.progress
+        name = p.name or str(p.id)
+        rows = int(p.numInputRows)
+        mps = round(float(p.processedRowsPerSecond or 0.0), 2)
+        ts = dt.datetime.fromisoformat(p.timestamp.replace("Z", "+00:00")).replace(tzinfo=None)
+        self.beats[name] = (name, ts, "running" if rows > 0 else "idle", mps, rows)
+
+    def onQueryIdle(self, event):  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event):  # noqa: N802
+        pass
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(
+            list(self.beats.values()),
+            "service_name string, last_heartbeat timestamp, status string, mps double, total_processed long")
