@@ -211,3 +211,22 @@ def test_compaction_and_heartbeat_listener(spark):
     assert [r.service_name for r in beats.collect()] == ["processor"]
     live = serve.health_liveness(serve.health_latest(beats), ts_literal("2100-01-01 00:00:00")).first()
     assert live.liveness == "dead" and live.mps_shown is None
+
+
+def test_outbox_sink_routes_batch(spark):
+    """W6 outbox: one micro-batch of alerts routed into chat/mail/recipient
+    tables (idempotent per batch id: a retried batch overwrites its folder)."""
+    from tickspark.operators import alerts as A
+    from tickspark.operators import route
+    a = A.alerts_table(fx.ticks(spark, SF))
+    path = tempfile.mkdtemp(prefix="outbox-")
+    sink = jobs.OutboxSink(path, "ops@example.com, ,risk@example.com")
+    sink(a, 3)
+    sink(a, 3)  # retry of the same batch
+    chat = spark.read.parquet(os.path.join(path, "chat"))
+    mail = spark.read.parquet(os.path.join(path, "mail"))
+    rcpt = spark.read.parquet(os.path.join(path, "recipients"))
+    routed = route.route(a)
+    assert chat.count() == routed.filter(F.col("channel") == "chat").count() == a.count()
+    assert mail.count() == routed.filter(F.col("channel") == "mail").count() == a.filter(F.col("severity") == "high").count()
+    assert rcpt.count() == 2 * mail.count()
