@@ -34,12 +34,14 @@ EMA_KERNEL = 400
 
 
 def ema_series(series: DataFrame, keys: Sequence[str], pos_col: str, value_col: str = "close",
-               period: int = EMA_PERIOD) -> DataFrame:
-    """EMA of a bounded per-key series ordered by ``pos_col`` (0-based)."""
+               period: int = EMA_PERIOD, carry: Sequence[str] = ()) -> DataFrame:
+    """EMA of a bounded per-key series ordered by ``pos_col`` (0-based).
+    ``carry`` columns ride along in the sorted array, so callers need no join
+    back to the series."""
     keys = list(keys)
     mult = 2.0 / (period + 1)
-    g = series.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(pos_col).alias("p"),
-                                                                        F.col(value_col).alias("v")))).alias("s"))
+    g = series.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
+        F.col(pos_col).alias("p"), F.col(value_col).alias("v"), *[F.col(c) for c in carry]))).alias("s"))
     head = F.slice("s", 1, period)
     seed = F.aggregate(head, F.lit(0.0), lambda acc, x: acc + x["v"]) / F.least(F.size("s"), F.lit(period))
     fold = F.aggregate(
@@ -48,7 +50,8 @@ def ema_series(series: DataFrame, keys: Sequence[str], pos_col: str, value_col:
         .otherwise(F.struct(((x["v"] - acc["e"]) * mult + acc["e"]).alias("e"),
                             F.concat(acc["out"], F.array((x["v"] - acc["e"]) * mult + acc["e"])).alias("out"))))
     z = g.select(*keys, F.arrays_zip(F.col("s"), fold["out"].alias("o")).alias("z"))
-    return z.select(*keys, F.inline("z")).select(*keys, F.col("s.p").alias(pos_col), F.col("o").alias("ema"))
+    return z.select(*keys, F.inline("z")).select(*keys, F.col("s.p").alias(pos_col), F.col("s.v").alias(value_col),
+                                                 *[F.col(f"s.{c}").alias(c) for c in carry], F.col("o").alias("ema"))
 
 
 def ema_rolling(df: DataFrame, keys: Sequence[str], time_col: str = "time", value_col: str = "close",

@@ -236,15 +236,13 @@ def q_recent_trades(spark, d):
 
 
 def q_ema(spark, d):
-    s = _series(spark, d)
-    e = indicators.ema_series(s, ["symbol"], "_pos")
-    return s.join(e, ["symbol", "_pos"]).select("symbol", F.col("_pos").cast("long").alias("pos"), "time", "close", "ema")
+    e = indicators.ema_series(_series(spark, d), ["symbol"], "_pos", carry=["time"])
+    return e.select("symbol", F.col("_pos").cast("long").alias("pos"), "time", "close", "ema")
 
 
 def q_symbol_summary(spark, d):
-    s = _series(spark, d)
-    e = indicators.ema_series(s, ["symbol"], "_pos")
-    last = s.filter(F.col("_rank") == 1).join(e, ["symbol", "_pos"])
+    e = indicators.ema_series(_series(spark, d), ["symbol"], "_pos", carry=["_rank", "vwap", "low", "high"])
+    last = e.filter(F.col("_rank") == 1)
     return last.select("symbol", truthy_coalesce("vwap", F.lit(0.0)).alias("vwap"),
                        truthy_coalesce("ema", F.lit(0.0)).alias("ema"),
                        F.col("low").alias("day_low"), F.col("high").alias("day_high"))
