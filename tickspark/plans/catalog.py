@@ -66,7 +66,9 @@ def q_candles_exploded(spark, d):
 
 
 def q_candle_rollup(spark, d):
-    return candles_op.rollup(candles_op.candles(fx.ticks(spark, d), 60), 3600)
+    """3600 s candles rolled up from 60 s candles that carry their exact
+    price*volume sums."""
+    return candles_op.rollup(candles_op.candles(fx.ticks(spark, d), 60, keep_pv=True), 3600)
 
 
 def q_candle_upsert(spark, d):
