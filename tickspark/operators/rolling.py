@@ -39,6 +39,7 @@ OWN_COL = "_own"
 DEFAULT_CHUNK_SECONDS = None  # adaptive per key
 TARGET_CHUNK_ROWS = 2_000_000
 MAX_BROADCAST_KEYS = 1_000_000
+MAX_BROADCAST_CHUNKS = 2_000_000
 CHUNK_LADDER = [60, 300, 900, 3600, 4 * 3600, 86400, 7 * 86400, 28 * 86400]
 
 
@@ -114,9 +115,9 @@ def with_halo(df: DataFrame, keys: Sequence[str], order: Sequence[str], time_col
     ).checkpoint()
 
     if with_offsets:
-        # small side (one row per key and chunk); AQE broadcasts it from its
-        # measured size at runtime.
-        own = own.join(offsets.select(*part, "_off"), part)
+        # materialised, so the row-count check is cheap; the broadcast keeps
+        # every row from being shuffled just to attach its chunk offset
+        own = own.join(broadcast_if_small(offsets.select(*part, "_off"), MAX_BROADCAST_CHUNKS), part)
     if n_prev <= 0:
         return own
 

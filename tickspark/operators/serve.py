@@ -66,8 +66,21 @@ def join_alerts(candles_df: DataFrame, alerts: DataFrame, window_sec: int,
 def newest_joined(candles_df: DataFrame, alerts: DataFrame, window_sec: int, limit: int,
                   symbols: Sequence[str] | None = None) -> DataFrame:
     """The newest ``limit`` joined rows per symbol (a candle with several
-    alerts counts once per alert), with ``_rank`` 1 = newest."""
-    j = join_alerts(candles_df, alerts, window_sec, symbols)
+    alerts counts once per alert), with ``_rank`` 1 = newest.
+
+    A left join gives every candle at least one row, so those rows all come
+    from the newest ``limit`` candles of the symbol: the top-N is pushed below
+    the join (partial ``WindowGroupLimit``), and the join sees at most
+    ``limit`` candles per symbol instead of the whole candle table."""
+    c = _in_symbols(candles_df.filter(F.col("window_sec") == window_sec), symbols)
+    newest = Window.partitionBy("symbol").orderBy(F.col("time").desc())
+    c = c.withColumn("_cr", F.row_number().over(newest)).filter(F.col("_cr") <= limit).drop("_cr")
+    # only alerts inside those candles can join: a broadcast semi-join (at most
+    # ``limit`` keys per symbol) drops the rest map-side, before any shuffle
+    keys = c.select(F.col("symbol").alias("_ks"), F.col("time").alias("_kt"))
+    al = alerts.join(F.broadcast(keys), (alerts.symbol == keys._ks)
+                     & (bucket_start(alerts.time, window_sec) == keys._kt), "left_semi")
+    j = join_alerts(c, al, window_sec, symbols)
     w = Window.partitionBy("symbol").orderBy(*joined_desc())
     return j.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= limit)
 
