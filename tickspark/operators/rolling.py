@@ -41,6 +41,7 @@ TARGET_CHUNK_ROWS = 2_000_000
 MAX_BROADCAST_KEYS = 1_000_000
 MAX_BROADCAST_CHUNKS = 2_000_000
 CHUNK_LADDER = [60, 300, 900, 3600, 4 * 3600, 86400, 7 * 86400, 28 * 86400]
+WHOLE_KEY_SECONDS = 1 << 40  # a chunk longer than any data span: the key is one chunk
 
 
 def adaptive_chunk_seconds(df: DataFrame, keys: Sequence[str], time_col: str,
@@ -49,17 +50,19 @@ def adaptive_chunk_seconds(df: DataFrame, keys: Sequence[str], time_col: str,
 
     The length is the largest ladder step whose row count at the key's
     busiest-hour rate stays under ``target_rows``, so a hot key is cut into
-    short chunks and a quiet key into long ones (few halo copies). Hourly
-    counts are a partial aggregate; the result has one row per key.
+    short chunks and a quiet key into long ones (few halo copies). A key
+    whose rows all fit under ``target_rows`` is one chunk (no halo at all).
+    Hourly counts are a partial aggregate; the result has one row per key.
     """
     keys = list(keys)
     hour = F.floor(epoch_micros(time_col) / F.lit(3_600_000_000)).cast("long")
     hourly = df.groupBy(*keys, hour.alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
-    peak = hourly.groupBy(*keys).agg(F.max("_n").alias("_peak"))
+    peak = hourly.groupBy(*keys).agg(F.max("_n").alias("_peak"), F.sum("_n").alias("_tot"))
     length = F.lit(CHUNK_LADDER[0])
     for step in CHUNK_LADDER[1:]:
         length = F.when(F.col("_peak") * F.lit(step / 3600.0) <= F.lit(float(target_rows)), F.lit(step)) \
                   .otherwise(length)
+    length = F.when(F.col("_tot") <= F.lit(target_rows), F.lit(WHOLE_KEY_SECONDS)).otherwise(length)
     return peak.select(*keys, length.cast("long").alias("_chunk_sec"))
 
 
@@ -67,19 +70,29 @@ def with_chunk(df: DataFrame, keys: list[str], time_col: str, chunk_seconds: int
                target_rows: int = TARGET_CHUNK_ROWS) -> DataFrame:
     """Add ``_chunk``: fixed-length time chunks, or per-key lengths when
     ``chunk_seconds`` is None (``adaptive_chunk_seconds``)."""
+    return _chunking(df, keys, time_col, chunk_seconds, target_rows)[0]
+
+
+def _chunking(df: DataFrame, keys: list[str], time_col: str, chunk_seconds: int | None,
+              target_rows: int) -> tuple[DataFrame, bool]:
+    """(rows with ``_chunk``, True when every key is a single chunk)."""
     if chunk_seconds is not None:
         return df.withColumn(CHUNK_COL, F.floor(epoch_micros(time_col) / F.lit(int(chunk_seconds) * 1_000_000))
-                             .cast("long"))
+                             .cast("long")), False
     # one row per key: materialised once (every branch of a halo plan reads
-    # it) and broadcast after a row-count check on the materialised table, so
-    # rows get their chunk id map-side without a shuffle
+    # it); one tiny aggregate over the materialised table gives its row count
+    # (broadcast check) and whether any key needs more than one chunk
     ensure_checkpoint_dir(df.sparkSession)
-    per_key = broadcast_if_small(adaptive_chunk_seconds(df, keys, time_col, target_rows).checkpoint(),
-                                 MAX_BROADCAST_KEYS)
-    return (df.join(per_key, keys)
+    per_key = adaptive_chunk_seconds(df, keys, time_col, target_rows).checkpoint()
+    n_keys, shortest = per_key.agg(F.count(F.lit(1)), F.min("_chunk_sec")).first()
+    if n_keys <= MAX_BROADCAST_KEYS:
+        per_key = F.broadcast(per_key)
+    whole = shortest is None or shortest >= WHOLE_KEY_SECONDS
+    base = (df.join(per_key, keys)
             .withColumn(CHUNK_COL, F.floor(epoch_micros(time_col) / (F.col("_chunk_sec") * F.lit(1_000_000)))
                         .cast("long"))
             .drop("_chunk_sec"))
+    return base, whole
 
 
 def _order_cols(order: Sequence[str], descending: bool = False) -> list[Column]:
@@ -100,9 +113,12 @@ def with_halo(df: DataFrame, keys: Sequence[str], order: Sequence[str], time_col
     """
     keys = list(keys)
     order = list(order)
-    base = with_chunk(df, keys, time_col, chunk_seconds, target_rows)
+    base, whole = _chunking(df, keys, time_col, chunk_seconds, target_rows)
     part = keys + [CHUNK_COL]
     own = base.withColumn(OWN_COL, F.lit(True))
+    if whole:
+        # every key is one chunk: no row precedes a chunk, nothing to copy
+        return own.withColumn("_off", F.lit(0).cast("long")) if with_offsets else own
     if n_prev <= 0 and not with_offsets:
         return own
 
