@@ -45,13 +45,3 @@ def fmt_money(c, decimals: int = 2) -> Column:
 
 def fmt_fixed(c, decimals: int) -> Column:
     return F.format_string(f"%.{decimals}f", _col(c))
-
-
-def fmt_thousands_float(c) -> Column:
-    """``f"{x:,}"`` of a Python float with an integral value: ``1,234.0``."""
-    return F.format_number(_col(c).cast("double"), 1)
-
-
-def fmt_thousands_int(c) -> Column:
-    """``f"{x:,}"`` of a Python int: ``1,234``."""
-    return F.format_number(_col(c).cast("long"), 0)

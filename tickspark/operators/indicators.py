@@ -133,9 +133,3 @@ def moving_averages(candles_df: DataFrame, period: int = 20) -> DataFrame:
     out = sma.unionByName(ema)
     return out.withColumn("event_id", F.sha2(F.concat_ws("_", "symbol", F.col("window_sec").cast("string"),
                                                          "ma_type", F.col("time").cast("string")), 256))
-
-
-def with_position(series: DataFrame, keys: Sequence[str], order_desc_rank: str) -> DataFrame:
-    """0-based ascending position from a 1-based newest-first rank."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    return series.withColumn("_pos", n - F.col(order_desc_rank))

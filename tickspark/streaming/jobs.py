@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
-from tickspark.functions.timefn import epoch_micros, event_order_key, plus_seconds
+from tickspark.functions.timefn import epoch_micros, event_order_key
 from tickspark.operators import alerts as alerts_op
 from tickspark.operators import detect, route, rules as rules_op, validate
 from tickspark.operators.candles import CANDLE_COLUMNS, candle_input
@@ -206,10 +206,6 @@ def tick_stream_with_rejects(messages: DataFrame, rejects_path: str, checkpoint:
     return good, q
 
 
-def window_end_of(c: Column, w: int) -> Column:
-    return plus_seconds(c, w)
-
-
 def compact_candle_log(spark: SparkSession, log_path: str, out_path: str) -> None:
     """S8 compaction: rewrite the append-only candle log as its latest view
     (one row per candle), day-partitioned and sorted for symbol/time skipping."""
