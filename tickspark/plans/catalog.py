@@ -390,7 +390,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 # Queries without a SQL oracle (nested or JSON-text output): rows-only check.
-ROWS_ONLY = {"heatmap", "chat_outbox", "encode_ticks"}
+ROWS_ONLY = {"heatmap", "encode_ticks"}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -263,6 +263,12 @@ def _ema_sql(src: str, keys: str) -> str:
                              FROM {src} WHERE pos < 20 GROUP BY {keys}) sd USING ({keys}))"""
 
 
+def _chat_field(title: str, value: str, present: str | None = None) -> str:
+    """One attachment field object; optional fields are NULL when absent."""
+    obj = f"json_object('title', {title}, 'value', {value}, 'short', true)"
+    return obj if present is None else f"CASE WHEN {present} IS NOT NULL THEN {obj} END"
+
+
 def queries_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     cols = "time, symbol, window_sec, open, high, low, close, volume, vwap, trade_count, window_end"
@@ -413,6 +419,24 @@ def queries_sql() -> dict[str, str]:
     routed = cte("routed", f"""SELECT a.*, ch.channel FROM alerts a,
             (VALUES ('chat', 0), ('mail', 2)) ch(channel, min_rank) WHERE {rank} >= ch.min_rank""")
     q["route_alerts"] = _with(*alerts_ctes(), routed) + "SELECT event_id, channel, severity FROM routed"
+    color = ("CASE severity WHEN 'low' THEN '#36a64f' WHEN 'medium' THEN '#ffb347' WHEN 'high' THEN '#ff4c4c' "
+             "ELSE '#aaaaaa' END")
+    fields = "list_filter([" + ", ".join([
+        _chat_field("'Symbol'", "symbol"),
+        _chat_field("'Alert Type'", "alert_type"),
+        _chat_field("'Severity'", "upper(severity)"),
+        _chat_field("'Trigger Price'", "'$' || printf('%.4f', trigger_price)", "trigger_price"),
+        _chat_field("'Trigger Volume'", "format('{:,}', trigger_volume)", "trigger_volume"),
+        _chat_field("'Z-Score'", "printf('%.2f', zscore)", "zscore"),
+        _chat_field("'Reference Value'", "printf('%.4f', reference_value)", "reference_value"),
+        _chat_field("'Window'", "CAST(window_sec AS VARCHAR) || 's'", "window_sec"),
+    ]) + "], lambda x: x IS NOT NULL)"
+    q["chat_outbox"] = _with(*alerts_ctes(), routed) + f"""SELECT event_id, symbol, severity,
+            CAST(json_object('attachments', [json_object('color', {color},
+                'title', ':rotating_light: Market Alert — ' || symbol, 'text', message,
+                'fields', {fields}, 'footer', 'event_id: ' || event_id,
+                'ts', CAST(floor(epoch_us(time) / 1000000) AS BIGINT))]) AS VARCHAR) AS payload
+        FROM routed WHERE channel = 'chat'"""
     subject = "'[' || upper(severity) || '] Market Alert — ' || symbol || ' / ' || alert_type"
     q["mail_outbox"] = _with(*alerts_ctes(), routed) + \
         f"SELECT event_id, symbol, severity, {subject} AS subject, 'Market Alert: ' || {subject} || chr(10) || chr(10) || message AS text " \
