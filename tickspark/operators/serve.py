@@ -171,7 +171,9 @@ def alerts_history(alerts: DataFrame, symbol: str = "ALL", severity: str = "ALL"
 
 
 def alerts_feed(alerts: DataFrame, show: int = 10, fetch: int = 50) -> DataFrame:
-    return recent_alerts(alerts, None, fetch).orderBy(F.col("time").desc()).limit(show)
+    """The live feed shows the newest ``show`` of the ``fetch`` loaded alerts
+    (same total order: time, then alert id)."""
+    return recent_alerts(alerts, None, fetch).limit(show)
 
 
 def loaded_series(candles_df: DataFrame, alerts: DataFrame, limit: int = 300,
