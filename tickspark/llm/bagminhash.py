@@ -28,6 +28,12 @@ LABELS = BANDS * ROWS  # chance to miss a pair at similarity 0.8: (1 - 0.8^5)^32
 THRESHOLD = 0.8
 #: Copies of a pivot's text: its members are dealt over so many tasks.
 SALTS = 16
+#: Pivot rounds before the rest is compared in blocks, and the pivots a bucket has in each.
+PIVOTS = (1, 4)
+#: Documents of a block.
+BLOCK = 512
+#: Labels that must agree before a pair in blocks is compared: six standard deviations below a pair at 0.8.
+LEAST_AGREEMENT = int(LABELS * THRESHOLD - 6 * math.sqrt(LABELS * THRESHOLD * (1 - THRESHOLD)))
 #: Documents whose points are made together.
 DOCS = 64
 
@@ -48,7 +54,7 @@ def shingles(text: str | None, seen: WordHashes) -> tuple[np.ndarray, np.ndarray
 def _points(doc, item, weight, bound):
     """Points of the items below their weights and the documents' bounds: (doc, label, time)."""
     top = int(weight.max()).bit_length() if len(weight) else 0
-    found = []
+    found, leaves = [], []
     for octave in range(top + 1):
         lo0, width0 = (0, 1) if octave == 0 else (1 << (octave - 1), 1 << (octave - 1))
         use = weight > lo0
@@ -57,44 +63,47 @@ def _points(doc, item, weight, bound):
         d, w = doc[use], weight[use]
         r = mix64(item[use] + np.uint64((int(_GOLD) * (octave + 1)) % 2**64))
         t = -np.log(unit(r)) / (LABELS * width0)
-        lo = np.full(len(d), lo0, np.int64)
-        width = np.full(len(d), width0, np.int64)
+        lo, width = np.full(len(d), lo0, np.int64), width0
         while True:
             on = (t < bound[d]) & (lo < w)
-            if not on.any():
+            d, w, r, t, lo = d[on], w[on], r[on], t[on], lo[on]
+            if width == 1 or not len(d):
+                leaves.append((d, r, t))
                 break
-            d, w, r, t, lo, width = d[on], w[on], r[on], t[on], lo[on], width[on]
             inside = lo + width <= w
-            label = mix64(r + np.uint64(0x5851F42D4C957F2D))
-            found.append((d[inside], (label[inside] % np.uint64(LABELS)).astype(np.int64), t[inside]))
-            leaf = width == 1
-            level = width.astype(np.uint64) * _GOLD  # a point that is handed down draws anew at each width
-            r2 = mix64((r ^ np.uint64(0xD6E8FEB86659FD93)) + level)
-            half = np.maximum(width // 2, 1)
-            later = t - np.log(unit(r2)) / (LABELS * half)
-            # a leaf goes on behind its point; a wider process is split, one half keeping the point
-            if leaf.all():
-                r, t = r2, later
-                continue
-            cutm = ~leaf
-            high = (mix64((r ^ np.uint64(0x2545F4914F6CDD1D)) + level) >> np.uint64(63)).astype(bool)[cutm]
-            dl, wl, hl, ll = d[cutm], w[cutm], half[cutm], lo[cutm]
-            mine, other = ll + np.where(high, hl, 0), ll + np.where(high, 0, hl)
-            d = np.concatenate([d[leaf], dl, dl])
-            w = np.concatenate([w[leaf], wl, wl])
-            lo, width = np.concatenate([lo[leaf], mine, other]), np.concatenate([width[leaf], hl, hl])
-            t = np.concatenate([later[leaf], t[cutm], later[cutm]])
-            r = np.concatenate([r2[leaf], r[cutm], r2[cutm]])
-    if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+            found.append((d[inside], _label(r[inside]), t[inside]))
+            # split: the half that the point falls into keeps it, the other goes on behind it
+            level = np.uint64((int(_GOLD) * width) % 2**64)  # a point that is handed down draws anew at each width
+            width //= 2
+            other = mix64((r ^ np.uint64(0xD6E8FEB86659FD93)) + level)
+            later = t - np.log(unit(other)) / (LABELS * width)
+            high = (mix64((r ^ np.uint64(0x2545F4914F6CDD1D)) + level) >> np.uint64(63)).astype(bool)
+            lo = np.concatenate([lo + np.where(high, width, 0), lo + np.where(high, 0, width)])
+            d, w, r, t = (np.concatenate(x) for x in ((d, d), (w, w), (r, other), (t, later)))
+    d, r, t = (np.concatenate(x) for x in zip(*leaves, strict=True)) if leaves else (doc[:0], item[:0], np.empty(0))
+    found.append((d, _label(r), t))
+    # a unit of weight goes on point by point: twice as many in each round as in the one before
+    done, many = 1, 1
+    while len(d):
+        seed = mix64(r[:, None] + np.arange(done, done + many, dtype=np.uint64)[None, :] * _GOLD)
+        times = t[:, None] + np.cumsum(-np.log(unit(seed)) / LABELS, axis=1)
+        on = times < bound[d][:, None]
+        found.append((np.repeat(d, on.sum(axis=1)), _label(seed[on]), times[on]))
+        go = on[:, -1]
+        d, r, t = d[go], r[go], times[go, -1]
+        done, many = done + many, many * 2
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def _label(r: np.ndarray) -> np.ndarray:
+    return (mix64(r + np.uint64(0x5851F42D4C957F2D)) % np.uint64(LABELS)).astype(np.int64)
+
+
 def signatures(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """A row of LABELS times for each bag (all infinite for an empty one)."""
     out = np.full((len(bags), LABELS), np.inf)
     total = np.array([c.sum() for _, c in bags], float)
-    todo, slack = np.flatnonzero(total > 0), 5.0
+    todo, slack = np.flatnonzero(total > 0), 4.0
     while len(todo):
         bound = (math.log(LABELS) + slack) / total[todo]
         sizes = [len(bags[i][0]) for i in todo]
@@ -111,7 +120,7 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return out
 
 
-_SIGNED = "doc long, one long, two long, bands array<long>"
+_SIGNED = "doc long, one long, two long, bands array<long>, marks binary"
 
 
 def _sign(batches):
@@ -130,8 +139,9 @@ def _sign(batches):
                 pa.array(ids[k:k + DOCS], pa.int64()), pa.array(as_long(np.array(ones, np.uint64))),
                 pa.array(as_long(np.array(twos, np.uint64))),
                 pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(bags) + 1, BANDS, dtype=np.int32)),
-                                         pa.array(as_long(band.reshape(-1))))],
-                names=["doc", "one", "two", "bands"])
+                                         pa.array(as_long(band.reshape(-1)))),
+                pa.array([m.tobytes() for m in (sig.reshape(len(bags), LABELS) >> np.uint64(56)).astype(np.uint8)], pa.binary())],
+                names=["doc", "one", "two", "bands", "marks"])
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -175,15 +185,84 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             .mapInArrow(_verify, "a long, b long, similarity double"))
 
 
+def _blocks(batches):
+    """Rows sorted by (group, lo, hi): links between documents of block lo and block hi that are not in
+    one class. Pairs whose marks agree too little for THRESHOLD are passed over, the likeliest go
+    first, and pairs that links found here already connect are not needed."""
+    seen = WordHashes()
+    key, rows = None, []
+
+    def links():
+        side = np.array([r[0] for r in rows])
+        a, b = np.flatnonzero(side == key[1]), np.flatnonzero(side == key[2])
+        marks = np.stack([np.frombuffer(r[3], np.uint8) for r in rows])
+        cls = [r[2] for r in rows]
+        agree = np.zeros((len(a), len(b)), np.int16)
+        for k in range(LABELS):
+            agree += marks[a, k][:, None] == marks[b, k][None, :]
+        x, y = np.nonzero(agree >= LEAST_AGREEMENT)
+        order = np.argsort(-agree[x, y], kind="stable")
+        root = {c: c for c in cls}
+
+        def find(c):
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        bags = {}
+        for i, j in zip(a[x[order]].tolist(), b[y[order]].tolist(), strict=True):
+            if i == j or (key[1] == key[2] and i > j) or find(cls[i]) == find(cls[j]):
+                continue
+            for k in (i, j):
+                if k not in bags:
+                    bags[k] = shingles(rows[k][4], seen)
+            sim = similarity(bags[i], bags[j])
+            if sim >= THRESHOLD:
+                root[find(cls[i])] = find(cls[j])
+                yield rows[i][1], rows[j][1], sim
+
+    def batch(found):
+        cols = list(zip(*found, strict=True)) or [[], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(list(cols[0]), pa.int64()), pa.array(list(cols[1]), pa.int64()),
+                                           pa.array(list(cols[2]), pa.float64())], names=["a", "b", "similarity"])
+
+    for b in batches:
+        for group, lo, hi, *row in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
+            if key != (group, lo, hi):
+                if rows:
+                    yield batch(list(links()))
+                key, rows = (group, lo, hi), []
+            rows.append(row)
+    if rows:
+        yield batch(list(links()))
+
+
+def finish(rest: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links still to be found among the buckets of ``rest`` (bucket, doc, class). Documents that buckets
+    connect form a group; a group is cut into blocks of about BLOCK documents, and each two blocks
+    meet in one task, which holds both and emits only links."""
+    low = rest.groupBy("bucket").agg(F.min("doc").alias("a"))
+    group = components(rest.join(low, "bucket").select("a", F.col("doc").alias("b")))
+    group = group.select(F.col("id").alias("doc"), F.col("label").alias("group"))
+    parts = group.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    docs = (rest.select("doc", "class").distinct().join(group, "doc").join(parts, "group")
+            .withColumn("block", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            .select("doc", "class", "group", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block"))
+    return (docs.join(texts, "doc").select("group", "lo", "hi", "block", "doc", "class", "marks", "text")
+            .repartition("group", "lo", "hi").sortWithinPartitions("group", "lo", "hi")
+            .mapInArrow(_blocks, "a long, b long, similarity double"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document with an id: doc_id, class_id (the smallest id of its class), copy_of (the
-    smallest id whose shingle bag is equal), n_links (links found to other bags of the class).
+    smallest id whose shingle bag is equal), n_links (the links to other bags that hold its class together).
 
     Documents are linked when the weighted Jaccard similarity of their five-word shingle bags is 0.8
-    or more; classes are the connected components of the links. Every pair of bags that shares a
-    band is either compared or already in one class: in each round the buckets that still hold two
-    classes compare some of their members (pivots, four times as many each round) with all members
-    of other classes, and pivots so compared leave the bucket.
+    or more; classes are the connected components of the links. Bags that share a band are
+    candidates. Two rounds compare the pivots of each bucket (members that meet most others) with
+    all members of other classes; what still shares a bucket but no class is compared in blocks.
 
     Null texts count as empty; all empty texts are copies of each other. Rows with a null id are
     left out; repeated ids give one row. Other columns play no role.
@@ -195,35 +274,42 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     signed = stored(narrow.mapInArrow(_sign, _SIGNED))
     heads = signed.groupBy("one", "two").agg(F.min("doc").alias("head"))
     # bands depend on the bag alone, so one row of each bag stands for all its copies
-    bags = signed.select("doc", "bands").join(heads, signed["doc"] == heads["head"], "left_semi").dropDuplicates(["doc"])
+    bags = signed.select("doc", "bands", "marks").join(heads, signed["doc"] == heads["head"], "left_semi").dropDuplicates(["doc"])
+    bags = cut(bags)
     entries = bags.select("doc", F.explode("bands").alias("bucket"))
-    many = entries.groupBy("bucket").agg(F.min("doc").alias("_a"), F.max("doc").alias("_b")).where("_a < _b")
-    entries = cut(entries.join(many.select("bucket"), "bucket").select("bucket", "doc"))
+    many = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    entries = cut(entries.join(many, "bucket").select("bucket", "doc", "n"))
+    # a document that meets many others lies in the middle of its group: it is the better pivot
+    hubs = entries.groupBy("doc").agg(F.sum("n").alias("hub"))
+    entries = cut(entries.join(hubs, "doc").select("bucket", "doc", "hub"))
     ids = entries.select("doc").distinct()
-    texts = stored(narrow.join(ids, "doc", "left_semi").dropDuplicates(["doc"]))
+    texts = narrow.join(ids, "doc", "left_semi").dropDuplicates(["doc"]).join(bags.select("doc", "marks"), "doc")
+    texts = stored(texts)
 
     links = spark.createDataFrame([], "a long, b long, similarity double")
     classes = None
-    pivots = 1
     rest = entries
-    while True:
+    for pivots in (*PIVOTS, None):
         named = rest if classes is None else rest.join(classes, "doc", "left")
         named = named.withColumn("class", F.col("doc") if classes is None else F.coalesce("class", "doc"))
         split = named.groupBy("bucket").agg(F.min("class").alias("_a"), F.max("class").alias("_b")).where("_a < _b")
-        rest = cut(named.join(split.select("bucket"), "bucket").select("bucket", "doc", "class"))
+        rest = cut(named.join(split.select("bucket"), "bucket").select("bucket", "doc", "hub", "class"))
         if rest.isEmpty():
             break
-        first = (rest.withColumn("_r", F.row_number().over(
-            Window.partitionBy("bucket").orderBy(F.xxhash64("doc"), "doc"))).where(F.col("_r") <= pivots)
-            .select("bucket", F.col("doc").alias("a"), F.col("class").alias("_ca")))
-        pairs = (rest.join(first, "bucket").where("class <> _ca")
-                 .select("a", F.col("doc").alias("b")).distinct())
-        found = cut(verify(pairs, texts))
+        if pivots is None:
+            found = cut(finish(rest, texts))
+        else:
+            first = (rest.withColumn("_r", F.row_number().over(
+                Window.partitionBy("bucket").orderBy(F.desc("hub"), F.xxhash64("doc"), "doc"))).where(F.col("_r") <= pivots)
+                .select("bucket", F.col("doc").alias("a"), F.col("class").alias("_ca")))
+            pairs = (rest.join(first, "bucket").where("class <> _ca")
+                     .select("a", F.col("doc").alias("b")).distinct())
+            found = cut(verify(pairs, texts.drop("marks")))
+            # a pivot has met all of its bucket
+            rest = (rest.join(first, (rest.bucket == first.bucket) & (rest.doc == first.a), "left_anti")
+                    .select("bucket", "doc", "hub"))
         links = links.unionByName(found)
         classes = components(links.select("a", "b")).withColumnRenamed("id", "doc").withColumnRenamed("label", "class")
-        rest = (rest.join(first, (rest.bucket == first.bucket) & (rest.doc == first.a), "left_anti")
-                .select("bucket", "doc"))
-        pivots *= 4
     degree = (links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
               .select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("n_links")))
     member = signed.select("doc", "one", "two").join(heads, ["one", "two"]).groupBy("doc").agg(F.min("head").alias("head"))
