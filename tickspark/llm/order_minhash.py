@@ -23,7 +23,7 @@ K = 8
 L = 2
 M = 64
 #: Rows that a range of ids holds on average.
-RANGE_ROWS = 4000
+RANGE_ROWS = 500
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _ODD = mix64(np.arange(1, K + 1, dtype=np.uint64)) | np.uint64(1)
 
