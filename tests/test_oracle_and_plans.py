@@ -2,12 +2,14 @@
 assertions on the physical plans (no Python UDF evaluation, no nested-loop
 or cartesian joins, hash aggregation for the candle path, pushed filters)."""
 
+import datetime as dt
 import os
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tickspark.plans import catalog
 from tools.compare import TABLES, digest
 
 SF = "/root/testdata/sf0.001"
@@ -23,7 +25,7 @@ def con():
     return c
 
 
-NAMES = sorted(entry.oracle_sql())
+NAMES = sorted(catalog.oracle_sql())
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -45,7 +47,7 @@ def test_entry_smoke(spark):
 
 
 def test_rows_only_queries_run(spark):
-    for name in set(entry.queries()) - set(entry.oracle_sql()):
+    for name in set(catalog.queries()) - set(catalog.oracle_sql()):
         assert entry.queries()[name](spark, SF).count() >= 0
 
 
@@ -53,16 +55,25 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_no_python_or_nested_loop(spark, name):
     plan = _plan(entry.queries()[name](spark, SF))
     for bad in ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert bad not in plan, (name, bad)
 
 
-def test_candles_hash_aggregate(spark):
+def test_candles_combine_before_the_shuffle(spark):
     plan = _plan(entry.queries()["candles_60"](spark, SF))
-    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    below = plan.split("Exchange hashpartitioning")[1]
+    assert "partial_min_by" in below and "partial_max_by" in below
+
+
+def test_candles_break_ties_by_event_id(spark):
+    from tickspark.operators import candles, serve
+    rows = [(f"e{i:04d}", "S", dt.datetime(2024, 1, 1, 0, k), float(i), 1) for k in range(40) for i in range(50)]
+    ticks = spark.createDataFrame(rows, "event_id string, symbol string, time timestamp, price double, volume int").repartition(7)
+    assert {(r.open, r.close) for r in candles.candles(ticks, 60).collect()} == {(0.0, 49.0)}
+    assert serve.latest_price(ticks).first().price == 49.0
 
 
 def test_pruned_scan(spark):

@@ -49,20 +49,10 @@ def plus_seconds(c, seconds: int | Column) -> Column:
     return F.timestamp_micros(epoch_micros(c) + s.cast("long") * F.lit(MICROS))
 
 
-ORDER_HASH_BITS = 10
-
-
 def event_order_key(time_col, id_col) -> Column:
-    """One ``long`` ordering rows by event time, ties broken by a 10-bit hash
-    of the event id: ``micros * 1024 + hash``. Valid until year 2255.
-
-    ``min_by``/``max_by`` keyed by a primitive stay in ``HashAggregate``
-    (partial aggregation, no sort); a struct key such as (time, id) forces a
-    sort-based aggregate over all input rows. The hash keeps the order
-    deterministic when a task is recomputed.
-    """
-    return (epoch_micros(time_col) * F.lit(1 << ORDER_HASH_BITS)
-            + F.pmod(F.xxhash64(_col(id_col)), F.lit(1 << ORDER_HASH_BITS)))
+    """Exact order of events: (micros, event id). ``min_by``/``max_by`` keyed by it combine map-side
+    before the shuffle; a struct buffer makes that a sort-based partial aggregate."""
+    return F.struct(epoch_micros(time_col).alias("t"), _col(id_col).alias("id"))
 
 
 def ts_literal(value: str | dt.datetime) -> Column:

@@ -12,10 +12,11 @@ ALERT_COLUMNS = ["event_id", "time", "symbol", "alert_type", "severity", "messag
                  "trigger_volume", "zscore", "reference_value", "window_sec", "metadata"]
 
 
-def alert_id(symbol: Column, alert_type: Column, source_event: Column) -> Column:
+def alert_id(symbol: Column, alert_type: Column, source_event: Column, message: Column) -> Column:
     """Deterministic alert id: a retried or recomputed task emits the same id,
-    so downstream dedup on (event_id, time) is idempotent."""
-    return F.sha2(F.concat_ws("_", symbol, alert_type, source_event), 256)
+    so downstream dedup on (event_id, time) is idempotent. The message (null for
+    automatic alerts) tells apart the user rules that fire on one tick."""
+    return F.sha2(F.concat_ws("_", symbol, alert_type, source_event, message), 256)
 
 
 def unified_detections(ticks: DataFrame, rules: DataFrame | None = None, now: Column | None = None) -> DataFrame:
@@ -44,7 +45,7 @@ def build_alerts(dets: DataFrame, now: Column | None = None) -> DataFrame:
     entries.append(F.struct(F.lit("value").alias("k"), F.col("value").cast("string").alias("v")))
     meta = F.map_from_entries(F.filter(F.array(*entries), lambda e: e["v"].isNotNull()))
     return dets.select(
-        alert_id(F.col("symbol"), F.col("alert_type"), F.col("event_id")).alias("event_id"),
+        alert_id(F.col("symbol"), F.col("alert_type"), F.col("event_id"), F.col("message")).alias("event_id"),
         (now if now is not None else F.col("time")).alias("time"),
         "symbol", "alert_type", "severity",
         F.coalesce(F.col("message"), F.lit("Threshold breached")).alias("message"),
@@ -70,11 +71,11 @@ def alert_envelope(dets: DataFrame, published_at: Column) -> DataFrame:
         "severity")
 
 
-def alerts_table(ticks: DataFrame, repeat_mod: int = 7) -> DataFrame:
-    """The alert history the serving queries read: automatic detections on
-    the ticks (replay gate), with every alert whose tick id is divisible by
+def alerts_table(ticks: DataFrame, rules: DataFrame | None = None, repeat_mod: int = 7) -> DataFrame:
+    """The alert history the serving queries read: user-rule and
+    automatic detections on the ticks (replay gate), with every alert whose tick id is divisible by
     ``repeat_mod`` delivered twice (at-least-once delivery)."""
-    a = build_alerts(unified_detections(ticks))
+    a = build_alerts(unified_detections(ticks, rules))
     dup = F.when(F.col("source_event_id").cast("long") % repeat_mod == 0, F.array(F.lit(0), F.lit(1))) \
            .otherwise(F.array(F.lit(0)))
     return a.withColumn("_copy", F.explode(dup)).drop("_copy")

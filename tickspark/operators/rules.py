@@ -44,7 +44,8 @@ def _py_float_commas(c: Column) -> Column:
     """``f"{x:,}"`` of a non-negative Python float: thousands separators on
     the integer part and the shortest repr of the fraction (``1,234.0``)."""
     integral = c == F.floor(c)
-    frac = F.substring_index(c.cast("string"), ".", -1)
+    # through the shortest decimal text: a plain cast turns to scientific notation from 1e7 on
+    frac = F.rtrim(F.lit("0"), F.substring_index(c.cast("string").cast("decimal(38,17)").cast("string"), ".", -1))
     return F.when(integral, F.format_number(c, 1)).otherwise(
         F.concat(F.format_number(F.floor(c), 0), F.lit("."), frac))
 
@@ -171,7 +172,8 @@ def _pointer_fold(big: DataFrame, payload: list[str], c_us: int) -> DataFrame:
         x = jump.withColumnRenamed("b", "m")
         y = jump.withColumnRenamed("a", "m").withColumnRenamed("b", "b2")
         jump = x.join(y, isl + ["m"]).select(*isl, "a", F.col("b2").alias("b")).checkpoint()
-    fired = nodes.join(reach.withColumnRenamed("n", "_nid"), isl + ["_nid"], "left_semi")
+    # a hit delivered twice fires once: its copy lies inside the cooldown
+    fired = nodes.join(reach.withColumnRenamed("n", "_nid"), isl + ["_nid"], "left_semi").dropDuplicates(isl + ["_nid"])
     return fired.select(*payload)
 
 
@@ -191,4 +193,5 @@ def current_rules(rule_log: DataFrame) -> DataFrame:
     return (latest.filter(F.col("last.op") != "delete")
             .select("id", "last.symbol", "last.rule_type", "last.threshold",
                     F.coalesce(F.col("last.window_sec"), F.lit(60)).alias("window_sec"),
-                    F.col("last.ts").alias("created_at")))
+                    F.col("last.ts").alias("created_at"))
+            .orderBy(F.desc("created_at"), F.desc("id")))

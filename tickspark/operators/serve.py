@@ -100,8 +100,7 @@ def recent_alerts(alerts: DataFrame, symbol: str | None = None, limit: int = 50)
 
 def first_symbols(ticks: DataFrame, n: int) -> DataFrame:
     """First ``n`` symbols of the sorted universe (distinct symbols only)."""
-    syms = ticks.select("symbol").distinct()
-    return syms.withColumn("_r", F.row_number().over(Window.orderBy("symbol"))).filter(F.col("_r") <= n).drop("_r")
+    return ticks.select("symbol").distinct().orderBy("symbol").limit(n)
 
 
 def heatmap_long(candles_df: DataFrame, alerts: DataFrame, universe: DataFrame, limit: int = 20) -> DataFrame:
@@ -232,11 +231,10 @@ def health_latest(beats: DataFrame) -> DataFrame:
     key = epoch_micros("last_heartbeat")
     g = beats.groupBy("service_name").agg(
         F.max("last_heartbeat").alias("last_heartbeat"),
-        F.max_by(F.col("status") == "running", key).alias("_running"),
+        F.max_by("status", key).alias("status"),
         F.max_by("mps", key).alias("mps"), F.max_by("total_processed", key).alias("total_processed"))
     return g.select("service_name", "last_heartbeat",
-                    F.when(F.col("_running"), F.lit("running")).otherwise(F.lit("idle")).alias("status"),
-                    "mps", "total_processed",
+                    "status", "mps", "total_processed",
                     F.to_json(F.struct("mps", "total_processed")).alias("metrics")).orderBy("service_name")
 
 

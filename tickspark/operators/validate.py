@@ -55,10 +55,18 @@ def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def candle_reasons() -> Column:
     o, h, l, c = F.col("open"), F.col("high"), F.col("low"), F.col("close")
+
+    def off(col: Column, bad: Column) -> Column:
+        return col.isNull() | bad
+
     return _reasons([
-        ("open", o <= 0), ("high", h <= 0), ("low", l <= 0), ("close", c <= 0), ("vwap", F.col("vwap") <= 0),
-        ("volume", F.col("volume") < 0), ("trade_count", F.col("trade_count") < 0),
-        ("window_sec", F.col("window_sec") <= 0),
+        ("symbol", _blank(F.col("symbol"))),
+        ("open", off(o, o <= 0)), ("high", off(h, h <= 0)), ("low", off(l, l <= 0)), ("close", off(c, c <= 0)),
+        ("vwap", off(F.col("vwap"), F.col("vwap") <= 0)),
+        ("volume", off(F.col("volume"), F.col("volume") < 0)),
+        ("trade_count", off(F.col("trade_count"), F.col("trade_count") < 0)),
+        ("window_sec", off(F.col("window_sec"), F.col("window_sec") <= 0)),
+        ("time", F.col("time").isNull() | F.col("window_end").isNull()),
         ("low_gt_high", l > h),
         ("open_range", (o < l) | (o > h)),
         ("close_range", (c < l) | (c > h)),

@@ -16,6 +16,7 @@ from tickspark.operators import alerts as alerts_op
 from tickspark.operators import candles as candles_op
 from tickspark.operators import detect, indicators, route, rules, serve, validate
 from tickspark.plans import oracle
+from tickspark.schemas import HEATMAP_SYMBOL_COUNT
 from tickspark.session import ensure_checkpoint_dir
 from tickspark.sources import codec, fixtures as fx, sinks
 
@@ -39,11 +40,11 @@ def _as_of():
 
 
 def _alerts(spark, d):
-    return alerts_op.alerts_table(fx.ticks(spark, d))
+    return alerts_op.alerts_table(fx.ticks(spark, d), fx.rules(spark, d))
 
 
 def _alerts_once(spark, d):
-    return alerts_op.build_alerts(alerts_op.unified_detections(fx.ticks(spark, d)))
+    return alerts_op.build_alerts(alerts_op.unified_detections(fx.ticks(spark, d), fx.rules(spark, d)))
 
 
 def _candles_multi(spark, d):
@@ -52,7 +53,7 @@ def _candles_multi(spark, d):
 
 def _series(spark, d):
     t = fx.ticks(spark, d)
-    return serve.loaded_series(candles_op.candles(t, 60), alerts_op.alerts_table(t), limit=300)
+    return serve.loaded_series(candles_op.candles(t, 60), alerts_op.alerts_table(t, fx.rules(spark, d)), limit=300)
 
 
 def q_candles(w: int):
@@ -187,7 +188,7 @@ def q_latest_price(spark, d):
 
 def q_candlesticks_alerts(spark, d):
     t = fx.ticks(spark, d)
-    return serve.candlesticks(candles_op.candles(t, 60), alerts_op.alerts_table(t), 60, limit=100)
+    return serve.candlesticks(candles_op.candles(t, 60), alerts_op.alerts_table(t, fx.rules(spark, d)), 60, limit=100)
 
 
 def q_recent_alerts(spark, d):
@@ -200,17 +201,17 @@ def q_recent_alerts_symbol(spark, d):
 
 def q_heatmap_long(spark, d):
     t = fx.ticks(spark, d)
-    return serve.heatmap_long(candles_op.candles(t, 60), alerts_op.alerts_table(t), serve.first_symbols(t, 4), 20)
+    return serve.heatmap_long(candles_op.candles(t, 60), alerts_op.alerts_table(t, fx.rules(spark, d)), serve.first_symbols(t, HEATMAP_SYMBOL_COUNT), 20)
 
 
 def q_heatmap(spark, d):
     t = fx.ticks(spark, d)
-    return serve.heatmap(candles_op.candles(t, 60), alerts_op.alerts_table(t), serve.first_symbols(t, 4), 20)
+    return serve.heatmap(candles_op.candles(t, 60), alerts_op.alerts_table(t, fx.rules(spark, d)), serve.first_symbols(t, HEATMAP_SYMBOL_COUNT), 20)
 
 
 def _deep(spark, d):
     t = fx.ticks(spark, d)
-    return serve.deep_dive(candles_op.candles(t, 300), alerts_op.alerts_table(t))
+    return serve.deep_dive(candles_op.candles(t, 300), alerts_op.alerts_table(t, fx.rules(spark, d)))
 
 
 def q_deep_dive(spark, d):
@@ -322,7 +323,7 @@ def q_health_liveness(spark, d):
 
 
 def q_encode_ticks(spark, d):
-    return codec.encode_events(fx.ticks(spark, d).drop("bid", "ask"))
+    return codec.encode_events(fx.ticks(spark, d))
 
 
 def q_retention(spark, d):

@@ -9,6 +9,8 @@ list_reduce for the EMA). Column names and types match the Spark queries.
 
 from __future__ import annotations
 
+from tickspark.schemas import HEATMAP_SYMBOL_COUNT
+
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
 GATE_NOW = "TIMESTAMP '2024-01-30 00:00:00'"
 FOCUS_SYMBOL = "CLICK"
@@ -129,12 +131,17 @@ MESSAGE = ("CASE WHEN rule_type = 'price_above' THEN '\U0001F6A8 ' || symbol ||
            + _py_commas("CAST(volume AS DOUBLE)") + " || ' is above your threshold of ' || " + _py_commas("threshold")
            + " END")
 
-ALERTS = """alerts_once AS (
-    SELECT sha256(concat_ws('_', symbol, alert_type, event_id)) AS event_id, time, symbol, alert_type, severity,
-           'Threshold breached' AS message, price AS trigger_price, CAST(NULL AS BIGINT) AS trigger_volume,
+ALERTS = f"""all_dets AS (
+    SELECT symbol, time, event_id, price, alert_type, severity, CAST(NULL AS VARCHAR) AS message,
+           std, z_score, upper_band, lower_band, current_volume, rolling_mean_volume FROM dets
+    UNION ALL
+    SELECT symbol, time, event_id, price, 'USER_RULE', 'high', {MESSAGE}, NULL, NULL, NULL, NULL, NULL, NULL FROM fired),
+alerts_once AS (
+    SELECT sha256(concat_ws('_', symbol, alert_type, event_id, message)) AS event_id, time, symbol, alert_type, severity,
+           coalesce(message, 'Threshold breached') AS message, price AS trigger_price, CAST(NULL AS BIGINT) AS trigger_volume,
            CAST(NULL AS DOUBLE) AS zscore, CAST(NULL AS DOUBLE) AS reference_value, CAST(NULL AS INTEGER) AS window_sec,
            event_id AS source_event_id, std, z_score, upper_band, lower_band, current_volume, rolling_mean_volume
-    FROM dets),
+    FROM all_dets),
 alerts AS (SELECT * FROM alerts_once
            UNION ALL SELECT * FROM alerts_once WHERE CAST(source_event_id AS BIGINT) % 7 = 0)"""
 
@@ -164,7 +171,7 @@ def candles_cte(w: int, src: str = "ticks", name: str | None = None) -> str:
 
 def alerts_ctes() -> list[str]:
     return [ticks_cte(), cte("stats", _stats("ticks")),
-            cte("dets", _dets("stats", "source <> 'yfinance-backfill'")), ALERTS]
+            cte("dets", _dets("stats", "source <> 'yfinance-backfill'")), RULES, COOLDOWN, ALERTS]
 
 
 JOINED_DESC = "time DESC, al_time DESC NULLS LAST, anomaly_type DESC NULLS LAST, al_event_id DESC NULLS LAST"
@@ -359,7 +366,7 @@ def queries_sql() -> dict[str, str]:
     q["recent_alerts"] = _with(*alerts_ctes()) + f"{recent} ORDER BY time DESC, event_id DESC LIMIT 50"
     q["recent_alerts_symbol"] = _with(*alerts_ctes()) + \
         f"{recent} WHERE symbol = '{FOCUS_SYMBOL}' ORDER BY time DESC, event_id DESC LIMIT 50"
-    universe = cte("universe", "SELECT symbol FROM (SELECT DISTINCT symbol FROM ticks) ORDER BY symbol LIMIT 4")
+    universe = cte("universe", f"SELECT symbol FROM (SELECT DISTINCT symbol FROM ticks) ORDER BY symbol LIMIT {HEATMAP_SYMBOL_COUNT}")
     q["heatmap_long"] = _with(*serve60, universe,
                               joined_cte(60, 20, "j", "WHERE c.symbol IN (SELECT symbol FROM universe)")) + \
         "SELECT symbol, time, severity FROM j"

@@ -14,14 +14,15 @@ from pyspark.sql import types as T
 from tickspark.schemas import ALERT_WIRE_SCHEMA, TICK_WIRE_SCHEMA
 
 
-def read_stream(spark: SparkSession, topic: str, bootstrap: str, starting: str = "latest") -> DataFrame:
+def read_stream(spark: SparkSession, topic: str, bootstrap: str, starting: str = "latest",
+                fail_on_data_loss: bool = True) -> DataFrame:
     """Kafka source (``starting`` = latest for detector/processor/sink,
     earliest for the alert consumer). Requires the Kafka connector package."""
     return (spark.readStream.format("kafka")
             .option("kafka.bootstrap.servers", bootstrap)
             .option("subscribe", topic)
             .option("startingOffsets", starting)
-            .option("failOnDataLoss", "false")
+            .option("failOnDataLoss", str(fail_on_data_loss).lower())
             .load()
             .select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value")))
 
@@ -92,11 +93,12 @@ def decode_alerts(messages: DataFrame, value_col: str = "value") -> DataFrame:
 
 def encode_events(df: DataFrame, key_col: str = "symbol", time_col: str | None = "time") -> DataFrame:
     """Keyed JSON messages: ``key`` = symbol (per-symbol ordering), ``value``
-    = the row as JSON with the time as epoch seconds (``timestamp``)."""
+    = the row as JSON with the time as epoch seconds (``timestamp``); missing fields are
+    written as null."""
     cols: list[Column] = []
     for c in df.columns:
         if c == time_col:
             cols.append((F.unix_micros(F.col(c).cast("timestamp")) / F.lit(1e6)).alias("timestamp"))
         else:
             cols.append(F.col(c))
-    return df.select(F.col(key_col).cast("string").alias("key"), F.to_json(F.struct(*cols)).alias("value"))
+    return df.select(F.col(key_col).cast("string").alias("key"), F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("value"))

@@ -21,7 +21,6 @@ from tickspark.session import pin_utc
 # Fixed parameters of the fixtures.
 AS_OF = dt.datetime(2024, 1, 31, 0, 0, 0)
 AS_OF_TEXT = "2024-01-31 00:00:00"
-HEATMAP_UNIVERSE = 4  # first four symbols of the sorted universe stand for the heatmap subset
 RULES_EPOCH_US = 1704067200000000  # 2024-01-01 00:00:00 UTC
 DIRTY_MOD = 97
 RULE_TEMPLATES = [

@@ -107,8 +107,9 @@ def latest_bar_ticks(bars: DataFrame, now: Column) -> DataFrame:
 def retain(df: DataFrame, hours: int, as_of: Column, time_col: str = "time") -> DataFrame:
     """Rows younger than ``hours`` at ``as_of`` (a time-range filter that
     prunes day partitions and parquet row groups)."""
-    cutoff_us = epoch_micros(as_of) - F.lit(int(hours) * 3600 * 1_000_000)
-    return df.filter(epoch_micros(time_col) >= cutoff_us)
+    cutoff = as_of - F.make_dt_interval(F.lit(0), F.lit(int(hours)))
+    rows = df.filter(F.col(time_col) >= cutoff)
+    return rows.filter(F.col("date") >= F.to_date(cutoff)) if "date" in df.columns else rows
 
 
 def read_jdbc(spark, url: str, table: str, partition_column: str, lower: int, upper: int,
