@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickspark.llm.common import mix64, stored, text_batches
-from tickspark.llm.word_bpe import WordBpe
+from tickspark.llm.word_bpe import ID, WordBpe, worker_bpe
 
 #: Tokens a record; ids are two bytes, little endian.
 TOKENS = 512
@@ -45,18 +45,18 @@ def feistel(index: np.ndarray, count: int, key: int = KEY) -> np.ndarray:
 
 def _records(path: str, tokens: int, end: int):
     def run(batches):
-        bpe = WordBpe(path)
+        bpe = worker_bpe(path)
         for b in batches:
             doc, part, used, record = [], [], [], []
-            for d, ids in zip(b.column(0).to_pylist(), bpe.encode_all([t or "" for t in b.column(1).to_pylist()]), strict=True):
-                ids.append(end)
-                flat = np.full(-(-len(ids) // tokens) * tokens, end, "<u2")
-                flat[:len(ids)] = ids
+            for d, ids in zip(b.column(0).to_pylist(), bpe.encode_packed([t or "" for t in b.column(1).to_pylist()]), strict=True):
+                n = len(ids) // ID.itemsize + 1
+                flat = np.full(-(-n // tokens) * tokens, end, "<u2")
+                flat[:n - 1] = np.frombuffer(ids, ID)
                 raw = flat.tobytes()
                 for k in range(len(flat) // tokens):
                     doc.append(d)
                     part.append(k)
-                    used.append(min(tokens, len(ids) - k * tokens))
+                    used.append(min(tokens, n - k * tokens))
                     record.append(raw[2 * tokens * k:2 * tokens * (k + 1)])
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(part, pa.int64()),
                                               pa.array(used, pa.int32()), pa.array(record, pa.binary())],

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -45,11 +46,24 @@ LOWER = ({0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2:
 WORD = (rf"'s|'t|'re|'ve|'m|'ll|'d|(?:[^\P{{L}}{NEWER}])+|[^\P{{N}}{NEWER}]"
         rf"|(?:[{NEWER}]|[^{BLANK}\p{{L}}\p{{N}}])+")
 END = "</w>"
-#: Words remembered by one task.
+#: Words, and pieces between blanks, remembered by one task, and the longest of either.
 REMEMBERED = 300_000
+LONGEST = 64
+#: What str.split() takes for blanks and the word pattern does not.
+OTHER_BLANKS = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: Pieces that hold one of these are cut by the general way.
+ODD = ("<|", *OTHER_BLANKS)
+POINTS = frozenset(".,;:!?")
+#: How ids stand in bytes.
+ID = np.dtype("<i4")
 _NONE = np.int32(2**31 - 1)
 
 
+def _rows(ids: np.ndarray) -> list[bytes]:
+    raw, n = ids.astype(ID).tobytes(), ids.shape[1] * ID.itemsize
+    return [raw[k:k + n] for k in range(0, len(raw), n)]
+
+
 def byte_letters() -> list[str]:
     """The printable stand-in of each byte: itself where printable in Latin-1, else the next free code point from 256."""
     own = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -81,7 +95,8 @@ class WordBpe:
         self._upper = regex.compile("[" + "".join(map(chr, LOWER)) + "]")
         self._blank = regex.compile(f"[{BLANK}]+")
         self._cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")")
-        self._known: dict[str, list[int]] = {}
+        self._known: dict[str, bytes] = {}
+        self._pieces: dict[str, bytes] = {}
 
     def __reduce__(self):
         return WordBpe, (self.path,)
@@ -91,21 +106,21 @@ class WordBpe:
         at = np.minimum(np.searchsorted(self._key, want), len(self._key) - 1)
         return np.where(self._key[at] == want, self._rank[at], _NONE)
 
-    def _merge(self, parts: np.ndarray) -> list[list[int]]:
+    def _merge(self, parts: np.ndarray) -> list[bytes]:
         """Words of one length, a row of part ids each."""
-        out: list[list[int] | None] = [None] * len(parts)
+        out: list[bytes] = [b""] * len(parts)
         row = np.arange(len(parts))
         ranks = self._ranks(parts[:, :-1], parts[:, 1:]) if parts.shape[1] > 1 else np.empty((len(parts), 0), np.int32)
         while len(row):
             if not ranks.shape[1]:
-                for i, p in zip(row.tolist(), parts.tolist(), strict=True):
+                for i, p in zip(row.tolist(), _rows(parts), strict=True):
                     out[i] = p
                 break
             at = ranks.argmin(axis=1)
             best = ranks[np.arange(len(row)), at]
             over = best == _NONE
             if over.any():
-                for i, p in zip(row[over].tolist(), parts[over].tolist(), strict=True):
+                for i, p in zip(row[over].tolist(), _rows(parts[over]), strict=True):
                     out[i] = p
                 row, parts, ranks, at, best = row[~over], parts[~over], ranks[~over], at[~over], best[~over]
                 if not len(row):
@@ -150,33 +165,78 @@ class WordBpe:
             out.extend([piece] if piece in self.special else self._plain(piece))
         return out
 
-    def _plain(self, text: str) -> list[str]:
+    def _normal(self, text: str) -> str:
         if not text.isascii():
             nfc = unicodedata.normalize
             text = ("".join(nfc("NFC", p) for p in self._alone.split(text)) if self._alone.search(text) else nfc("NFC", text))
             text = text.replace("Σ", "σ")  # sigma is lowered letter by letter
             if self._upper.search(text):
                 text = text.translate(LOWER)
-        return self._word.findall(self._blank.sub(" ", text).lower())
+        return text.lower()
+
+    def _plain(self, text: str) -> list[str]:
+        return self._word.findall(self._blank.sub(" ", self._normal(text)))
+
+    def _pieces_words(self, pieces: list[str]) -> list[list[str]]:
+        """Words of each piece. Pieces without blanks are normalised together, a line each; letters alone,
+        or with one point or comma behind, need no pattern."""
+        find = self._word.findall
+        lines = pieces
+        joined = "\n".join(pieces)
+        if any(c in joined for c in ODD):
+            lines = ["" if any(c in p for c in ODD) else p for p in pieces]
+            joined = "\n".join(lines)
+        return [self.words(p) if not line and p else [line] if line.isalpha() else
+                [line[:-1], line[-1]] if line[-1:] in POINTS and line[:-1].isalpha() else find(line)
+                for p, line in zip(pieces, self._normal(joined).split("\n"), strict=True)]
 
     def encode_all(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text."""
-        cut = [self.words(t) for t in texts]
+        return [np.frombuffer(x, ID).tolist() for x in self.encode_packed(texts)]
+
+    def encode_packed(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as ID bytes. No word, special token or change of the normaliser reaches over a blank, so
+        texts are cut at blanks first, and pieces seen before are not cut into words again."""
+        cut = [[t] if any(c in t for c in OTHER_BLANKS) else t.split() for t in texts]
+        if len(self._pieces) > REMEMBERED:
+            self._pieces.clear()
+        ids = self._pieces
+        fresh = list(set().union(*cut) - ids.keys())
+        if fresh:
+            ids.update(zip(fresh, self._encode(fresh), strict=True))
+        out = [b"".join(map(ids.__getitem__, c)) for c in cut]
+        for piece in fresh:
+            if len(piece) > LONGEST:
+                del ids[piece]
+        return out
+
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        cut = self._pieces_words(pieces) if pieces else []
         if len(self._known) > REMEMBERED:
             self._known.clear()
-        if not self._known:
-            self._known.update({t: [i] for t, i in self.special.items()})
-        fresh = set().union(*cut) - self._known.keys()
+        known = self._known
+        if not known:
+            known.update({t: np.array([i], ID).tobytes() for t, i in self.special.items()})
+        fresh = set(chain.from_iterable(cut)) - known.keys()
         if fresh:
             self._learn(sorted(fresh))
-        get = self._known.__getitem__
-        return [list(chain.from_iterable(map(get, w))) for w in cut]
+        out = [known[w[0]] if len(w) == 1 else b"".join([known[x] for x in w]) for w in cut]
+        for word in fresh:
+            if len(word) > LONGEST:
+                del known[word]
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The file names no decoder, so tokens are joined by one space each."""
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
+@lru_cache(1)
+def worker_bpe(path: str) -> WordBpe:
+    """The coder of this Python worker: its words are remembered from task to task."""
+    return WordBpe(path)
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Every row's ``keep`` columns (default: all) with ids (array<int>) and decoded (string).
 
@@ -189,15 +249,15 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
     coder = path
 
     def run(batches):
-        bpe = WordBpe(coder)
+        bpe = worker_bpe(coder)
         for b in batches:
-            ids = bpe.encode_all([t or "" for t in b.column(b.num_columns - 1).to_pylist()])
+            ids = bpe.encode_packed([t or "" for t in b.column(b.num_columns - 1).to_pylist()])
             ends = np.zeros(len(ids) + 1, np.int32)
-            np.cumsum([len(x) for x in ids], out=ends[1:])
-            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
+            np.cumsum([len(x) // ID.itemsize for x in ids], out=ends[1:])
+            flat = np.frombuffer(b"".join(ids), ID)
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(i) for i in range(b.num_columns - 1)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
-                 pa.array([bpe.decode(x) for x in ids], pa.string())],
+                 pa.array([bpe.decode(np.frombuffer(x, ID).tolist()) for x in ids], pa.string())],
                 names=[*b.schema.names[:-1], "ids", "decoded"])
 
     types = [rows.schema[i].dataType.simpleString() for i in range(len(keep))]
