@@ -177,7 +177,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
     members = (dealt.join(texts, dealt.b == texts.doc)
                .select(F.col("a").alias("pivot"), "salt", F.lit(1).alias("own"), "doc", "text"))
-    heads = dealt.select("a", "salt").distinct()
+    heads = cut(dealt.select("a", "salt").distinct())
     heads = (heads.join(texts, heads.a == texts.doc)
              .select(F.col("a").alias("pivot"), "salt", F.lit(0).alias("own"), "doc", "text"))
     return (heads.unionByName(members).repartition("pivot", "salt")
@@ -246,7 +246,7 @@ def finish(rest: DataFrame, texts: DataFrame) -> DataFrame:
     group = components(rest.join(low, "bucket").select("a", F.col("doc").alias("b")))
     group = group.select(F.col("id").alias("doc"), F.col("label").alias("group"))
     parts = group.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    docs = (rest.select("doc", "class").distinct().join(group, "doc").join(parts, "group")
+    docs = cut(rest.select("doc", "class").distinct().join(group, "doc").join(parts, "group")
             .withColumn("block", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
             .select("doc", "class", "group", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block"))
@@ -277,13 +277,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     bags = signed.select("doc", "bands", "marks").join(heads, signed["doc"] == heads["head"], "left_semi").dropDuplicates(["doc"])
     bags = cut(bags)
     entries = bags.select("doc", F.explode("bands").alias("bucket"))
-    many = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # narrow tables are written before they meet wide ones: their size is known then, and where they are small
+    # enough to be broadcast the wide side is not shuffled
+    many = cut(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     entries = cut(entries.join(many, "bucket").select("bucket", "doc", "n"))
     # a document that meets many others lies in the middle of its group: it is the better pivot
     hubs = entries.groupBy("doc").agg(F.sum("n").alias("hub"))
     entries = cut(entries.join(hubs, "doc").select("bucket", "doc", "hub"))
-    ids = entries.select("doc").distinct()
-    texts = narrow.join(ids, "doc", "left_semi").dropDuplicates(["doc"]).join(bags.select("doc", "marks"), "doc")
+    ids = cut(entries.select("doc").distinct())
+    marks = bags.select("doc", "marks").join(ids, "doc", "left_semi")
+    texts = narrow.join(ids, "doc", "left_semi").dropDuplicates(["doc"]).join(marks, "doc")
     texts = stored(texts)
 
     links = spark.createDataFrame([], "a long, b long, similarity double")
@@ -302,8 +305,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             first = (rest.withColumn("_r", F.row_number().over(
                 Window.partitionBy("bucket").orderBy(F.desc("hub"), F.xxhash64("doc"), "doc"))).where(F.col("_r") <= pivots)
                 .select("bucket", F.col("doc").alias("a"), F.col("class").alias("_ca")))
-            pairs = (rest.join(first, "bucket").where("class <> _ca")
-                     .select("a", F.col("doc").alias("b")).distinct())
+            pairs = cut(rest.join(first, "bucket").where("class <> _ca")
+                        .select("a", F.col("doc").alias("b")).distinct())
             found = cut(verify(pairs, texts.drop("marks")))
             # a pivot has met all of its bucket
             rest = (rest.join(first, (rest.bucket == first.bucket) & (rest.doc == first.a), "left_anti")
