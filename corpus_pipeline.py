@@ -12,12 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickspark.llm import bagminhash, entropy_mix, substring_dedup, word_bpe, zstd_quality
-from tickspark.llm.common import read, stored
+from tickspark.llm.common import cut, read, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOKENIZER = "word_bpe_49k.json"
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """A stage's rows with a number of their own each, written once: every later read finds the same one."""
+    return stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_key")))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier accepts, learnt from the labels of documents still here."""
     model = zstd_quality.fit(docs, read(spark, sf_dir, "labels"))
@@ -25,10 +30,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each near-duplicate class, once; rows without an id stay."""
-    heads = bagminhash.near_duplicates(docs).where("doc_id = class_id").select("doc_id")
-    kept = docs.where("doc_id is not null").join(heads, "doc_id", "left_semi").select(COLUMNS).dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null").select(COLUMNS))
+    """The row of smallest id of each near-duplicate class (of equal ids, that of smallest text hash); rows
+    without an id stay. Rows are compared one by one, so texts that share an id may both stay; rows equal
+    in id and text are in one class and give one row."""
+    rows = keyed(docs)
+    known = rows.where("doc_id is not null")
+    classes = bagminhash.near_duplicates(known, doc_id="_key").select(F.col("doc_id").alias("_key"), "class_id")
+    heads = (known.select("_key", "doc_id", F.xxhash64("text").alias("_hash")).join(classes, "_key")
+             .groupBy("class_id").agg(F.min(F.struct("doc_id", "_hash", "_key")).alias("_first")).select("_first._key"))
+    return known.join(cut(heads), "_key", "left_semi").unionByName(rows.where("doc_id is null")).select(COLUMNS)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,13 +50,12 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it (0 to 3); documents without words do not count
-    and stay out."""
-    copies = entropy_mix.mix(docs).where("copies > 0").select("doc_id", "size", "copies").distinct()
-    sized = docs.withColumn("size", entropy_mix.word_count("text"))
-    same = sized.doc_id.eqNullSafe(copies.doc_id) & (sized["size"] == copies["size"])
-    taken = sized.join(copies, same).select(*[sized[c] for c in COLUMNS], copies.copies)
-    return taken.select(*COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy")).select(COLUMNS)
+    """Each row as many times as the mix takes it (0 to 3); documents without words do not count and
+    stay out."""
+    rows = keyed(docs)
+    copies = cut(entropy_mix.mix(rows, keep=["_key"]).where("copies > 0").select("_key", "copies"))
+    return (rows.join(copies, "_key")
+            .select(*COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy")).select(COLUMNS))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,3 +70,21 @@ def test_odd_rows_pass_every_stage(spark):
         for _, stage in corpus_pipeline.STAGES:
             docs = stored(stage(spark, docs, MID))
         docs.count()
+
+
+def test_texts_that_share_an_id_are_compared_and_kept_by_row(spark):
+    a, b, c, d = (" ".join(f"{w}{i}" for i in range(60)) for w in "abcd")
+    # 2 has a copy of 1 and a text of its own; 3 has two texts of its own, one of them twice; 4 has the same text twice
+    docs = [(1, a), (2, a), (2, b), (3, c), (3, c), (3, d), (4, a + " x y"), (4, a + " x y"), (None, a)]
+    got = corpus_pipeline.near_dedup(spark, table(spark, docs), MID).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, a), (2, b), (3, c), (3, d), (None, a)], key=str)
+
+
+def test_mix_takes_each_row_its_own_copies(spark):
+    docs = [(None, f"{s} " + "w " * 9, s) for s in ("s0", "s1", "s2") for _ in range(1 if s == "s0" else 12)]
+    docs += [(7, f"{k} " + "v " * 9, "s0") for k in range(2)]
+    rows = corpus_pipeline.mix(spark, table(spark, docs), MID).collect()
+    want = {r.source: r.n for r in entropy_mix.mix(table(spark, docs), keep=["source"]).groupBy("source")
+            .agg({"copies": "sum"}).withColumnRenamed("sum(copies)", "n").collect()}
+    assert {s: sum(r.source == s for r in rows) for s in want} == want
+    assert sum(r.source == "s0" and r.doc_id is None for r in rows) <= 3

@@ -87,16 +87,20 @@ def duals(hist: DataFrame, goals: DataFrame) -> DataFrame:
     return state.select("sid", "target", "source_size", "mean", "full", F.round("lam", 9).alias("lam"))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+        keep: list[str] | None = None) -> DataFrame:
     """One row a document: doc_id, size (its words), source_size, target (its source's), rate, copies
-    (0 to 3), taken (copies * size).
+    (0 to 3), taken (copies * size); ``keep`` names further columns carried along.
 
     Null and empty texts have size 0 and rate 0, copies 0. A null source is one source, last in the
     order. Rows with equal ids and sizes get equal copies; a null id is hashed as such. Tables
     without words have all targets 0. Other columns play no role.
     """
     text_batches(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"))
+    keep = keep or []
+    names = [f"c{i}" for i in range(len(keep))]
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"),
+                       *[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)])
     rows = cut(rows)
     hist0 = rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     hist0 = cut(hist0)
@@ -116,7 +120,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     unit = float(1 << 32)
     rows = (rows.withColumn("_u", F.shiftrightunsigned(F.xxhash64(F.lit("mix"), "doc_id", "size"), 32))
             .withColumn("_q", F.round(F.col("rate") * unit).cast("long")))
-    rows = cut(rows.select("doc_id", "sid", "size", "source_size", "target", "rate", "_u", "_q",
+    rows = cut(rows.select("doc_id", "sid", "size", "source_size", "target", "rate", "_u", "_q", *names,
                            F.monotonically_increasing_id().alias("_row")))
     units = (rows.where("size > 0")
              .select("sid", "size", "_q", "_u", F.explode(F.array(*[F.lit(c) for c in range(1, MAX_COPIES + 1)])).alias("c"))
@@ -148,7 +152,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     change = few.join(gap, "sid").groupBy("sid").applyInPandas(_close, "_row long, _more long")
     out = rows.join(change, "_row", "left").withColumn("copies", F.col("copies") + F.coalesce("_more", F.lit(0)))
     return out.select("doc_id", "size", "source_size", "target", "rate", "copies",
-                      (F.col("copies") * F.col("size")).alias("taken"))
+                      (F.col("copies") * F.col("size")).alias("taken"),
+                      *[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)])
 
 
 def _close(few: pd.DataFrame) -> pd.DataFrame:
