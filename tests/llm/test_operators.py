@@ -352,6 +352,22 @@ def test_repeats_odd_rows(spark):
     assert substring_dedup.remove_repeats(table(spark, []).limit(0)).count() == 0
 
 
+def test_two_texts_of_one_id_are_two_documents(spark):
+    """Spans found in one text of an id are not cut from the other, whatever their lengths."""
+    def w(c, n):
+        return " ".join(f"{c}{i}" for i in range(n))
+    pairs = [(1, w("a", 40)), (2, w("b", 60) + " " + w("a", 40)), (2, w("c", 25)), (2, w("d", 120)), (2, w("d", 120)),
+             (3, w("d", 30)), (3, w("e", 30))]
+    got = substring_dedup.remove_repeats(table(spark, pairs)).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got) == [
+        (1, 40, 0), (2, 25, 0), (2, 100, 40), (2, 120, 0), (2, 120, 0), (3, 30, 0), (3, 30, 30)]
+    same = F.xxhash64("t")
+    ends = {r.t: r.h for r in spark.createDataFrame([(w("f", 30) + " x",), (w("f", 30) + " y z",)], "t string").select("t", same.alias("h")).collect()}
+    first, second = sorted(ends, key=ends.get)
+    got = {r.kept_text: r.n_removed for r in substring_dedup.remove_repeats(table(spark, [(5, first), (5, second)])).collect()}
+    assert got[first] == 0 and sorted(got.values()) == [0, 30]
+
+
 def test_repeats_match_sql(spark, texts):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")

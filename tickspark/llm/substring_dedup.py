@@ -6,8 +6,8 @@ Consecutive windows that pick the same edge form one compacted path (a segment o
 Through the shuffle on the edge, segments of equal content meet: where an edge carries one content
 only the path does not branch and the segment is decided as a whole; where it branches, one
 occurrence of each content is cut into its windows and those are decided one by one. Source
-coordinates (doc_id, start) say which occurrence is the first; an equality needs two independent
-64-bit hashes to agree.
+coordinates (doc_id, text hash, start) say which occurrence is the first; an equality needs two
+independent 64-bit hashes to agree.
 
 Hot passages: each task collapses the equal segments it holds to their first one and emits the
 others as decided, under a spread key, so a key reaches the shuffle once a task at most.
@@ -31,7 +31,7 @@ STEP = WINDOW - KMER + 1  # k-mers in a window: sixteen, a power of two for the
 FLUSH_ROWS = 500_000
 
 _POS = 30  # bits of a position: Spark strings hold less than 2^30 words
-_SEGMENT = "key long, check long, doc long, start long, span int, decided boolean"
+_SEGMENT = "key long, check long, doc long, twin long, start long, span int, decided boolean"
 
 
 def _hashes(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,26 +66,26 @@ def _segments(words: np.ndarray):
     return km[edge[first]], content, first, span
 
 
-def _collapse(key, check, doc, start, span) -> pa.RecordBatch:
+def _collapse(key, check, doc, twin, start, span) -> pa.RecordBatch:
     """First occurrence of each (key, check) as undecided; the others decided, under a spread key."""
-    order = np.lexsort((start, doc, check, key))
-    key, check, doc, start, span = key[order], check[order], doc[order], start[order], span[order]
+    order = np.lexsort((start, twin, doc, check, key))
+    key, check, doc, twin, start, span = (x[order] for x in (key, check, doc, twin, start, span))
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (check[1:] != check[:-1])
     first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-    again = (doc != doc[first]) | (start != start[first])
+    again = (doc != doc[first]) | (twin != twin[first]) | (start != start[first])
     use = new | again  # a repeated row meets itself at the same place: that is one occurrence
-    key, check, doc, start, span, again = key[use], check[use], doc[use], start[use], span[use], again[use]
-    spread = mix64(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + start.astype(np.uint64))
+    key, check, doc, twin, start, span, again = (x[use] for x in (key, check, doc, twin, start, span, again))
+    spread = mix64(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + twin.astype(np.uint64) + start.astype(np.uint64))
     key = np.where(again, spread, key)
     return pa.RecordBatch.from_arrays(
-        [pa.array(as_long(key)), pa.array(as_long(check)), pa.array(doc), pa.array(start.astype(np.int64)),
+        [pa.array(as_long(key)), pa.array(as_long(check)), pa.array(doc), pa.array(twin), pa.array(start.astype(np.int64)),
          pa.array(span.astype(np.int32)), pa.array(again)],
-        names=["key", "check", "doc", "start", "span", "decided"])
+        names=["key", "check", "doc", "twin", "start", "span", "decided"])
 
 
 def _gathered(parts):
-    """Collapse what a task makes every FLUSH_ROWS rows. parts: tuples (key, check, doc, start, span)."""
+    """Collapse what a task makes every FLUSH_ROWS rows. parts: tuples (key, check, doc, twin, start, span)."""
     held, rows = [], 0
     for part in parts:
         held.append(part)
@@ -102,49 +102,52 @@ def _paths(batches):
 
     def parts():
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc, twin, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 words = text.encode().split()
                 if len(words) >= WINDOW:
                     key, content, first, span = _segments(seen.array(words))
-                    yield key, content, np.full(len(key), doc, np.int64), first, span
+                    n = len(key)
+                    yield key, content, np.full(n, doc, np.int64), np.full(n, twin, np.int64), first, span
 
     yield from _gathered(parts())
 
 
 def _windows(batches):
-    """Every window of the listed segments: (one window hash, the other, doc, start)."""
+    """Every window of the listed segments: (one window hash, the other, doc, twin, start)."""
     seen = WordHashes()
 
     def parts():
         for b in batches:
-            for doc, text, spans in zip(*(b.column(c).to_pylist() for c in ("doc", "_text", "_spans")), strict=True):
+            for doc, twin, text, spans in zip(*(b.column(c).to_pylist() for c in ("doc", "twin", "_text", "_spans")), strict=True):
                 words = seen.array(text.encode().split())
                 _, one, two = _hashes(words)
                 at = np.concatenate([np.arange(s["start"], s["start"] + s["span"]) for s in spans])
-                yield one[at], two[at], np.full(len(at), doc, np.int64), at, np.ones(len(at), np.int64)
+                n = len(at)
+                yield one[at], two[at], np.full(n, doc, np.int64), np.full(n, twin, np.int64), at, np.ones(n, np.int64)
 
     yield from _gathered(parts())
 
 
 def _judged(rows: DataFrame) -> DataFrame:
     """Brings equal keys together and marks what is not the first occurrence of its content."""
-    same = Window.partitionBy("key", "check").orderBy("doc", "start")
+    same = Window.partitionBy("key", "check").orderBy("doc", "twin", "start")
     return (rows.repartition("key")
             .withColumn("later", F.col("decided") | (F.rank().over(same) > 1)))
 
 
 def _spans(texts: DataFrame, moved: DataFrame) -> DataFrame:
-    """(doc, start, words): word spans covered by a window whose sequence also starts earlier. Spans of
-    a document may touch or overlap. texts: (doc, _text); moved: rows with both, dealt by doc."""
+    """(doc, twin, start, words): word spans covered by a window whose sequence also starts earlier. Spans
+    of a document may touch or overlap. texts: (doc, twin, _text); moved: rows with all three, dealt by
+    doc and twin."""
     edge = Window.partitionBy("key")
     paths = (_judged(texts.mapInArrow(_paths, _SEGMENT))
              .withColumn("branches", F.min("check").over(edge) != F.max("check").over(edge))
-             .where("later or branches").select("doc", "start", "span", "later"))
+             .where("later or branches").select("doc", "twin", "start", "span", "later"))
     paths = cut(paths)
-    whole = paths.where("later").select("doc", "start", (F.col("span") + (WINDOW - 1)).alias("words"))
-    open_ = paths.where("not later").groupBy("doc").agg(F.collect_list(F.struct("start", "span")).alias("_spans"))
-    single = (_judged(moved.join(open_, "doc").mapInArrow(_windows, _SEGMENT))
-              .where("later").select("doc", "start", F.lit(WINDOW).alias("words")))
+    whole = paths.where("later").select("doc", "twin", "start", (F.col("span") + (WINDOW - 1)).alias("words"))
+    open_ = paths.where("not later").groupBy("doc", "twin").agg(F.collect_list(F.struct("start", "span")).alias("_spans"))
+    single = (_judged(moved.join(open_, ["doc", "twin"]).mapInArrow(_windows, _SEGMENT))
+              .where("later").select("doc", "twin", "start", F.lit(WINDOW).alias("words")))
     return whole.unionByName(single)
 
 
@@ -180,19 +183,20 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     space); ``keep`` names the columns carried along (default: the id).
 
     Null and empty texts have no words. Texts under 20 words lose nothing. Rows with a null id take
-    no part and lose nothing. Rows that repeat an id and its text are one document: they lose the
-    same words. Other columns, whatever their names, play no role.
+    no part and lose nothing. A document is an id with a text (told by its 64-bit hash): rows that repeat
+    both are one document and lose the same words; different texts of one id are documents of their own,
+    ordered by that hash. Other columns, whatever their names, play no role.
     """
     text_batches(docs.sparkSession)
     keep = keep or [doc_id]
     names = [f"c{i}" for i in range(len(keep))]
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("_text"),
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("twin"), F.col(text).alias("_text"),
                        *[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)])
     known = rows.where("doc is not null")
-    moved = known.repartition("doc")  # one exchange of the texts serves the windows and the result
-    spans = (_spans(known.where("_text is not null").select("doc", "_text"), moved).groupBy("doc")
+    moved = known.repartition("doc", "twin")  # one exchange of the texts serves the windows and the result
+    spans = (_spans(known.where("_text is not null").select("doc", "twin", "_text"), moved).groupBy("doc", "twin")
              .agg(F.collect_list(F.struct("start", "words")).alias("_spans")))
-    joined = moved.join(spans, "doc", "left")
+    joined = moved.join(spans, ["doc", "twin"], "left")
     nothing = F.lit(None).cast(joined.schema["_spans"].dataType)
     joined = joined.unionByName(rows.where("doc is null").withColumn("_spans", nothing)).select(*names, "_text", "_spans")
     types = {f.name: f.dataType.simpleString() for f in joined.schema.fields}
