@@ -352,6 +352,20 @@ def test_repeats_odd_rows(spark):
     assert substring_dedup.remove_repeats(table(spark, []).limit(0)).count() == 0
 
 
+def test_segments_are_told_apart_by_either_window_hash(monkeypatch):
+    """One window hash that calls all windows equal does not make different segments one."""
+    seen = WordHashes()
+    runs = [seen.array([b"%d" % i for i in range(k, k + 400)]) for k in (0, 1000)]
+    hashes = substring_dedup._hashes
+    for blind in (1, 2):
+        def half(words, blind=blind):
+            return tuple(np.zeros_like(x) if i == blind else x for i, x in enumerate(hashes(words)))
+        monkeypatch.setattr(substring_dedup, "_hashes", half)
+        keys = [set(zip(content.tolist(), second.tolist())) for _, content, second, _, _ in map(substring_dedup._segments, runs)]
+        _, content, second, first, span = substring_dedup._segments(runs[0])
+        assert not keys[0] & keys[1] and len(keys[0]) == len(first) and (span <= 16).all()
+
+
 def test_two_texts_of_one_id_are_two_documents(spark):
     """Spans found in one text of an id are not cut from the other, whatever their lengths."""
     def w(c, n):

@@ -7,7 +7,7 @@ Through the shuffle on the edge, segments of equal content meet: where an edge c
 only the path does not branch and the segment is decided as a whole; where it branches, one
 occurrence of each content is cut into its windows and those are decided one by one. Source
 coordinates (doc_id, text hash, start) say which occurrence is the first; an equality needs two
-independent 64-bit hashes to agree.
+independent 64-bit hashes to agree, each over all words of the window or segment.
 
 Hot passages: each task collapses the equal segments it holds to their first one and emits the
 others as decided, under a spread key, so a key reaches the shuffle once a task at most.
@@ -31,7 +31,7 @@ STEP = WINDOW - KMER + 1  # k-mers in a window: sixteen, a power of two for the
 FLUSH_ROWS = 500_000
 
 _POS = 30  # bits of a position: Spark strings hold less than 2^30 words
-_SEGMENT = "key long, check long, doc long, twin long, start long, span int, decided boolean"
+_SEGMENT = "key long, check long, also long, doc long, twin long, start long, span int, decided boolean"
 
 
 def _hashes(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -49,7 +49,9 @@ def _hashes(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _segments(words: np.ndarray):
-    """Compacted paths of one document: (edge hash, content hash, first window, windows)."""
+    """Compacted paths of one document: (edge hash, content hash, a second content hash, first window,
+    windows). A segment is its first and its last window, which meet or overlap: each content hash is made
+    of one of the two window hashes at both."""
     km, one, two = _hashes(words)
     n = len(one)
     at = (km >> np.uint64(_POS) << np.uint64(_POS)) | np.arange(len(km), dtype=np.uint64)
@@ -61,40 +63,54 @@ def _segments(words: np.ndarray):
     first = np.flatnonzero(np.concatenate(([True], edge[1:] != edge[:-1])))
     span = np.diff(np.append(first, n))
     last = first + span - 1
-    content = mix64(one[first] * np.uint64(0xD1342543DE82EF95) + two[last] + span.astype(np.uint64)
-                    + np.uint64(3) * (first - edge[first]).astype(np.uint64))
-    return km[edge[first]], content, first, span
-
-
-def _collapse(key, check, doc, twin, start, span) -> pa.RecordBatch:
-    """First occurrence of each (key, check) as undecided; the others decided, under a spread key."""
-    order = np.lexsort((start, twin, doc, check, key))
-    key, check, doc, twin, start, span = (x[order] for x in (key, check, doc, twin, start, span))
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (check[1:] != check[:-1])
-    first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-    again = (doc != doc[first]) | (twin != twin[first]) | (start != start[first])
+    place = span.astype(np.uint64) + np.uint64(32) * (edge[first] - first).astype(np.uint64)
+    content = mix64(mix64(one[first] + place) * np.uint64(0xD1342543DE82EF95) + one[last])
+    second = mix64(mix64(two[first] + place) * np.uint64(0xA24BAED4963EE407) + two[last])
+    return km[edge[first]], content, second, first, span
+
+
+def _collapse(key, check, also, doc, twin, start, span) -> pa.RecordBatch:
+    """First occurrence of each (key, check, also) as undecided; the others decided, under a spread key."""
+    order = np.lexsort((start, twin, doc, also, check, key))
+    new = np.zeros(len(order), bool)
+    new[0] = True
+    for x in (key, check, also):
+        x = x[order]
+        new[1:] |= x[1:] != x[:-1]
+    first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    again = (doc[order] != doc[first]) | (twin[order] != twin[first]) | (start[order] != start[first])
     use = new | again  # a repeated row meets itself at the same place: that is one occurrence
-    key, check, doc, twin, start, span, again = (x[use] for x in (key, check, doc, twin, start, span, again))
+    order, again = order[use], again[use]
+    del new, first, use
+    doc, twin, start = doc[order], twin[order], start[order]
     spread = mix64(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + twin.astype(np.uint64) + start.astype(np.uint64))
-    key = np.where(again, spread, key)
+    key = np.where(again, spread, key[order])
     return pa.RecordBatch.from_arrays(
-        [pa.array(as_long(key)), pa.array(as_long(check)), pa.array(doc), pa.array(twin), pa.array(start.astype(np.int64)),
-         pa.array(span.astype(np.int32)), pa.array(again)],
-        names=["key", "check", "doc", "twin", "start", "span", "decided"])
+        [pa.array(as_long(key)), pa.array(as_long(check[order])), pa.array(as_long(also[order])), pa.array(doc), pa.array(twin),
+         pa.array(start.astype(np.int64)), pa.array(span[order].astype(np.int32)), pa.array(again)],
+        names=["key", "check", "also", "doc", "twin", "start", "span", "decided"])
 
 
 def _gathered(parts):
-    """Collapse what a task makes every FLUSH_ROWS rows. parts: tuples (key, check, doc, twin, start, span)."""
+    """Collapse what a task makes every FLUSH_ROWS rows. parts: tuples (doc, twin, key, check, also, start,
+    span), the first two numbers and the rest arrays; held narrow, the numbers spread at the end."""
+    def flush():
+        doc, twin, *cols = zip(*held, strict=True)
+        held.clear()
+        n = [len(x) for x in cols[0]]
+        key, check, also, start, span = map(np.concatenate, cols)
+        del cols
+        return _collapse(key, check, also, np.repeat(np.array(doc, np.int64), n), np.repeat(np.array(twin, np.int64), n), start, span)
+
     held, rows = [], 0
-    for part in parts:
-        held.append(part)
-        rows += len(part[0])
+    for doc, twin, key, check, also, start, span in parts:
+        held.append((doc, twin, key, check, also, start.astype(np.int32), span.astype(np.int8)))
+        rows += len(key)
         if rows >= FLUSH_ROWS:
-            yield _collapse(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            held, rows = [], 0
+            yield flush()
+            rows = 0
     if rows:
-        yield _collapse(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield flush()
 
 
 def _paths(batches):
@@ -105,15 +121,13 @@ def _paths(batches):
             for doc, twin, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 words = text.encode().split()
                 if len(words) >= WINDOW:
-                    key, content, first, span = _segments(seen.array(words))
-                    n = len(key)
-                    yield key, content, np.full(n, doc, np.int64), np.full(n, twin, np.int64), first, span
+                    yield doc, twin, *_segments(seen.array(words))
 
     yield from _gathered(parts())
 
 
 def _windows(batches):
-    """Every window of the listed segments: (one window hash, the other, doc, twin, start)."""
+    """Every window of the listed segments: (doc, twin, one window hash, the other, nothing more, start, 1)."""
     seen = WordHashes()
 
     def parts():
@@ -122,15 +136,14 @@ def _windows(batches):
                 words = seen.array(text.encode().split())
                 _, one, two = _hashes(words)
                 at = np.concatenate([np.arange(s["start"], s["start"] + s["span"]) for s in spans])
-                n = len(at)
-                yield one[at], two[at], np.full(n, doc, np.int64), np.full(n, twin, np.int64), at, np.ones(n, np.int64)
+                yield doc, twin, one[at], two[at], np.zeros(len(at), np.uint64), at, np.ones(len(at), np.int8)
 
     yield from _gathered(parts())
 
 
 def _judged(rows: DataFrame) -> DataFrame:
     """Brings equal keys together and marks what is not the first occurrence of its content."""
-    same = Window.partitionBy("key", "check").orderBy("doc", "twin", "start")
+    same = Window.partitionBy("key", "check", "also").orderBy("doc", "twin", "start")
     return (rows.repartition("key")
             .withColumn("later", F.col("decided") | (F.rank().over(same) > 1)))
 
@@ -141,7 +154,8 @@ def _spans(texts: DataFrame, moved: DataFrame) -> DataFrame:
     doc and twin."""
     edge = Window.partitionBy("key")
     paths = (_judged(texts.mapInArrow(_paths, _SEGMENT))
-             .withColumn("branches", F.min("check").over(edge) != F.max("check").over(edge))
+             .withColumn("branches", (F.min("check").over(edge) != F.max("check").over(edge))
+                         | (F.min("also").over(edge) != F.max("also").over(edge)))
              .where("later or branches").select("doc", "twin", "start", "span", "later"))
     paths = cut(paths)
     whole = paths.where("later").select("doc", "twin", "start", (F.col("span") + (WINDOW - 1)).alias("words"))
