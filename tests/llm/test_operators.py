@@ -222,6 +222,19 @@ def test_shards_odd_rows(spark):
     assert got.groupby("shard").size().tolist() == [5] * 8
 
 
+def test_shard_files_hold_every_row(spark, tmp_path):
+    """Null ids and repeated ids, with equal and with different texts, are all written, at gapless slots."""
+    pairs = [*ODD, *[(None, f"null {i}") for i in range(9)], *[(11, f"t{i % 4}") for i in range(20)]]
+    docs = table(spark, [(*p, "src0")[:3] for p in pairs]).select("doc_id", "text")
+    shard_shuffle.write_shards(shard_shuffle.shuffle_into_shards(docs, ["doc_id", "text"]), str(tmp_path / "s"))
+    back = spark.read.parquet(str(tmp_path / "s")).toPandas()
+    want = Counter((r.doc_id, r.text) for r in docs.collect())
+    assert Counter((None if pd.isna(i) else int(i), t) for i, t in zip(back.doc_id, back.text, strict=True)) == want
+    sizes = back.groupby("shard").size()
+    assert len(sizes) == 8 and sizes.max() - sizes.min() <= 1
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in back.groupby("shard"))
+
+
 # 5 ---------------------------------------------------------------------------------------------
 
 def test_quality_on_held_out_rows(spark):

@@ -92,8 +92,8 @@ def shuffle_into_shards(rows: DataFrame, identity: list[str], shards: int = SHAR
             .drop("_before", "_i", "_block", "_one", "_two"))
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str, doc_id: str = "doc_id") -> None:
-    """Whole documents as one folder a shard, in slot order inside each file."""
-    (docs.join(placed.select(F.col("doc_id").alias(doc_id), "shard", "slot").dropDuplicates([doc_id]), doc_id)
-     .repartition("shard", F.floor(F.col("slot") / BLOCK_ROWS)).sortWithinPartitions("shard", "slot")
+def write_shards(placed: DataFrame, path: str) -> None:
+    """The rows of ``shuffle_into_shards``, whatever columns they carry, as one folder a shard, in slot
+    order inside each file. Every row is written at its own place; no identity is looked up."""
+    (placed.repartition("shard", F.floor(F.col("slot") / BLOCK_ROWS)).sortWithinPartitions("shard", "slot")
      .write.partitionBy("shard").parquet(path))
