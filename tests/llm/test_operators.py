@@ -184,6 +184,15 @@ def test_mix_meets_targets(spark):
     assert again.sort_values("doc_id").copies.tolist() == rows.sort_values("doc_id").copies.tolist()
 
 
+def test_mix_fills_what_one_long_document_leaves(spark):
+    """A document that does not fit at the threshold leaves a gap for many small ones, more than CLOSING."""
+    docs = [(i, "w " * 5, f"s{i % 3}") for i in range(9000)] + [(10**6 + i, "w " * 40_000, f"s{i}") for i in range(3)]
+    rows = entropy_mix.mix(table(spark, docs), keep=["source"]).toPandas()
+    for s, g in rows.groupby("source"):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= 5, s
+    assert rows.copies.between(0, 3).all()
+
+
 def test_mix_odd_rows(spark):
     rows = entropy_mix.mix(table(spark, ODD)).toPandas()
     assert len(rows) == len(ODD) and (rows.taken <= 3 * rows["size"]).all()

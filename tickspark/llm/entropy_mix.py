@@ -5,13 +5,16 @@ source's target: min(3, exp(lambda * size / mean size)), lambda being the source
 Newton steps on the convex dual run for all sources at once; each is one aggregation over the
 (source, size) histogram joined with the sources' current lambda. Rates are then rounded into
 whole copies: copy c of a document is taken when c - rate - u < tau, u a hash of the id in [0, 1),
-and tau, near 0, is solved for each source by three rounds of integer histograms, so that its words
-meet the target to within one document. A few documents a source then gain or lose copies, large
-ones first, to close what is left. All counting is in integers or rounded duals: reruns agree.
+and tau, near 0, is solved for each source by three rounds of integer histograms. The copy that does not
+fit there is passed over and the search goes on behind it among those no larger than what is left, until
+none fits: the words then miss the target by less than the smallest document with copies to give. A few
+documents a source then gain copies to close what is left. All counting is in integers or rounded duals: reruns agree.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -125,27 +128,30 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     units = (rows.where("size > 0")
              .select("sid", "size", "_q", "_u", F.explode(F.array(*[F.lit(c) for c in range(1, MAX_COPIES + 1)])).alias("c"))
              .select("sid", "size", (F.col("c") * int(unit) - F.col("_q") - F.col("_u") + 4 * int(unit)).alias("key")))
-    # keys lie in [0, 8 * 2^32): three rounds of 12, 12 and 11 bits find the threshold of each source
-    state = dual.select("sid", F.round("target").cast("long").alias("left"), F.lit(0).cast("long").alias("base"))
-    for shift in (23, 11, 0):
-        bins = (units.join(state.select("sid", "base"), "sid")
-                .where((F.col("key") >= F.col("base")) & (F.col("key") < F.col("base") + (1 << (shift + _BINS))))
-                .groupBy("sid", F.shiftright(F.col("key") - F.col("base"), shift).alias("bin")).agg(F.sum("size").alias("w")))
-        run = bins.withColumn("cum", F.sum("w").over(Window.partitionBy("sid").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
-        # the last bin that still fits whole; the next one is searched more finely
-        fit = (run.join(state.select("sid", "left"), "sid").where(F.col("cum") <= F.col("left"))
-               .groupBy("sid").agg(F.max("bin").alias("bin"), F.max("cum").alias("cum")))
-        nxt = (run.join(state.select("sid", "left"), "sid").where(F.col("cum") > F.col("left"))
-               .groupBy("sid").agg(F.min("bin").alias("nbin")))
-        state = cut(state.join(fit, "sid", "left").join(nxt, "sid", "left").select(
-            "sid", (F.col("left") - F.coalesce("cum", F.lit(0))).alias("left"),
-            (F.col("base") + F.when(F.col("nbin").isNull(), F.lit(1 << (shift + _BINS)))
-             .otherwise(F.col("nbin") * (1 << shift))).alias("base")))
-    tau = state.select("sid", (F.col("base") - 4 * int(unit)).alias("_tau"))
-    taken = sum(F.when(F.lit(c * int(unit)) - F.col("_q") - F.col("_u") < F.col("_tau"), 1).otherwise(0)
+    state = cut(dual.select("sid", F.round("target").cast("long").alias("left"), F.lit(0).cast("long").alias("floor"),
+                            F.lit(None).cast("long").alias("cap")))
+    steps = []
+    while True:
+        step = _fit(units, state)
+        if step is None:
+            break
+        steps.append(step.select("sid", "floor", "base", "cap"))
+        # what did not fit is passed over; behind it only copies no larger than what is left can fit
+        state = step.where("left > 0 and not last").select("sid", "left", (F.col("base") + 1).alias("floor"), F.col("left").alias("cap"))
+    if steps:
+        steps = reduce(DataFrame.unionByName, steps).groupBy("sid").agg(F.collect_list(F.struct("floor", "base", "cap")).alias("_steps"))
+        rows = rows.join(steps, "sid", "left")
+    else:
+        rows = rows.withColumn("_steps", F.lit(None).cast("array<struct<floor:bigint,base:bigint,cap:bigint>>"))
+
+    def takes(key: F.Column) -> F.Column:
+        return F.coalesce(F.exists("_steps", lambda s: (key >= s["floor"]) & (key < s["base"])
+                                   & (s["cap"].isNull() | (F.col("size") <= s["cap"]))), F.lit(False))
+
+    taken = sum(F.when(takes(F.lit((c + 4) * int(unit)) - F.col("_q") - F.col("_u")), 1).otherwise(0)
                 for c in range(1, MAX_COPIES + 1))
-    rows = rows.join(tau, "sid").withColumn("copies", F.when(F.col("size") == 0, 0).otherwise(taken).cast("long"))
-    rows = cut(rows.drop("_tau", "_q"))
+    rows = rows.withColumn("copies", F.when(F.col("size") == 0, 0).otherwise(taken).cast("long"))
+    rows = cut(rows.drop("_steps", "_q"))
     gap = rows.groupBy("sid").agg((F.round(F.max("target")).cast("long") - F.sum(F.col("copies") * F.col("size"))).alias("gap"))
     few = (rows.where("size > 0").withColumn("_k", F.row_number().over(Window.partitionBy("sid").orderBy("_u", "doc_id", "size")))
            .where(F.col("_k") <= CLOSING).select("sid", "_row", "size", "copies", "_k"))
@@ -156,6 +162,36 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
                       *[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)])
 
 
+def _fit(units: DataFrame, state: DataFrame) -> DataFrame | None:
+    """For each source of ``state`` (sid, left, floor, cap) that still has units (sid, size, key) with keys
+    from floor on and sizes up to cap (any if null): sid, left (less the words of those below base), floor,
+    base (the first key that does not fit), cap, last (all fit). None where no source has any.
+
+    Keys lie in [0, 2^35): three rounds of 12, 12 and 11 bits find the base."""
+    now = state.withColumn("base", F.col("floor")).withColumn("last", F.lit(False))
+    for shift in (23, 11, 0):
+        bins = (units.join(F.broadcast(now.where("not last").select("sid", "base", "cap")), "sid")
+                .where((F.col("key") >= F.col("base")) & (F.col("key") < F.col("base") + (1 << (shift + _BINS)))
+                       & (F.col("cap").isNull() | (F.col("size") <= F.col("cap"))))
+                .groupBy("sid", F.shiftright(F.col("key") - F.col("base"), shift).alias("bin")).agg(F.sum("size").alias("w")))
+        run = bins.withColumn("cum", F.sum("w").over(Window.partitionBy("sid").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
+        # the last bin that still fits whole; the next one is searched more finely
+        found = (run.join(now.select("sid", "left"), "sid").groupBy("sid")
+                 .agg(F.max(F.when(F.col("cum") <= F.col("left"), F.col("cum"))).alias("cum"),
+                      F.min(F.when(F.col("cum") > F.col("left"), F.col("bin"))).alias("nbin")))
+        # a source without units left drops out in the first round; in later ones only those that fit wholly have none
+        now = now.join(found.withColumn("_some", F.lit(True)), "sid", "inner" if shift == 23 else "left")
+        end = F.col("nbin").isNull() & F.col("_some")
+        now = cut(now.select("sid", (F.col("left") - F.coalesce("cum", F.lit(0))).alias("left"), "floor", "cap",
+                             F.when(F.col("_some").isNull(), F.col("base"))
+                             .when(end, F.col("base") + (1 << (shift + _BINS)))
+                             .otherwise(F.col("base") + F.col("nbin") * (1 << shift)).alias("base"),
+                             (F.col("last") | F.coalesce(end, F.lit(False))).alias("last")))
+        if shift == 23 and now.isEmpty():
+            return None
+    return now
+
+
 def _close(few: pd.DataFrame) -> pd.DataFrame:
     """Copies that a source's CLOSING documents gain or lose, the largest first; the last step may
     overshoot where that is nearer."""
