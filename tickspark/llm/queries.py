@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickspark.llm import (bagminhash, entropy_mix, license_scan, order_minhash, rp_forest, shard_shuffle, substring_dedup,
-                           training_order, word_bpe, zstd_quality)
-from tickspark.llm.common import read
+from tickspark.llm import (bagminhash, entropy_mix, license_scan, order_minhash, periodic_runs, rp_forest, shard_shuffle,
+                           substring_dedup, training_order, variants, warc, word_bpe, zstd_quality)
+from tickspark.llm.common import RAW_WORDS, read
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -66,9 +66,49 @@ def op10_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.folder(spark)
+    warc.write_archives(read(spark, sf_dir, "pages"), path)
+    back = warc.read_records(spark, path)
+    return back.select(warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                       F.when(F.col("record_type") == "revisit", warc.page_of("refers_to")).alias("refers_to"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``docs`` with the repetition that the op12 query asks for in the tenth of texts whose id's crc32 ends in 0
+    (rows without an id have none)."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    rows = docs.withColumn("_g", F.when(h % 10 == 0, F.floor(h / 10)))
+    rows = rows.withColumn("_w", F.when(F.col("_g").isNotNull(), F.regexp_extract_all("text", F.lit(RAW_WORDS), F.lit(0))))
+    n = F.nullif(F.size("_w"), F.lit(0))
+    rows = rows.withColumn("_a", (F.col("_g") % n).cast("int"))
+    rows = rows.withColumn("_p", (F.lit(1) + F.floor((n - F.col("_a")) / (F.lit(3) + F.col("_g") % 8))).cast("int"))
+    planted = F.array_join(F.concat(F.slice("_w", 1, F.col("_a")), F.transform(
+        F.sequence(F.lit(0), n - F.col("_a") - 1), lambda i: F.get("_w", F.col("_a") + i % F.col("_p")))), " ")
+    return rows.withColumn("text", F.when(F.col("_a").isNotNull(), planted).otherwise(F.col("text"))).drop("_g", "_w", "_a", "_p")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_planted_runs(read(spark, sf_dir, "documents")))
+    best = periodic_runs.longest(F.col("runs"))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"),
+                                                                            r["period"].cast("string")), F.lit("\n"))), "")
+    return found.withColumn("_best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "_best.start", "_best.length", "_best.period",
+        F.floor(F.lit(1000) * F.col("_best.length") / F.col("_best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"))
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = variants.runs(read(spark, sf_dir, "documents"))
+    words = variants.word_counts(runs.select(variants.misspelt(runs).alias("word")))
+    return variants.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (op1_near_duplicates, op2_nearest_vectors, op3_mix_sources, op4_shards, op5_quality,
-                                    op6_fingerprints, op7_substring_dedup, op8_training_order, op9_licenses, op10_word_bpe)}
+                                    op6_fingerprints, op7_substring_dedup, op8_training_order, op9_licenses, op10_word_bpe,
+                                    op11_warc, op12_periodic_runs, op13_variants)}
 
 
 OP7_SQL = r"""
