@@ -134,33 +134,40 @@ def py_fold(times, c):
     return out
 
 
-@pytest.mark.parametrize("max_fold", [4096, 1])
-def test_cooldown_boundaries(spark, max_fold):
+def hit_df(spark, rows):
+    """rows: (rule key, seconds after T0, rule id, event id)."""
+    return spark.createDataFrame(
+        [(e, k, T0 + dt.timedelta(seconds=s), "x", 1.0, 1, r, "price_above", 0.0, 60, k, 1.0) for k, s, r, e in rows],
+        "event_id string, symbol string, time timestamp, source string, price double, volume int, rule_id long, rule_type string, "
+        "threshold double, window_sec int, rule_key string, value double")
+
+
+CHUNKINGS = [{}, {"chunk_seconds": 100}, {"chunk_seconds": 3600}, {"target_rows": 3}]
+
+
+@pytest.mark.parametrize("chunks", CHUNKINGS)
+def test_cooldown_boundaries(spark, chunks):
     # 0 fires; 300 exactly is suppressed; 300.000001 is not (relative to 0);
     # suppressed hits do not extend the cooldown
     secs = [0, 100, 200, 300, 300.000001, 500, 601, 1000]
     t = tick_df(spark, [(s, "A", 200.0, 1, "x", f"{i}") for i, s in enumerate(secs)])
     r = rule_df(spark, [(1, "A", "price_above", 100.0, 60)])
-    fired = sorted((f.time - T0).total_seconds()
-                   for f in rules.cooldown(rules.rule_matches(t, r), max_fold=max_fold).collect())
+    fired = sorted((f.time - T0).total_seconds() for f in rules.cooldown(rules.rule_matches(t, r), **chunks).collect())
     assert fired == py_fold(secs, 300) == [0, 300.000001, 601, 1000]
 
 
-@pytest.mark.parametrize("max_fold,cool", [(4096, 300), (2, 300), (2, 7200)])
-def test_cooldown_island_fold_equals_sequential(spark, max_fold, cool):
-    """Island fold and the pointer-doubling path (max_fold=2 sends every
-    island of 3+ hits through it) equal the plain sequential fold."""
+@pytest.mark.parametrize("cool,chunks", [(300, {}), (300, {"chunk_seconds": 3600}), (7200, {"chunk_seconds": 3600}),
+                                         (7200, {"target_rows": 20})])
+def test_cooldown_by_composition_equals_sequential(spark, cool, chunks):
     from tickspark.sources import fixtures as fx
     d = "/root/testdata/sf0.001"
     t, r = fx.ticks(spark, d), fx.rules(spark, d)
     m = rules.rule_matches(t, r)
-    got = sorted((x.rule_key, x.time, x.rule_id)
-                 for x in rules.cooldown(m, cool, chunk_seconds=3600, max_fold=max_fold).collect())
-    hits = sorted((x.rule_key, x.time, x.rule_id, x.event_id) for x in m.collect())
+    got = sorted((x.rule_key, x.time, x.rule_id) for x in rules.cooldown(m, cool, **chunks).collect())
     exp = []
     by_key = {}
-    for k, tm, rid, eid in hits:
-        by_key.setdefault(k, []).append((tm, rid, eid))
+    for x in m.collect():
+        by_key.setdefault(x.rule_key, []).append((x.time, x.rule_id, x.event_id))
     for k, lst in by_key.items():
         last = None
         for tm, rid, eid in sorted(lst):
@@ -170,6 +177,39 @@ def test_cooldown_island_fold_equals_sequential(spark, max_fold, cool):
     assert got == sorted(exp)
 
 
+@pytest.mark.parametrize("chunks", CHUNKINGS[1:])
+def test_cooldown_of_a_long_island_repeats_and_gaps(spark, chunks):
+    """10,000 hits with gaps below the cooldown in one key, every hit delivered twice, beside keys with gaps of
+    days; the first (rule id, event id) of a time fires."""
+    import random
+    rng = random.Random(4)
+    rows, want = [], []
+    for k, n, gap in (("hot", 10_000 if "target_rows" not in chunks else 400, 290), ("gaps", 60, 90_000), ("one", 1, 1)):
+        at, last = 0.0, None
+        for i in range(n):
+            at += rng.uniform(0.5, gap)
+            at = round(at, 3)
+            rows += [(k, at, 2, f"{i}b"), (k, at, 2, f"{i}a"), (k, at, 2, f"{i}a"), (k, at, 3, f"{i}0")]
+            if last is None or at - last > 300:
+                want.append((k, at, 2, f"{i}a"))
+                last = at
+    got = [(x.rule_key, round((x.time - T0).total_seconds(), 3), x.rule_id, x.event_id)
+           for x in rules.cooldown(hit_df(spark, rows), **chunks).collect()]
+    assert sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("chunks", CHUNKINGS)
+def test_cooldown_carries_earlier_fires(spark, chunks):
+    rows = [("a", s, 1, str(s)) for s in (0, 100, 250, 500, 800)] + [("b", s, 1, str(s)) for s in (10, 400)] + [("c", 5, 1, "5")]
+    carried = spark.createDataFrame([("a", T0 - dt.timedelta(seconds=100)), ("c", T0), ("unseen", T0)], "rule_key string, last_fired timestamp")
+    got = {(x.rule_key, int((x.time - T0).total_seconds())) for x in rules.cooldown(hit_df(spark, rows), carried=carried, **chunks).collect()}
+    assert got == {("a", 250), ("a", 800), ("b", 10), ("b", 400)}
+
+
+def test_cooldown_without_hits(spark):
+    assert rules.cooldown(hit_df(spark, []), chunk_seconds=60).count() == 0
+
+
 def test_current_rules_tombstones(spark):
     log = spark.createDataFrame([
         ("add", 1, "A", "price_above", 10.0, None, T0, 1),
@@ -218,18 +258,30 @@ def test_ema_series_matches_reference_formula(spark):
     assert all(abs(a - b) < 1e-9 for a, b in zip(got, exp))
 
 
-def test_ema_rolling_equals_exact_fold(spark):
-    n = 900
-    closes = [100 + ((i * 37) % 23) - 11 + i * 0.01 for i in range(n)]
-    df = spark.createDataFrame([("A", T0 + dt.timedelta(minutes=i), c) for i, c in enumerate(closes)],
+@pytest.mark.parametrize("chunk,block,period", [(3600 * 3, 4096, 20), (600, 4, 20), (None, 7, 20), (3600, 50, 2), (3600, 50, 1)])
+def test_ema_rolling_equals_exact_fold(spark, monkeypatch, chunk, block, period):
+    """Every row, from chunk to chunk and block to block; keys shorter than the seed hold it."""
+    monkeypatch.setattr(indicators, "BLOCK_ROWS", block)
+    series = {"A": [100 + ((i * 37) % 23) - 11 + i * 0.01 for i in range(900)], "B": [5.0, 7.0, 9.0], "C": [1e-3 * i * i for i in range(45)]}
+    df = spark.createDataFrame([(k, T0 + dt.timedelta(minutes=i), c) for k, closes in series.items() for i, c in enumerate(closes)],
                                "symbol string, time timestamp, close double")
-    got = [r.ema for r in indicators.ema_rolling(df, ["symbol"], chunk_seconds=3600 * 3).orderBy("pos").collect()]
-    mult = 2 / 21
-    ema = sum(closes[:20]) / 20
-    for i, c in enumerate(closes):
-        if i >= 20:
-            ema = (c - ema) * mult + ema
-        assert abs(got[i] - ema) <= 1e-9 * abs(ema), i
+    rows = indicators.ema_rolling(df, ["symbol"], chunk_seconds=chunk, period=period, target_rows=100).collect()
+    got = {(r.symbol, r.pos): r.ema for r in rows}
+    assert len(rows) == sum(map(len, series.values()))
+    for k, closes in series.items():
+        ema = sum(closes[:period]) / min(period, len(closes))
+        for i, c in enumerate(closes):
+            if i >= period:
+                ema = (c - ema) * 2 / (period + 1) + ema
+            assert abs(got[k, i] - ema) <= 1e-9 * abs(ema) + 1e-12, (k, i)
+
+
+def test_moving_averages_in_short_chunks_equal_whole_keys(spark):
+    from tickspark.sources import fixtures as fx
+    c = C.candles(fx.ticks(spark, "/root/testdata/sf0.001"), 60)
+    one = {(r.symbol, r.time, r.ma_type): r.ma_value for r in indicators.moving_averages(c).collect()}
+    many = {(r.symbol, r.time, r.ma_type): r.ma_value for r in indicators.moving_averages(c, chunk_seconds=7200).collect()}
+    assert one.keys() == many.keys() and all(abs(one[k] - many[k]) < 1e-9 * abs(one[k]) for k in one)
 
 
 def test_market_open_new_york(spark):

@@ -8,19 +8,18 @@ the key's global order. The window then runs per (key, chunk) and the halo
 rows are dropped afterwards. The result is identical to the single-partition
 window.
 
-Finding the halo needs only small side tables:
+The rows are shuffled once, by (key, chunk), and everything else is cut from that shuffle (the
+plan reuses its exchange, so the input is read once):
 
-* per (key, chunk) row counts -> start offset of each chunk (prefix sum over
-  the few chunks of a key);
-* per (key, chunk) the last ``n`` rows (top-n per group; Spark plans a
-  partial ``WindowGroupLimit`` before the shuffle, so only n rows per chunk
-  and map task move);
+* the last ``n`` rows of each chunk, with the chunk's row count beside them;
+* from those, one row per chunk: its start offset (prefix sum over the chunks of a key);
 * the positions ``[offset - n, offset)`` each chunk needs, equi-joined to the
   tail rows on (key, position). A halo row may come from several earlier
   chunks when chunks are sparse; it always lies in the last n rows of its own
   chunk, so tails suffice.
 
-The big side is shuffled exactly once, by (key, chunk).
+Halo rows are laid out by (key, chunk) too, so the union of rows and halo keeps that partitioning
+and the windows need no further shuffle.
 """
 
 from __future__ import annotations
@@ -31,7 +30,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickspark.functions.timefn import epoch_micros
-from tickspark.plans.joins import broadcast_if_small
 from tickspark.session import ensure_checkpoint_dir
 
 CHUNK_COL = "_chunk"
@@ -39,7 +37,6 @@ OWN_COL = "_own"
 DEFAULT_CHUNK_SECONDS = None  # adaptive per key
 TARGET_CHUNK_ROWS = 2_000_000
 MAX_BROADCAST_KEYS = 1_000_000
-MAX_BROADCAST_CHUNKS = 2_000_000
 CHUNK_LADDER = [60, 300, 900, 3600, 4 * 3600, 86400, 7 * 86400, 28 * 86400]
 WHOLE_KEY_SECONDS = 1 << 40  # a chunk longer than any data span: the key is one chunk
 
@@ -67,32 +64,30 @@ def adaptive_chunk_seconds(df: DataFrame, keys: Sequence[str], time_col: str,
 
 
 def with_chunk(df: DataFrame, keys: list[str], time_col: str, chunk_seconds: int | None = DEFAULT_CHUNK_SECONDS,
-               target_rows: int = TARGET_CHUNK_ROWS) -> DataFrame:
+               target_rows: int = TARGET_CHUNK_ROWS, keep_length: bool = False) -> DataFrame:
     """Add ``_chunk``: fixed-length time chunks, or per-key lengths when
-    ``chunk_seconds`` is None (``adaptive_chunk_seconds``)."""
-    return _chunking(df, keys, time_col, chunk_seconds, target_rows)[0]
+    ``chunk_seconds`` is None (``adaptive_chunk_seconds``). ``keep_length`` keeps the length
+    of the row's chunks (``_chunk_sec``, seconds)."""
+    out = _chunking(df, keys, time_col, chunk_seconds, target_rows)[0]
+    return out if keep_length else out.drop("_chunk_sec")
 
 
 def _chunking(df: DataFrame, keys: list[str], time_col: str, chunk_seconds: int | None,
               target_rows: int) -> tuple[DataFrame, bool]:
-    """(rows with ``_chunk``, True when every key is a single chunk)."""
+    """(rows with ``_chunk`` and ``_chunk_sec``, True when every key is a single chunk)."""
+    whole = False
     if chunk_seconds is not None:
-        return df.withColumn(CHUNK_COL, F.floor(epoch_micros(time_col) / F.lit(int(chunk_seconds) * 1_000_000))
-                             .cast("long")), False
-    # one row per key: materialised once (every branch of a halo plan reads
-    # it); one tiny aggregate over the materialised table gives its row count
-    # (broadcast check) and whether any key needs more than one chunk
-    ensure_checkpoint_dir(df.sparkSession)
-    per_key = adaptive_chunk_seconds(df, keys, time_col, target_rows).checkpoint()
-    n_keys, shortest = per_key.agg(F.count(F.lit(1)), F.min("_chunk_sec")).first()
-    if n_keys <= MAX_BROADCAST_KEYS:
-        per_key = F.broadcast(per_key)
-    whole = shortest is None or shortest >= WHOLE_KEY_SECONDS
-    base = (df.join(per_key, keys)
-            .withColumn(CHUNK_COL, F.floor(epoch_micros(time_col) / (F.col("_chunk_sec") * F.lit(1_000_000)))
-                        .cast("long"))
-            .drop("_chunk_sec"))
-    return base, whole
+        base = df.withColumn("_chunk_sec", F.lit(int(chunk_seconds)).cast("long"))
+    else:
+        # one row per key: materialised once; one tiny aggregate over the materialised table gives its
+        # row count (broadcast check) and whether any key needs more than one chunk
+        ensure_checkpoint_dir(df.sparkSession)
+        per_key = adaptive_chunk_seconds(df, keys, time_col, target_rows).checkpoint()
+        n_keys, shortest = per_key.agg(F.count(F.lit(1)), F.min("_chunk_sec")).first()
+        whole = shortest is None or shortest >= WHOLE_KEY_SECONDS
+        base = df.join(F.broadcast(per_key) if n_keys <= MAX_BROADCAST_KEYS else per_key, keys)
+    return base.withColumn(CHUNK_COL, F.floor(epoch_micros(time_col) / (F.col("_chunk_sec") * F.lit(1_000_000)))
+                           .cast("long")), whole
 
 
 def _order_cols(order: Sequence[str], descending: bool = False) -> list[Column]:
@@ -114,47 +109,39 @@ def with_halo(df: DataFrame, keys: Sequence[str], order: Sequence[str], time_col
     keys = list(keys)
     order = list(order)
     base, whole = _chunking(df, keys, time_col, chunk_seconds, target_rows)
+    base = base.drop("_chunk_sec")
     part = keys + [CHUNK_COL]
-    own = base.withColumn(OWN_COL, F.lit(True))
     if whole:
         # every key is one chunk: no row precedes a chunk, nothing to copy
+        own = base.withColumn(OWN_COL, F.lit(True))
         return own.withColumn("_off", F.lit(0).cast("long")) if with_offsets else own
     if n_prev <= 0 and not with_offsets:
-        return own
-
-    counts = base.groupBy(*part).agg(F.count(F.lit(1)).alias("_cnt"))
-    by_key = Window.partitionBy(*keys).orderBy(CHUNK_COL)
-    # one row per (key, chunk), read by up to three branches: materialise once
-    ensure_checkpoint_dir(df.sparkSession)
-    offsets = counts.withColumn(
-        "_off", F.coalesce(F.sum("_cnt").over(by_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).checkpoint()
-
+        return base.withColumn(OWN_COL, F.lit(True))
+
+    laid = base.repartition(*part)
+    own = laid.withColumn(OWN_COL, F.lit(True))
+    # every column stays in the tails, so that they read the very exchange the rows come from
+    tails = (laid.withColumn("_rd", F.row_number().over(Window.partitionBy(*part).orderBy(*_order_cols(order, descending=True))))
+             .withColumn("_cnt", F.count(F.lit(1)).over(Window.partitionBy(*part)))
+             .filter(F.col("_rd") <= max(n_prev, 1)))
+    before = Window.partitionBy(*keys).orderBy(CHUNK_COL).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = tails.filter("_rd = 1").select(*part, "_cnt").withColumn(
+        "_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0).cast("long")))
     if with_offsets:
-        # materialised, so the row-count check is cheap; the broadcast keeps
-        # every row from being shuffled just to attach its chunk offset
-        own = own.join(broadcast_if_small(offsets.select(*part, "_off"), MAX_BROADCAST_CHUNKS), part)
+        own = own.join(offsets.select(*part, "_off"), part)
     if n_prev <= 0:
         return own
 
-    tail_w = Window.partitionBy(*part).orderBy(*_order_cols(order, descending=True))
-    tails = (base.withColumn("_rd", F.row_number().over(tail_w))
-             .filter(F.col("_rd") <= n_prev)
-             .join(offsets, part)
-             .withColumn("_pos", F.col("_off") + F.col("_cnt") - F.col("_rd"))
-             .drop("_rd", "_off", "_cnt", CHUNK_COL))
-
+    placed = (tails.drop("_cnt").join(offsets, part)
+              .withColumn("_pos", F.col("_off") + F.col("_cnt") - F.col("_rd")).drop("_rd", "_off", "_cnt", CHUNK_COL))
     needs = (offsets.filter(F.col("_off") > 0)
              .select(*keys, F.col(CHUNK_COL),
                      F.explode(F.sequence(F.greatest(F.col("_off") - n_prev, F.lit(0)).cast("long"),
                                           (F.col("_off") - 1).cast("long"))).alias("_pos")))
-
-    halo = (tails.join(needs, keys + ["_pos"])
-            .drop("_pos")
-            .withColumn(OWN_COL, F.lit(False)))
+    halo = placed.join(needs, keys + ["_pos"]).drop("_pos").withColumn(OWN_COL, F.lit(False))
     if with_offsets:
         halo = halo.withColumn("_off", F.lit(None).cast("long"))
-    return own.unionByName(halo.select(*own.columns))
+    return own.unionByName(halo.select(*own.columns).repartition(*part))
 
 
 def halo_window(keys: Sequence[str], order: Sequence[str]) -> Window:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickspark.functions.timefn import epoch_micros
 from tickspark.functions.values import fmt_money
-from tickspark.operators.rolling import CHUNK_COL, DEFAULT_CHUNK_SECONDS, with_chunk
+from tickspark.operators.pointers import follow
+from tickspark.operators.rolling import CHUNK_COL, DEFAULT_CHUNK_SECONDS, TARGET_CHUNK_ROWS, with_chunk
 from tickspark.plans.joins import broadcast_if_small
 from tickspark.schemas import RULE_COOLDOWN_SECONDS, USER_RULE
 from tickspark.session import ensure_checkpoint_dir
@@ -66,115 +69,110 @@ def rule_messages(matches: DataFrame) -> DataFrame:
                   .withColumn("message", msg)
 
 
-MAX_ISLAND_FOLD = 4096
+SPAN = "rule_key string, _chunk long, _len long, entry long, exit long"
+
+
+def _chain_ends(t: np.ndarray, cooldown_us: int) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted distinct hit times: the index of the next hit that may fire after each (n: none), and the
+    last hit that fires in a chain begun at each, by doubling."""
+    n = len(t)
+    after = np.searchsorted(t, t + cooldown_us, side="right")
+    jump, last = after.copy(), np.arange(n)
+    while True:
+        on = np.flatnonzero(jump < n)
+        if not len(on):
+            return after, last
+        # both sides are read before either is written: last covers one step less than jump
+        last[on], jump[on] = last[jump[on]], jump[jump[on]]
+
+
+def _spans_fn(cooldown_us: int):
+    """Per (rule key, chunk): the hits at which the chunk's first fire can be, whatever was carried in (those
+    within a cooldown of its first hit, and the one after), and the last fire each leads to."""
+    def spans(group: pa.Table) -> pa.Table:
+        t = np.sort(group.column("_t").to_numpy())
+        _, last = _chain_ends(t, cooldown_us)
+        m = min(len(t), int(np.searchsorted(t, t[0] + cooldown_us, side="left")) + 1)
+        head = group.select(["rule_key", "_chunk", "_len"]).slice(0, 1).take(pa.array(np.zeros(m, np.int64)))
+        return head.append_column("entry", pa.array(t[:m])).append_column("exit", pa.array(t[last[:m]]))
+    return spans
+
+
+def _fires_fn(cooldown_us: int):
+    """Per (rule key, chunk): the hits that fire, from the known first one on."""
+    def fires(group: pa.Table) -> pa.Table:
+        t = np.sort(group.column("_t").to_numpy())
+        after, _ = _chain_ends(t, cooldown_us)
+        at, chain = int(np.searchsorted(t, group.column("entry")[0].as_py())), []
+        while at < len(t):  # one step a fire, not a hit
+            chain.append(at)
+            at = int(after[at])
+        head = group.select(["rule_key"]).slice(0, 1).take(pa.array(np.zeros(len(chain), np.int64)))
+        return head.append_column("_t", pa.array(t[chain]))
+    return fires
 
 
 def cooldown(matches: DataFrame, cooldown_seconds: int = RULE_COOLDOWN_SECONDS,
-             chunk_seconds: int | None = DEFAULT_CHUNK_SECONDS, max_fold: int = MAX_ISLAND_FOLD) -> DataFrame:
+             chunk_seconds: int | None = DEFAULT_CHUNK_SECONDS, target_rows: int = TARGET_CHUNK_ROWS,
+             carried: DataFrame | None = None) -> DataFrame:
     """Keep the rule hits that fire: per ``rule_key`` a hit fires when more
     than ``cooldown_seconds`` passed since the last *fired* hit; suppressed
-    hits do not extend the cooldown.
-
-    Hits are split into islands wherever the gap to the previous hit exceeds
-    the cooldown; an island's first hit always fires, so islands are
-    independent. Island boundaries come from a lag within (key, time-chunk)
-    partitions; the first hit of a chunk takes the last hit time of the
-    earlier chunks from a small per-chunk table. Islands of at most ``max_fold`` hits are folded
-    sequentially in one task (``aggregate`` over the sorted hits, JVM side);
-    larger islands go through ``_pointer_fold`` (exact, distributed), so no
-    task ever holds more than ``max_fold`` hits of one island.
+    hits do not extend the cooldown. Of hits at one time the smallest (rule_id, event_id) counts, so
+    a hit delivered twice fires once. ``carried`` (rule_key, last_fired) are fires before these hits.
+
+    Hits are cut into (rule key, time chunk) groups of bounded size. A chunk maps the last fire carried
+    into it to the last fire at its end; the map has a row for each hit that can fire first (those
+    within one cooldown of the chunk's first hit). The maps are composed over the chunks of a key by
+    doubling pointers from each row's exit to the next chunk's entry; the rows reached are
+    the true first fires, and one pass per chunk follows the chain from there. No task holds
+    more than the times of one chunk, and a key of one chunk needs no composition round.
     """
     c_us = int(cooldown_seconds) * 1_000_000
-    keys, order = ["rule_key"], ["time", "rule_id", "event_id"]
-    base = with_chunk(matches.withColumn("_t", epoch_micros("time")), keys, "time", chunk_seconds)
-    by_chunk = Window.partitionBy(*keys).orderBy(CHUNK_COL).rowsBetween(Window.unboundedPreceding, -1)
-    before = (base.groupBy(*keys, CHUNK_COL).agg(F.max("_t").alias("_mx"))
-              .withColumn("_prev_chunk", F.max("_mx").over(by_chunk)).drop("_mx"))
-    h = (base.withColumn("_prev_local", F.lag("_t").over(Window.partitionBy(*keys, CHUNK_COL).orderBy(*order)))
-         .join(before, keys + [CHUNK_COL])
-         .withColumn("_prev", F.coalesce("_prev_local", "_prev_chunk")).drop("_prev_local", "_prev_chunk"))
-    h = h.withColumn("_start", F.col("_prev").isNull() | ((F.col("_t") - F.col("_prev")) > F.lit(c_us)))
-    # island head = latest start at or before the row; earlier chunks carry in
-    in_chunk = Window.partitionBy(*keys, CHUNK_COL).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    h = h.withColumn("_head_local", F.max(F.when(F.col("_start"), F.col("_t"))).over(in_chunk))
-    carry = (h.groupBy(*keys, CHUNK_COL).agg(F.max(F.when(F.col("_start"), F.col("_t"))).alias("_m"))
-             .withColumn("_carry", F.max("_m").over(by_chunk))
-             .select(*keys, CHUNK_COL, "_carry"))
-    h = (h.join(carry, keys + [CHUNK_COL], "left").withColumn("_head", F.coalesce("_head_local", "_carry"))
-         .drop("_head_local", "_carry", "_prev", "_start", CHUNK_COL))
-    sizes = h.groupBy(*keys, "_head").agg(F.count(F.lit(1)).alias("_isz"))
-    h = h.join(sizes, keys + ["_head"])
+    spark = matches.sparkSession
     payload = list(matches.columns)
-    # both paths read the island-annotated hits: materialise them once (reliable
-    # checkpoint in the shared folder) so the size check does not recompute them
-    ensure_checkpoint_dir(h.sparkSession)
-    h = h.checkpoint()
-    small = _fold_islands(h.filter(F.col("_isz") <= max_fold), keys, payload, c_us)
-    big = h.filter(F.col("_isz") > max_fold).drop("_isz")
-    if big.limit(1).count() == 0:
-        return small
-    return small.unionByName(_pointer_fold(big, payload, c_us))
-
-
-def _fold_islands(h: DataFrame, keys: list[str], payload: list[str], c_us: int) -> DataFrame:
-    islands = h.groupBy(*keys, "_head").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("_t"), F.col("rule_id"), F.col("event_id"),
-                                             *[F.col(c).alias(f"p_{c}") for c in payload if c not in ("rule_id", "event_id")])))
-        .alias("_hits"))
-    first = F.col("_hits")[0]
-    rest = F.slice("_hits", 2, F.greatest(F.size("_hits") - 1, F.lit(0)))
-    fold = F.aggregate(
-        rest,
-        F.struct(first["_t"].alias("last"), F.array(first).alias("fired")),
-        lambda acc, x: F.when(x["_t"] - acc["last"] > F.lit(c_us),
-                              F.struct(x["_t"].alias("last"), F.concat(acc["fired"], F.array(x)).alias("fired")))
-        .otherwise(acc),
-    )
-    fired = islands.select(F.explode(fold["fired"]).alias("f"))
-    return fired.select(*[F.col(f"f.{c}").alias(c) if c in ("rule_id", "event_id") else F.col(f"f.p_{c}").alias(c)
-                          for c in payload])
-
-
-def _pointer_fold(big: DataFrame, payload: list[str], c_us: int) -> DataFrame:
-    """Exact cooldown for large islands without gathering an island.
-
-    ``next(v)`` = first hit of the island later than ``v + cooldown`` (total
-    order time, rule_id, event_id). Fired hits are exactly the island head
-    and its successors under ``next``. Inside an island gaps are <= the
-    cooldown, so ``next(v)`` lies in the 300-s slot of ``v + cooldown`` or
-    the slot after it: one window per (island, slot) finds it. The fired set
-    is then the set reachable from the head, found by pointer doubling:
-    ``R <- R + J(R)``, ``J <- J o J``, O(log fires) join rounds, each round's
-    output cut from its lineage by a reliable checkpoint.
-    """
-    isl = ["rule_key", "_head"]
-    nid = F.struct("_t", "rule_id", "event_id")
-    nodes = big.withColumn("_nid", nid).withColumn("_slot", F.floor(F.col("_t") / F.lit(c_us)).cast("long"))
-    hits = nodes.select(*isl, "_slot", F.col("_t").alias("_at"), F.lit(0).alias("_kind"), "rule_id", "event_id",
-                        F.col("_nid").alias("_hit"), F.lit(None).cast(nodes.schema["_nid"].dataType).alias("_src"))
-    queries = nodes.select(*isl, F.floor((F.col("_t") + F.lit(c_us)) / F.lit(c_us)).cast("long").alias("_slot"),
-                           (F.col("_t") + F.lit(c_us)).alias("_at"), F.lit(1).alias("_kind"), "rule_id", "event_id",
-                           F.lit(None).cast(nodes.schema["_nid"].dataType).alias("_hit"), F.col("_nid").alias("_src"))
-    w = (Window.partitionBy(*isl, "_slot").orderBy("_at", "_kind", "rule_id", "event_id")
-         .rowsBetween(1, Window.unboundedFollowing))
-    q = (hits.unionByName(queries).withColumn("_next", F.first("_hit", ignorenulls=True).over(w))
-         .filter(F.col("_kind") == 1))
-    slot_first = nodes.groupBy(*isl, F.col("_slot").alias("_nslot")).agg(F.min("_nid").alias("_first"))
-    q = (q.withColumn("_nslot", F.col("_slot") + 1).join(slot_first, isl + ["_nslot"], "left")
-         .select(*isl, "_src", F.coalesce("_next", "_first").alias("_dst")))
-    jump = q.filter(F.col("_dst").isNotNull()).select(*isl, F.col("_src").alias("a"), F.col("_dst").alias("b"))
-    reach = nodes.groupBy(*isl).agg(F.min("_nid").alias("n"))
-    jump = jump.checkpoint()
-    reach = reach.checkpoint()
-    while jump.limit(1).count() > 0:
-        step = reach.withColumnRenamed("n", "a").join(jump, isl + ["a"]).select(*isl, F.col("b").alias("n"))
-        reach = reach.unionByName(step).distinct().checkpoint()
-        x = jump.withColumnRenamed("b", "m")
-        y = jump.withColumnRenamed("a", "m").withColumnRenamed("b", "b2")
-        jump = x.join(y, isl + ["m"]).select(*isl, "a", F.col("b2").alias("b")).checkpoint()
-    # a hit delivered twice fires once: its copy lies inside the cooldown
-    fired = nodes.join(reach.withColumnRenamed("n", "_nid"), isl + ["_nid"], "left_semi").dropDuplicates(isl + ["_nid"])
-    return fired.select(*payload)
+    rest = [c for c in payload if c != "rule_key"]
+    ensure_checkpoint_dir(spark)
+    # one row a (rule key, time): it is read by the passes below, the matches only here
+    hits = (matches.filter("time is not null").withColumn("_t", epoch_micros("time")).groupBy("rule_key", "_t")
+            .agg(F.min_by(F.struct(*rest), F.struct("rule_id", "event_id")).alias("_hit")).checkpoint())
+    times = with_chunk(hits.select("rule_key", "_t", F.timestamp_micros("_t").alias("time")), ["rule_key"], "time",
+                       chunk_seconds, target_rows, keep_length=True).select("rule_key", CHUNK_COL, F.col("_chunk_sec").alias("_len"), "_t")
+    spans = times.groupBy("rule_key", CHUNK_COL).applyInArrow(_spans_fn(c_us), SPAN).checkpoint()
+    entry = _next_entries(spans, c_us, carried)
+    reached = follow(entry, ["rule_key"], "entry", "_to", "_start")
+    first = spans.join(reached, ["rule_key", "entry"]).select("rule_key", CHUNK_COL, "entry")
+    fired = (times.join(first, ["rule_key", CHUNK_COL]).groupBy("rule_key", CHUNK_COL)
+             .applyInArrow(_fires_fn(c_us), "rule_key string, _t long"))
+    return hits.join(fired, ["rule_key", "_t"]).select("rule_key", "_hit.*").select(*payload)
+
+
+def _next_entries(spans: DataFrame, c_us: int, carried: DataFrame | None) -> DataFrame:
+    """(rule_key, entry, _to, _start): each span row with the first entry of a later chunk more than a
+    cooldown behind its exit, and the rows where chains start (behind what is carried in, else a
+    key's first hit). A chunk's next hit behind any time is an entry of its chunk, so only entries
+    are searched: those of the time's own chunk, then the first of the next chunk that has any."""
+    lengths = spans.groupBy("rule_key").agg(F.first("_len").alias("_len"), F.min("entry").alias("_first"))
+    asks = spans.select("rule_key", "entry", "_len", (F.col("exit") + c_us).alias("_at"))
+    if carried is not None:
+        seeds = carried.select("rule_key", epoch_micros("last_fired").alias("_l"))
+        asks = asks.unionByName(lengths.join(seeds, "rule_key").select(
+            "rule_key", F.lit(None).cast("long").alias("entry"), "_len", (F.col("_l") + c_us).alias("_at")))
+    asks = asks.withColumn(CHUNK_COL, F.floor(F.col("_at") / (F.col("_len") * 1_000_000)).cast("long"))
+    marks = spans.select("rule_key", CHUNK_COL, F.col("entry").alias("_at"), F.lit(0).alias("_kind"), F.col("entry").alias("_found"))
+    both = marks.unionByName(asks.select("rule_key", CHUNK_COL, "_at", F.lit(1).alias("_kind"), "entry"), allowMissingColumns=True)
+    later = Window.partitionBy("rule_key", CHUNK_COL).orderBy("_at", "_kind").rowsBetween(1, Window.unboundedFollowing)
+    near = both.withColumn("_near", F.first("_found", ignorenulls=True).over(later)).filter("_kind = 1")
+    # one row a chunk that has entries or is asked for
+    chunks = both.groupBy("rule_key", CHUNK_COL).agg(F.min("_found").alias("_head"))
+    chunks = chunks.select("rule_key", CHUNK_COL, F.first("_head", ignorenulls=True).over(
+        Window.partitionBy("rule_key").orderBy(CHUNK_COL).rowsBetween(1, Window.unboundedFollowing)).alias("_next"))
+    found = near.join(chunks, ["rule_key", CHUNK_COL]).select("rule_key", "entry", F.coalesce("_near", "_next").alias("_to"))
+    start = lengths.select("rule_key", F.col("_first").alias("_begin"))
+    if carried is not None:
+        given = found.filter("entry is null").select("rule_key", F.col("_to").alias("_begin"))
+        start = start.join(seeds, "rule_key", "left_anti").unionByName(given)
+    return (found.filter("entry is not null").join(start, "rule_key", "left")
+            .select("rule_key", "entry", "_to", F.coalesce(F.col("entry") == F.col("_begin"), F.lit(False)).alias("_start")))
 
 
 def user_detections(ticks: DataFrame, rules: DataFrame, cooldown_seconds: int = RULE_COOLDOWN_SECONDS) -> DataFrame:
