@@ -67,7 +67,7 @@ def parse_epoch_or_iso(c, now: Column | None = None) -> Column:
     else an ISO-8601 string (``Z`` suffix allowed), else ``now``."""
     s = _col(c).cast("string")
     epoch = F.when(s.rlike(r"^\s*-?[0-9]+(\.[0-9]*)?([eE][-+]?[0-9]+)?\s*$"),
-                   F.timestamp_micros((s.cast("double") * F.lit(1e6)).cast("long")))
+                   F.timestamp_micros(F.round(s.try_cast("double") * F.lit(1e6)).cast("long")))
     iso = F.try_to_timestamp(F.regexp_replace(s, "Z$", "+00:00"))
     out = F.coalesce(epoch, iso)
     return F.coalesce(out, now) if now is not None else out

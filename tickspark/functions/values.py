@@ -38,10 +38,75 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def wire_number(c) -> Column:
+    """A number sent as a JSON number or as text; null where it is neither (or not finite)."""
+    text = F.trim(_col(c).cast("string"))
+    return F.when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), text.try_cast("double"))
+
+
+def _bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it (keeps expressions small)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def fmt_fixed(c, decimals: int) -> Column:
+    """``f"{x:.2f}"``: the exact binary value of the double rounded half-even, as C and Python print it (2.675
+    is below its decimal text, 0.125 a true tie).
+
+    The fraction is k / 2**53 with a whole k (below 1 a sticky bit stands for what is smaller), so
+    fraction * 10**decimals splits into a whole part and a remainder that is compared with one half in
+    whole numbers. From 2**53 on doubles are whole; those print their shortest digits.
+    """
+    unit, half = F.lit(1 << 53).cast("decimal(20,0)"), F.lit(1 << 52).cast("decimal(20,0)")
+    power = F.lit(10 ** decimals)
+
+    def rounded(x: Column, scaled: Column) -> Column:
+        """Fraction digits as a whole number, 10**decimals where they round up to one."""
+        shifted = (F.floor(scaled).cast("decimal(20,0)") * power.cast("decimal(10,0)")).cast("decimal(38,0)")
+        # the remainder goes first: a quotient with a fraction would be rounded
+        split = F.struct((shifted % unit).alias("rest"), ((shifted - shifted % unit) / unit).cast("long").alias("digits"))
+        return _bind(split, lambda p: p["digits"] + F.when(
+            (p["rest"] > half) | ((p["rest"] == half) & ((scaled > F.floor(scaled)) | (p["digits"] % 2 == 1))), 1).otherwise(0))
+
+    def text(x: Column) -> Column:
+        size = F.abs(x)
+        digits = _bind((size - F.floor(size)) * F.lit(float(1 << 53)), lambda scaled: rounded(x, scaled))
+        whole = lambda d: F.floor(size).cast("long") + F.floor(d / power).cast("long")
+        number = _bind(digits, lambda d: F.concat(whole(d).cast("string"), F.lit("."), F.lpad((d % power).cast("string"), decimals, "0"))
+                       if decimals else whole(d).cast("string"))
+        sign = F.when((x < 0) | (x.cast("string") == "-0.0"), F.lit("-")).otherwise(F.lit(""))
+        return (F.when(F.isnan(x), F.lit("nan")).when(size == float("inf"), F.concat(sign, F.lit("inf")))
+                .when(size < float(1 << 53), F.concat(sign, number)).otherwise(F.format_string(f"%.{decimals}f", x)))
+
+    return _bind(_col(c).cast("double"), lambda x: F.when(x.isNotNull(), text(x)))
+
+
 def fmt_money(c, decimals: int = 2) -> Column:
     """``f"${x:.2f}"``."""
-    return F.concat(F.lit("$"), F.format_string(f"%.{decimals}f", _col(c)))
+    return F.concat(F.lit("$"), fmt_fixed(c, decimals))
 
 
-def fmt_fixed(c, decimals: int) -> Column:
-    return F.format_string(f"%.{decimals}f", _col(c))
+def py_float(c) -> Column:
+    """``repr`` of a Python float: shortest digits, plain from 1e-4 to below 1e16 (``10000000.0``), else with
+    an exponent of two digits (``1e+16``)."""
+    def show(x: Column, text: Column) -> Column:
+        plain = _bind(F.rtrim(text.try_cast("decimal(38,20)").cast("string"), F.lit("0")),
+                      lambda p: F.when(p.endswith("."), F.concat(p, F.lit("0"))).otherwise(p))
+        power = F.split_part(text, F.lit("E"), F.lit(2)).try_cast("int")
+        far = F.concat(F.regexp_replace(F.split_part(text, F.lit("E"), F.lit(1)), r"\.0$", ""), F.lit("e"),
+                       F.when(power < 0, F.lit("-")).otherwise(F.lit("+")), F.lpad(F.abs(power).cast("string"), 2, "0"))
+        size = F.abs(x)
+        return (F.when(F.isnan(x), F.lit("nan")).when(size == float("inf"), F.when(x > 0, F.lit("inf")).otherwise(F.lit("-inf")))
+                .when(x == 0, text).when((size >= 1e-4) & (size < 1e16), plain).otherwise(far))
+
+    return _bind(_col(c).cast("double"), lambda x: F.when(x.isNotNull(), _bind(x.cast("string"), lambda t: show(x, t))))
+
+
+def py_float_commas(c) -> Column:
+    """``f"{x:,}"`` of a Python float: its ``repr`` with thousands separators in the whole part (``1,234.5``)."""
+    def grouped(text: Column) -> Column:
+        whole = F.split_part(text, F.lit("."), F.lit(1))
+        return F.when(text.rlike(r"^-?[0-9]+\.[0-9]+$"), F.concat(
+            F.regexp_replace(whole, r"(?<=[0-9])(?=([0-9]{3})+$)", ","), F.lit("."), F.split_part(text, F.lit("."), F.lit(2)))).otherwise(text)
+
+    return _bind(py_float(c), grouped)

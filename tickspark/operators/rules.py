@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickspark.functions.timefn import epoch_micros
-from tickspark.functions.values import fmt_money
+from tickspark.functions.values import fmt_money, py_float, py_float_commas
 from tickspark.operators.pointers import follow
 from tickspark.operators.rolling import CHUNK_COL, DEFAULT_CHUNK_SECONDS, TARGET_CHUNK_ROWS, with_chunk
 from tickspark.plans.joins import broadcast_if_small
@@ -38,21 +38,11 @@ def rule_matches(ticks: DataFrame, rules: DataFrame, max_broadcast_rows: int | N
     return j.filter(hit).select(
         "event_id", "symbol", "time", "source", "price", "volume", "rule_id", "rule_type", "threshold",
         "window_sec",
-        F.concat_ws("_", "symbol", "rule_type", F.col("threshold").cast("string")).alias("rule_key"),
+        F.concat_ws("_", "symbol", "rule_type", py_float("threshold")).alias("rule_key"),
         F.when(F.instr(rt, "volume") > 0, F.col("volume").cast("double")).otherwise(F.col("price")).alias("value"),
     )
 
 
-def _py_float_commas(c: Column) -> Column:
-    """``f"{x:,}"`` of a non-negative Python float: thousands separators on
-    the integer part and the shortest repr of the fraction (``1,234.0``)."""
-    integral = c == F.floor(c)
-    # through the shortest decimal text: a plain cast turns to scientific notation from 1e7 on
-    frac = F.rtrim(F.lit("0"), F.substring_index(c.cast("string").cast("decimal(38,17)").cast("string"), ".", -1))
-    return F.when(integral, F.format_number(c, 1)).otherwise(
-        F.concat(F.format_number(F.floor(c), 0), F.lit("."), frac))
-
-
 def rule_messages(matches: DataFrame) -> DataFrame:
     """Message text of a rule hit (severity high, type USER_RULE)."""
     rt, sym = F.col("rule_type"), F.col("symbol")
@@ -63,8 +53,8 @@ def rule_messages(matches: DataFrame) -> DataFrame:
            .when(rt == "price_below", F.concat(F.lit("\U0001F4C9 "), sym, F.lit(" PRICE ALERT: Current "),
                                                fmt_money("price"), F.lit(" is below your threshold of "), fmt_money(th)))
            .when(rt == "volume_above", F.concat(F.lit("\U0001F4CA "), sym, F.lit(" VOLUME ALERT: Current volume "),
-                                                _py_float_commas(vol), F.lit(" is above your threshold of "),
-                                                _py_float_commas(th))))
+                                                py_float_commas(vol), F.lit(" is above your threshold of "),
+                                                py_float_commas(th))))
     return matches.withColumn("alert_type", F.lit(USER_RULE)).withColumn("severity", F.lit("high")) \
                   .withColumn("message", msg)
 

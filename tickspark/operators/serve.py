@@ -17,23 +17,24 @@ from pyspark.sql import functions as F
 
 from tickspark.functions.timefn import bucket_start, epoch_micros, event_order_key
 from tickspark.functions.values import is_truthy, truthy_coalesce
+from tickspark.plans.joins import broadcast_if_small
 from tickspark.schemas import LIVENESS_MS
+from tickspark.session import ensure_checkpoint_dir
+
+#: Candle keys that a serving join sends to every task at most.
+MAX_BROADCAST_KEYS = 1_000_000
 
 CANDLE_OUT = ["symbol", "time", "open", "high", "low", "close", "volume", "vwap", "trade_count",
               "anomaly_type", "severity", "anomaly_value"]
 
 
 def joined_desc() -> list[Column]:
-    """Total order of joined rows, newest first (candle time, then the alert)."""
+    """Order of joined rows, newest first (candle time, then the alert): total over stored alerts, whose
+    (event id, time) is unique. ``_rank`` numbers the rows by it; frames and cuts use that number."""
     return [F.col("time").desc(), F.col("_al_time").desc_nulls_last(),
             F.col("anomaly_type").desc_nulls_last(), F.col("_al_event_id").desc_nulls_last()]
 
 
-def joined_asc() -> list[Column]:
-    return [F.col("time").asc(), F.col("_al_time").asc_nulls_first(),
-            F.col("anomaly_type").asc_nulls_first(), F.col("_al_event_id").asc_nulls_first()]
-
-
 def _in_symbols(df: DataFrame, symbols: Sequence[str] | None) -> DataFrame:
     return df if symbols is None else df.filter(F.col("symbol").isin(list(symbols)))
 
@@ -74,11 +75,13 @@ def newest_joined(candles_df: DataFrame, alerts: DataFrame, window_sec: int, lim
     ``limit`` candles per symbol instead of the whole candle table."""
     c = _in_symbols(candles_df.filter(F.col("window_sec") == window_sec), symbols)
     newest = Window.partitionBy("symbol").orderBy(F.col("time").desc())
-    c = c.withColumn("_cr", F.row_number().over(newest)).filter(F.col("_cr") <= limit).drop("_cr")
-    # only alerts inside those candles can join: a broadcast semi-join (at most
-    # ``limit`` keys per symbol) drops the rest map-side, before any shuffle
-    keys = c.select(F.col("symbol").alias("_ks"), F.col("time").alias("_kt"))
-    al = alerts.join(F.broadcast(keys), (alerts.symbol == keys._ks)
+    # at most ``limit`` rows a symbol, read twice below: materialised, which also sizes them
+    ensure_checkpoint_dir(c.sparkSession)
+    c = c.withColumn("_cr", F.row_number().over(newest)).filter(F.col("_cr") <= limit).drop("_cr").checkpoint()
+    # only alerts inside those candles can join: a semi-join drops the rest before any shuffle of alerts
+    # (map-side while the keys are few)
+    keys = broadcast_if_small(c.select(F.col("symbol").alias("_ks"), F.col("time").alias("_kt")), MAX_BROADCAST_KEYS)
+    al = alerts.join(keys, (alerts.symbol == keys._ks)
                      & (bucket_start(alerts.time, window_sec) == keys._kt), "left_semi")
     j = join_alerts(c, al, window_sec, symbols)
     w = Window.partitionBy("symbol").orderBy(*joined_desc())
@@ -87,7 +90,9 @@ def newest_joined(candles_df: DataFrame, alerts: DataFrame, window_sec: int, lim
 
 def candlesticks(candles_df: DataFrame, alerts: DataFrame, window_sec: int, limit: int = 100,
                  symbols: Sequence[str] | None = None) -> DataFrame:
-    return newest_joined(candles_df, alerts, window_sec, limit, symbols).select(*CANDLE_OUT)
+    """The newest ``limit`` joined rows per symbol, ascending."""
+    rows = newest_joined(candles_df, alerts, window_sec, limit, symbols)
+    return rows.orderBy("symbol", F.col("_rank").desc()).select(*CANDLE_OUT)
 
 
 def recent_alerts(alerts: DataFrame, symbol: str | None = None, limit: int = 50) -> DataFrame:
@@ -106,8 +111,7 @@ def first_symbols(ticks: DataFrame, n: int) -> DataFrame:
 def heatmap_long(candles_df: DataFrame, alerts: DataFrame, universe: DataFrame, limit: int = 20) -> DataFrame:
     """Heatmap rows: per symbol of ``universe`` the newest ``limit`` joined
     one-minute rows (symbol, time, severity)."""
-    u = F.broadcast(universe.select("symbol"))
-    c = candles_df.join(u, "symbol", "left_semi")
+    c = candles_df.join(universe.select("symbol"), "symbol", "left_semi")
     return newest_joined(c, alerts, 60, limit).select("symbol", "time", "severity")
 
 
@@ -115,7 +119,7 @@ def heatmap(candles_df: DataFrame, alerts: DataFrame, universe: DataFrame, limit
     """Nested heatmap: one row per symbol with an ascending timeline of
     {time, severity}; symbols without candles are omitted. Each list holds at
     most ``limit`` entries."""
-    rows = newest_joined(candles_df.join(F.broadcast(universe.select("symbol")), "symbol", "left_semi"),
+    rows = newest_joined(candles_df.join(universe.select("symbol"), "symbol", "left_semi"),
                          alerts, 60, limit)
     entry = F.struct(F.col("_rank"), F.struct(
         F.concat(F.date_format("time", "yyyy-MM-dd HH:mm:ss"), F.lit("+00:00")).alias("time"),
@@ -131,7 +135,7 @@ def deep_dive(candles_df: DataFrame, alerts: DataFrame, symbols: Sequence[str] |
     a ``period``-row rolling mean, *sample* std, +-2 std bands and z-score
     (null until ``period`` rows are available; x/0 gives null)."""
     rows = newest_joined(candles_df, alerts, 300, limit, symbols)
-    w = Window.partitionBy("symbol").orderBy(*joined_asc()).rowsBetween(-(period - 1), 0)
+    w = Window.partitionBy("symbol").orderBy(F.col("_rank").desc()).rowsBetween(-(period - 1), 0)
     n = F.count(F.lit(1)).over(w)
     ma = F.when(n == period, F.avg("close").over(w))
     std = F.when(n == period, F.stddev_samp("close").over(w))
@@ -142,7 +146,7 @@ def deep_dive(candles_df: DataFrame, alerts: DataFrame, symbols: Sequence[str] |
     out = (out.withColumn("upper", F.col("ma") + F.col("std") * 2)
            .withColumn("lower", F.col("ma") - F.col("std") * 2)
            .withColumn("z_score", F.try_divide(F.col("close") - F.col("ma"), F.col("std"))))
-    return out
+    return out.orderBy("symbol", F.col("_rank").desc())
 
 
 DEEP_DIVE_OUT = ["symbol", "time", "open", "high", "low", "close", "volume", "anomaly_type", "severity",
@@ -151,7 +155,7 @@ DEEP_DIVE_OUT = ["symbol", "time", "open", "high", "low", "close", "volume", "an
 
 def deep_dive_history(deep: DataFrame, n: int = 5) -> DataFrame:
     """Last ``n`` non-normal rows of each symbol's deep dive."""
-    w = Window.partitionBy("symbol").orderBy(*joined_desc())
+    w = Window.partitionBy("symbol").orderBy("_rank")
     return (deep.filter(F.col("severity") != "normal")
             .withColumn("_h", F.row_number().over(w)).filter(F.col("_h") <= n)
             .select(*DEEP_DIVE_OUT))
@@ -252,3 +256,28 @@ def throughput(messages: DataFrame, interval_sec: int = 10) -> DataFrame:
     """Messages per second and totals per service and interval."""
     return heartbeat_log(messages, interval_sec).select(
         "service_name", F.col("last_heartbeat").alias("interval_end"), "mps", "total_processed", "status")
+
+
+def throughput_grid(messages: DataFrame, interval_sec: int = 10, tracked: DataFrame | None = None) -> DataFrame:
+    """``throughput`` with the idle intervals: every interval between a service's first and last beat has a row,
+    idle ones with 0 messages, and ``symbols_tracked``, the size of the tracked universe (``tracked``: one
+    row a symbol; null without it).
+
+    A service's grid is exploded by day first, so a long history is many small explosions."""
+    beats = heartbeat_log(messages, interval_sec)
+    us, day = interval_sec * 1_000_000, 86_400 * 1_000_000
+    end = epoch_micros("last_heartbeat")
+    span = beats.groupBy("service_name").agg(F.min(end).alias("_lo"), F.max(end).alias("_hi"))
+    days = span.select("service_name", "_lo", "_hi", F.explode(F.sequence(F.floor(F.col("_lo") / day), F.floor(F.col("_hi") / day))).alias("_d"))
+    lo = F.greatest(F.col("_lo"), F.ceil(F.col("_d") * day / us) * us)
+    hi = F.least(F.col("_hi"), (F.col("_d") + 1) * day - 1)
+    grid = (days.repartition("service_name", "_d").filter(lo <= hi)
+            .select("service_name", F.explode(F.sequence(lo, hi, F.lit(us).cast("long"))).alias("_e"))
+            .select("service_name", F.timestamp_micros("_e").alias("last_heartbeat")))
+    out = grid.join(beats, ["service_name", "last_heartbeat"], "left")
+    size = F.lit(None).cast("long")
+    if tracked is not None:
+        size = tracked.agg(F.count(F.lit(1))).scalar()
+    return out.select("service_name", F.col("last_heartbeat").alias("interval_end"), F.coalesce("mps", F.lit(0.0)).alias("mps"),
+                      F.coalesce("total_processed", F.lit(0).cast("long")).alias("total_processed"),
+                      F.coalesce("status", F.lit("idle")).alias("status"), size.alias("symbols_tracked"))

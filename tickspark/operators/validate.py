@@ -93,4 +93,6 @@ def alert_reasons() -> Column:
 
 
 def validate_alerts(alerts: DataFrame) -> DataFrame:
-    return alerts.withColumn("reasons", alert_reasons()).withColumn("is_valid", F.col("reasons") == "")
+    """All alerts with ``reasons`` and ``is_valid``; the symbol is normalised as in ticks."""
+    return (alerts.withColumn("reasons", alert_reasons()).withColumn("is_valid", F.col("reasons") == "")
+            .withColumn("symbol", normalize_symbol("symbol")))

@@ -4,6 +4,7 @@ over the full driver tables. Names and output columns match
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickspark.functions.timefn import market_open, ts_literal
-from tickspark.functions.values import truthy_coalesce
+from tickspark.functions.values import fmt_fixed, fmt_money, nan_to_null, py_float, py_float_commas, truthy_coalesce
 from tickspark.operators import alerts as alerts_op
 from tickspark.operators import candles as candles_op
 from tickspark.operators import detect, indicators, route, rules, serve, validate
@@ -19,6 +20,7 @@ from tickspark.plans import oracle
 from tickspark.schemas import HEATMAP_SYMBOL_COUNT
 from tickspark.session import ensure_checkpoint_dir
 from tickspark.sources import codec, fixtures as fx, sinks
+from tickspark.sources.alert_store import AlertStore
 
 CANDLE_COLS = candles_op.CANDLE_COLUMNS
 
@@ -39,12 +41,24 @@ def _as_of():
     return ts_literal(fx.AS_OF_TEXT)
 
 
-def _alerts(spark, d):
-    return alerts_op.alerts_table(fx.ticks(spark, d), fx.rules(spark, d))
+def _deliveries(spark, d):
+    return alerts_op.deliveries(alerts_op.build_alerts(
+        alerts_op.unified_detections(fx.ticks_burst(spark, d), fx.rules(spark, d))))
+
 
+#: (application, data folder) -> the alert table stored there.
+_STORES: dict[tuple[str, str], AlertStore] = {}
 
-def _alerts_once(spark, d):
-    return alerts_op.build_alerts(alerts_op.unified_detections(fx.ticks(spark, d), fx.rules(spark, d)))
+
+def _alerts(spark, d):
+    """The stored alert table that serving reads: detection runs once a session and data folder, when the
+    deliveries are inserted into the shared folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STORES:
+        store = AlertStore(f"{ensure_checkpoint_dir(spark).rstrip('/')}/alert-table-{uuid.uuid4().hex}")
+        store.insert(_deliveries(spark, d), 0)
+        _STORES[key] = store
+    return _STORES[key].read(spark).drop("arrival")
 
 
 def _candles_multi(spark, d):
@@ -53,7 +67,7 @@ def _candles_multi(spark, d):
 
 def _series(spark, d):
     t = fx.ticks(spark, d)
-    return serve.loaded_series(candles_op.candles(t, 60), alerts_op.alerts_table(t, fx.rules(spark, d)), limit=300)
+    return serve.loaded_series(candles_op.candles(t, 60), _alerts(spark, d), limit=300)
 
 
 def q_candles(w: int):
@@ -90,6 +104,13 @@ def q_throughput(spark, d):
                                       F.col("ts").cast("timestamp").alias("time")))
 
 
+def q_throughput_grid(spark, d):
+    """Quarter hours of every service, idle ones included."""
+    ev = fx.table(spark, d, "events")
+    return serve.throughput_grid(ev.select(F.col("event_type").alias("service_name"), F.col("ts").cast("timestamp").alias("time")),
+                                 900, fx.ticks(spark, d).select("symbol").distinct())
+
+
 def q_normalize_symbol(spark, d):
     t = fx.ticks_dirty(spark, d)
     return t.select("event_id", F.col("symbol").alias("raw_symbol"), validate.normalize_symbol("symbol").alias("symbol"))
@@ -106,8 +127,8 @@ def q_validate_candles(spark, d):
 
 
 def q_validate_alerts(spark, d):
-    return validate.validate_alerts(_alerts(spark, d)).select(
-        "event_id", "time", "symbol", "alert_type", "reasons", "is_valid")
+    return validate.validate_alerts(fx.alerts_dirty(_alerts(spark, d))).select(
+        "event_id", "time", "symbol", "alert_type", "severity", "reasons", "is_valid")
 
 
 def q_stale_flag(spark, d):
@@ -135,18 +156,33 @@ def q_price_jump(spark, d):
     return detect.price_jumps(fx.ticks(spark, d))
 
 
+def q_bollinger_chunked(spark, d):
+    """The same as ``bollinger`` with chunks of at most 500 rows, each with a halo."""
+    return detect.bollinger(fx.ticks(spark, d), target_rows=500)
+
+
+def q_rule_cooldown_chunked(spark, d):
+    c = rules.cooldown(rules.rule_matches(fx.ticks_burst(spark, d), fx.rules(spark, d)), 7200, target_rows=200)
+    return c.select("event_id", "symbol", "time", "rule_id", "rule_key")
+
+
 def q_detections_all(spark, d):
-    u = alerts_op.unified_detections(fx.ticks(spark, d), fx.rules(spark, d))
+    u = alerts_op.unified_detections(fx.ticks_burst(spark, d), fx.rules(spark, d))
     return u.select("symbol", "time", "event_id", "seq", "alert_type", "severity", "message", "value")
 
 
 def q_build_alerts(spark, d):
-    return _alerts_once(spark, d).select("event_id", "time", "symbol", "alert_type", "severity", "message",
+    return _alerts(spark, d).select("event_id", "time", "symbol", "alert_type", "severity", "message",
                                          "trigger_price")
 
 
+def q_alert_metadata(spark, d):
+    """One row per metadata entry."""
+    return _alerts(spark, d).select("event_id", F.explode("metadata").alias("key", "value"))
+
+
 def q_alert_envelope(spark, d):
-    dets = detect.detections(fx.ticks(spark, d))
+    dets = detect.detections(fx.ticks_burst(spark, d))
     return alerts_op.alert_envelope(dets, _as_of())
 
 
@@ -188,7 +224,7 @@ def q_latest_price(spark, d):
 
 def q_candlesticks_alerts(spark, d):
     t = fx.ticks(spark, d)
-    return serve.candlesticks(candles_op.candles(t, 60), alerts_op.alerts_table(t, fx.rules(spark, d)), 60, limit=100)
+    return serve.candlesticks(candles_op.candles(t, 60), _alerts(spark, d), 60, limit=100)
 
 
 def q_recent_alerts(spark, d):
@@ -201,17 +237,22 @@ def q_recent_alerts_symbol(spark, d):
 
 def q_heatmap_long(spark, d):
     t = fx.ticks(spark, d)
-    return serve.heatmap_long(candles_op.candles(t, 60), alerts_op.alerts_table(t, fx.rules(spark, d)), serve.first_symbols(t, HEATMAP_SYMBOL_COUNT), 20)
+    return serve.heatmap_long(candles_op.candles(t, 60), _alerts(spark, d), serve.first_symbols(t, HEATMAP_SYMBOL_COUNT), 20)
 
 
 def q_heatmap(spark, d):
     t = fx.ticks(spark, d)
-    return serve.heatmap(candles_op.candles(t, 60), alerts_op.alerts_table(t, fx.rules(spark, d)), serve.first_symbols(t, HEATMAP_SYMBOL_COUNT), 20)
+    return serve.heatmap(candles_op.candles(t, 60), _alerts(spark, d), serve.first_symbols(t, HEATMAP_SYMBOL_COUNT), 20)
+
+
+def q_heatmap_json(spark, d):
+    """The nested heatmap as the text a client receives."""
+    return q_heatmap(spark, d).select("symbol", F.to_json("timeline").alias("timeline"))
 
 
 def _deep(spark, d):
     t = fx.ticks(spark, d)
-    return serve.deep_dive(candles_op.candles(t, 300), alerts_op.alerts_table(t, fx.rules(spark, d)))
+    return serve.deep_dive(candles_op.candles(t, 300), _alerts(spark, d))
 
 
 def q_deep_dive(spark, d):
@@ -256,12 +297,30 @@ def q_anomaly_markers(spark, d):
 
 
 def q_moving_averages(spark, d):
-    """Reads the candles once: they are materialised with a reliable
-    checkpoint (the shared ``spark.checkpoint.dir``), standing in for the
-    stored aggregates table the SMA and EMA branches both scan."""
-    ensure_checkpoint_dir(spark)
-    candles = _candles_multi(spark, d).checkpoint()
-    return indicators.moving_averages(candles).drop("event_id")
+    return indicators.moving_averages(_candles_multi(spark, d)).drop("event_id")
+
+
+def q_moving_averages_chunked(spark, d):
+    """The same with chunks of at most 200 candles: averages and values carried from chunk to chunk."""
+    return indicators.moving_averages(_candles_multi(spark, d), target_rows=200).drop("event_id")
+
+
+def q_number_formats(spark, d):
+    """Values whose cents are ties, near ties, large and tiny, as notifications print them."""
+    v = F.col("value")
+    out = fx.table(spark, d, "events").select("event_id", *[x.alias(n) for n, x in [
+        ("eighth", F.round(v) / 8), ("near", v + 0.005), ("large", v * 1234567.0), ("tiny", -v / 1e7), ("wide", v * 1e15)]])
+    return out.select("event_id", *[fmt_money(c).alias(f"{c}_money") for c in ("eighth", "near", "large", "tiny")],
+                      *[fmt_fixed(c, 4).alias(f"{c}_fixed") for c in ("eighth", "near", "large", "tiny")],
+                      *[py_float(c).alias(f"{c}_repr") for c in ("eighth", "near", "large", "tiny", "wide")],
+                      py_float_commas("large").alias("large_commas"), py_float_commas("eighth").alias("eighth_commas"))
+
+
+def q_nan_to_null(spark, d):
+    v = F.col("value")
+    return nan_to_null(fx.table(spark, d, "events").select(
+        "event_id", F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).when(F.col("event_id") % 11 != 0, v).alias("value"),
+        "event_type"))
 
 
 def q_market_open(spark, d):
@@ -278,7 +337,7 @@ def q_chat_outbox(spark, d):
 
 def q_mail_outbox(spark, d):
     m = route.mail_outbox(route.route(_alerts(spark, d)).filter(F.col("channel") == "mail"))
-    return m.select("event_id", "symbol", "severity", "subject", "text")
+    return m.select("event_id", "symbol", "severity", "subject", "text", "html")
 
 
 def q_recipients(spark, d):
@@ -287,22 +346,47 @@ def q_recipients(spark, d):
 
 
 def q_decode_ticks(spark, d):
-    return codec.decode_ticks(fx.ticks_json(spark, d)).select(
+    return codec.decode_ticks(fx.ticks_json(spark, d), now=_as_of()).select(
         "event_id", "timestamp", "time", "symbol", "price", "volume", "source")
 
 
+def q_decode_rejects(spark, d):
+    return codec.decode_ticks_with_rejects(fx.ticks_json(spark, d))[1].select("offset", "reason")
+
+
+def q_decode_alerts(spark, d):
+    a = codec.decode_alerts(fx.alerts_json(_alerts(spark, d)))
+    return a.select("event_id", sinks.alert_time(F.col("timestamp"), _as_of()).alias("time"), "symbol", "alert_type", "severity",
+                    F.coalesce("message", F.lit("Anomaly detected")).alias("message"), "trigger_price", "trigger_volume")
+
+
+def q_encode_decode(spark, d):
+    """Ticks written as messages and read back."""
+    return codec.decode_ticks(codec.encode_events(fx.ticks(spark, d))).select(
+        "event_id", "time", "symbol", "price", "volume", "source", "bid")
+
+
 def q_ticks_persist(spark, d):
     return sinks.persist_ticks(codec.parse_ticks(fx.ticks_json(spark, d)), _as_of())
 
 
 def q_alert_dedup(spark, d):
-    a = _alerts(spark, d)
-    return sinks.dedup_alerts(a, "source_event_id").select("event_id", "time", "symbol", "alert_type", "severity",
-                                                             "trigger_price")
+    return sinks.dedup_alerts(_deliveries(spark, d), "arrival").select(
+        "event_id", "time", "symbol", "alert_type", "severity", "message", "trigger_price")
+
+
+def q_alert_insert(spark, d):
+    """The deliveries inserted in three batches by arrival, the second one tried twice, and the table read back."""
+    store = AlertStore(f"{ensure_checkpoint_dir(spark).rstrip('/')}/alert-inserts-{uuid.uuid4().hex}")
+    arrived = _deliveries(spark, d).checkpoint()
+    batch = F.when(F.col("arrival") >= alerts_op.REDELIVERED, 2).otherwise(F.col("arrival") % 2)
+    for n in (0, 1, 1, 2):
+        store.insert(arrived.filter(batch == n), n)
+    return store.read(spark).select("event_id", "time", "symbol", "alert_type", "severity", "message", "arrival")
 
 
 def q_alert_enrich(spark, d):
-    return sinks.enrich_alerts(_alerts_once(spark, d)).select(
+    return sinks.enrich_alerts(_alerts(spark, d)).select(
         "event_id", "time", "trigger_volume", "zscore", "reference_value", "window_sec")
 
 
@@ -340,6 +424,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "candle_upsert": q_candle_upsert,
     "volume_direction": q_volume_direction,
     "throughput": q_throughput,
+    "throughput_grid": q_throughput_grid,
     "normalize_symbol": q_normalize_symbol,
     "validate_ticks": q_validate_ticks,
     "validate_candles": q_validate_candles,
@@ -348,14 +433,17 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "detect_gate": q_detect_gate,
     "bollinger": q_bollinger,
     "bollinger_lower": q_bollinger_lower,
+    "bollinger_chunked": q_bollinger_chunked,
     "volume_spike": q_volume_spike,
     "price_jump": q_price_jump,
     "detections_all": q_detections_all,
     "build_alerts": q_build_alerts,
+    "alert_metadata": q_alert_metadata,
     "alert_envelope": q_alert_envelope,
     "rule_match": q_rule_match,
     "rule_messages": q_rule_messages,
     "rule_cooldown": q_rule_cooldown,
+    "rule_cooldown_chunked": q_rule_cooldown_chunked,
     "rules_current": q_rules_current,
     "latest_price": q_latest_price,
     "candlesticks_alerts": q_candlesticks_alerts,
@@ -363,6 +451,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "recent_alerts_symbol": q_recent_alerts_symbol,
     "heatmap_long": q_heatmap_long,
     "heatmap": q_heatmap,
+    "heatmap_json": q_heatmap_json,
     "deep_dive": q_deep_dive,
     "deep_dive_history": q_deep_dive_history,
     "alerts_history": q_alerts_history,
@@ -373,21 +462,28 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "symbol_summary": q_symbol_summary,
     "anomaly_markers": q_anomaly_markers,
     "moving_averages": q_moving_averages,
+    "moving_averages_chunked": q_moving_averages_chunked,
     "market_open": q_market_open,
+    "number_formats": q_number_formats,
     "route_alerts": q_route_alerts,
     "chat_outbox": q_chat_outbox,
     "mail_outbox": q_mail_outbox,
     "recipients": q_recipients,
     "decode_ticks": q_decode_ticks,
     "ticks_persist": q_ticks_persist,
+    "decode_rejects": q_decode_rejects,
     "alert_dedup": q_alert_dedup,
+    "alert_insert": q_alert_insert,
     "alert_enrich": q_alert_enrich,
+    "decode_alerts": q_decode_alerts,
     "backfill_tail": q_backfill_tail,
     "latest_bar": q_latest_bar,
     "retention": q_retention,
+    "nan_to_null": q_nan_to_null,
     "health_latest": q_health_latest,
     "health_liveness": q_health_liveness,
     "encode_ticks": q_encode_ticks,
+    "encode_decode": q_encode_decode,
 }
 
 # Queries without a SQL oracle (nested or JSON-text output): rows-only check.

@@ -57,7 +57,7 @@ def _stats(src: str) -> str:
 
 
 def _sev_z(z: str) -> str:
-    return f"CASE WHEN {z} > 5 THEN 'high' WHEN {z} > 4 THEN 'high' WHEN {z} > 3 THEN 'medium' ELSE 'low' END"
+    return f"CASE WHEN {z} > 4 THEN 'high' WHEN {z} > 3 THEN 'medium' ELSE 'low' END"
 
 
 BB_UP = "bb_mean + 2.0 * bb_std"
@@ -70,55 +70,76 @@ JUMP_READY = "bb_n = 20 AND jump_n = 19 AND jump_std > 0"
 
 
 def _bb_severity() -> str:
-    up = f"(price - ({BB_UP})) / bb_std"
-    dn = f"(({BB_DN}) - price) / bb_std"
-    return (f"CASE WHEN price > {BB_UP} THEN (CASE WHEN {up} > 2 THEN 'high' WHEN {up} > 1 THEN 'high' ELSE 'medium' END) "
-            f"ELSE (CASE WHEN {dn} > 2 THEN 'high' WHEN {dn} > 1 THEN 'high' ELSE 'medium' END) END")
+    beyond = f"(CASE WHEN price > {BB_UP} THEN price - ({BB_UP}) ELSE ({BB_DN}) - price END)"
+    return f"CASE WHEN {beyond} / bb_std > 1 THEN 'high' ELSE 'medium' END"
+
+
+#: Detail columns of a detection, in the order of its JSON text.
+DETAILS = ["direction", "upper_band", "lower_band", "middle_band", "std", "z_score", "current_volume", "rolling_mean_volume",
+           "rolling_std_volume", "threshold", "prior_mean", "prior_std", "deviation_sigmas", "threshold_sigmas"]
+
+
+def _details(**given: str) -> str:
+    types = {"direction": "VARCHAR"}
+    return ", ".join(f"CAST({given.get(n, 'NULL')} AS {types.get(n, 'DOUBLE')}) AS {n}" for n in DETAILS)
 
 
 def _dets(stats: str, gate: str) -> str:
     """Automatic detections, long form (seq 1..3), gate applied."""
-    return f"""SELECT symbol, time, event_id, price, 1 AS seq, 'BOLLINGER_BREACH' AS alert_type, {_bb_severity()} AS severity,
-           round(bb_std, 4) AS std, CAST(NULL AS DOUBLE) AS z_score, round({BB_UP}, 4) AS upper_band,
-           round({BB_DN}, 4) AS lower_band, round(bb_mean, 4) AS middle_band, CAST(NULL AS DOUBLE) AS current_volume,
-           CAST(NULL AS DOUBLE) AS rolling_mean_volume
+    bb = _details(direction=f"CASE WHEN price > {BB_UP} THEN 'above upper band' ELSE 'below lower band' END",
+                  upper_band=f"round({BB_UP}, 4)", lower_band=f"round({BB_DN}, 4)", middle_band="round(bb_mean, 4)",
+                  std="round(bb_std, 4)")
+    vol = _details(z_score=f"round({VOL_Z}, 3)", current_volume="volume", rolling_mean_volume="round(vol_mean, 2)",
+                   rolling_std_volume="round(vol_std, 2)", threshold="3.0")
+    jump = _details(prior_mean="round(jump_mean, 4)", prior_std="round(jump_std, 4)", deviation_sigmas=f"round({JUMP_DEV}, 3)",
+                    threshold_sigmas="3.0")
+    return f"""SELECT symbol, time, event_id, price, 1 AS seq, 'BOLLINGER_BREACH' AS alert_type, {_bb_severity()} AS severity, {bb}
     FROM {stats} WHERE {gate} AND {BB_READY} AND (price > {BB_UP} OR price < {BB_DN})
     UNION ALL
-    SELECT symbol, time, event_id, price, 2, 'VOLUME_SPIKE', {_sev_z(f'abs({VOL_Z})')},
-           NULL, round({VOL_Z}, 3), NULL, NULL, NULL, CAST(volume AS DOUBLE), round(vol_mean, 2)
+    SELECT symbol, time, event_id, price, 2, 'VOLUME_SPIKE', {_sev_z(f'abs({VOL_Z})')}, {vol}
     FROM {stats} WHERE {gate} AND {VOL_READY} AND abs({VOL_Z}) >= 3.0
     UNION ALL
-    SELECT symbol, time, event_id, price, 3, 'PRICE_JUMP', {_sev_z(JUMP_DEV)},
-           NULL, NULL, NULL, NULL, NULL, NULL, NULL
+    SELECT symbol, time, event_id, price, 3, 'PRICE_JUMP', {_sev_z(JUMP_DEV)}, {jump}
     FROM {stats} WHERE {gate} AND {JUMP_READY} AND {JUMP_DEV} >= 3.0"""
 
 
-RULES = """syms AS (SELECT DISTINCT symbol FROM ticks),
+def _rules(src: str = "ticks") -> str:
+    return f"""syms AS (SELECT DISTINCT symbol FROM {src}),
 ranked AS (SELECT symbol, dense_rank() OVER (ORDER BY symbol) AS rk FROM syms),
 tmpl AS (SELECT * FROM (VALUES (0, 'price_above', 100.0), (1, 'price_below', 1.0), (2, 'volume_above', 90.0),
-                               (3, 'volume_spike', 3.0), (4, 'price_above', 100.0)) v(pos, rule_type, threshold)),
+                               (3, 'volume_spike', 3.0), (4, 'price_above', 100.0), (5, 'price_above', 250.125))
+         v(pos, rule_type, threshold)),
 rules AS (SELECT CAST(rk * 10 + pos AS BIGINT) AS id, symbol, rule_type, CAST(threshold AS DOUBLE) AS threshold,
                  60 AS window_sec, make_timestamp(1704067200000000 + (rk * 10 + pos) * 1000000) AS created_at
           FROM ranked, tmpl WHERE pos < 3 OR rk = 1),
 hits AS (SELECT t.event_id, t.symbol, t.time, t.source, t.price, t.volume, r.id AS rule_id, r.rule_type, r.threshold,
                 r.window_sec, concat_ws('_', t.symbol, r.rule_type, CAST(r.threshold AS VARCHAR)) AS rule_key,
                 CASE WHEN contains(r.rule_type, 'volume') THEN CAST(t.volume AS DOUBLE) ELSE t.price END AS value
-         FROM ticks t JOIN rules r ON t.symbol = r.symbol
+         FROM {src} t JOIN rules r ON t.symbol = r.symbol
          WHERE (r.rule_type = 'price_above' AND t.price > r.threshold)
             OR (r.rule_type = 'price_below' AND t.price < r.threshold)
             OR (r.rule_type = 'volume_above' AND t.volume > r.threshold))"""
 
-COOLDOWN = """seqd AS (SELECT *, epoch_us(time) AS t_us,
+
+RULES = _rules()
+
+
+def _cooldown(seconds: int = 300) -> str:
+    us = seconds * 1_000_000
+    return f"""seqd AS (SELECT *, epoch_us(time) AS t_us,
                  row_number() OVER (PARTITION BY rule_key ORDER BY time, rule_id, event_id) AS rn FROM hits),
 fold(rule_key, rn, last_us, fired) AS (
     SELECT rule_key, rn, t_us, true FROM seqd WHERE rn = 1
     UNION ALL
-    SELECT s.rule_key, s.rn, CASE WHEN s.t_us - f.last_us > 300000000 THEN s.t_us ELSE f.last_us END,
-           s.t_us - f.last_us > 300000000
+    SELECT s.rule_key, s.rn, CASE WHEN s.t_us - f.last_us > {us} THEN s.t_us ELSE f.last_us END,
+           s.t_us - f.last_us > {us}
     FROM fold f JOIN seqd s ON s.rule_key = f.rule_key AND s.rn = f.rn + 1),
 fired AS (SELECT s.* FROM seqd s JOIN fold f USING (rule_key, rn) WHERE f.fired)"""
 
 
+COOLDOWN = _cooldown()
+
+
 def _py_commas(x: str) -> str:
     return f"CASE WHEN {x} = floor({x}) THEN format('{{:,.1f}}', {x}) ELSE format('{{:,}}', {x}) END"
 
@@ -131,19 +152,23 @@ MESSAGE = ("CASE WHEN rule_type = 'price_above' THEN '\U0001F6A8 ' || symbol ||
            + _py_commas("CAST(volume AS DOUBLE)") + " || ' is above your threshold of ' || " + _py_commas("threshold")
            + " END")
 
+_NO_DETAILS = ", ".join("NULL" for _ in DETAILS)
 ALERTS = f"""all_dets AS (
-    SELECT symbol, time, event_id, price, alert_type, severity, CAST(NULL AS VARCHAR) AS message,
-           std, z_score, upper_band, lower_band, current_volume, rolling_mean_volume FROM dets
+    SELECT symbol, time, event_id, price, alert_type, severity, CAST(NULL AS VARCHAR) AS message, CAST(NULL AS DOUBLE) AS value,
+           CAST(NULL AS VARCHAR) AS rule_key, {", ".join(DETAILS)} FROM dets
     UNION ALL
-    SELECT symbol, time, event_id, price, 'USER_RULE', 'high', {MESSAGE}, NULL, NULL, NULL, NULL, NULL, NULL FROM fired),
+    SELECT symbol, time, event_id, price, 'USER_RULE', 'high', {MESSAGE}, value, rule_key, {_NO_DETAILS} FROM fired),
 alerts_once AS (
-    SELECT sha256(concat_ws('_', symbol, alert_type, event_id, message)) AS event_id, time, symbol, alert_type, severity,
+    SELECT sha256(concat_ws('_', symbol, alert_type, event_id, rule_key)) AS event_id, time, symbol, alert_type, severity,
            coalesce(message, 'Threshold breached') AS message, price AS trigger_price, CAST(NULL AS BIGINT) AS trigger_volume,
            CAST(NULL AS DOUBLE) AS zscore, CAST(NULL AS DOUBLE) AS reference_value, CAST(NULL AS INTEGER) AS window_sec,
-           event_id AS source_event_id, std, z_score, upper_band, lower_band, current_volume, rolling_mean_volume
+           event_id AS source_event_id, value, {", ".join(DETAILS)}
     FROM all_dets),
-alerts AS (SELECT * FROM alerts_once
-           UNION ALL SELECT * FROM alerts_once WHERE CAST(source_event_id AS BIGINT) % 7 = 0)"""
+deliveries AS (SELECT *, CAST(source_event_id AS BIGINT) AS arrival FROM alerts_once
+    UNION ALL
+    SELECT * REPLACE ('again: ' || message AS message, 'low' AS severity), CAST(source_event_id AS BIGINT) + 1000000000000
+    FROM alerts_once WHERE CAST(source_event_id AS BIGINT) % 7 = 0),
+alerts AS (SELECT * FROM deliveries QUALIFY row_number() OVER (PARTITION BY event_id, time ORDER BY arrival) = 1)"""
 
 # Fragment library: name -> SQL body. Order matters (dependencies first).
 BASE = {
@@ -169,18 +194,20 @@ def candles_cte(w: int, src: str = "ticks", name: str | None = None) -> str:
     return cte(name or f"candles_{w}", _candles(src, w))
 
 
-def alerts_ctes() -> list[str]:
-    return [ticks_cte(), cte("stats", _stats("ticks")),
-            cte("dets", _dets("stats", "source <> 'yfinance-backfill'")), RULES, COOLDOWN, ALERTS]
+def dets_ctes() -> list[str]:
+    return [ticks_cte("ticks_burst"), cte("stats", _stats("ticks_burst")),
+            cte("dets", _dets("stats", "source <> 'yfinance-backfill'"))]
 
 
-JOINED_DESC = "time DESC, al_time DESC NULLS LAST, anomaly_type DESC NULLS LAST, al_event_id DESC NULLS LAST"
-JOINED_ASC = "time ASC, al_time ASC NULLS FIRST, anomaly_type ASC NULLS FIRST, al_event_id ASC NULLS FIRST"
+def alerts_ctes() -> list[str]:
+    """The alert history: detections on the bursting ticks, delivered with repeats, first arrivals kept."""
+    return [ticks_cte(), *dets_ctes(), _rules("ticks_burst"), COOLDOWN, ALERTS]
 
 
+JOINED_DESC = "time DESC, al_time DESC NULLS LAST, anomaly_type DESC NULLS LAST, al_event_id DESC NULLS LAST"
 def joined_cte(w: int, limit: int, name: str, symbol_filter: str = "") -> str:
     w_us = w * 1_000_000
-    return cte(name, f"""SELECT * FROM (
+    return cte(name, f"""SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY {JOINED_DESC}) AS rk FROM (
         SELECT c.symbol, c.time, c.open, c.high, c.low, c.close, c.volume, c.vwap, c.trade_count,
                a.alert_type AS anomaly_type, coalesce(a.severity, 'normal') AS severity,
                a.trigger_price AS anomaly_value, a.time AS al_time, a.event_id AS al_event_id
@@ -240,23 +267,61 @@ ALERT_REASONS = """concat_ws(',',
     CASE WHEN window_sec IS NOT NULL AND window_sec <= 0 THEN 'window_sec' END)"""
 
 
+def _json_object(fields: list[tuple[str, str]]) -> str:
+    return "'{' || concat_ws(', ', " + ", ".join(f"""'"{n}": ' || ({v})""" for n, v in fields) + ") || '}'"
+
+
+def _quoted(v: str) -> str:
+    return f"""'"' || ({v}) || '"'"""
+
+
 def _json_msgs() -> str:
     m = "event_id % 50"
-    body = (f"json_object('event_id', CAST(event_id AS VARCHAR), 'timestamp', epoch_us(ts) / 1e6, "
-            f"'symbol', event_type, 'price', CASE WHEN {m} = 11 THEN NULL ELSE value END, "
-            f"'volume', {K}, 'source', {SOURCE})")
-    return f"""SELECT event_id AS offset, upper(trim(event_type)) AS key,
-           CASE WHEN {m} = 7 THEN substr(CAST({body} AS VARCHAR), 1, 20) ELSE CAST({body} AS VARCHAR) END AS value
-    FROM events"""
+    epoch, value, k = "CAST(epoch_us(ts) / 1e6 AS VARCHAR)", "CAST(value AS VARCHAR)", f"CAST({K} AS VARCHAR)"
+    iso = "strftime(CAST(ts AS TIMESTAMP), '%Y-%m-%dT%H:%M:%S.%fZ')"
+    time = (f"CASE WHEN {m} = 13 THEN {_quoted(iso)} WHEN {m} = 37 THEN {_quoted(epoch)} WHEN {m} = 41 THEN '\"soon\"' "
+            f"WHEN {m} <> 31 THEN {epoch} END")
+    price = f"CASE WHEN {m} = 11 THEN 'null' WHEN {m} = 19 THEN {_quoted(value)} WHEN {m} = 23 THEN '\"n/a\"' ELSE {value} END"
+    volume = f"CASE WHEN {m} = 17 THEN {k} || '.5' WHEN {m} = 43 THEN {_quoted(k)} WHEN {m} = 47 THEN '\"many\"' ELSE {k} END"
+    ident = f"CASE WHEN {m} <> 29 THEN {_quoted('CAST(event_id AS VARCHAR)')} END"
+    body = _json_object([("event_id", ident), ("timestamp", time), ("symbol", _quoted("event_type")), ("price", price),
+                         ("volume", volume), ("source", _quoted(SOURCE))])
+    return f"""SELECT event_id AS "offset", CASE WHEN {m} = 7 THEN substr({body}, 1, 20) ELSE {body} END AS value FROM events"""
+
+
+def _number(x: str) -> str:
+    """A number sent as such or as text."""
+    return (f"CASE WHEN regexp_full_match(trim({x}), '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') "
+            f"THEN TRY_CAST(trim({x}) AS DOUBLE) END")
+
+
+def _wire_time(x: str) -> str:
+    return (f"coalesce(make_timestamp(CAST(round(({_number(x)}) * 1e6) AS BIGINT)), "
+            f"TRY_CAST(CASE WHEN {x} LIKE '%Z' THEN replace({x}, 'Z', '') END AS TIMESTAMP), {AS_OF})")
+
 
+def _sent(*names: str) -> str:
+    """Fields of the well-formed messages, as text."""
+    return ("SELECT *, " + ", ".join(f"CASE WHEN json_valid(value) THEN json_extract_string(value, '$.{n}') END AS {n}" for n in names)
+            + ", json_valid(value) AS ok FROM msgs")
 
-PARSED = """SELECT json_extract_string(value, '$.event_id') AS event_id,
-           CAST(json_extract(value, '$.timestamp') AS DOUBLE) AS timestamp,
-           json_extract_string(value, '$.symbol') AS symbol,
-           CAST(json_extract(value, '$.price') AS DOUBLE) AS price,
-           CAST(json_extract(value, '$.volume') AS BIGINT) AS volume,
-           json_extract_string(value, '$.source') AS source
-    FROM msgs WHERE json_valid(value)"""
+
+PARSED = (_sent("event_id", "timestamp", "symbol", "price", "volume", "source"))
+REASON = (f"CASE WHEN NOT ok THEN 'json' ELSE concat_ws(',', CASE WHEN symbol IS NULL THEN 'symbol' END, "
+          f"CASE WHEN ({_number('price')}) IS NULL THEN 'price' END, CASE WHEN ({_number('volume')}) IS NULL THEN 'volume' END) END")
+
+
+def _alert_msgs() -> str:
+    m = "CAST(source_event_id AS BIGINT) % 11"
+    epoch, price = "CAST(epoch_us(time) / 1e6 AS VARCHAR)", "CAST(trigger_price AS VARCHAR)"
+    when = (f"CASE WHEN {m} = 1 THEN {_quoted("strftime(time, '%Y-%m-%dT%H:%M:%S.%fZ')")} "
+            f"WHEN {m} = 5 THEN {_quoted(epoch)} WHEN {m} = 6 THEN '\"soon\"' ELSE {epoch} END")
+    body = _json_object([("event_id", f"CASE WHEN {m} <> 3 THEN {_quoted('event_id')} END"), ("timestamp", when),
+                         ("symbol", _quoted("symbol")), ("alert_type", _quoted("alert_type")), ("severity", _quoted("severity")),
+                         ("message", f"CASE WHEN {m} <> 7 THEN {_quoted('message')} END"),
+                         ("trigger_price", f"CASE WHEN {m} = 8 THEN {_quoted(price)} ELSE {price} END"),
+                         ("trigger_volume", f"CASE WHEN {m} = 2 THEN '12.5' WHEN {m} = 9 THEN '\"34\"' END")])
+    return f"SELECT CASE WHEN {m} = 4 THEN substr({body}, 1, 30) ELSE {body} END AS value FROM alerts"
 
 
 def _ema_sql(src: str, keys: str) -> str:
@@ -294,6 +359,22 @@ def queries_sql() -> dict[str, str]:
            round(count(*) / 10.0, 2) AS mps, count(*) AS total_processed, 'running' AS status
     FROM events GROUP BY event_type, epoch_us(CAST(ts AS TIMESTAMP)) // 10000000"""
 
+    q["throughput_grid"] = """WITH beats AS (
+            SELECT event_type AS service_name, (epoch_us(CAST(ts AS TIMESTAMP)) // 900000000 + 1) * 900000000 AS e, count(*) AS n
+            FROM events GROUP BY 1, 2),
+        grid AS (SELECT service_name, unnest(range(lo, hi + 1, 900000000)) AS e
+                 FROM (SELECT service_name, min(e) AS lo, max(e) AS hi FROM beats GROUP BY 1))
+    SELECT service_name, make_timestamp(CAST(e AS BIGINT)) AS interval_end, round(coalesce(n, 0) / 900.0, 2) AS mps,
+           coalesce(n, 0) AS total_processed, CASE WHEN n IS NULL THEN 'idle' ELSE 'running' END AS status,
+           (SELECT count(DISTINCT upper(trim(event_type))) FROM events) AS symbols_tracked
+    FROM grid LEFT JOIN beats USING (service_name, e)"""
+    q["nan_to_null"] = "SELECT event_id, CASE WHEN event_id % 7 <> 0 AND event_id % 11 <> 0 THEN value END AS value, event_type FROM events"
+    kinds = {"eighth": "round(value) / 8", "near": "value + 0.005", "large": "value * 1234567.0", "tiny": "-value / 1e7", "wide": "value * 1e15"}
+    shown = [f"'$' || printf('%.2f', {x}) AS {n}_money, printf('%.4f', {x}) AS {n}_fixed" for n, x in kinds.items() if n != "wide"]
+    shown += [f"CAST({x} AS VARCHAR) AS {n}_repr" for n, x in kinds.items()]
+    shown += [f"format('{{:,}}', {kinds[n]}) AS {n}_commas" for n in ("large", "eighth")]
+    q["number_formats"] = (f"SELECT event_id, {', '.join(shown)} FROM events")
+
     dirty = cte("dirty", _dirty())
     q["normalize_symbol"] = _with(dirty) + "SELECT event_id, symbol AS raw_symbol, upper(trim(symbol)) AS symbol FROM dirty"
     q["validate_ticks"] = _with(dirty) + \
@@ -303,8 +384,19 @@ def queries_sql() -> dict[str, str]:
                                   cte("c", "SELECT * FROM candles_60 UNION ALL SELECT * FROM candles_300 "
                                            "UNION ALL SELECT * FROM candles_900")) + \
         f"SELECT time, symbol, window_sec, {CANDLE_REASONS} AS reasons, {CANDLE_REASONS} = '' AS is_valid FROM c"
-    q["validate_alerts"] = _with(*alerts_ctes()) + \
-        f"SELECT event_id, time, symbol, alert_type, {ALERT_REASONS} AS reasons, {ALERT_REASONS} = '' AS is_valid FROM alerts"
+    m = "CAST(source_event_id AS BIGINT) % 13"
+    q["validate_alerts"] = _with(*alerts_ctes(), cte("dirty_alerts", f"""SELECT * REPLACE (
+            CASE WHEN {m} = 1 THEN '' ELSE event_id END AS event_id,
+            CASE WHEN {m} = 2 THEN TIMESTAMP '1970-01-01 00:00:00' ELSE time END AS time,
+            CASE WHEN {m} = 3 THEN '  ' WHEN {m} = 10 THEN ' ' || lower(symbol) || ' ' ELSE symbol END AS symbol,
+            CASE WHEN {m} = 4 THEN '' ELSE alert_type END AS alert_type,
+            CASE WHEN {m} <> 5 THEN severity END AS severity,
+            CASE WHEN {m} = 6 THEN '' ELSE message END AS message,
+            CASE WHEN {m} = 7 THEN -1.0 ELSE trigger_price END AS trigger_price,
+            CASE WHEN {m} = 8 THEN -1 ELSE trigger_volume END AS trigger_volume,
+            CASE WHEN {m} = 9 THEN 0 ELSE window_sec END AS window_sec) FROM alerts""")) + \
+        f"""SELECT event_id, time, upper(trim(symbol)) AS symbol, alert_type, severity, {ALERT_REASONS} AS reasons,
+                   {ALERT_REASONS} = '' AS is_valid FROM dirty_alerts"""
     q["stale_flag"] = _with(ticks_cte()) + \
         f"SELECT event_id, symbol, time, source, (epoch_us({AS_OF}) - epoch_us(time)) > 300000000 " \
         "AND source <> 'yfinance-backfill' AS is_stale FROM ticks"
@@ -329,19 +421,23 @@ def queries_sql() -> dict[str, str]:
             round({JUMP_DEV}, 3) AS deviation_sigmas, CAST(3.0 AS DOUBLE) AS threshold_sigmas
         FROM stats WHERE {JUMP_READY} AND {JUMP_DEV} >= 3.0"""
 
-    q["detections_all"] = _with(ticks_cte(), cte("stats", _stats("ticks")),
-                                cte("dets", _dets("stats", "source <> 'yfinance-backfill'")), RULES, COOLDOWN) + \
+    q["bollinger_chunked"] = q["bollinger"]
+    q["detections_all"] = _with(*dets_ctes(), _rules("ticks_burst"), COOLDOWN) + \
         f"""SELECT symbol, time, event_id, 0 AS seq, 'USER_RULE' AS alert_type, 'high' AS severity, {MESSAGE} AS message,
                   value FROM fired
             UNION ALL
             SELECT symbol, time, event_id, seq, alert_type, severity, NULL, NULL FROM dets"""
     q["build_alerts"] = _with(*alerts_ctes()) + \
-        "SELECT event_id, time, symbol, alert_type, severity, message, trigger_price FROM alerts_once"
-    q["alert_envelope"] = _with(ticks_cte(), cte("stats", _stats("ticks")),
-                                cte("dets", _dets("stats", "source <> 'yfinance-backfill'"))) + \
+        "SELECT event_id, time, symbol, alert_type, severity, message, trigger_price FROM alerts"
+    q["alert_metadata"] = _with(*alerts_ctes()) + " UNION ALL ".join(
+        f"SELECT event_id, '{n}' AS key, CAST({n} AS VARCHAR) AS value FROM alerts WHERE {n} IS NOT NULL" for n in [*DETAILS, "value"])
+    parts = ["'\"type\": \"' || alert_type || '\"'", "'\"severity\": \"' || severity || '\"'"]
+    parts += [f"""'"{n}": ' || {_quoted(n) if n == "direction" else f"CAST({n} AS VARCHAR)"}""" for n in DETAILS]
+    q["alert_envelope"] = _with(*dets_ctes()) + \
         f"""SELECT concat_ws('_', symbol, alert_type, strftime(time, '%Y-%m-%dT%H:%M:%S.%f')) AS alert_id,
                   symbol AS ticker, strftime(time, '%Y-%m-%dT%H:%M:%S.%f') AS detected_at,
-                  strftime({AS_OF}, '%Y-%m-%dT%H:%M:%S.%f') AS published_at, alert_type AS anomaly_type, severity
+                  strftime({AS_OF}, '%Y-%m-%dT%H:%M:%S.%f') AS published_at, alert_type AS anomaly_type, severity,
+                  '{{' || concat_ws(', ', {", ".join(parts)}) || '}}' AS details
            FROM dets"""
     q["rule_match"] = _with(ticks_cte(), RULES) + \
         "SELECT event_id, symbol, time, rule_id, rule_type, threshold, value, rule_key FROM hits"
@@ -349,6 +445,8 @@ def queries_sql() -> dict[str, str]:
         f"SELECT event_id, rule_id, 'USER_RULE' AS alert_type, 'high' AS severity, {MESSAGE} AS message FROM hits"
     q["rule_cooldown"] = _with(ticks_cte(), RULES, COOLDOWN) + \
         "SELECT event_id, symbol, time, rule_id, rule_key FROM fired"
+    q["rule_cooldown_chunked"] = _with(ticks_cte("ticks_burst"), _rules("ticks_burst"), _cooldown(7200)) + \
+        "SELECT event_id, symbol, time, rule_id, rule_key FROM fired"
     q["rules_current"] = """WITH log AS (
         SELECT user_id AS id, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'add' END AS op,
                upper(trim(event_type)) AS symbol,
@@ -370,18 +468,21 @@ def queries_sql() -> dict[str, str]:
     q["heatmap_long"] = _with(*serve60, universe,
                               joined_cte(60, 20, "j", "WHERE c.symbol IN (SELECT symbol FROM universe)")) + \
         "SELECT symbol, time, severity FROM j"
+    q["heatmap_json"] = _with(*serve60, universe, joined_cte(60, 20, "j", "WHERE c.symbol IN (SELECT symbol FROM universe)")) + \
+        """SELECT symbol, '[' || string_agg('{"time":"' || strftime(time, '%Y-%m-%d %H:%M:%S') || '+00:00","severity":"' || severity || '"}',
+                  ',' ORDER BY rk DESC) || ']' AS timeline FROM j GROUP BY symbol"""
     dd = [*alerts_ctes(), candles_cte(300), joined_cte(300, 100, "j"),
           cte("dd", f"""SELECT *,
                 CASE WHEN count(*) OVER w = 20 THEN avg(close) OVER w END AS ma,
                 CASE WHEN count(*) OVER w = 20 THEN stddev_samp(close) OVER w END AS std
-            FROM j WINDOW w AS (PARTITION BY symbol ORDER BY {JOINED_ASC} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"""),
+            FROM j WINDOW w AS (PARTITION BY symbol ORDER BY rk DESC ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"""),
           cte("dd2", """SELECT *, ma + std * 2 AS upper, ma - std * 2 AS lower,
                 CASE WHEN std = 0 THEN NULL ELSE (close - ma) / std END AS z_score FROM dd""")]
     dd_cols = ("symbol, time, open, high, low, close, volume, anomaly_type, severity, anomaly_value, ma, std, upper, "
                "lower, z_score")
     q["deep_dive"] = _with(*dd) + f"SELECT {dd_cols} FROM dd2"
     q["deep_dive_history"] = _with(*dd) + f"""SELECT {dd_cols} FROM dd2 WHERE severity <> 'normal'
-        QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY {JOINED_DESC}) <= 5"""
+        QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY rk) <= 5"""
     q["alerts_history"] = _with(*alerts_ctes(), cte("page", "SELECT * FROM alerts ORDER BY time DESC, event_id DESC LIMIT 200")) + \
         f"""SELECT time, symbol, alert_type, severity, message, trigger_price, count(*) OVER () AS total
            FROM page WHERE symbol = '{FOCUS_SYMBOL}' AND severity = 'high'"""
@@ -417,6 +518,7 @@ def queries_sql() -> dict[str, str]:
            QUALIFY count(*) OVER w = 20
            UNION ALL
            SELECT time, symbol, window_sec, 'EMA', ema FROM e"""
+    q["moving_averages_chunked"] = q["moving_averages"]
     ny = "timezone('America/New_York', time AT TIME ZONE 'UTC')"
     q["market_open"] = _with(ticks_cte()) + f"""SELECT event_id, time,
             isodow({ny}) <= 5 AND hour({ny}) * 60 + minute({ny}) >= 570 AND hour({ny}) * 60 + minute({ny}) < 960 AS is_open
@@ -445,31 +547,52 @@ def queries_sql() -> dict[str, str]:
                 'ts', CAST(floor(epoch_us(time) / 1000000) AS BIGINT))]) AS VARCHAR) AS payload
         FROM routed WHERE channel = 'chat'"""
     subject = "'[' || upper(severity) || '] Market Alert — ' || symbol || ' / ' || alert_type"
-    q["mail_outbox"] = _with(*alerts_ctes(), routed) + \
-        f"SELECT event_id, symbol, severity, {subject} AS subject, 'Market Alert: ' || {subject} || chr(10) || chr(10) || message AS text " \
-        "FROM routed WHERE channel = 'mail'"
+    cell = lambda k, v: (f"""'<tr><td style=''padding:4px 12px;font-weight:bold''>{k}</td><td style=''padding:4px 12px''>' """
+                         f"""|| {v} || '</td></tr>'""")
+    html_rows = [cell("Symbol", "symbol"), cell("Alert Type", "alert_type"), cell("Severity", "upper(severity)"), cell("Message", "message"),
+                 cell("Trigger Price", "'$' || printf('%.4f', trigger_price)"), cell("Trigger Volume", "format('{:,}', trigger_volume)"),
+                 cell("Z-Score", "printf('%.2f', zscore)"), cell("Reference Value", "printf('%.4f', reference_value)"),
+                 cell("Window", "CAST(window_sec AS VARCHAR) || 's'"), cell("Event ID", "event_id")]
+    q["mail_outbox"] = _with(*alerts_ctes(), routed) + f"""SELECT event_id, symbol, severity, {subject} AS subject,
+            'Market Alert: ' || {subject} || chr(10) || chr(10) || message AS text,
+            chr(10) || '<html><body>' || chr(10) || '<h2 style=''color:#cc0000''>Market Alert — ' || symbol || '</h2>' || chr(10)
+                || '<table border=''0'' cellpadding=''0'' cellspacing=''0''>' || chr(10) || concat_ws('', {", ".join(html_rows)})
+                || chr(10) || '</table>' || chr(10) || '</body></html>' || chr(10) AS html
+        FROM routed WHERE channel = 'mail'"""
     q["recipients"] = _with(*alerts_ctes(), routed) + f"""SELECT event_id, {subject} AS subject, r AS recipient
         FROM routed, unnest(string_split('{RECIPIENTS}', ',')) t(r)
         WHERE channel = 'mail' AND trim(r) <> ''"""
 
     msgs = cte("msgs", _json_msgs())
-    q["decode_ticks"] = _with(msgs, cte("parsed", PARSED)) + """SELECT event_id, timestamp,
-            make_timestamp(CAST(round(timestamp * 1e6) AS BIGINT)) AS time, symbol, price, volume, source
-        FROM parsed WHERE symbol IS NOT NULL AND price IS NOT NULL AND volume IS NOT NULL"""
-    q["ticks_persist"] = _with(msgs, cte("parsed", PARSED)) + """SELECT
-            coalesce(make_timestamp(CAST(round(timestamp * 1e6) AS BIGINT)), %s) AS time, symbol,
-            coalesce(price, 0.0) AS price, CAST(coalesce(volume, 0) AS INTEGER) AS volume,
+    q["decode_ticks"] = _with(msgs, cte("parsed", PARSED)) + f"""SELECT event_id, epoch_us(time) / 1e6 AS timestamp, time, symbol,
+            price, volume, source
+        FROM (SELECT event_id, {_wire_time('timestamp')} AS time, symbol, {_number('price')} AS price, {_number('volume')} AS volume,
+                     source FROM parsed WHERE {REASON} = '')"""
+    q["decode_rejects"] = _with(msgs, cte("parsed", PARSED)) + f"SELECT \"offset\", {REASON} AS reason FROM parsed WHERE {REASON} <> ''"
+    q["encode_decode"] = _with(ticks_cte()) + \
+        "SELECT event_id, time, symbol, price, CAST(volume AS DOUBLE) AS volume, source, bid FROM ticks"
+    q["ticks_persist"] = _with(msgs, cte("parsed", PARSED)) + f"""SELECT
+            coalesce(make_timestamp(CAST(round(({_number('timestamp')}) * 1e6) AS BIGINT)), {AS_OF}) AS time, symbol,
+            coalesce({_number('price')}, 0.0) AS price, CAST(trunc(coalesce({_number('volume')}, 0)) AS INTEGER) AS volume,
             coalesce(source, 'unknown') AS source, coalesce(event_id, 'none') AS event_id
-        FROM parsed""" % AS_OF
-    q["alert_dedup"] = _with(*alerts_ctes()) + """SELECT DISTINCT event_id, time, symbol, alert_type, severity, trigger_price
-        FROM alerts"""
+        FROM parsed WHERE ok AND (price IS NULL OR ({_number('price')}) IS NOT NULL)
+                         AND (volume IS NULL OR ({_number('volume')}) IS NOT NULL)"""
+    q["decode_alerts"] = _with(*alerts_ctes(), cte("msgs", _alert_msgs()), cte("parsed", _sent(
+        "event_id", "timestamp", "symbol", "alert_type", "severity", "message", "trigger_price", "trigger_volume"))) + \
+        f"""SELECT coalesce(event_id, 'none') AS event_id, {_wire_time('timestamp')} AS time, symbol, alert_type, severity,
+                  coalesce(message, 'Anomaly detected') AS message, {_number('trigger_price')} AS trigger_price,
+                  CAST(trunc({_number('trigger_volume')}) AS BIGINT) AS trigger_volume
+           FROM parsed WHERE ok"""
+    kept = "event_id, time, symbol, alert_type, severity, message"
+    q["alert_dedup"] = _with(*alerts_ctes()) + f"SELECT {kept}, trigger_price FROM alerts"
+    q["alert_insert"] = _with(*alerts_ctes()) + f"SELECT {kept}, arrival FROM alerts"
     q["alert_enrich"] = _with(*alerts_ctes()) + """SELECT event_id, time,
             coalesce(nullif(trigger_volume, 0), current_volume) AS trigger_volume,
             coalesce(nullif(zscore, 0), nullif(z_score, 0), std) AS zscore,
             coalesce(nullif(reference_value, 0), nullif(upper_band, 0), nullif(lower_band, 0), rolling_mean_volume)
                 AS reference_value,
             CAST(window_sec AS DOUBLE) AS window_sec
-        FROM alerts_once"""
+        FROM alerts"""
     bars = cte("bars", "SELECT time, symbol, close, volume FROM candles_60")
     q["backfill_tail"] = _with(ticks_cte(), candles_cte(60), bars) + """SELECT time, symbol, close AS price, volume,
             'yfinance-backfill' AS source FROM (SELECT * FROM bars

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickspark.functions.timefn import parse_epoch_or_iso
+from tickspark.functions.values import wire_number
 from tickspark.schemas import ALERT_WIRE_SCHEMA, TICK_WIRE_SCHEMA
 
 
@@ -41,54 +43,75 @@ def write_stream(df: DataFrame, topic: str, bootstrap: str, checkpoint: str):
             .start())
 
 
-def decode_ticks(messages: DataFrame, value_col: str = "value") -> DataFrame:
+def decode_ticks(messages: DataFrame, value_col: str = "value", now: Column | None = None) -> DataFrame:
     """Parse JSON ticks. Unparsable messages and messages without symbol,
     price or volume are dropped (see ``decode_ticks_with_rejects`` to keep
-    them). The wire timestamp (epoch seconds) becomes ``time``."""
-    good, _ = decode_ticks_with_rejects(messages, value_col)
-    return good
+    them)."""
+    return decode_ticks_with_rejects(messages, value_col, now)[0]
 
 
-def _parsed(messages: DataFrame, value_col: str, schema) -> DataFrame:
-    """PERMISSIVE parse; malformed text sets ``_m._corrupt`` instead of failing."""
-    with_corrupt = T.StructType(list(schema.fields) + [T.StructField("_corrupt", T.StringType())])
-    return messages.withColumn("_m", F.from_json(F.col(value_col), with_corrupt,
+def _parsed(messages: DataFrame, value_col: str, schema: T.StructType) -> DataFrame:
+    """PERMISSIVE parse with every scalar as text, as it was sent, so that no field's type can lose the
+    message; malformed text sets ``_m._corrupt``."""
+    fields = [T.StructField(f.name, f.dataType if isinstance(f.dataType, T.MapType) else T.StringType()) for f in schema.fields]
+    typed = T.StructType(fields + [T.StructField("_corrupt", T.StringType())])
+    return messages.withColumn("_m", F.from_json(F.col(value_col), typed,
                                                  {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
 
 
-def _wire_time(seconds: Column) -> Column:
-    return F.timestamp_micros(F.round(seconds * F.lit(1e6)).cast("long"))
+def _malformed() -> Column:
+    return F.col("_m").isNull() | F.col("_m._corrupt").isNotNull()
 
 
 def parse_ticks(messages: DataFrame, value_col: str = "value") -> DataFrame:
-    """Every well-formed JSON tick with its fields as sent (missing -> null);
+    """Every well-formed JSON tick with its fields as sent (text; missing -> null);
     malformed messages are left out (the sink logs and skips them)."""
     p = _parsed(messages, value_col, TICK_WIRE_SCHEMA)
-    return p.filter(F.col("_m").isNotNull() & F.col("_m._corrupt").isNull()).select(
-        *[F.col(f"_m.{f.name}").alias(f.name) for f in TICK_WIRE_SCHEMA.fields])
+    return p.filter(~_malformed()).select(*[F.col(f"_m.{f.name}").alias(f.name) for f in TICK_WIRE_SCHEMA.fields])
 
 
-def decode_ticks_with_rejects(messages: DataFrame, value_col: str = "value") -> tuple[DataFrame, DataFrame]:
+def decode_ticks_with_rejects(messages: DataFrame, value_col: str = "value",
+                              now: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(ticks, rejects). Numbers may come as numbers or text, volumes with a fraction, times as epoch seconds
+    or ISO text; a missing or unreadable time is ``now`` (null without one). Rejects are the messages
+    as they came with ``reason``: 'json', or the fields missing or unreadable."""
     p = _parsed(messages, value_col, TICK_WIRE_SCHEMA)
-    ok = F.col("_m._corrupt").isNull() & F.col("_m.symbol").isNotNull() & F.col("_m.price").isNotNull() & F.col("_m.volume").isNotNull()
-    good = p.filter(ok).select(
+    price, volume = wire_number("_m.price"), wire_number("_m.volume")
+    time = parse_epoch_or_iso("_m.timestamp", now)
+    faults = F.concat_ws(",", F.when(F.col("_m.symbol").isNull(), F.lit("symbol")), F.when(price.isNull(), F.lit("price")),
+                         F.when(volume.isNull(), F.lit("volume")))
+    p = p.withColumn("reason", F.when(_malformed(), F.lit("json")).otherwise(faults))
+    good = p.filter(F.col("reason") == "").select(
         F.col("_m.event_id").alias("event_id"),
-        F.col("_m.timestamp").alias("timestamp"),
-        _wire_time(F.col("_m.timestamp")).alias("time"),
+        (F.unix_micros(time) / F.lit(1e6)).alias("timestamp"),
+        time.alias("time"),
         F.col("_m.symbol").alias("symbol"),
-        F.col("_m.price").alias("price"),
-        F.col("_m.volume").alias("volume"),
+        price.alias("price"),
+        volume.alias("volume"),
         F.col("_m.source").alias("source"),
-        F.col("_m.bid").alias("bid"),
-        F.col("_m.ask").alias("ask"))
-    rejects = p.filter(~F.coalesce(ok, F.lit(False))).drop("_m")
-    return good, rejects
+        wire_number("_m.bid").alias("bid"),
+        wire_number("_m.ask").alias("ask"))
+    return good, p.filter(F.col("reason") != "").drop("_m")
 
 
 def decode_alerts(messages: DataFrame, value_col: str = "value") -> DataFrame:
+    return decode_alerts_with_rejects(messages, value_col)[0]
+
+
+def decode_alerts_with_rejects(messages: DataFrame, value_col: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(alerts, rejects). Every well-formed message is an alert: numbers as in ticks (unreadable ones are null),
+    whole-number fields lose a fraction, a missing id is 'none', ``timestamp`` stays text for
+    ``sinks.alert_time``. Rejects carry ``reason`` 'json'."""
     p = _parsed(messages, value_col, ALERT_WIRE_SCHEMA)
-    return p.filter(F.col("_m").isNotNull() & F.col("_m._corrupt").isNull() & F.col("_m.event_id").isNotNull()) \
-            .select(*[F.col(f"_m.{f.name}").alias(f.name) for f in ALERT_WIRE_SCHEMA.fields])
+    cols = []
+    for f in ALERT_WIRE_SCHEMA.fields:
+        c = F.col(f"_m.{f.name}")
+        if f.name == "event_id":
+            c = F.coalesce(c, F.lit("none"))
+        elif isinstance(f.dataType, (T.DoubleType, T.LongType, T.IntegerType)):
+            c = wire_number(f"_m.{f.name}").try_cast(f.dataType)
+        cols.append(c.alias(f.name))
+    return p.filter(~_malformed()).select(*cols), p.filter(_malformed()).drop("_m").withColumn("reason", F.lit("json"))
 
 
 def encode_events(df: DataFrame, key_col: str = "symbol", time_col: str | None = "time") -> DataFrame:

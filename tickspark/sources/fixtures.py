@@ -29,6 +29,7 @@ RULE_TEMPLATES = [
     (2, "volume_above", 90.0),
     (3, "volume_spike", 3.0),
     (4, "price_above", 100.0),
+    (5, "price_above", 250.125),
 ]
 JSON_MOD = 50
 
@@ -97,22 +98,67 @@ def ticks_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ticks_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wire messages (``value`` JSON text, ``key`` symbol). Every 50th message
-    (event_id % 50 = 7) is cut in half, every 50th (% 50 = 11) lacks a price."""
+    """Wire messages (``value`` JSON text, ``key`` symbol) in the forms senders use, by event_id % 50.
+
+    7: cut short, 11: price null, 13: ISO time, 17: volume with a fraction, 19: price as text, 23: price
+    'n/a', 29: no event_id, 31: no timestamp, 37: epoch as text, 41: unreadable time, 43: volume as text,
+    47: volume 'many'."""
     ev = table(spark, sf_dir, "events")
     m = F.col("event_id") % JSON_MOD
-    body = F.to_json(F.struct(
-        F.col("event_id").cast("string").alias("event_id"),
-        epoch_seconds_double(F.col("ts").cast("timestamp")).alias("timestamp"),
-        F.col("event_type").alias("symbol"),
-        F.when(m == 11, F.lit(None).cast("double")).otherwise(F.col("value")).alias("price"),
-        _volume_k().alias("volume"),
-        F.when(F.col("event_id") % 10 == 0, F.lit(BACKFILL_SOURCE)).otherwise(F.lit(LIVE_SOURCE)).alias("source"),
-    ))
+    ts = F.col("ts").cast("timestamp")
+    epoch, value, k = epoch_seconds_double(ts).cast("string"), F.col("value").cast("string"), _volume_k().cast("string")
+    time = (F.when(m == 13, _text(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))).when(m == 37, _text(epoch))
+            .when(m == 41, _text(F.lit("soon"))).when(m != 31, epoch))
+    price = F.when(m == 11, F.lit("null")).when(m == 19, _text(value)).when(m == 23, _text(F.lit("n/a"))).otherwise(value)
+    volume = F.when(m == 17, F.concat(k, F.lit(".5"))).when(m == 43, _text(k)).when(m == 47, _text(F.lit("many"))).otherwise(k)
+    source = F.when(F.col("event_id") % 10 == 0, F.lit(BACKFILL_SOURCE)).otherwise(F.lit(LIVE_SOURCE))
+    body = _object([("event_id", F.when(m != 29, _text(F.col("event_id").cast("string")))), ("timestamp", time),
+                    ("symbol", _text(F.col("event_type"))), ("price", price), ("volume", volume), ("source", _text(source))])
     value = F.when(m == 7, F.substring(body, 1, 20)).otherwise(body)
     return ev.select(F.col("event_id").alias("offset"), F.upper(F.trim("event_type")).alias("key"), value.alias("value"))
 
 
+def _text(c: F.Column) -> F.Column:
+    return F.concat(F.lit('"'), c, F.lit('"'))
+
+
+def _object(fields: list[tuple[str, F.Column]]) -> F.Column:
+    """JSON text of the fields that are there."""
+    return F.concat(F.lit("{"), F.concat_ws(", ", *[F.concat(F.lit(f'"{n}": '), v) for n, v in fields]), F.lit("}"))
+
+
+def alerts_json(alerts: DataFrame) -> DataFrame:
+    """Alert messages by source_event_id % 11. 1: ISO time, 2: volume with a fraction, 3: no event_id, 4: cut
+    short, 5: epoch as text, 6: unreadable time, 7: no message, 8: price as text, 9: volume as text."""
+    n = F.col("source_event_id").cast("long")
+    m = n % 11
+    epoch, price = epoch_seconds_double("time").cast("string"), F.col("trigger_price").cast("string")
+    time = (F.when(m == 1, _text(F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))).when(m == 5, _text(epoch))
+            .when(m == 6, _text(F.lit("soon"))).otherwise(epoch))
+    body = _object([("event_id", F.when(m != 3, _text(F.col("event_id")))), ("timestamp", time), ("symbol", _text(F.col("symbol"))),
+                    ("alert_type", _text(F.col("alert_type"))), ("severity", _text(F.col("severity"))),
+                    ("message", F.when(m != 7, _text(F.col("message")))),
+                    ("trigger_price", F.when(m == 8, _text(price)).otherwise(price)),
+                    ("trigger_volume", F.when(m == 2, F.lit("12.5")).when(m == 9, _text(F.lit("34"))))])
+    return alerts.select(n.alias("offset"), F.when(m == 4, F.substring(body, 1, 30)).otherwise(body).alias("value"))
+
+
+def alerts_dirty(alerts: DataFrame) -> DataFrame:
+    """Alerts spoiled by source_event_id % 13. 1: no id, 2: epoch 0, 3: blank symbol, 4: no type, 5: null severity,
+    6: no message, 7: price -1, 8: volume -1, 9: window 0, 10: symbol in lower case with padding (valid)."""
+    m = F.col("source_event_id").cast("long") % 13
+    return alerts.withColumns({
+        "event_id": F.when(m == 1, F.lit("")).otherwise(F.col("event_id")),
+        "time": F.when(m == 2, F.lit("1970-01-01 00:00:00").cast("timestamp")).otherwise(F.col("time")),
+        "symbol": F.when(m == 3, F.lit("  ")).when(m == 10, F.concat(F.lit(" "), F.lower("symbol"), F.lit(" "))).otherwise(F.col("symbol")),
+        "alert_type": F.when(m == 4, F.lit("")).otherwise(F.col("alert_type")),
+        "severity": F.when(m != 5, F.col("severity")),
+        "message": F.when(m == 6, F.lit("")).otherwise(F.col("message")),
+        "trigger_price": F.when(m == 7, F.lit(-1.0)).otherwise(F.col("trigger_price")),
+        "trigger_volume": F.when(m == 8, F.lit(-1).cast("long")).otherwise(F.col("trigger_volume")),
+        "window_sec": F.when(m == 9, F.lit(0)).otherwise(F.col("window_sec"))})
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-minute bars (time, symbol, close, volume) built from the ticks."""
     from tickspark.operators.candles import candles
@@ -123,7 +169,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User rules for every symbol seen in the data: price_above 100,
     price_below 1, volume_above 90; the first symbol also has an unknown rule
-    type and a duplicate price_above 100 (same cooldown key). The ordering
+    type, a duplicate price_above 100 (same cooldown key) and a threshold whose cents are a tie (250.125). The ordering
     window runs over the distinct symbols only (the tracked universe)."""
     syms = ticks(spark, sf_dir).select("symbol").distinct()
     ranked = syms.withColumn("_rank", F.dense_rank().over(Window.orderBy("symbol")))

@@ -8,20 +8,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickspark.functions.timefn import epoch_micros, parse_epoch_or_iso
-from tickspark.functions.values import truthy_coalesce
+from tickspark.functions.values import truthy_coalesce, wire_number
 from tickspark.schemas import BACKFILL_SOURCE, LIVE_SOURCE
 
 
 def persist_ticks(parsed: DataFrame, now: Column) -> DataFrame:
-    """Rows as the tick sink stores them: missing price/volume -> 0, source
-    -> 'unknown', event_id -> 'none'; a non-numeric timestamp -> ``now``.
-    bid/ask are not stored. Plain append (no unique key, no dedup)."""
-    ts = F.col("timestamp")
-    return parsed.select(
-        F.coalesce(F.timestamp_micros(F.round(ts.try_cast("double") * F.lit(1e6)).cast("long")), now).alias("time"),
+    """Rows as the tick sink stores them, from fields as sent (``codec.parse_ticks``): missing price/volume
+    -> 0, source -> 'unknown', event_id -> 'none'; a timestamp that is no number -> ``now``. A price or
+    volume that is there but no number leaves the message out; volumes lose their fraction. bid/ask
+    are not stored. Plain append (no unique key, no dedup)."""
+    ts, price, volume = wire_number("timestamp"), wire_number("price"), wire_number("volume")
+    ok = (F.col("price").isNull() | price.isNotNull()) & (F.col("volume").isNull() | volume.isNotNull())
+    return parsed.filter(ok).select(
+        F.coalesce(F.timestamp_micros(F.round(ts * F.lit(1e6)).cast("long")), now).alias("time"),
         F.col("symbol"),
-        F.coalesce(F.col("price").cast("double"), F.lit(0.0)).alias("price"),
-        F.coalesce(F.col("volume").cast("int"), F.lit(0)).alias("volume"),
+        F.coalesce(price, F.lit(0.0)).alias("price"),
+        F.coalesce(volume.cast("int"), F.lit(0)).alias("volume"),
         F.coalesce(F.col("source"), F.lit("unknown")).alias("source"),
         F.coalesce(F.col("event_id"), F.lit("none")).alias("event_id"))
 
@@ -112,6 +114,22 @@ def retain(df: DataFrame, hours: int, as_of: Column, time_col: str = "time") ->
     return rows.filter(F.col("date") >= F.to_date(cutoff)) if "date" in df.columns else rows
 
 
+def in_range(df: DataFrame, start: Column | None = None, end: Column | None = None, time_col: str = "time") -> DataFrame:
+    """Rows of a day-partitioned table with ``start <= time < end``. The bounds on ``date`` follow from
+    them, so other day folders are not listed into the scan (partition filters)."""
+    if start is not None:
+        df = df.filter((F.col(time_col) >= start) & (F.col("date") >= F.to_date(start)))
+    if end is not None:
+        df = df.filter((F.col(time_col) < end) & (F.col("date") <= F.to_date(end)))
+    return df
+
+
+def read_range(spark, path: str, start: Column | None = None, end: Column | None = None, symbols=None) -> DataFrame:
+    """Reader of ``write_partitioned``: a time range and, by the files' (symbol, time) statistics, symbols."""
+    out = in_range(spark.read.parquet(path), start, end)
+    return (out if symbols is None else out.filter(F.col("symbol").isin(list(symbols)))).drop("date")
+
+
 def read_jdbc(spark, url: str, table: str, partition_column: str, lower: int, upper: int,
               num_partitions: int, properties: dict | None = None) -> DataFrame:
     """Relational source read in parallel ranges of ``partition_column``
