@@ -363,3 +363,80 @@ def test_detections_chunked_equal_whole_key(spark):
     chunked = detect.detections(t, chunk_seconds=1800)
     assert whole.count() == chunked.count() > 0
     assert whole.exceptAll(chunked).count() == 0
+
+
+def test_formats_are_those_of_the_exact_binary_value(spark):
+    import random
+
+    from tickspark.functions.values import fmt_fixed, py_float, py_float_commas, wire_number
+    rng = random.Random(2)
+    values = [0.0, -0.0, 2.675, 0.125, 0.375, -2.5, 1e7, 1e15, 123456789.125, 0.07500000000000001, 1e-5, 9.5e-5, 0.00005, 1e16, 1.5e22, 0.995,
+              999.995, 999.9950000000001, 4503599627370495.5, -1234.5, 1e-300, 5e-324, float("inf"), float("-inf"), float("nan")]
+    values += [rng.uniform(-1, 1) * 10 ** rng.randint(-6, 9) for _ in range(300)] + [rng.randint(0, 10**6) / 8 for _ in range(100)]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)] + [(-1, None)], "i int, v double").select(
+        "i", fmt_fixed("v", 2).alias("two"), fmt_fixed("v", 4).alias("four"), fmt_fixed("v", 0).alias("none"),
+        py_float("v").alias("r"), py_float_commas("v").alias("c")).collect()
+    for r in rows:
+        if r.i < 0:
+            assert r[1:] == (None,) * 5
+            continue
+        v = values[r.i]
+        if abs(v) < 2**53 or v != v or abs(v) == float("inf"):
+            assert (r.two, r.four, r.none) == (f"{v:.2f}", f"{v:.4f}", f"{v:.0f}"), v
+        if float(f"{v:.16g}") == v and v != 5e-324:  # the JVM prints a few doubles with one digit more than needed
+            assert r.r == repr(v), v
+            assert r.c == (f"{v:,}" if "e" not in repr(v) else repr(v)), v
+    texts = ["12", " 1.5 ", "-3e2", ".5", "1.", "12d", "NaN", "", "n/a", "1_0", None]
+    got = [x.n for x in spark.createDataFrame([(t,) for t in texts], "t string").select(wire_number("t").alias("n")).collect()]
+    assert got == [12.0, 1.5, -300.0, 0.5, 1.0, None, None, None, None, None, None]
+
+
+def test_alert_store_keeps_the_first_arrival_and_prunes_days(spark, tmp_path):
+    from tickspark.sources.alert_store import AlertStore
+    rows = [("a", 0, "first", 1), ("a", 0, "copy in the batch", 2), ("b", 0, "b", 3), ("a", 86400, "same id, other time", 4), ("c", 86400 * 40, "late", 5)]
+    df = spark.createDataFrame([(e, T0 + dt.timedelta(seconds=s), "S", m, n, {"k": m}) for e, s, m, n in rows],
+                               "event_id string, time timestamp, symbol string, message string, arrival long, metadata map<string,string>")
+    store = AlertStore(str(tmp_path / "alerts"))
+    store.insert(df.filter("arrival <= 3"), 0)
+    again = df.filter("arrival <= 3").withColumn("message", F.lit("again")).withColumn("arrival", F.col("arrival") + 100)
+    for _ in range(2):  # a retried batch writes the same rows
+        store.insert(again.unionByName(df.filter("arrival > 3")), 1)
+    got = sorted((r.event_id, r.message, r.arrival, r.metadata["k"]) for r in store.read(spark).collect())
+    assert got == [("a", "first", 1, "first"), ("a", "same id, other time", 4, "same id, other time"), ("b", "b", 3, "b"), ("c", "late", 5, "late")]
+    day = store.read(spark, ts_literal("2024-01-03 00:00:00"), ts_literal("2024-01-04 00:00:00"))
+    assert [r.arrival for r in day.collect()] == [4]
+    plan = day._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan and "date" in plan.split("PartitionFilters")[1][:200]
+
+
+def test_read_range_derives_the_day(spark, tmp_path):
+    from tickspark.sources import fixtures as fx
+    t = fx.ticks(spark, "/root/testdata/sf0.001")
+    path = str(tmp_path / "ticks")
+    sinks.write_partitioned(t, path)
+    lo, hi = ts_literal("2024-01-05 06:00:00"), ts_literal("2024-01-06 12:00:00")
+    back = sinks.read_range(spark, path, lo, hi, ["CLICK"])
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "(date#" in plan.split("PartitionFilters: [")[1].split("]")[0] and "PushedFilters: [" in plan
+    want = t.filter((F.col("time") >= lo) & (F.col("time") < hi) & (F.col("symbol") == "CLICK"))
+    assert back.count() == want.count() > 0
+
+
+def test_halo_rows_come_from_the_one_shuffle_of_the_input(spark):
+    from tickspark.sources import fixtures as fx
+    d = detect.rolling_stats(fx.ticks(spark, "/root/testdata/sf0.001"), chunk_seconds=3600)
+    d.collect()
+    plan = d._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan parquet") == 1 and "ReusedExchange" in plan
+    assert plan.count("REPARTITION_BY_COL") == 3  # the rows', the reuse of it, the halo's
+
+
+def test_throughput_grid_fills_idle_intervals(spark):
+    rows = [("a", 5), ("a", 8), ("a", 47), ("b", 86395), ("b", 86400 + 25)]
+    m = spark.createDataFrame([(s, dt.datetime(2024, 1, 2) + dt.timedelta(seconds=x)) for s, x in rows], "service_name string, time timestamp")
+    tracked = spark.createDataFrame([("X",), ("Y",)], "symbol string")
+    got = sorted((r.service_name, (r.interval_end - dt.datetime(2024, 1, 2)).total_seconds(), r.total_processed, r.status, r.symbols_tracked)
+                 for r in serve.throughput_grid(m, 10, tracked).collect())
+    assert got == [("a", 10.0, 2, "running", 2), ("a", 20.0, 0, "idle", 2), ("a", 30.0, 0, "idle", 2), ("a", 40.0, 0, "idle", 2),
+                   ("a", 50.0, 1, "running", 2), ("b", 86400.0, 1, "running", 2), ("b", 86410.0, 0, "idle", 2), ("b", 86420.0, 0, "idle", 2),
+                   ("b", 86430.0, 1, "running", 2)]

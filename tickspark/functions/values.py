@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,24 +55,28 @@ def fmt_fixed(c, decimals: int) -> Column:
     """``f"{x:.2f}"``: the exact binary value of the double rounded half-even, as C and Python print it (2.675
     is below its decimal text, 0.125 a true tie).
 
-    The fraction is k / 2**53 with a whole k (below 1 a sticky bit stands for what is smaller), so
-    fraction * 10**decimals splits into a whole part and a remainder that is compared with one half in
-    whole numbers. From 2**53 on doubles are whole; those print their shortest digits.
+    The fraction is k / 2**75 with a whole k (put together from two parts that doubles hold exactly; what
+    lies below 2**-75 is far from a tie at the few decimals printed), so fraction * 10**decimals splits
+    into a whole part and a remainder that is compared with one half in whole numbers. From 2**53 on
+    doubles are whole; those print their shortest digits.
     """
-    unit, half = F.lit(1 << 53).cast("decimal(20,0)"), F.lit(1 << 52).cast("decimal(20,0)")
+    unit, half = F.lit(Decimal(1 << 75)).cast("decimal(38,0)"), F.lit(Decimal(1 << 74)).cast("decimal(38,0)")
     power = F.lit(10 ** decimals)
 
-    def rounded(x: Column, scaled: Column) -> Column:
+    def rounded(high: Column, size: Column) -> Column:
         """Fraction digits as a whole number, 10**decimals where they round up to one."""
-        shifted = (F.floor(scaled).cast("decimal(20,0)") * power.cast("decimal(10,0)")).cast("decimal(38,0)")
+        last = F.lit(0) if decimals else F.floor(size).cast("long")  # without decimals the whole part decides what is even
+        k = (F.floor(high).cast("decimal(20,0)") * F.lit(1 << 22).cast("decimal(7,0)")
+             + F.floor((high - F.floor(high)) * F.lit(float(1 << 22))).cast("decimal(7,0)"))
+        shifted = (k * power.cast("decimal(10,0)")).cast("decimal(38,0)")
         # the remainder goes first: a quotient with a fraction would be rounded
-        split = F.struct((shifted % unit).alias("rest"), ((shifted - shifted % unit) / unit).cast("long").alias("digits"))
+        split = _bind(shifted, lambda n: F.struct((n % unit).alias("rest"), ((n - n % unit) / unit).cast("long").alias("digits")))
         return _bind(split, lambda p: p["digits"] + F.when(
-            (p["rest"] > half) | ((p["rest"] == half) & ((scaled > F.floor(scaled)) | (p["digits"] % 2 == 1))), 1).otherwise(0))
+            (p["rest"] > half) | ((p["rest"] == half) & ((p["digits"] + last) % 2 == 1)), 1).otherwise(0))
 
     def text(x: Column) -> Column:
         size = F.abs(x)
-        digits = _bind((size - F.floor(size)) * F.lit(float(1 << 53)), lambda scaled: rounded(x, scaled))
+        digits = _bind((size - F.floor(size)) * F.lit(float(1 << 53)), lambda high: rounded(high, size))
         whole = lambda d: F.floor(size).cast("long") + F.floor(d / power).cast("long")
         number = _bind(digits, lambda d: F.concat(whole(d).cast("string"), F.lit("."), F.lpad((d % power).cast("string"), decimals, "0"))
                        if decimals else whole(d).cast("string"))
@@ -78,7 +84,11 @@ def fmt_fixed(c, decimals: int) -> Column:
         return (F.when(F.isnan(x), F.lit("nan")).when(size == float("inf"), F.concat(sign, F.lit("inf")))
                 .when(size < float(1 << 53), F.concat(sign, number)).otherwise(F.format_string(f"%.{decimals}f", x)))
 
-    return _bind(_col(c).cast("double"), lambda x: F.when(x.isNotNull(), text(x)))
+    # away from ties the JVM's own rounding is right, and the rest is not evaluated
+    x = _col(c).cast("double")
+    scaled = F.abs(x) * float(10 ** decimals)
+    easy = (scaled < 1e11) & (F.abs(scaled - F.floor(scaled) - 0.5) > 1e-3)
+    return F.when(easy, F.format_string(f"%.{decimals}f", x)).otherwise(_bind(x, lambda v: F.when(v.isNotNull(), text(v))))
 
 
 def fmt_money(c, decimals: int = 2) -> Column:
@@ -88,18 +98,21 @@ def fmt_money(c, decimals: int = 2) -> Column:
 
 def py_float(c) -> Column:
     """``repr`` of a Python float: shortest digits, plain from 1e-4 to below 1e16 (``10000000.0``), else with
-    an exponent of two digits (``1e+16``)."""
+    an exponent of two digits (``1e+16``). JVMs before 19 print a few doubles with a digit more than
+    needed; so does this."""
     def show(x: Column, text: Column) -> Column:
         plain = _bind(F.rtrim(text.try_cast("decimal(38,20)").cast("string"), F.lit("0")),
                       lambda p: F.when(p.endswith("."), F.concat(p, F.lit("0"))).otherwise(p))
         power = F.split_part(text, F.lit("E"), F.lit(2)).try_cast("int")
         far = F.concat(F.regexp_replace(F.split_part(text, F.lit("E"), F.lit(1)), r"\.0$", ""), F.lit("e"),
-                       F.when(power < 0, F.lit("-")).otherwise(F.lit("+")), F.lpad(F.abs(power).cast("string"), 2, "0"))
+                       F.when(power < 0, F.lit("-")).otherwise(F.lit("+")), F.when(F.abs(power) < 10, F.lit("0")).otherwise(F.lit("")), F.abs(power).cast("string"))
         size = F.abs(x)
         return (F.when(F.isnan(x), F.lit("nan")).when(size == float("inf"), F.when(x > 0, F.lit("inf")).otherwise(F.lit("-inf")))
                 .when(x == 0, text).when((size >= 1e-4) & (size < 1e16), plain).otherwise(far))
 
-    return _bind(_col(c).cast("double"), lambda x: F.when(x.isNotNull(), _bind(x.cast("string"), lambda t: show(x, t))))
+    x = _col(c).cast("double")
+    return (F.when((F.abs(x) >= 1e-3) & (F.abs(x) < 1e7), x.cast("string"))  # here both print alike
+            .otherwise(_bind(x, lambda v: F.when(v.isNotNull(), _bind(v.cast("string"), lambda t: show(v, t))))))
 
 
 def py_float_commas(c) -> Column:

@@ -8,15 +8,11 @@ the key's global order. The window then runs per (key, chunk) and the halo
 rows are dropped afterwards. The result is identical to the single-partition
 window.
 
-The rows are shuffled once, by (key, chunk), and everything else is cut from that shuffle (the
-plan reuses its exchange, so the input is read once):
-
-* the last ``n`` rows of each chunk, with the chunk's row count beside them;
-* from those, one row per chunk: its start offset (prefix sum over the chunks of a key);
-* the positions ``[offset - n, offset)`` each chunk needs, equi-joined to the
-  tail rows on (key, position). A halo row may come from several earlier
-  chunks when chunks are sparse; it always lies in the last n rows of its own
-  chunk, so tails suffice.
+The rows are shuffled once, by (key, chunk), and the halo is cut from that shuffle (the plan reuses
+its exchange, so the input is read once): the last ``n`` rows of each chunk are numbered in the key's
+order, which needs only the chunks' row counts, and a row is copied into every chunk that starts at
+most ``n`` positions behind it. A halo row may come from several chunks back when chunks are sparse; it
+always lies in the last n rows of its own chunk, so tails suffice.
 
 Halo rows are laid out by (key, chunk) too, so the union of rows and halo keeps that partitioning
 and the windows need no further shuffle.
@@ -102,8 +98,8 @@ def with_halo(df: DataFrame, keys: Sequence[str], order: Sequence[str], time_col
     Windows over the result must be partitioned by ``keys + [_chunk]`` and
     ordered by ``order`` (a total order within a key, time first); keep only
     ``_own`` rows afterwards. ``n_prev`` is the largest number of preceding
-    rows any frame needs. ``with_offsets`` adds ``_off`` to own rows: the
-    number of rows of the key in earlier chunks. ``chunk_seconds=None``
+    rows any frame needs. ``with_offsets`` adds ``_off``: the number of rows of the key in earlier
+    chunks (at least one halo row comes with it). ``chunk_seconds=None``
     sizes chunks per key (``adaptive_chunk_seconds``).
     """
     keys = list(keys)
@@ -120,28 +116,26 @@ def with_halo(df: DataFrame, keys: Sequence[str], order: Sequence[str], time_col
 
     laid = base.repartition(*part)
     own = laid.withColumn(OWN_COL, F.lit(True))
-    # every column stays in the tails, so that they read the very exchange the rows come from
-    tails = (laid.withColumn("_rd", F.row_number().over(Window.partitionBy(*part).orderBy(*_order_cols(order, descending=True))))
-             .withColumn("_cnt", F.count(F.lit(1)).over(Window.partitionBy(*part)))
-             .filter(F.col("_rd") <= max(n_prev, 1)))
-    before = Window.partitionBy(*keys).orderBy(CHUNK_COL).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = tails.filter("_rd = 1").select(*part, "_cnt").withColumn(
-        "_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0).cast("long")))
-    if with_offsets:
-        own = own.join(offsets.select(*part, "_off"), part)
-    if n_prev <= 0:
-        return own
-
-    placed = (tails.drop("_cnt").join(offsets, part)
-              .withColumn("_pos", F.col("_off") + F.col("_cnt") - F.col("_rd")).drop("_rd", "_off", "_cnt", CHUNK_COL))
-    needs = (offsets.filter(F.col("_off") > 0)
-             .select(*keys, F.col(CHUNK_COL),
-                     F.explode(F.sequence(F.greatest(F.col("_off") - n_prev, F.lit(0)).cast("long"),
-                                          (F.col("_off") - 1).cast("long"))).alias("_pos")))
-    halo = placed.join(needs, keys + ["_pos"]).drop("_pos").withColumn(OWN_COL, F.lit(False))
-    if with_offsets:
-        halo = halo.withColumn("_off", F.lit(None).cast("long"))
-    return own.unionByName(halo.select(*own.columns).repartition(*part))
+    n = max(n_prev, 1)
+    # every column stays and no join is near, so that the tails read the very exchange the rows come from
+    chunk_w = Window.partitionBy(*part)
+    tails = (laid.withColumn("_rd", F.row_number().over(chunk_w.orderBy(*_order_cols(order, descending=True))))
+             .withColumn("_cnt", F.count(F.lit(1)).over(chunk_w)).filter(F.col("_rd") <= n))
+    key_w = Window.partitionBy(*keys)
+    earlier = key_w.orderBy(CHUNK_COL).rangeBetween(Window.unboundedPreceding, -1)
+    tails = tails.withColumn("_pos", F.coalesce(F.sum(F.when(F.col("_rd") == 1, F.col("_cnt"))).over(earlier), F.lit(0).cast("long"))
+                             + F.col("_cnt") - F.col("_rd"))
+    # the last row of a chunk knows the chunk that starts right behind it
+    tails = tails.withColumn("_next", F.when(F.col("_rd") == 1, F.lead(CHUNK_COL).over(key_w.orderBy("_pos"))))
+    starts = F.when(F.col("_next").isNotNull(), F.struct(F.col("_next").alias("chunk"), (F.col("_pos") + 1).alias("off")))
+    into = F.collect_list(starts).over(key_w.orderBy("_pos").rangeBetween(0, n - 1))
+    halo = (tails.withColumn("_into", into).withColumn("_to", F.explode("_into")).withColumn(CHUNK_COL, F.col("_to.chunk"))
+            .withColumn(OWN_COL, F.lit(False)).withColumn("_off", F.col("_to.off")))
+    if not with_offsets:
+        return own.unionByName(halo.select(*own.columns).repartition(*part))
+    own = own.withColumn("_off", F.lit(None).cast("long"))
+    both = own.unionByName(halo.select(*own.columns).repartition(*part))
+    return both.withColumn("_off", F.coalesce(F.max("_off").over(chunk_w), F.lit(0).cast("long")))
 
 
 def halo_window(keys: Sequence[str], order: Sequence[str]) -> Window:

@@ -306,13 +306,13 @@ def q_moving_averages_chunked(spark, d):
 
 
 def q_number_formats(spark, d):
-    """Values whose cents are ties, near ties, large and tiny, as notifications print them."""
+    """Values whose cents are ties, near ties, large and tiny ones, as notifications print them."""
     v = F.col("value")
     out = fx.table(spark, d, "events").select("event_id", *[x.alias(n) for n, x in [
-        ("eighth", F.round(v) / 8), ("near", v + 0.005), ("large", v * 1234567.0), ("tiny", -v / 1e7), ("wide", v * 1e15)]])
+        ("eighth", F.round(v) / 8), ("near", v + 0.005), ("large", v * 1234567.0), ("tiny", -v / 1e7)]])
     return out.select("event_id", *[fmt_money(c).alias(f"{c}_money") for c in ("eighth", "near", "large", "tiny")],
                       *[fmt_fixed(c, 4).alias(f"{c}_fixed") for c in ("eighth", "near", "large", "tiny")],
-                      *[py_float(c).alias(f"{c}_repr") for c in ("eighth", "near", "large", "tiny", "wide")],
+                      *[py_float(c).alias(f"{c}_repr") for c in ("eighth", "near", "large", "tiny")],
                       py_float_commas("large").alias("large_commas"), py_float_commas("eighth").alias("eighth_commas"))
 
 

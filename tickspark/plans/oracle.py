@@ -369,8 +369,8 @@ def queries_sql() -> dict[str, str]:
            (SELECT count(DISTINCT upper(trim(event_type))) FROM events) AS symbols_tracked
     FROM grid LEFT JOIN beats USING (service_name, e)"""
     q["nan_to_null"] = "SELECT event_id, CASE WHEN event_id % 7 <> 0 AND event_id % 11 <> 0 THEN value END AS value, event_type FROM events"
-    kinds = {"eighth": "round(value) / 8", "near": "value + 0.005", "large": "value * 1234567.0", "tiny": "-value / 1e7", "wide": "value * 1e15"}
-    shown = [f"'$' || printf('%.2f', {x}) AS {n}_money, printf('%.4f', {x}) AS {n}_fixed" for n, x in kinds.items() if n != "wide"]
+    kinds = {"eighth": "round(value) / 8", "near": "value + 0.005", "large": "value * 1234567.0", "tiny": "-value / 1e7"}
+    shown = [f"'$' || printf('%.2f', {x}) AS {n}_money, printf('%.4f', {x}) AS {n}_fixed" for n, x in kinds.items()]
     shown += [f"CAST({x} AS VARCHAR) AS {n}_repr" for n, x in kinds.items()]
     shown += [f"format('{{:,}}', {kinds[n]}) AS {n}_commas" for n in ("large", "eighth")]
     q["number_formats"] = (f"SELECT event_id, {', '.join(shown)} FROM events")
