@@ -43,12 +43,12 @@ def test_candle_stream_update_mode_equals_batch(spark):
     root, schema = _split_ticks(spark)
     chk = tempfile.mkdtemp(prefix="chk-")
     log_path = tempfile.mkdtemp(prefix="candle-log-")
-    sink = jobs.CandleLogSink(log_path)
+    sink = jobs.CandleStore(log_path)
     q = (jobs.candle_stream(_stream(spark, root, schema), 300).writeStream.outputMode("update")
          .option("checkpointLocation", chk).foreachBatch(sink).start())
     q.processAllAvailable()
     q.stop()
-    got = jobs.read_candle_log(spark, log_path).drop("event_id")
+    got = sink.read(spark).drop("event_id")
     exp = C.candles(fx.ticks(spark, SF), 300)
     cols = ["time", "symbol", "open", "high", "low", "close", "volume", "trade_count"]
     assert got.select(*cols).exceptAll(exp.select(*cols)).count() == 0
@@ -71,21 +71,63 @@ def test_candle_stream_append_emits_closed_windows(spark):
 
 
 def test_detector_stream_equals_batch(spark):
-    root, schema = _split_ticks(spark)
+    """Detection with keyed state: alerts stored from the stream equal the batch's, metadata and enrichment included; few
+    jobs a micro-batch; at most 29 ticks of state a symbol."""
+    from tickspark.operators import alerts as A
+    from tickspark.sources.alert_store import AlertStore
+    from tickspark.streaming import detector
+    root = tempfile.mkdtemp(prefix="tick-stream-")
+    ticks = fx.ticks_burst(spark, SF)
+    days = [r[0] for r in ticks.select(F.to_date("time")).distinct().orderBy(F.to_date("time")).collect()]
+    t0 = time.time() - 1000
+    for i in range(4):
+        own = days[i * len(days) // 4:(i + 1) * len(days) // 4]
+        d = os.path.join(root, f"part{i}")
+        ticks.filter(F.to_date("time").isin(own)).repartition(3).write.parquet(d)
+        for f in os.listdir(d):
+            os.utime(os.path.join(d, f), (t0 + i, t0 + i))
+    # a file a symbol's ticks may be spread over: all of a part come in one micro-batch
+    source = (spark.readStream.schema(ticks.schema).option("maxFilesPerTrigger", 3).option("recursiveFileLookup", "true").parquet(root))
+    rules_dir = tempfile.mkdtemp(prefix="rules-")
+    log = fx.rules(spark, SF).select(F.lit("add").alias("op"), "id", "symbol", "rule_type", "threshold", "window_sec",
+                                     F.col("created_at").alias("ts"), F.col("id").alias("seq"))
+    log.unionByName(log.limit(1).withColumn("id", F.lit(999).cast("long"))).unionByName(
+        log.limit(1).withColumn("id", F.lit(999).cast("long")).withColumn("op", F.lit("delete")).withColumn("seq", F.lit(10**6).cast("long"))
+    ).coalesce(1).write.mode("overwrite").parquet(rules_dir)
+    rules = spark.readStream.schema(log.schema).parquet(rules_dir)
     chk = tempfile.mkdtemp(prefix="chk-")
-    state = tempfile.mkdtemp(prefix="state-")
-    out = tempfile.mkdtemp(prefix="alerts-")
-    sink = jobs.DetectorSink(state, out, rules_loader=lambda s: fx.rules(s, SF))
-    q = (_stream(spark, root, schema).writeStream.option("checkpointLocation", chk).foreachBatch(sink).start())
+    store = AlertStore(os.path.join(tempfile.mkdtemp(prefix="alerts-"), "t"))
+    alerts = detector.alert_stream(detector.detect_stream(source, rules)).withColumn("arrival", F.col("source_event_id").cast("long"))
+    q = alerts.writeStream.option("checkpointLocation", chk).foreachBatch(store).start()
     q.processAllAvailable()
+    batches = sum(1 for p in q.recentProgress if p["numInputRows"] > 0)
+    jobs_run = len(spark.sparkContext.statusTracker().getJobIdsForGroup(str(q.runId)))
     q.stop()
-    got = spark.read.parquet(out)
-    from tickspark.operators import alerts as A
-    exp = A.build_alerts(A.unified_detections(fx.ticks(spark, SF), fx.rules(spark, SF)))
-    cols = ["event_id", "time", "symbol", "alert_type", "severity", "message", "trigger_price"]
-    assert exp.count() > 0
-    assert got.select(*cols).exceptAll(exp.select(*cols)).count() == 0
-    assert exp.select(*cols).exceptAll(got.select(*cols)).count() == 0
+    exp = A.build_alerts(A.unified_detections(ticks, fx.rules(spark, SF)))
+    flat = lambda df: {(r.event_id, r.time, r.symbol, r.alert_type, r.severity, r.message, r.trigger_price, tuple(sorted(r.metadata.items())))
+                       for r in df.collect()}
+    want = flat(exp)
+    assert flat(store.read(spark)) == want and len(want) > 100
+    assert {"VOLUME_SPIKE", "BOLLINGER_BREACH", "USER_RULE"} <= {w[3] for w in want}
+    enriched = lambda df: {tuple(r) for r in jobs.sinks.enrich_alerts(df).collect()}
+    assert enriched(store.read(spark)) == enriched(exp)
+    assert batches == 4 and 0 < jobs_run < 10 * batches, jobs_run
+    kept = spark.read.format("statestore").load(chk).select("value.*")
+    first = kept.columns[0]
+    sizes = kept.select(F.size(F.col(f"{first}.times")) if first == "groupState" else F.size("times")).collect()
+    assert sizes and max(r[0] for r in sizes) <= detector.TAIL_ROWS
+
+
+def test_stale_ticks_pass_rules_but_no_detector(spark):
+    from tickspark.functions.timefn import ts_literal
+    from tickspark.streaming import detector
+    stats = detect.rolling_stats(fx.ticks(spark, SF)).withColumn("fired", F.array(F.struct(
+        F.lit(1).cast("long").alias("rule_id"), F.lit("price_above").alias("rule_type"), F.lit(0.5).alias("rule_threshold"),
+        F.lit(60).alias("rule_window"), F.lit("k").alias("rule_key"), F.col("price").alias("value"))))
+    stats = stats.filter("bb_n = 20 and price > bb_mean + 2 * bb_std and source = 'yfinance'")
+    old = detector.alert_stream(stats, ts_literal("2030-01-01 00:00:00")).collect()
+    assert {r.alert_type for r in old} == {"USER_RULE"} and len(old) == stats.count() > 0
+    assert "BOLLINGER_BREACH" in {r.alert_type for r in detector.alert_stream(stats).collect()}
 
 
 def test_alert_dedup_stream(spark):
@@ -107,7 +149,8 @@ def test_decode_rejects_isolated(spark):
     good, bad = jobs.codec.decode_ticks_with_rejects(fx.ticks_json(spark, SF))
     total = fx.ticks_json(spark, SF).count()
     assert good.count() + bad.count() == total
-    assert bad.count() == fx.ticks_json(spark, SF).filter((F.col("offset") % 50 == 7) | (F.col("offset") % 50 == 11)).count()
+    reasons = {(r.offset % 50, r.reason) for r in bad.collect()}
+    assert reasons == {(7, "json"), (11, "price"), (23, "price"), (47, "volume")}
 
 
 def test_detector_state_carries_history(spark):
@@ -169,6 +212,12 @@ def test_late_file_dropped_by_watermark(spark):
     t = time.time()
     for f in os.listdir(late_dir):
         os.utime(os.path.join(late_dir, f), (t, t))
+    sink = jobs.LateTicks(tempfile.mkdtemp(prefix="late-"), 300)
+    side = (_stream(spark, root, schema).writeStream.option("checkpointLocation", tempfile.mkdtemp(prefix="chk-")).foreachBatch(sink).start())
+    side.processAllAvailable()
+    side.stop()
+    late = sink.read(spark)
+    assert late.count() == first_day.count() and late.filter(~F.col("event_id").startswith("late-")).count() == 0
     chk = tempfile.mkdtemp(prefix="chk-")
     q = (jobs.candle_stream(_stream(spark, root, schema), 300).writeStream.outputMode("append")
          .format("memory").queryName("late_test").option("checkpointLocation", chk).start())
@@ -194,19 +243,27 @@ def test_compaction_and_heartbeat_listener(spark):
     spark.streams.addListener(listener)
     try:
         chk = tempfile.mkdtemp(prefix="chk-")
-        log_path = tempfile.mkdtemp(prefix="candle-log-")
+        store = jobs.CandleStore(tempfile.mkdtemp(prefix="candle-log-"))
         q = (jobs.candle_stream(_stream(spark, root, schema), 900).writeStream.outputMode("update")
              .queryName("processor").option("checkpointLocation", chk)
-             .foreachBatch(jobs.CandleLogSink(log_path)).start())
+             .foreachBatch(store).start())
         q.processAllAvailable()
         q.stop()
     finally:
         spark.streams.removeListener(listener)
-    out = os.path.join(tempfile.mkdtemp(prefix="compact-"), "candles")
-    jobs.compact_candle_log(spark, log_path, out)
-    compacted = spark.read.parquet(out).drop("date")
-    view = jobs.read_candle_log(spark, log_path)
-    assert compacted.exceptAll(view).count() == 0 and view.exceptAll(compacted).count() == 0
+    before = {tuple(r) for r in store.read(spark).collect()}
+    store.compact(spark)
+    assert {tuple(r) for r in store.read(spark).collect()} == before
+    later = spark.createDataFrame(C.candles(fx.ticks(spark, SF), 900).limit(3).withColumn("close", F.lit(-1.0)).collect(), C.candles(fx.ticks(spark, SF), 900).schema)
+    store(later, 100)
+    after = {tuple(r) for r in store.read(spark).collect()}
+    assert len(after) == len(before) and sum(r[6] == -1.0 for r in after) == 3
+    store.compact(spark)
+    store.compact(spark)  # nothing new: no further base
+    assert {tuple(r) for r in store.read(spark).collect()} == after
+    assert store._compacted(spark) == (1, 100)
+    log = store._newer(spark).select("_metadata.file_path").distinct().count()
+    assert log == 0  # no file of a compacted batch is read
     beats = listener.frame(spark)
     assert [r.service_name for r in beats.collect()] == ["processor"]
     live = serve.health_liveness(serve.health_latest(beats), ts_literal("2100-01-01 00:00:00")).first()

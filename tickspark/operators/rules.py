@@ -43,20 +43,23 @@ def rule_matches(ticks: DataFrame, rules: DataFrame, max_broadcast_rows: int | N
     )
 
 
+def message_text(rule_type: str = "rule_type", threshold: str = "threshold") -> Column:
+    """Message of a rule hit from its columns and the tick's; null for other rule types."""
+    rt, sym, th = F.col(rule_type), F.col("symbol"), F.col(threshold)
+    vol = F.col("volume").cast("double")
+    return (F.when(rt == "price_above", F.concat(F.lit("\U0001F6A8 "), sym, F.lit(" PRICE ALERT: Current "),
+                                                 fmt_money("price"), F.lit(" is above your threshold of "), fmt_money(th)))
+            .when(rt == "price_below", F.concat(F.lit("\U0001F4C9 "), sym, F.lit(" PRICE ALERT: Current "),
+                                                fmt_money("price"), F.lit(" is below your threshold of "), fmt_money(th)))
+            .when(rt == "volume_above", F.concat(F.lit("\U0001F4CA "), sym, F.lit(" VOLUME ALERT: Current volume "),
+                                                 py_float_commas(vol), F.lit(" is above your threshold of "),
+                                                 py_float_commas(th))))
+
+
 def rule_messages(matches: DataFrame) -> DataFrame:
     """Message text of a rule hit (severity high, type USER_RULE)."""
-    rt, sym = F.col("rule_type"), F.col("symbol")
-    vol = F.col("volume").cast("double")
-    th = F.col("threshold")
-    msg = (F.when(rt == "price_above", F.concat(F.lit("\U0001F6A8 "), sym, F.lit(" PRICE ALERT: Current "),
-                                                fmt_money("price"), F.lit(" is above your threshold of "), fmt_money(th)))
-           .when(rt == "price_below", F.concat(F.lit("\U0001F4C9 "), sym, F.lit(" PRICE ALERT: Current "),
-                                               fmt_money("price"), F.lit(" is below your threshold of "), fmt_money(th)))
-           .when(rt == "volume_above", F.concat(F.lit("\U0001F4CA "), sym, F.lit(" VOLUME ALERT: Current volume "),
-                                                py_float_commas(vol), F.lit(" is above your threshold of "),
-                                                py_float_commas(th))))
     return matches.withColumn("alert_type", F.lit(USER_RULE)).withColumn("severity", F.lit("high")) \
-                  .withColumn("message", msg)
+                  .withColumn("message", message_text())
 
 
 SPAN = "rule_key string, _chunk long, _len long, entry long, exit long"

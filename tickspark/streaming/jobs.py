@@ -5,16 +5,11 @@
   behind ``max event time - delay``; the reference evicts on bucket *start*
   older than 3600 s, so ``delay = 3600 - w`` reproduces that cutoff. Late
   rows are counted by Spark (``numRowsDroppedByWatermark``).
-* ``CandleLogSink``: foreachBatch sink that appends the touched candles of a
+* ``CandleStore``: foreachBatch sink that appends the touched candles of a
   micro-batch under ``batch_id=N`` (overwrite per batch id => a retried batch
-  is idempotent); ``sinks.upsert_log_view`` reads the table back.
-* ``DetectorSink``: row-count windows are not allowed on streams, so the
-  detector runs per micro-batch: the carried tail (last 29 ticks per symbol)
-  is unioned with the batch, the *batch* detection code runs, and only rows
-  of the new batch are emitted. Rule cooldown state (last fired time per
-  rule key) is carried the same way. State versions are written per batch
-  id into the shared checkpoint folder, so a restarted or retried batch
-  reads exactly the state it started from.
+  is idempotent), compacts them into a base and reads base plus newer batches.
+* ``LateTicks``: foreachBatch sink that stores the ticks behind the watermark.
+* ``detector`` (own module): detection with keyed state; its alerts go to ``sources.alert_store``.
 * ``alert_consumer_stream``: decode, validate, dedup within the watermark,
   enrich; routing/outbox run per batch.
 """
@@ -25,18 +20,15 @@ import datetime as dt
 import os
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
-from tickspark.functions.timefn import epoch_micros, event_order_key
-from tickspark.operators import alerts as alerts_op
-from tickspark.operators import detect, route, rules as rules_op, validate
+from tickspark.functions.timefn import bucket_start, epoch_micros, event_order_key
+from tickspark.operators import route, validate
 from tickspark.operators.candles import CANDLE_COLUMNS, candle_input
 from tickspark.sources import codec, sinks
 
-TAIL_ROWS = 29
-
 
 def candle_stream(ticks: DataFrame, window_sec: int, delay_sec: int | None = None) -> DataFrame:
     """Streaming OHLCV/VWAP for one window size (``ticks.time`` must be a
@@ -55,22 +47,52 @@ def candle_stream(ticks: DataFrame, window_sec: int, delay_sec: int | None = Non
         "trade_count", F.col("w.end").alias("window_end"))
 
 
-class CandleLogSink:
-    """foreachBatch target: append each micro-batch's candle states to a
-    parquet log partitioned by batch id."""
+class CandleStore:
+    """Stored candles: ``path/log/batch_id=N`` holds the candles that micro-batch N touched, ``path/base/v=K`` all
+    candles up to a batch, and ``path/manifest/v=K`` (written last) says which batch that is. Use as a
+    ``foreachBatch`` target; ``read`` merges the newest base with the batches after it."""
 
     def __init__(self, path: str):
-        self.path = path
+        self.log, self.base, self.manifest = (os.path.join(path, n) for n in ("log", "base", "manifest"))
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        out = batch.select(*CANDLE_COLUMNS).withColumn(
-            "event_id", F.sha2(F.concat_ws("_", "symbol", F.col("window_sec").cast("string"),
-                                           epoch_micros("time").cast("string")), 256))
-        out.write.mode("overwrite").parquet(os.path.join(self.path, f"batch_id={batch_id}"))
-
-
-def read_candle_log(spark: SparkSession, path: str) -> DataFrame:
-    return sinks.upsert_log_view(spark.read.parquet(path))
+        (batch.select(*CANDLE_COLUMNS).write.mode("overwrite").parquet(os.path.join(self.log, f"batch_id={batch_id}")))
+
+    def _compacted(self, spark: SparkSession) -> tuple[int, int]:
+        """(version, last batch) of the newest complete base; (-1, -1) without one."""
+        try:
+            done = spark.read.parquet(self.manifest).agg(F.max(F.struct("v", "upto")).alias("m")).first().m
+        except AnalysisException:
+            return -1, -1
+        return int(done.v), int(done.upto)
+
+    def _newer(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(self.log).filter(F.col("batch_id") > self._compacted(spark)[1])
+
+    def parts(self, spark: SparkSession) -> DataFrame:
+        """The candle states to merge: the base under its last batch, and the log behind it (batches in the
+        base are not read)."""
+        version, upto = self._compacted(spark)
+        newer = self._newer(spark).select(*CANDLE_COLUMNS, "batch_id")
+        if version < 0:
+            return newer
+        base = spark.read.parquet(os.path.join(self.base, f"v={version}")).select(*CANDLE_COLUMNS, F.lit(upto).alias("batch_id"))
+        return base.unionByName(newer)
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return sinks.upsert_log_view(self.parts(spark))
+
+    def compact(self, spark: SparkSession) -> None:
+        """Write the view as a new base. The batches it covers are fixed before it is read, so ones that arrive
+        meanwhile stay in the log; a base without a manifest entry (a job cut off) is never read."""
+        version, upto = self._compacted(spark)
+        last = spark.read.parquet(self.log).agg(F.max("batch_id")).first()[0]
+        if last is None or last <= upto:
+            return
+        view = sinks.upsert_log_view(self.parts(spark).filter(F.col("batch_id") <= last))
+        sinks.write_partitioned(view, os.path.join(self.base, f"v={version + 1}"), mode="overwrite")
+        spark.range(1).select(F.lit(int(last)).alias("upto")).write.mode("overwrite").parquet(
+            os.path.join(self.manifest, f"v={version + 1}"))
 
 
 def _latest_version(spark: SparkSession, path: str, before: int) -> DataFrame | None:
@@ -87,79 +109,31 @@ def _latest_version(spark: SparkSession, path: str, before: int) -> DataFrame |
     return versions.filter(F.col("v") == latest).drop("v")
 
 
-class DetectorSink:
-    """foreachBatch detector with carried per-symbol history and cooldowns.
+class LateTicks:
+    """foreachBatch sink: the ticks behind the watermark that ``candle_stream`` (same window and delay, same
+    micro-batches) drops, stored under ``path/late/batch_id=N``.
 
-    ``rules_loader`` is called once per micro-batch (rule refresh). Output
-    alerts of each batch are written to ``out_path/batch_id=N``.
-    """
+    The watermark of a batch is the largest time of the batches before it less the delay; a tick is late
+    when its window ends at or before it. The largest time is kept per batch id, so a retried
+    batch judges by the same watermark."""
 
-    def __init__(self, state_path: str, out_path: str, rules_loader=None,
-                 cooldown_seconds: int = 300):
-        self.state_path = state_path
-        self.out_path = out_path
-        self.rules_loader = rules_loader
-        self.cooldown_seconds = cooldown_seconds
+    def __init__(self, path: str, window_sec: int, delay_sec: int | None = None):
+        self.path, self.window_sec = path, window_sec
+        self.delay_sec = max((3600 - window_sec) if delay_sec is None else delay_sec, 0)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        cols = ["time", "symbol", "price", "volume", "bid", "ask", "source", "event_id"]
-        new = batch.select(*cols).withColumn("_new", F.lit(True))
-        tail = _latest_version(spark, os.path.join(self.state_path, "tail"), batch_id)
-        hist = new if tail is None else new.unionByName(tail.select(*cols).withColumn("_new", F.lit(False)))
-        stats = detect.rolling_stats(hist, extra_cols=("_new",))
-        auto = self._detections(stats.filter(F.col("_new")).drop("_new"))
-        parts = [auto]
-        if self.rules_loader is not None:
-            parts.insert(0, self._user(spark, new.drop("_new"), batch_id))
-        dets = parts[0]
-        for p in parts[1:]:
-            dets = dets.unionByName(p)
-        alerts_op.build_alerts(dets).drop("metadata").write.mode("overwrite").parquet(
-            os.path.join(self.out_path, f"batch_id={batch_id}"))
-        # new tail: last TAIL_ROWS ticks per symbol over history + batch
-        w = Window.partitionBy("symbol").orderBy(F.col("time").desc(), F.col("event_id").desc())
-        new_tail = hist.drop("_new").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= TAIL_ROWS).drop("_r")
-        new_tail.write.mode("overwrite").parquet(os.path.join(self.state_path, "tail", f"v={batch_id}"))
-
-    @staticmethod
-    def _detections(stats: DataFrame) -> DataFrame:
-        stats = detect.gate(stats)
-        tagged = F.array_compact(F.array(
-            *[F.when(s.isNotNull(), F.struct(F.lit(i).alias("seq"), s.alias("d")))
-              for i, s in enumerate([detect.bollinger_struct(), detect.volume_spike_struct(),
-                                     detect.price_jump_struct()], start=1)]))
-        out = stats.select("symbol", "time", "event_id", "price", F.inline(tagged)).select(
-            "symbol", "time", "event_id", "price", "seq", "d.*")
-        names = [n for n, _ in detect.DETAIL_FIELDS]
-        return out.select("symbol", "time", "event_id", "price", "seq", "alert_type", "severity",
-                          F.lit(None).cast("string").alias("message"), F.lit(None).cast("double").alias("value"),
-                          *names)
-
-    def _user(self, spark: SparkSession, new: DataFrame, batch_id: int) -> DataFrame:
-        rules = self.rules_loader(spark)
-        hits = rules_op.rule_matches(new, rules)
-        fired_path = os.path.join(self.state_path, "last_fired")
-        last = _latest_version(spark, fired_path, batch_id)
-        if last is not None:
-            # the carried last fire of each key joins the fold as an already-fired hit
-            seed = last.select("rule_key", F.col("last_fired").alias("time"))
-            seed = seed.join(hits.select("rule_key", "event_id", "symbol", "source", "price", "volume", "rule_id",
-                                         "rule_type", "threshold", "window_sec", "value").dropDuplicates(["rule_key"]),
-                             "rule_key").withColumn("event_id", F.lit("")).withColumn("rule_id", F.lit(-1).cast("long"))
-            hits_all = hits.unionByName(seed.select(*hits.columns))
-        else:
-            hits_all = hits
-        fired = rules_op.cooldown(hits_all, self.cooldown_seconds).filter(F.col("rule_id") >= 0)
-        prev = last.select("rule_key", "last_fired") if last is not None else None
-        cur = fired.groupBy("rule_key").agg(F.max("time").alias("last_fired"))
-        state = cur if prev is None else prev.unionByName(cur).groupBy("rule_key").agg(
-            F.max("last_fired").alias("last_fired"))
-        state.write.mode("overwrite").parquet(os.path.join(fired_path, f"v={batch_id}"))
-        msgs = rules_op.rule_messages(fired)
-        names = detect.DETAIL_FIELDS
-        return msgs.select("symbol", "time", "event_id", "price", F.lit(0).alias("seq"), "alert_type", "severity",
-                           "message", "value", *[F.lit(None).cast(t).alias(n) for n, t in names])
+        seen = _latest_version(spark, os.path.join(self.path, "seen"), batch_id)
+        top = seen.first()[0] if seen is not None else None
+        newest = candle_input(batch).agg(F.max(epoch_micros("time")).alias("top")).select(F.greatest("top", F.lit(top).cast("long")).alias("top"))
+        newest.write.mode("overwrite").parquet(os.path.join(self.path, "seen", f"v={batch_id}"))
+        if top is not None:
+            end = epoch_micros(bucket_start("time", self.window_sec)) + self.window_sec * 1_000_000
+            late = batch.filter(end <= top - self.delay_sec * 1_000_000)
+            late.write.mode("overwrite").parquet(os.path.join(self.path, "late", f"batch_id={batch_id}"))
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(os.path.join(self.path, "late"))
 
 
 def dedup_alert_stream(alerts: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -169,13 +143,23 @@ def dedup_alert_stream(alerts: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 def alert_consumer_stream(messages: DataFrame, now: Column, delay: str = "1 hour") -> DataFrame:
     """W6: JSON alerts -> typed rows (epoch or ISO time) -> validation ->
-    dedup -> enrichment. Invalid rows are filtered here; use
-    ``validate.validate_alerts`` on the decoded rows for the reject side."""
+    dedup -> enrichment. Invalid rows are filtered here; ``alert_rejects`` is the other side."""
+    good = _judged_alerts(messages, now).filter(F.col("is_valid")).drop("reasons", "is_valid")
+    return sinks.enrich_alerts(dedup_alert_stream(good, delay))
+
+
+def _judged_alerts(messages: DataFrame, now: Column) -> DataFrame:
     a = codec.decode_alerts(messages)
     a = a.withColumn("time", sinks.alert_time(F.col("timestamp"), now)).drop("timestamp")
-    a = a.withColumn("message", F.coalesce(F.col("message"), F.lit("Anomaly detected")))
-    good = validate.validate_alerts(a).filter(F.col("is_valid")).drop("reasons", "is_valid")
-    return sinks.enrich_alerts(dedup_alert_stream(good, delay))
+    return validate.validate_alerts(a.withColumn("message", F.coalesce(F.col("message"), F.lit("Anomaly detected"))))
+
+
+def alert_rejects(messages: DataFrame, now: Column, value_col: str = "value") -> DataFrame:
+    """(value, reason): alert messages that are no JSON, and alerts that break a rule (as JSON text)."""
+    broken = codec.decode_alerts_with_rejects(messages, value_col)[1].select(F.col(value_col).alias("value"), "reason")
+    invalid = _judged_alerts(messages, now).filter(~F.col("is_valid"))
+    return broken.unionByName(invalid.select(F.to_json(F.struct(*[c for c in invalid.columns if c not in ("reasons", "is_valid")])).alias("value"),
+                                             F.col("reasons").alias("reason")))
 
 
 class OutboxSink:
@@ -206,12 +190,6 @@ def tick_stream_with_rejects(messages: DataFrame, rejects_path: str, checkpoint:
     return good, q
 
 
-def compact_candle_log(spark: SparkSession, log_path: str, out_path: str) -> None:
-    """S8 compaction: rewrite the append-only candle log as its latest view
-    (one row per candle), day-partitioned and sorted for symbol/time skipping."""
-    sinks.write_partitioned(read_candle_log(spark, log_path), out_path, mode="overwrite")
-
-
 class HeartbeatListener(StreamingQueryListener):
     """C6/H1 live: every micro-batch progress of a streaming query becomes a
     heartbeat row (service = query name, mps = processed rows per second,
