@@ -42,13 +42,15 @@ def test_query_matches_oracle(spark, con, name):
 
 def test_entry_smoke(spark):
     df = entry.entry(spark)
-    assert df.count() >= 0
+    rows = df.collect()
+    assert len(rows) >= 100 and {r.severity for r in rows} > {"normal"}
     assert "anomaly_type" in df.columns
 
 
 def test_rows_only_queries_run(spark):
-    for name in set(catalog.queries()) - set(catalog.oracle_sql()):
-        assert entry.queries()[name](spark, SF).count() >= 0
+    assert catalog.ROWS_ONLY == set(catalog.queries()) - set(catalog.oracle_sql())
+    for name in sorted(catalog.ROWS_ONLY):
+        assert entry.queries()[name](spark, SF).count() > 0
 
 
 def _plan(df):
@@ -58,7 +60,7 @@ def _plan(df):
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_no_python_or_nested_loop(spark, name):
     plan = _plan(entry.queries()[name](spark, SF))
-    for bad in ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"):
+    for bad in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert bad not in plan, (name, bad)
 
 
@@ -76,6 +78,13 @@ def test_candles_break_ties_by_event_id(spark):
     assert serve.latest_price(ticks).first().price == 49.0
 
 
+@pytest.mark.parametrize("name", ["recent_alerts", "candlesticks_alerts", "heatmap_long", "deep_dive", "route_alerts", "alert_enrich"])
+def test_serving_reads_stored_alerts(spark, name):
+    """No detection (tick windows of 20 and 30 rows, volumes) below a serving query."""
+    plan = _plan(entry.queries()[name](spark, SF))
+    assert "alert-table-" in plan and "stddev" not in plan.replace("stddev_samp", "") and "props" not in plan
+
+
 def test_pruned_scan(spark):
     df = entry.queries()["latest_price"](spark, SF)
     df.collect()

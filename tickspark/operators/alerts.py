@@ -97,9 +97,12 @@ def deliveries(alerts: DataFrame, repeat_mod: int = 7) -> DataFrame:
     is divisible by ``repeat_mod`` arrives again later, with another message and severity, so it
     matters which copy a store keeps."""
     tick = F.col("source_event_id").cast("long")
-    again = alerts.filter(tick % repeat_mod == 0).withColumn("arrival", tick + REDELIVERED) \
-                  .withColumn("message", F.concat(F.lit("again: "), F.col("message"))).withColumn("severity", F.lit("low"))
-    return alerts.withColumn("arrival", tick).unionByName(again)
+    copies = F.when(tick % repeat_mod == 0, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    out = alerts.withColumn("_again", F.explode(copies))  # one pass over the detections, not a union of two
+    again = F.col("_again")
+    return (out.withColumn("arrival", tick + F.when(again, F.lit(REDELIVERED)).otherwise(F.lit(0)))
+            .withColumn("message", F.when(again, F.concat(F.lit("again: "), F.col("message"))).otherwise(F.col("message")))
+            .withColumn("severity", F.when(again, F.lit("low")).otherwise(F.col("severity"))).drop("_again"))
 
 
 def alerts_table(ticks: DataFrame, rules: DataFrame | None = None, repeat_mod: int = 7) -> DataFrame:

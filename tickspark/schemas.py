@@ -7,7 +7,6 @@ from pyspark.sql import types as T
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference behaviour (stated once, here).
 # ---------------------------------------------------------------------------
-TRACKED_SYMBOLS = ["AAPL", "MSFT", "GOOGL", "AMZN", "NVDA", "TSLA", "META"]
 HEATMAP_SYMBOL_COUNT = 6
 CANDLE_WINDOWS = [60, 300, 900]
 BOLLINGER_WINDOW = 20
@@ -26,7 +25,6 @@ LIVE_SOURCE = "yfinance"
 SEVERITY_RANK = {"low": 0, "medium": 1, "high": 2}
 SEVERITY_COLOR = {"low": "#36a64f", "medium": "#ffb347", "high": "#ff4c4c"}
 DEFAULT_COLOR = "#aaaaaa"
-RULE_TYPES = ["price_above", "price_below", "volume_above"]
 RETENTION_HOURS = {"ticks": 24, "aggregates": 7 * 24, "alerts": 30 * 24}
 # Alert type names as emitted by the detector.
 BOLLINGER_BREACH = "BOLLINGER_BREACH"

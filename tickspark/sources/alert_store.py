@@ -28,18 +28,28 @@ class AlertStore:
         self.insert(batch, batch_id)
 
     def insert(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rest = [c for c in batch.columns if c not in ("event_id", "time")]
-        sortable = [c for c in rest if c not in ("arrival", "metadata")]
-        first = (batch.groupBy("event_id", "time")
-                 .agg(F.min_by(F.struct(*rest), F.struct("arrival", *sortable)).alias("_a"))
-                 .select("event_id", "time", "_a.*").withColumn("date", F.to_date("time")))
-        seen = self._stored(spark)
-        if seen is not None:
+        seen = self._stored(batch.sparkSession)
+        if seen is None:
+            return self._write(self._first(batch), batch_id)
+        batch = batch.persist()  # read for its days and for its rows; a lost executor's part is computed again
+        try:
             days = [r[0] for r in batch.select(F.to_date("time")).distinct().collect()]  # calendar days of one batch
             seen = seen.filter((F.col("batch_id") < batch_id) & F.col("date").isin(days)).select("event_id", "time")
-            first = first.join(seen, ["event_id", "time"], "left_anti")
-        (first.repartitionByRange("date", "symbol", "time").sortWithinPartitions("date", "symbol", "time")
+            self._write(self._first(batch).join(seen, ["event_id", "time"], "left_anti"), batch_id)
+        finally:
+            batch.unpersist()
+
+    @staticmethod
+    def _first(batch: DataFrame) -> DataFrame:
+        rest = [c for c in batch.columns if c not in ("event_id", "time")]
+        sortable = [c for c in rest if c not in ("arrival", "metadata")]
+        return (batch.groupBy("event_id", "time")
+                .agg(F.min_by(F.struct(*rest), F.struct("arrival", *sortable)).alias("_a"))
+                .select("event_id", "time", "_a.*").withColumn("date", F.to_date("time")))
+
+    def _write(self, rows: DataFrame, batch_id: int) -> None:
+        # a rebalance by day: few files a day, a crowded day split by its size, no sampling pass
+        (rows.hint("rebalance", "date").sortWithinPartitions("date", "symbol", "time")
          .write.mode("overwrite").partitionBy("date").parquet(os.path.join(self.path, f"batch_id={batch_id}")))
 
     def _stored(self, spark: SparkSession) -> DataFrame | None:

@@ -26,7 +26,8 @@ def read_stream(spark: SparkSession, topic: str, bootstrap: str, starting: str =
             .option("startingOffsets", starting)
             .option("failOnDataLoss", str(fail_on_data_loss).lower())
             .load()
-            .select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value")))
+            .select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"),
+                    "topic", "partition", "offset"))
 
 
 def write_stream(df: DataFrame, topic: str, bootstrap: str, checkpoint: str):
