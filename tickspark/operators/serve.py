@@ -216,30 +216,30 @@ def anomaly_markers(series: DataFrame) -> DataFrame:
                     (F.row_number().over(w) == 1).alias("is_latest"))
 
 
-def heartbeat_log(messages: DataFrame, interval_sec: int = 10) -> DataFrame:
+def heartbeat_log(messages: DataFrame, interval_sec: int = 10, metrics: dict[str, Column] | None = None) -> DataFrame:
     """Heartbeats from processed messages ``(service_name, time)``: one beat
-    per service and interval with mps = round(count / interval, 2)."""
+    per service and interval with mps = round(count / interval, 2). ``metrics`` are further
+    aggregates of a beat's messages, by name."""
+    extra = metrics or {}
     b = messages.withColumn("_b", bucket_start("time", interval_sec))
-    g = b.groupBy("service_name", "_b").agg(F.count(F.lit(1)).alias("total_processed"))
+    g = b.groupBy("service_name", "_b").agg(F.count(F.lit(1)).alias("total_processed"), *[c.alias(n) for n, c in extra.items()])
     return g.select(
         "service_name",
         F.timestamp_micros(epoch_micros("_b") + F.lit(interval_sec * 1_000_000)).alias("last_heartbeat"),
         F.when(F.col("total_processed") > 0, F.lit("running")).otherwise(F.lit("idle")).alias("status"),
         F.round(F.col("total_processed") / F.lit(float(interval_sec)), 2).alias("mps"),
-        F.col("total_processed"))
+        F.col("total_processed"), *extra)
 
 
 def health_latest(beats: DataFrame) -> DataFrame:
     """Upsert semantics of the health table: newest beat per service,
-    ordered by service name."""
+    ordered by service name; ``metrics`` is every metric of the beat as JSON."""
     key = epoch_micros("last_heartbeat")
+    metrics = [c for c in beats.columns if c not in ("service_name", "last_heartbeat", "status")]
     g = beats.groupBy("service_name").agg(
-        F.max("last_heartbeat").alias("last_heartbeat"),
-        F.max_by("status", key).alias("status"),
-        F.max_by("mps", key).alias("mps"), F.max_by("total_processed", key).alias("total_processed"))
-    return g.select("service_name", "last_heartbeat",
-                    "status", "mps", "total_processed",
-                    F.to_json(F.struct("mps", "total_processed")).alias("metrics")).orderBy("service_name")
+        F.max("last_heartbeat").alias("last_heartbeat"), *[F.max_by(c, key).alias(c) for c in ("status", *metrics)])
+    return g.select("service_name", "last_heartbeat", "status", "mps", "total_processed",
+                    F.to_json(F.struct(*metrics)).alias("metrics")).orderBy("service_name")
 
 
 def health_liveness(health: DataFrame, now: Column) -> DataFrame:

@@ -21,6 +21,7 @@ from tickspark.schemas import HEATMAP_SYMBOL_COUNT
 from tickspark.session import ensure_checkpoint_dir
 from tickspark.sources import codec, fixtures as fx, sinks
 from tickspark.sources.alert_store import AlertStore
+from tickspark.streaming.jobs import CandleStore
 
 CANDLE_COLS = candles_op.CANDLE_COLUMNS
 
@@ -94,6 +95,21 @@ def q_candle_upsert(spark, d):
     return sinks.upsert_log_view(log).select(*CANDLE_COLS)
 
 
+def q_candle_store(spark, d):
+    """Three thirds of the arrivals stored as candle batches, compacted after the second, the last one tried
+    twice, and the store read: base plus the newer batch."""
+    t = fx.ticks(spark, d)
+    n = F.col("event_id").cast("long")
+    last = t.agg(F.max(n)).first()[0] or 0
+    log = candles_op.candle_update_log(t.withColumn("batch_id", F.floor(n * 3 / (last + 1)).cast("long")), [60, 300, 900])
+    store = CandleStore(f"{ensure_checkpoint_dir(spark).rstrip('/')}/candles-{uuid.uuid4().hex}")
+    for b in (0, 1, 2, 2):
+        store(log.filter(F.col("batch_id") == b), b)
+        if b == 1:
+            store.compact(spark)
+    return store.read(spark).select(*CANDLE_COLS)
+
+
 def q_volume_direction(spark, d):
     return candles_op.volume_direction(candles_op.candles(fx.ticks(spark, d), 60))
 
@@ -422,6 +438,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "candles_exploded": q_candles_exploded,
     "candle_rollup": q_candle_rollup,
     "candle_upsert": q_candle_upsert,
+    "candle_store": q_candle_store,
     "volume_direction": q_volume_direction,
     "throughput": q_throughput,
     "throughput_grid": q_throughput_grid,

@@ -352,6 +352,7 @@ def queries_sql() -> dict[str, str]:
     q["candles_exploded"] = multi
     q["candle_rollup"] = _with(ticks_cte(), candles_cte(3600)) + f"SELECT {cols} FROM candles_3600"
     q["candle_upsert"] = multi
+    q["candle_store"] = multi
     q["volume_direction"] = _with(ticks_cte(), candles_cte(60)) + \
         f"SELECT {cols}, CASE WHEN close >= open THEN 'up' ELSE 'down' END AS direction FROM candles_60"
     q["throughput"] = """SELECT event_type AS service_name,
@@ -603,10 +604,11 @@ def queries_sql() -> dict[str, str]:
         WHERE coalesce(close, 0.0) > 0"""
     beats = cte("beats", """SELECT event_type AS service_name,
             make_timestamp((epoch_us(CAST(ts AS TIMESTAMP)) // 10000000) * 10000000 + 10000000) AS last_heartbeat,
-            'running' AS status, round(count(*) / 10.0, 2) AS mps, count(*) AS total_processed
+            'running' AS status, round(count(*) / 10.0, 2) AS mps, count(*) AS total_processed,
+            count(DISTINCT user_id) AS users, max(user_id) AS last_user
         FROM events GROUP BY 1, 2""")
     latest = cte("latest", """SELECT service_name, last_heartbeat, status, mps, total_processed,
-            CAST(json_object('mps', mps, 'total_processed', total_processed) AS VARCHAR) AS metrics
+            CAST(json_object('mps', mps, 'total_processed', total_processed, 'users', users, 'last_user', last_user) AS VARCHAR) AS metrics
         FROM beats QUALIFY row_number() OVER (PARTITION BY service_name ORDER BY last_heartbeat DESC) = 1""")
     q["health_latest"] = _with(beats, latest) + "SELECT * FROM latest"
     q["health_liveness"] = _with(beats, latest) + f"""SELECT service_name, last_heartbeat,

@@ -195,7 +195,8 @@ def heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickspark.operators.serve import heartbeat_log
     ev = table(spark, sf_dir, "events")
     return heartbeat_log(ev.select(F.col("event_type").alias("service_name"),
-                                   F.col("ts").cast("timestamp").alias("time")))
+                                   F.col("ts").cast("timestamp").alias("time"), "user_id"),
+                         metrics={"users": F.countDistinct("user_id"), "last_user": F.max("user_id")})
 
 
 def as_of() -> F.Column:
