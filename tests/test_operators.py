@@ -386,9 +386,9 @@ def test_formats_are_those_of_the_exact_binary_value(spark):
         if float(f"{v:.16g}") == v and v != 5e-324:  # the JVM prints a few doubles with one digit more than needed
             assert r.r == repr(v), v
             assert r.c == (f"{v:,}" if "e" not in repr(v) else repr(v)), v
-    texts = ["12", " 1.5 ", "-3e2", ".5", "1.", "12d", "NaN", "", "n/a", "1_0", None]
+    texts = ["12", " 1.5 ", "-3e2", ".5", "1.", "12d", "NaN", "", "n/a", "1_0", None, "Infinity", "0x1p3", "1e999", "+7", "5f", "."]
     got = [x.n for x in spark.createDataFrame([(t,) for t in texts], "t string").select(wire_number("t").alias("n")).collect()]
-    assert got == [12.0, 1.5, -300.0, 0.5, 1.0, None, None, None, None, None, None]
+    assert got == [12.0, 1.5, -300.0, 0.5, 1.0, None, None, None, None, None, None, None, None, None, 7.0, None, None]
 
 
 def test_alert_store_keeps_the_first_arrival_and_prunes_days(spark, tmp_path):

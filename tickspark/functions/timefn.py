@@ -12,6 +12,8 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tickspark.functions.values import wire_number
+
 MICROS = 1_000_000
 
 
@@ -66,8 +68,7 @@ def parse_epoch_or_iso(c, now: Column | None = None) -> Column:
     """Alert/tick time on the wire: epoch seconds (number or numeric string),
     else an ISO-8601 string (``Z`` suffix allowed), else ``now``."""
     s = _col(c).cast("string")
-    epoch = F.when(s.rlike(r"^\s*-?[0-9]+(\.[0-9]*)?([eE][-+]?[0-9]+)?\s*$"),
-                   F.timestamp_micros(F.round(s.try_cast("double") * F.lit(1e6)).cast("long")))
+    epoch = F.timestamp_micros(F.round(wire_number(s) * F.lit(1e6)).try_cast("long"))
     iso = F.try_to_timestamp(F.regexp_replace(s, "Z$", "+00:00"))
     out = F.coalesce(epoch, iso)
     return F.coalesce(out, now) if now is not None else out

@@ -41,9 +41,13 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def wire_number(c) -> Column:
-    """A number sent as a JSON number or as text; null where it is neither (or not finite)."""
+    """A number sent as a JSON number or as text; null where it is neither (or not finite). The cast also
+    takes type suffixes, words and hexadecimal, which end in a letter or hold an x."""
     text = F.trim(_col(c).cast("string"))
-    return F.when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), text.try_cast("double"))
+    end = F.substring(text, -1, 1)
+    value = text.try_cast("double")
+    plain = (end.between("0", "9") | (end == ".")) & ~text.contains("x") & ~text.contains("X")
+    return F.when(plain & (F.abs(value) < float("inf")), value)
 
 
 def _bind(value: Column, body) -> Column:

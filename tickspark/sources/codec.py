@@ -77,22 +77,22 @@ def decode_ticks_with_rejects(messages: DataFrame, value_col: str = "value",
     or ISO text; a missing or unreadable time is ``now`` (null without one). Rejects are the messages
     as they came with ``reason``: 'json', or the fields missing or unreadable."""
     p = _parsed(messages, value_col, TICK_WIRE_SCHEMA)
-    price, volume = wire_number("_m.price"), wire_number("_m.volume")
-    time = parse_epoch_or_iso("_m.timestamp", now)
-    faults = F.concat_ws(",", F.when(F.col("_m.symbol").isNull(), F.lit("symbol")), F.when(price.isNull(), F.lit("price")),
-                         F.when(volume.isNull(), F.lit("volume")))
+    p = p.withColumns({"_price": wire_number("_m.price"), "_volume": wire_number("_m.volume")})
+    faults = F.concat_ws(",", F.when(F.col("_m.symbol").isNull(), F.lit("symbol")), F.when(F.col("_price").isNull(), F.lit("price")),
+                         F.when(F.col("_volume").isNull(), F.lit("volume")))
     p = p.withColumn("reason", F.when(_malformed(), F.lit("json")).otherwise(faults))
-    good = p.filter(F.col("reason") == "").select(
+    good = p.filter(~_malformed() & F.col("_m.symbol").isNotNull() & F.col("_price").isNotNull() & F.col("_volume").isNotNull())
+    good = good.withColumn("_time", parse_epoch_or_iso("_m.timestamp", now)).select(
         F.col("_m.event_id").alias("event_id"),
-        (F.unix_micros(time) / F.lit(1e6)).alias("timestamp"),
-        time.alias("time"),
+        (F.unix_micros("_time") / F.lit(1e6)).alias("timestamp"),
+        F.col("_time").alias("time"),
         F.col("_m.symbol").alias("symbol"),
-        price.alias("price"),
-        volume.alias("volume"),
+        F.col("_price").alias("price"),
+        F.col("_volume").alias("volume"),
         F.col("_m.source").alias("source"),
         wire_number("_m.bid").alias("bid"),
         wire_number("_m.ask").alias("ask"))
-    return good, p.filter(F.col("reason") != "").drop("_m")
+    return good, p.filter(F.col("reason") != "").drop("_m", "_price", "_volume")
 
 
 def decode_alerts(messages: DataFrame, value_col: str = "value") -> DataFrame:
