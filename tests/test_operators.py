@@ -409,6 +409,38 @@ def test_alert_store_keeps_the_first_arrival_and_prunes_days(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(date" in plan and "date" in plan.split("PartitionFilters")[1][:200]
 
 
+def test_alert_store_without_alerts(spark, tmp_path):
+    from tickspark.operators import alerts as A
+    from tickspark.sources import fixtures as fx
+    from tickspark.sources.alert_store import AlertStore
+    t = fx.ticks(spark, "/root/testdata/sf0.001").limit(0)
+    store = AlertStore(str(tmp_path / "none"))
+    store.insert(A.deliveries(A.build_alerts(A.unified_detections(t, fx.rules(spark, "/root/testdata/sf0.001")))), 0)
+    assert store.read(spark).count() == 0
+    assert serve.candlesticks(C.candles(t, 60), store.read(spark), 60).count() == 0
+
+
+def test_tables_bucketed_alike_join_without_a_shuffle(spark, tmp_path):
+    from tickspark.sources import fixtures as fx
+    t = fx.ticks(spark, "/root/testdata/sf0.001")
+    c = C.candles(t, 60)
+    alerts = t.filter("price > 200").select("time", "symbol", F.lit("X").alias("alert_type"), F.lit("high").alias("severity"),
+                                            F.col("price").alias("trigger_price"), "event_id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        history = serve.JoinedHistory("joined_history_test", str(tmp_path), 60, buckets=4)
+        history.store(c, alerts)
+        got = history.read(spark)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and "SelectedBucketsCount: 4 out of 4" in plan
+        want = serve.join_alerts(c, alerts, 60).select(*serve.CANDLE_OUT)
+        assert got.count() == want.count() > c.count() - 1 and got.exceptAll(want).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS joined_history_test_candles")
+        spark.sql("DROP TABLE IF EXISTS joined_history_test_alerts")
+
+
 def test_read_range_derives_the_day(spark, tmp_path):
     from tickspark.sources import fixtures as fx
     t = fx.ticks(spark, "/root/testdata/sf0.001")

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickspark.functions.timefn import bucket_start, epoch_micros, event_order_key
@@ -20,6 +20,7 @@ from tickspark.functions.values import is_truthy, truthy_coalesce
 from tickspark.plans.joins import broadcast_if_small
 from tickspark.schemas import LIVENESS_MS
 from tickspark.session import ensure_checkpoint_dir
+from tickspark.sources import sinks
 
 #: Candle keys that a serving join sends to every task at most.
 MAX_BROADCAST_KEYS = 1_000_000
@@ -55,15 +56,41 @@ def join_alerts(candles_df: DataFrame, alerts: DataFrame, window_sec: int,
     bucket splits a hot symbol over many join keys.
     """
     c = _in_symbols(candles_df.filter(F.col("window_sec") == window_sec), symbols)
-    al = _in_symbols(alerts, symbols).select(
+    return _joined(c, alert_side(_in_symbols(alerts, symbols), window_sec))
+
+
+def alert_side(alerts: DataFrame, window_sec: int) -> DataFrame:
+    """Alerts as the candle join reads them, with the start of the candle they fall into."""
+    return alerts.select(
         F.col("symbol").alias("_al_symbol"), F.col("time").alias("_al_time"),
         F.col("alert_type").alias("anomaly_type"), F.col("severity").alias("_al_severity"),
         F.col("trigger_price").alias("anomaly_value"), F.col("event_id").alias("_al_event_id"),
         bucket_start("time", window_sec).alias("_al_bucket"))
+
+
+def _joined(c: DataFrame, al: DataFrame) -> DataFrame:
     j = c.join(al, (c.symbol == al._al_symbol) & (c.time == al._al_bucket), "left")
     return j.withColumn("severity", F.coalesce(F.col("_al_severity"), F.lit("normal")))
 
 
+class JoinedHistory:
+    """Candles of one window with their alerts over the whole history, from two stored tables bucketed by
+    (symbol, candle start): stored once, joined any number of times without a shuffle."""
+
+    def __init__(self, name: str, path: str, window_sec: int, buckets: int = 64):
+        self.candles, self.alerts = f"{name}_candles", f"{name}_alerts"
+        self.path, self.window_sec, self.buckets = path, window_sec, buckets
+
+    def store(self, candles_df: DataFrame, alerts: DataFrame) -> None:
+        sinks.write_bucketed(candles_df.filter(F.col("window_sec") == self.window_sec), self.candles,
+                             f"{self.path}/{self.candles}", ["symbol", "time"], self.buckets)
+        sinks.write_bucketed(alert_side(alerts, self.window_sec), self.alerts, f"{self.path}/{self.alerts}",
+                             ["_al_symbol", "_al_bucket"], self.buckets)
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return _joined(spark.table(self.candles), spark.table(self.alerts)).select(*CANDLE_OUT)
+
+
 def newest_joined(candles_df: DataFrame, alerts: DataFrame, window_sec: int, limit: int,
                   symbols: Sequence[str] | None = None) -> DataFrame:
     """The newest ``limit`` joined rows per symbol (a candle with several

@@ -243,6 +243,14 @@ def q_candlesticks_alerts(spark, d):
     return serve.candlesticks(candles_op.candles(t, 60), _alerts(spark, d), 60, limit=100)
 
 
+def q_candle_alert_history(spark, d):
+    """Every one-minute candle with its alerts, from tables bucketed alike."""
+    name = f"history_{uuid.uuid4().hex}"
+    history = serve.JoinedHistory(name, ensure_checkpoint_dir(spark).rstrip("/"), 60, buckets=8)
+    history.store(candles_op.candles(fx.ticks(spark, d), 60), _alerts(spark, d))
+    return history.read(spark)
+
+
 def q_recent_alerts(spark, d):
     return serve.recent_alerts(_alerts(spark, d), None, 50)
 
@@ -464,6 +472,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rules_current": q_rules_current,
     "latest_price": q_latest_price,
     "candlesticks_alerts": q_candlesticks_alerts,
+    "candle_alert_history": q_candle_alert_history,
     "recent_alerts": q_recent_alerts,
     "recent_alerts_symbol": q_recent_alerts_symbol,
     "heatmap_long": q_heatmap_long,

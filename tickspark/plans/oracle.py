@@ -461,6 +461,7 @@ def queries_sql() -> dict[str, str]:
         QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY time DESC, event_id DESC) = 1"""
     serve60 = [*alerts_ctes(), candles_cte(60)]
     q["candlesticks_alerts"] = _with(*serve60, joined_cte(60, 100, "j")) + f"SELECT {CANDLE_OUT} FROM j"
+    q["candle_alert_history"] = _with(*serve60, joined_cte(60, 1 << 40, "j")) + f"SELECT {CANDLE_OUT} FROM j"
     recent = "SELECT time, symbol, alert_type, severity, message, trigger_price, trigger_price AS actual_value FROM alerts"
     q["recent_alerts"] = _with(*alerts_ctes()) + f"{recent} ORDER BY time DESC, event_id DESC LIMIT 50"
     q["recent_alerts_symbol"] = _with(*alerts_ctes()) + \

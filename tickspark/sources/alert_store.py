@@ -7,6 +7,7 @@ import os
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickspark.sources import sinks
 
@@ -23,6 +24,7 @@ class AlertStore:
 
     def __init__(self, path: str):
         self.path = path
+        self._schema = None  # of what this object wrote: a table without rows has no files to tell
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         self.insert(batch, batch_id)
@@ -48,6 +50,7 @@ class AlertStore:
                 .select("event_id", "time", "_a.*").withColumn("date", F.to_date("time")))
 
     def _write(self, rows: DataFrame, batch_id: int) -> None:
+        self._schema = T.StructType([*rows.schema.fields, T.StructField("batch_id", T.IntegerType())])
         # a rebalance by day: few files a day, a crowded day split by its size, no sampling pass
         (rows.hint("rebalance", "date").sortWithinPartitions("date", "symbol", "time")
          .write.mode("overwrite").partitionBy("date").parquet(os.path.join(self.path, f"batch_id={batch_id}")))
@@ -60,4 +63,5 @@ class AlertStore:
 
     def read(self, spark: SparkSession, start: Column | None = None, end: Column | None = None) -> DataFrame:
         """The stored alerts with ``start <= time < end``; other days are not read."""
-        return sinks.in_range(spark.read.parquet(self.path), start, end).drop("batch_id", "date")
+        reader = spark.read if self._schema is None else spark.read.schema(self._schema)
+        return sinks.in_range(reader.parquet(self.path), start, end).drop("batch_id", "date")

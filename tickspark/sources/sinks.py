@@ -130,6 +130,15 @@ def read_range(spark, path: str, start: Column | None = None, end: Column | None
     return (out if symbols is None else out.filter(F.col("symbol").isin(list(symbols)))).drop("date")
 
 
+def write_bucketed(df: DataFrame, table: str, path: str, cols, buckets: int = 64) -> None:
+    """A table of ``buckets`` files by the hash of ``cols``, sorted by them. Tables bucketed alike on their join
+    columns join without a shuffle; with a time column among them a hot symbol spreads over all buckets.
+    Rows are dealt by the same hash first, so each bucket is written by one task as one file."""
+    cols = list(cols)
+    (df.repartition(buckets, *cols).write.mode("overwrite").option("path", path)
+       .bucketBy(buckets, *cols).sortBy(*cols).saveAsTable(table))
+
+
 def read_jdbc(spark, url: str, table: str, partition_column: str, lower: int, upper: int,
               num_partitions: int, properties: dict | None = None) -> DataFrame:
     """Relational source read in parallel ranges of ``partition_column``
