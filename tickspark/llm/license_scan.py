@@ -24,6 +24,9 @@ TAG = "spdx license identifier"
 RESTRICTS = {"public-domain": 0.0, "cc0": 0.0, "unlicense": 0.0, "mit": 0.1, "bsd": 0.1, "isc": 0.1, "bsl": 0.1, "zlib": 0.1,
              "apache": 0.2, "cc-by": 0.2, "mpl": 0.5, "epl": 0.5, "lgpl": 0.6, "gpl": 0.8, "agpl": 0.9, "all-rights-reserved": 1.0}
 UNKNOWN = 0.7
+#: Licence identifiers without a version.
+NAMES = ("beerware", "curl", "eupl", "fsfap", "ftl", "hpnd", "icu", "ijg", "info-zip", "json", "libpng", "libtiff", "mirros", "ms-pl",
+         "ms-rl", "ncsa", "ntp", "openssl", "postgresql", "psf", "ruby", "sleepycat", "tcl", "vim", "w3c", "wtfpl", "x11", "xnet", "zpl")
 #: An exception (WITH) lifts this part of a licence's restriction.
 EXCEPTION = 0.5
 
@@ -31,12 +34,15 @@ _WORD = bytes((c + 32 if 65 <= c <= 90 else c) if (48 <= c <= 57 or 65 <= c <= 9
               else 32 for c in range(256))
 _TAG_LINE = re.compile(rb"spdx[- ]license[- ]identifier[ \t]*:[ \t]*([^\r\n]*)", re.I)
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
+#: Any other identifier is a name with a version behind a hyphen (apache-2.0, cc-by-sa-4.0-de), or a reference.
+_IDENTIFIER = re.compile(r"(?:documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+|[a-z][a-z0-9]*(?:-[a-z][a-z0-9]*)*-v?\d[a-z0-9.]*(?:-[a-z0-9.]+)*")
 _PRIORITY = {"or": 1, "and": 2, "with": 3}
 
 
 def postfix(expression: str) -> list[str]:
     """Shunting-yard: the licence expression at the start of a line in postfix order. Reading stops at
-    the first token that cannot continue it; unmatched brackets close at the end."""
+    the first token that cannot continue it, words that are no licence identifier among them; unmatched
+    brackets close at the end."""
     out, ops = [], []
     operand = True  # an operand (or an opening bracket) is due
     for token in _TOKEN.findall(expression):
@@ -59,7 +65,7 @@ def postfix(expression: str) -> list[str]:
                 out.append(ops.pop())
             ops.pop()
         else:
-            if not operand:
+            if not operand or not (is_identifier(low) or (ops and ops[-1] == "with")):
                 break
             out.append(low)
             operand = False
@@ -69,6 +75,12 @@ def postfix(expression: str) -> list[str]:
     return out
 
 
+def is_identifier(token: str) -> bool:
+    """Whether a lower-case token can name a licence: a known family, a known name or the grammar of identifiers."""
+    name = token.rstrip("+.")
+    return family(token) in RESTRICTS or name in NAMES or _IDENTIFIER.fullmatch(name) is not None
+
+
 def family(identifier: str) -> str:
     """apache-2.0 -> apache, gpl-2.0-or-later -> gpl, cc-by-4.0 -> cc-by."""
     name = identifier.rstrip("+.").split(":")[-1]
@@ -159,7 +171,7 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """One row a row of ``docs``: doc_id, n_words, n_base (places of base phrases), first_word and
     last_word (their smallest and largest start, words from 0, else null), base_labels and labels
     (distinct, sorted, comma-joined; labels also holds notices and the families of tagged
-    expressions), score (0 to 1: the strictest thing found, 0 if none), places (every phrase's).
+    expressions; words behind a tag that are no identifier give none), score (0 to 1: the strictest thing found, 0 if none), places (every phrase's).
 
     Only A-Z are lower-cased. Null and empty texts have no words, empty labels and score 0. Null and
     repeated ids are carried as they are. Overlapping places all count. Other columns play no role.
