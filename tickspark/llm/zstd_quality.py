@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickspark.llm.common import text_batches
+from tickspark.llm.common import cut, text_batches
 
 #: Labelled texts that a class gives to its dictionary, and as many again to the calibration: those
 #: with the smallest hashes of their ids.
@@ -103,7 +103,8 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> CompressionModel:
     """Learns from at most 2 * SAMPLE_TEXTS labelled texts a class whose id is not held out. Null or
     contradicting labels, null ids and empty texts are passed over. Without both classes every text
-    scores the share of label 1 (one half without labels)."""
+    scores the share of label 1 (one half without labels). The bound counts labels whose text is here, so labels
+    of other tables do not use it up; the driver gets at most SAMPLE_BYTES of a text."""
     marks = (labels.select(F.col(doc_id).alias("id"), F.col(label).alias("y")).where("id is not null and y in (0, 1)")
              .groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("_y")).where("y = _y").drop("_y")
              .where(~held_out(F.col("id"))))
@@ -111,12 +112,17 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     share = marks.groupBy("y").count().collect()  # two rows
     n = {r.y: r["count"] for r in share}
     prior = n.get(1, 0) / max(1, sum(n.values())) if n else 0.5
+    known = cut(marks.join(texts.select("id"), "id", "left_semi"))
+    raw = F.encode(F.col("t"), "UTF-8")
+    n_blocks, most = F.ceil(F.octet_length("t") / BLOCK), SAMPLE_BYTES // BLOCK
+    spread = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.substr(
+        raw, (F.floor(i * n_blocks / most) * BLOCK + 1).cast("int"), F.lit(BLOCK)))
     rows = []
     for y in (0, 1):
-        ids = marks.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(4 * SAMPLE_TEXTS).select("id")
+        ids = known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(4 * SAMPLE_TEXTS).select("id")
         got = (texts.join(F.broadcast(ids), "id").orderBy(F.xxhash64("id"), "id").limit(2 * SAMPLE_TEXTS)
-               .select(F.encode(F.col("t"), "UTF-8").alias("t")).collect())
-        rows.append([bytes(r.t) for r in got])
+               .select(F.when(n_blocks > most, spread).otherwise(F.array(raw)).alias("t")).collect())
+        rows.append([b"".join(map(bytes, r.t)) for r in got])
     bad, good = rows
     if min(len(good), len(bad)) < 2:
         p = min(max(prior, 1e-6), 1 - 1e-6)
