@@ -1,5 +1,6 @@
 """The training-data operators against brute force, exact round trips or held-out accuracy."""
 
+import binascii
 import hashlib
 import re
 from collections import Counter, defaultdict
@@ -112,6 +113,19 @@ def test_near_duplicates_odd_rows(spark):
     assert bagminhash.near_duplicates(table(spark, []).limit(0)).count() == 0
 
 
+def test_texts_that_share_an_id_are_compared_each_for_itself(spark):
+    a, b, near = (" ".join(f"{w}{i}" for i in range(200)) for w in "abc")
+    near = a.replace("a77 ", "zz ")
+    docs = [(1, a), (1, b), (2, b), (3, a), (3, a), (4, near), (4, "other words of its own"), (4, "other words of its own")]
+    rows = bagminhash.near_duplicates(table(spark, docs)).collect()
+    classes = defaultdict(list)
+    for r in rows:
+        classes[r.class_id].append(r.doc_id)
+    # the texts a and b both begin at id 1, but 2 and 3 share no word and are not one class through it
+    assert sorted(map(sorted, classes.values())) == [[1, 2], [1, 3, 4], [4]] and {1, 4} < classes.keys()
+    assert sorted((r.doc_id, r.copy_of) for r in rows) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4)]
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(50)] + [(100, 103), (103, 101)] + [(200, 200 + i) for i in range(1, 40)]
     got = {r.id: r.label for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -266,6 +280,25 @@ def test_quality_odd_rows(spark):
     assert zstd_quality.score(docs.limit(0), zstd_quality.fit(docs, labels)).count() == 0
 
 
+def test_quality_learns_from_the_labels_whose_texts_are_here(spark):
+    good, bad = ("a fine sentence about the sea and the hills number %d", "buy now cheap $$$ click click %d !!!")
+    texts = [(i, ((good if i % 2 else bad) % i + " ") * 20) for i in range(400)]
+    labels = spark.range(200_000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    rows = zstd_quality.score(table(spark, texts), zstd_quality.fit(table(spark, texts), labels), keep=["doc_id"]).collect()
+    assert all(r.predicted == r.doc_id % 2 for r in rows)
+
+
+def test_quality_sample_of_long_texts_is_spread_evenly(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(zstd_quality, "_dictionary", lambda texts: seen.extend(texts) or b"")
+    whole = ["".join(chr(97 + (i * k) % 26) for i in range(n)) + "é" for k, n in ((3, 33_500), (7, 90_000), (5, 900), (9, 32_768))]
+    ids = [i for i in range(1, 40) if binascii.crc32(str(i).encode()) % 5][:8]
+    zstd_quality.fit(table(spark, zip(ids, whole * 2, strict=True)),
+                     spark.createDataFrame([(i, int(k >= 4)) for k, i in enumerate(ids)], "doc_id long, quality int"))
+    want = {b"".join(zstd_quality._blocks(t.encode())) for t in whole}
+    assert len(seen) == 4 and set(seen) <= want and all(len(t) <= zstd_quality.SAMPLE_BYTES for t in seen)
+
+
 # 6 ---------------------------------------------------------------------------------------------
 
 def brute_signature(text):
@@ -470,6 +503,9 @@ def test_licence_expressions():
     assert of("(GPL-2.0-or-later WITH Classpath-exception-2.0) AND Apache-2.0 */ end") == ("apache,gpl", 0.4)
     assert of("MIT OR GPL-3.0 AND Apache-2.0") == ("apache,gpl,mit", 0.1)
     assert of("(MIT OR GPL-3.0) AND Apache-2.0") == ("apache,gpl,mit", 0.2)
+    assert of("the tag names a licence") == of("see file LICENSE") == of("NONE") == ("", 0.0)
+    assert of("MIT or see COPYING") == ("mit", 0.1) and of("GPL-2.0 WITH some exception") == ("gpl", 0.4)
+    assert of("LicenseRef-Own-1 OR WTFPL AND EUPL-1.2+") == ("eupl-1.2,licenseref-own-1,wtfpl", 0.7)
     assert of("OR AND") == ("", 0.0) and of("((MIT") == ("mit", 0.1) and of("MIT AND") == ("mit", 0.1)
     found = license_scan.automaton()
     text = "Mit  LICENSE.mit license\n// SPDX-License-Identifier: LGPL-2.1+ OR BSD-3-Clause\ncc-by cc by 4.0 é"

@@ -120,7 +120,7 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return out
 
 
-_SIGNED = "doc long, one long, two long, bands array<long>, marks binary"
+_SIGNED = "doc long, hash long, one long, two long, bands array<long>, marks binary"
 
 
 def _sign(batches):
@@ -136,12 +136,12 @@ def _sign(batches):
             ones = [int(mix64(i * _GOLD + c.astype(np.uint64)).sum(dtype=np.uint64)) for i, c in bags]
             twos = [int(mix64(i + _GOLD * c.astype(np.uint64) + np.uint64(11)).sum(dtype=np.uint64)) for i, c in bags]
             yield pa.RecordBatch.from_arrays([
-                pa.array(ids[k:k + DOCS], pa.int64()), pa.array(as_long(np.array(ones, np.uint64))),
+                pa.array(ids[k:k + DOCS], pa.int64()), b.column(2).slice(k, DOCS), pa.array(as_long(np.array(ones, np.uint64))),
                 pa.array(as_long(np.array(twos, np.uint64))),
                 pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(bags) + 1, BANDS, dtype=np.int32)),
                                          pa.array(as_long(band.reshape(-1)))),
                 pa.array([m.tobytes() for m in (sig.reshape(len(bags), LABELS) >> np.uint64(56)).astype(np.uint8)], pa.binary())],
-                names=["doc", "one", "two", "bands", "marks"])
+                names=["doc", "hash", "one", "two", "bands", "marks"])
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -256,7 +256,7 @@ def finish(rest: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document with an id: doc_id, class_id (the smallest id of its class), copy_of (the
+    """One row for each id and bag of it (one a document where ids do not repeat): doc_id, class_id (the smallest id of its class), copy_of (the
     smallest id whose shingle bag is equal), n_links (the links to other bags that hold its class together).
 
     Documents are linked when the weighted Jaccard similarity of their five-word shingle bags is 0.8
@@ -265,16 +265,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     all members of other classes; what still shares a bucket but no class is compared in blocks.
 
     Null texts count as empty; all empty texts are copies of each other. Rows with a null id are
-    left out; repeated ids give one row. Other columns play no role.
+    left out. Texts that share an id are compared each for itself: an id has a row for each bag its texts have,
+    and equal ones give one row. Where one id is the smallest of several classes, the class of its smallest text hash
+    has that class_id, and the others a negative number from id and hash. Other columns play no role.
     """
     spark = docs.sparkSession
     text_batches(spark)
     narrow = (docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
-              .where(F.col("doc").isNotNull()))
+              .where(F.col("doc").isNotNull()).withColumn("hash", F.xxhash64("text")))
     signed = stored(narrow.mapInArrow(_sign, _SIGNED))
-    heads = signed.groupBy("one", "two").agg(F.min("doc").alias("head"))
-    # bands depend on the bag alone, so one row of each bag stands for all its copies
-    bags = signed.select("doc", "bands", "marks").join(heads, signed["doc"] == heads["head"], "left_semi").dropDuplicates(["doc"])
+    first = signed.groupBy("one", "two").agg(F.min(F.struct("doc", "hash")).alias("f")).select("f.doc", "f.hash")
+    # bands depend on the bag alone, so one row of each bag stands for all its copies; a bag goes by a number of its
+    # own from here on, as an id may have several texts. ``head`` is the smallest id of the bag
+    bags = (signed.join(first, ["doc", "hash"], "left_semi").dropDuplicates(["doc", "hash"])
+            .withColumnRenamed("doc", "head").withColumn("doc", F.monotonically_increasing_id()))
     bags = cut(bags)
     entries = bags.select("doc", F.explode("bands").alias("bucket"))
     # narrow tables are written before they meet wide ones: their size is known then, and where they are small
@@ -285,8 +289,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     hubs = entries.groupBy("doc").agg(F.sum("n").alias("hub"))
     entries = cut(entries.join(hubs, "doc").select("bucket", "doc", "hub"))
     ids = cut(entries.select("doc").distinct())
-    marks = bags.select("doc", "marks").join(ids, "doc", "left_semi")
-    texts = narrow.join(ids, "doc", "left_semi").dropDuplicates(["doc"]).join(marks, "doc")
+    named = cut(bags.join(ids, "doc", "left_semi").select("doc", F.col("head").alias("_id"), F.col("hash").alias("_hash"), "marks"))
+    texts = (narrow.withColumnsRenamed({"doc": "_id", "hash": "_hash"}).join(named, ["_id", "_hash"])
+             .dropDuplicates(["_id", "_hash"]).select("doc", "text", "marks"))
     texts = stored(texts)
 
     links = spark.createDataFrame([], "a long, b long, similarity double")
@@ -315,10 +320,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         classes = components(links.select("a", "b")).withColumnRenamed("id", "doc").withColumnRenamed("label", "class")
     degree = (links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
               .select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("n_links")))
-    member = signed.select("doc", "one", "two").join(heads, ["one", "two"]).groupBy("doc").agg(F.min("head").alias("head"))
     if classes is None:
         classes = spark.createDataFrame([], "doc long, class long")
-    of = classes.withColumnRenamed("doc", "head").join(degree.withColumnRenamed("doc", "head"), "head", "left")
-    return (member.join(of, "head", "left")
-            .select(F.col("doc").alias("doc_id"), F.coalesce("class", "head").alias("class_id"),
-                    F.col("head").alias("copy_of"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    least = (classes.join(bags.select("doc", F.struct("head", "hash").alias("f")), "doc").groupBy("class").agg(F.min("f").alias("f")))
+    least = cut(least)
+    of = classes.join(least, "class").join(degree, "doc", "left").select(F.col("doc").alias("bag"), "f", "n_links")
+    # an id that begins several classes names one of them only; few ids do, and one row stands for each
+    firsts = least.select("f.*").unionByName(bags.join(classes, "doc", "left_anti").select("head", "hash"))
+    shared = firsts.groupBy("head").agg(F.min("hash").alias("_own"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    shared = cut(shared.select(F.col("head").alias("_head"), "_own"))
+    member = (signed.select(F.col("doc").alias("doc_id"), "one", "two")
+              .join(bags.select("one", "two", F.col("doc").alias("bag"), "head", "hash"), ["one", "two"])
+              .select("doc_id", "bag", "head", "hash").distinct())
+    member = member.join(of, "bag", "left").withColumn("f", F.coalesce("f", F.struct("head", "hash")))
+    return (member.join(shared, F.col("f.head") == F.col("_head"), "left")
+            .select("doc_id", F.when(F.col("f.hash") != F.col("_own"), F.xxhash64("f").bitwiseOR(F.lit(-(1 << 63))))
+                    .otherwise(F.col("f.head")).alias("class_id"), F.col("head").alias("copy_of"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
