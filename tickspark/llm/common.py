@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -83,13 +84,53 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
 
 
+#: Spark's own setting: the shuffle files of a finished write go at once, not when the driver next collects garbage.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Folders that ``stored`` writes while someone records them; None: nobody does.
+_recorded: list[str] | None = None
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession):
+    """Writes in this block need their shuffles no more once they are done: what they wrote ends the lineage."""
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+
+
+@contextmanager
+def recorded(folders: list[str]):
+    """Adds the folders that ``stored`` writes in this block to ``folders``."""
+    global _recorded
+    before, _recorded = _recorded, folders
+    try:
+        yield
+    finally:
+        _recorded = before
+
+
+def release(spark: SparkSession, folders: list[str], reader: DataFrame) -> None:
+    """Deletes the tables in ``folders``, but for those that ``reader`` reads, and takes them off the list."""
+    read_by = {os.path.basename(os.path.dirname(f)) for f in reader.inputFiles()}
+    for folder in [f for f in folders if os.path.basename(f) not in read_by]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        folders.remove(folder)
+
+
 def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """Write as Parquet into the session's shared checkpoint folder and read back: ends the lineage as a
     checkpoint does, in fewer bytes and without what the optimiser has inferred so far, which would
-    grow from round to round in iterative operators."""
+    grow from round to round in iterative operators. The shuffle files of the write are freed."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    if _recorded is not None:
+        _recorded.append(path)
+    with freed_shuffles(spark):
+        df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
