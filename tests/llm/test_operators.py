@@ -454,21 +454,32 @@ def test_feistel_is_a_permutation():
 
 def test_training_order_round_trip(spark, texts, tmp_path):
     tok = Tokenizer.from_file(PATH)
-    rows = queries.op8_training_order(spark, MID)
-    training_order.write_shards(rows.withColumn("shard", F.floor(F.col("slot") / 100)), str(tmp_path / "s"))
-    back = training_order.read_from(spark, str(tmp_path / "s"), 0, 100).toPandas()
-    assert back.slot.tolist() == list(range(len(back)))
+    docs, folder = spark.read.parquet(f"{MID}/documents.parquet"), str(tmp_path / "s")
+    training_order.write_shards(training_order.training_order(docs, PATH, shard_records=100), folder)
+    shards = list(training_order.resume(spark, folder, 0, 100))
+    back = pd.concat([s.toPandas() for s in shards])
+    assert back.slot.tolist() == list(range(len(back))) and len(shards) == -(-len(back) // 100)
+    assert (back.shard == back.slot // 100).all() and (back.position == back.slot % 100).all()
+    assert all(len(list((tmp_path / "s" / f"shard={k}").glob("*.parquet"))) == 1 for k in range(len(shards)))
+    plan = shards[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan and "PartitionFilters: [isnotnull(shard" in plan
+    whole = queries.op8_training_order(spark, MID).toPandas()
+    assert sorted(whole.slot) == list(range(len(back)))
+    assert sorted(zip(whole.doc_id, whole.part, whole.record)) == sorted(zip(back.doc_id, back.part, back.record))
     for i, g in back.groupby("doc_id"):
         g = g.sort_values("part")
         ids = np.concatenate([np.frombuffer(r, "<u2")[:n] for r, n in zip(g.record, g.n_tokens, strict=True)])
         assert ids.tolist() == [*tok.encode(texts[i], add_special_tokens=False).ids, 49407]
-    assert training_order.read_from(spark, str(tmp_path / "s"), 950, 100).first().slot == 950
+    late = [r.slot for s in training_order.resume(spark, folder, 950, 100) for r in s.collect()]
+    assert late == list(range(950, len(back)))
 
 
-def test_training_order_odd_rows(spark):
+def test_training_order_odd_rows(spark, tmp_path):
     rows = training_order.training_order(table(spark, ODD), PATH).toPandas()
     assert sorted(rows.slot) == list(range(len(rows))) and set(map(len, rows.record)) == {2 * training_order.TOKENS}
     assert training_order.training_order(table(spark, []).limit(0), PATH).count() == 0
+    none = training_order.write_shards(training_order.training_order(table(spark, []).limit(0), PATH), str(tmp_path / "none"))
+    assert none.count() == 0 and list(training_order.resume(spark, str(tmp_path / "none"))) == []
 
 
 # 9 ---------------------------------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from tickspark.llm import (bagminhash, entropy_mix, license_scan, order_minhash, periodic_runs, rp_forest, shard_shuffle,
                            substring_dedup, training_order, variants, warc, word_bpe, zstd_quality)
 from tickspark.llm.common import RAW_WORDS, read
+from tickspark.session import ensure_checkpoint_dir
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -52,7 +55,9 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training_order.training_order(read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
+    return training_order.write_shards(
+        training_order.training_order(read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE)), folder)
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
