@@ -1,18 +1,21 @@
 """The corpus pipeline: quality, near-duplicates, repeated passages, source mix, token ids.
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept, and returns the
-columns of ``documents`` (the last one token ids). ``run`` writes each stage's rows as Parquet into
+columns of ``documents`` (the last one token ids). What a stage keeps for itself goes when the next one
+starts, so a result is to be written before another stage is called on anything else. ``run`` writes each stage's rows as Parquet into
 the shared folder and reads them again for the next.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickspark.llm import bagminhash, entropy_mix, substring_dedup, word_bpe, zstd_quality
-from tickspark.llm.common import cut, read, stored
+from tickspark.llm.common import cut, read, recorded, release, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOKENIZER = "word_bpe_49k.json"
@@ -23,12 +26,28 @@ def keyed(docs: DataFrame) -> DataFrame:
     return stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_key")))
 
 
+#: Side tables and results of earlier stages that still lie in the shared folder.
+_left: list[str] = []
+
+
+def frees(stage):
+    """The stage, after deleting what earlier stages left behind and ``docs`` does not read."""
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _left, docs)
+        with recorded(_left):
+            return stage(spark, docs, sf_dir)
+    return run_stage
+
+
+@frees
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier accepts, learnt from the labels of documents still here."""
     model = zstd_quality.fit(docs, read(spark, sf_dir, "labels"))
     return zstd_quality.score(docs, model, keep=COLUMNS).where("predicted = 1").select(COLUMNS)
 
 
+@frees
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row of smallest id of each near-duplicate class (of equal ids, that of smallest text hash); rows
     without an id stay. Rows are compared one by one, so texts that share an id may both stay; rows equal
@@ -41,6 +60,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return known.join(cut(heads), "_key", "left_semi").unionByName(rows.where("doc_id is null")).select(COLUMNS)
 
 
+@frees
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that start earlier elsewhere: the kept words joined by one space where
     any went, the text unchanged elsewhere; n_chars follows. Documents left without a word stay, empty."""
@@ -49,6 +69,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                       F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("n_chars")).cast("long").alias("n_chars"))
 
 
+@frees
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as many times as the mix takes it (0 to 3); documents without words do not count and
     stay out."""
@@ -58,6 +79,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             .select(*COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy")).select(COLUMNS))
 
 
+@frees
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source and the token ids of each row."""
     return word_bpe.encode(docs, public_tokenizers.path(TOKENIZER), keep=["doc_id", "source"]).select(
@@ -74,5 +96,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = stored(docs)
+            with recorded(_left):
+                docs = stored(docs)
     return docs
