@@ -555,6 +555,24 @@ def test_word_bpe_over_all_code_points():
         assert own.decode(ids) == tok.decode(want, skip_special_tokens=False)
 
 
+def test_latin_texts_equal_the_general_way_and_the_library(monkeypatch):
+    tok, own = Tokenizer.from_file(PATH), word_bpe.WordBpe(PATH)
+    latin = re.compile(word_bpe.LATIN)
+    signs = [c for c in map(chr, range(0x3000)) if latin.fullmatch(c)]
+    rng = np.random.default_rng(5)
+    texts = [x for c in signs for x in (c, f"a{c}b", f".{c}.", f"1{c}'s", f"{c}{c.upper()}'LL")]
+    texts += ["".join(rng.choice(signs, rng.integers(0, 60))) for _ in range(500)]
+    texts += ["".join(rng.choice(list("ab 's'll'Re12.,\n\t\xa0\xc9\xdf<|"), rng.integers(0, 60))) for _ in range(2000)]
+    monkeypatch.setattr(word_bpe, "REMEMBERED", 500)
+    got = own.encode_packed(texts)
+    assert got == own._by_pieces(texts)
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert own.encode_all(texts) == want
+    # texts of both kinds in one batch keep their places
+    mixed = [t + "\u4e2d" * (i % 2) for i, t in enumerate(texts[:200])]
+    assert own.encode_all(mixed) == [tok.encode(t, add_special_tokens=False).ids for t in mixed]
+
+
 def test_word_bpe_odd_rows(spark):
     tok = Tokenizer.from_file(PATH)
     rows = word_bpe.encode(table(spark, ODD), PATH, keep=["doc_id", "text", "key"]).collect()

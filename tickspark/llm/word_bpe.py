@@ -10,9 +10,9 @@ finished words are remembered per task, so common words are encoded once.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +45,15 @@ LOWER = ({0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2:
           0xA7DC: 0x19B} | {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)})
 WORD = (rf"'s|'t|'re|'ve|'m|'ll|'d|(?:[^\P{{L}}{NEWER}])+|[^\P{{N}}{NEWER}]"
         rf"|(?:[{NEWER}]|[^{BLANK}\p{{L}}\p{{N}}])+")
+#: Texts of these characters alone (ASCII, Latin letters and signs, dashes and quotes) need lower case but no other change
+#: of the normaliser, and for them the word pattern is the one below: letters, endings, single digits, other signs.
+LATIN = r"[\x00-\x1b -~\xa0-\u012f\u0131-\u017f\u2010-\u2027]*"
+_LETTERS, _DIGITS = r"a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", r"0-9\xb2\xb3\xb9\xbc-\xbe"
+LATIN_WORD = rf"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_DIGITS}]|[^{_LETTERS}{_DIGITS}\t-\r \xa0]+"
 END = "</w>"
 #: Words, and pieces between blanks, remembered by one task, and the longest of either.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
+PIECES = 300_000
 LONGEST = 64
 #: What str.split() takes for blanks and the word pattern does not.
 OTHER_BLANKS = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -91,6 +97,7 @@ class WordBpe:
         self._inner = np.array([vocab[c] for c in letters], np.int32)
         self._final = np.array([vocab[c + END] for c in letters], np.int32)
         self._word = regex.compile(WORD)
+        self._latin, self._latin_word = re.compile(LATIN), re.compile(LATIN_WORD)
         self._alone = regex.compile(f"([{ALONE}])")
         self._upper = regex.compile("[" + "".join(map(chr, LOWER)) + "]")
         self._blank = regex.compile(f"[{BLANK}]+")
@@ -195,32 +202,40 @@ class WordBpe:
         return [np.frombuffer(x, ID).tolist() for x in self.encode_packed(texts)]
 
     def encode_packed(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as ID bytes. No word, special token or change of the normaliser reaches over a blank, so
-        texts are cut at blanks first, and pieces seen before are not cut into words again."""
+        """Ids of each text as ID bytes. Texts of Latin characters are cut into words at once. In others no word, special
+        token or change of the normaliser reaches over a blank, so they are cut at blanks first, and pieces seen
+        before are not cut into words again."""
+        latin = ["<|" not in t and self._latin.fullmatch(t) is not None for t in texts]
+        find = self._latin_word.findall
+        ids = iter(self._ids([find(t.lower()) for t, plain in zip(texts, latin, strict=True) if plain]))
+        rest = iter(self._by_pieces([t for t, plain in zip(texts, latin, strict=True) if not plain]))
+        return [next(ids) if plain else next(rest) for plain in latin]
+
+    def _by_pieces(self, texts: list[str]) -> list[bytes]:
         cut = [[t] if any(c in t for c in OTHER_BLANKS) else t.split() for t in texts]
-        if len(self._pieces) > REMEMBERED:
+        if len(self._pieces) > PIECES:
             self._pieces.clear()
         ids = self._pieces
         fresh = list(set().union(*cut) - ids.keys())
         if fresh:
-            ids.update(zip(fresh, self._encode(fresh), strict=True))
+            ids.update(zip(fresh, self._ids(self._pieces_words(fresh)), strict=True))
         out = [b"".join(map(ids.__getitem__, c)) for c in cut]
         for piece in fresh:
             if len(piece) > LONGEST:
                 del ids[piece]
         return out
 
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        cut = self._pieces_words(pieces) if pieces else []
+    def _ids(self, cut: list[list[str]]) -> list[bytes]:
+        """Ids of each list of words."""
         if len(self._known) > REMEMBERED:
             self._known.clear()
         known = self._known
         if not known:
             known.update({t: np.array([i], ID).tobytes() for t, i in self.special.items()})
-        fresh = set(chain.from_iterable(cut)) - known.keys()
+        fresh = set().union(*cut) - known.keys()
         if fresh:
             self._learn(sorted(fresh))
-        out = [known[w[0]] if len(w) == 1 else b"".join([known[x] for x in w]) for w in cut]
+        out = [known[w[0]] if len(w) == 1 else b"".join(map(known.__getitem__, w)) for w in cut]
         for word in fresh:
             if len(word) > LONGEST:
                 del known[word]
