@@ -132,5 +132,44 @@ FROM w LEFT JOIN kept USING (doc_id)
 """
 
 
+OP11_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS size, sha1(coalesce(html, '')) AS digest FROM pages),
+best AS (SELECT *, max(page_id) OVER (PARTITION BY size, digest) AS answer FROM p)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN size >= 1000 AND page_id < answer THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN size >= 1000 AND page_id < answer THEN answer END AS refers_to
+FROM best
+"""
+
+# crc32 over the UTF-8 bytes (two hex digits each), by the table of its polynomial; near words share what is left after a
+# letter is taken out: at the same place of both (replaced), or of one only, which then equals the other
+OP13_SQL = r"""
+WITH RECURSIVE poly AS (SELECT list(c ORDER BY n) AS t FROM (SELECT n, list_reduce(list_prepend(n, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(n))),
+runs AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+    FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents) GROUP BY ALL),
+bytes AS (SELECT run, n, hex(encode(doc_id || ':' || run)) AS x FROM runs),
+hashed AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(x) // 2),
+    lambda i: ((instr('0123456789ABCDEF', x[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', x[2 * i + 2]) - 1)::BIGINT)),
+    lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]))) AS h FROM bytes, poly),
+spelt AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n
+    FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spelt WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cuts AS (SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS k
+    FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+longer AS (SELECT DISTINCT cuts.word AS a, words.word AS b FROM cuts JOIN words ON cuts.k = words.word),
+near AS (SELECT a, b FROM longer UNION SELECT b, a FROM longer
+    UNION SELECT x.word, y.word FROM cuts x JOIN cuts y ON x.i = y.i AND x.k = y.k AND x.word <> y.word),
+ranked AS (SELECT a, b, n, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS r, count(*) OVER (PARTITION BY a) AS n_near
+    FROM near JOIN words ON words.word = near.b),
+formed AS (SELECT word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN ranked.n >= 10 * words.n THEN b END AS form,
+    CASE WHEN ranked.n >= 10 * words.n THEN ranked.n END AS form_n FROM words LEFT JOIN ranked ON a = word AND r = 1),
+walk AS (SELECT word, form, word AS at FROM formed
+    UNION ALL SELECT walk.word, f.form, f.word FROM walk JOIN formed f ON f.word = walk.form)
+SELECT formed.word, formed.form, walk.at AS root, n, CAST(n_near AS BIGINT) AS n_near, form_n
+FROM formed JOIN walk ON walk.word = formed.word AND walk.form IS NULL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_substring_dedup": OP7_SQL}
+    return {"op7_substring_dedup": OP7_SQL, "op11_warc": OP11_SQL, "op13_variants": OP13_SQL}
