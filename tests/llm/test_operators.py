@@ -301,10 +301,21 @@ def test_quality_sample_of_long_texts_is_spread_evenly(spark, monkeypatch):
 
 # 6 ---------------------------------------------------------------------------------------------
 
+def brute_items(text):
+    """Each k-mer's hash with its occurrence number, counted by the k-mers' own letters."""
+    k, seen, out = min(order_minhash.K, len(text)), Counter(), []
+    for i in range(len(text) - k + 1):
+        kmer = text[i:i + k]
+        with np.errstate(over="ignore"):
+            h = order_minhash.mix64(sum(np.array([ord(c)], np.uint64) * order_minhash._ODD[j] for j, c in enumerate(kmer)))
+            out.append((order_minhash.mix64(h + np.uint64(seen[kmer]) * order_minhash._GOLD) if seen[kmer] else h)[0])
+        seen[kmer] += 1
+    return out
+
+
 def brute_signature(text):
     """Each label's items by sorting all their points, without bounds."""
-    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    items = order_minhash._items(codes) if len(codes) else []
+    items = brute_items(text) if text else []
     best = [{} for _ in range(order_minhash.M)]
     gold = order_minhash._GOLD
     for i, item in enumerate(items):
@@ -357,6 +368,31 @@ def test_fingerprints_follow_descending_ids(spark, texts, monkeypatch):
     check_fingerprints(queries.op6_fingerprints(spark, MID).collect(), list(texts.items()))
 
 
+def test_ranges_part_pairs_in_descending_order():
+    rng = np.random.default_rng(3)
+    pairs = [(int(k), -int(c)) for k, c in zip(rng.integers(-4, 5, 400), rng.integers(0, 2**32, 400), strict=True)]
+    pairs += [(-(1 << 63), -int(c)) for c in rng.integers(0, 2**32, 50)] + [((1 << 63) - 1, 0), (0, 0), (0, 1 - 2**32)]
+    for bounds in ([], pairs[:1], pairs[:20] + pairs[400:410], sorted(pairs)[-3:]):
+        got = order_minhash.Ranges(bounds).of(*(np.array(x, np.int64) for x in zip(*pairs, strict=True)))
+        assert got.tolist() == [sum(b > p for b in set(bounds)) for p in pairs]
+
+
+def test_many_rows_without_an_id_are_parted_by_hash(spark, monkeypatch):
+    monkeypatch.setattr(order_minhash, "RANGE_ROWS", 40)
+    rows = [(None, f"text number {i} of many") for i in range(1500)] + [(7, "seven")] * 300 + [(3, "")]
+    got = order_minhash.fingerprints(table(spark, rows)).collect()
+    # descending: the rows of id 7, then 3, then the others by falling hash; equal rows follow each other
+    order = [t for _, t in rows[1500:]] + sorted((t for i, t in rows if i is None), key=lambda t: binascii.crc32(t.encode()))
+    want = Counter()
+    for t, n in zip(order, order[1:] + order[:1], strict=True):
+        want[len(t), hashlib.sha256(order_minhash.edited(t, n).encode()).hexdigest(),
+             order_minhash.likeness(order_minhash.signature(t), order_minhash.signature(n))] += 1
+    assert Counter((r.n_chars, r.edited_sha256, r.near_next) for r in got) == want
+    ranges = order_minhash._ranges(
+        table(spark, rows).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), (-F.crc32("text")).alias("c")), len(rows))
+    assert (ranges.codes >> (order_minhash._HASH_BITS + 1) == 0).sum() > 10  # bounds among the rows without an id
+
+
 def test_fingerprints_odd_rows(spark):
     odd = [(i, t) for i, t, _ in ODD if i != 5]
     check_fingerprints(order_minhash.fingerprints(table(spark, odd)).collect(), odd)

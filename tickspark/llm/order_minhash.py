@@ -13,17 +13,21 @@ import hashlib
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickspark.llm.common import mix64, text_batches, unit
+from tickspark.llm.common import cut, mix64, text_batches, unit
 
 K = 8
 L = 2
 M = 64
-#: Rows that a range of ids holds on average.
+#: Rows that a range holds on average: the fewest, and the most where there are ranges enough for all tasks.
 RANGE_ROWS = 500
+MOST_ROWS = 50_000
+#: Keys looked at for each range when its bounds are chosen (that moves bounds, not results).
+KEYS_A_RANGE = 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _ODD = mix64(np.arange(1, K + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -119,7 +123,8 @@ def _chain(batches):
         rows = []
         for lot, own, doc, text in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
             text = text or ""
-            now = (lot, own, doc, text, signature(text))
+            same = last is not None and last[3] == text  # repeated rows stand side by side
+            now = (lot, own, doc, text, last[4] if same else signature(text))
             if last is not None and last[1] and last[0] == lot:
                 new = edited(last[3], text)
                 esig = last[4] if new == last[3] else signature(new)
@@ -132,36 +137,73 @@ def _chain(batches):
                                          names=[f.split(" ")[0] for f in _OUT.split(", ")])
 
 
+_HASH_BITS = 33  # a text's hash, the negated crc32, lies above -2^32
+
+
+class Ranges:
+    """Ranges of (key, hash) pairs in descending order; range 0 has the largest pairs."""
+
+    def __init__(self, bounds: list[tuple[int, int]]):
+        self.keys = np.unique(np.array([k for k, _ in bounds], np.int64))
+        self.codes = np.array([], np.int64)
+        self.codes = np.unique(self._code(*(np.array([b[i] for b in bounds], np.int64) for i in range(2))))
+
+    def _code(self, key: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Numbers in the order of the pairs, as far as the bounds tell pairs apart."""
+        at = np.searchsorted(self.keys, key)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == key[known]
+        return (at << (_HASH_BITS + 1)) + np.where(known, c + (1 << (_HASH_BITS - 1)), 0)
+
+    def of(self, key: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return len(self.codes) - np.searchsorted(self.codes, self._code(key, c), "right")
+
+
+def _ranges(rows: DataFrame, count: int) -> Ranges:
+    """Bounds from a sample of (key, c) that grows with the ranges: many rows of one key are parted by hash."""
+    tasks = 8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lots = max(1, count // MOST_ROWS, min(count // RANGE_ROWS, tasks))
+    if lots == 1:
+        return Ranges([])
+    step = max(1, count // (lots * KEYS_A_RANGE))
+    seen = rows.select("key", "c").where(F.pmod(F.xxhash64("key", "c"), F.lit(step)) == 0).distinct().toPandas()
+    seen = seen.sort_values(["key", "c"])
+    at = np.unique(np.arange(1, lots) * len(seen) // lots) if len(seen) else []
+    return Ranges([tuple(x) for x in seen.iloc[at].itertuples(index=False)])
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: doc_id, n_chars (code points), edited_sha256, fingerprint and
     edited_fingerprint (hex of M tuple hashes), near_edited, near_next.
 
     Documents follow each other by descending id, null ids last, equal ids by text hash; after the
-    last comes the first again. Ids are cut into ranges; a range also gets the first row of the next
-    one, so texts move once. Null texts count as empty; two empty texts are alike (1.0). A single
-    document follows itself; an empty table gives no rows. Other columns play no role.
+    last comes the first again. Documents are cut into ranges of (id, text hash), so many rows of one id, or
+    without one, are parted too; a range also gets the first row of the next one, so texts move once. Null
+    texts count as empty; two empty texts are alike (1.0). A single document follows itself; an empty table
+    gives no rows. Other columns play no role.
     """
     spark = docs.sparkSession
     text_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
-    rows = rows.withColumn("key", F.coalesce("doc", F.lit(-(1 << 63))))
+    rows = (rows.withColumn("key", F.coalesce("doc", F.lit(-(1 << 63))))
+            .withColumn("c", -F.crc32(F.coalesce("text", F.lit("")))))
     count = rows.count()
     if not count:
         return spark.createDataFrame([], _OUT)
-    cuts = rows.approxQuantile("key", [i / lots for i in range(1, lots)], 0.1 / lots) if (
-        lots := max(1, count // RANGE_ROWS)) > 1 else []
-    # range 0 has the largest ids; equal ids are in one range
-    bounds = sorted({int(c) for c in cuts}, reverse=True)
-    edges = F.array(*[F.lit(c) for c in bounds]) if bounds else F.array().cast("array<long>")
-    rows = rows.withColumn("lot", F.size(F.filter(edges, lambda c: c > F.col("key"))))
-    rank = F.struct(F.col("key").alias("k"), (-F.crc32(F.coalesce("text", F.lit("")))).alias("c"))
+    ranges = spark.sparkContext.broadcast(_ranges(rows, count))
+
+    @F.pandas_udf("int")
+    def lot(key: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series(ranges.value.of(key.to_numpy(), c.to_numpy()))
+
+    rows = rows.withColumn("lot", lot("key", "c"))
     # the first row of each range, also wanted by the range before it that has rows (the last by the first)
-    heads = rows.groupBy("lot").agg(F.max(rank).alias("h")).orderBy("lot").collect()  # one row a range
-    wanted = spark.createDataFrame(
-        [(heads[(i + 1) % len(heads)].h.k, heads[(i + 1) % len(heads)].h.c, heads[i].lot) for i in range(len(heads))],
-        "hk long, hc long, before int")
-    rows = rows.withColumn("c", -F.crc32(F.coalesce("text", F.lit(""))))
-    halo = (rows.join(F.broadcast(wanted), (rows.key == wanted.hk) & (rows.c == wanted.hc))
+    heads = rows.groupBy("lot").agg(F.max(F.struct("key", "c")).alias("h"))  # one row a range
+    order = Window.orderBy("lot")
+    all_ = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    wanted = heads.select(F.coalesce(F.lead("h").over(order), F.first("h").over(all_)).alias("n"), F.col("lot").alias("before"))
+    wanted = cut(wanted.select(F.col("n.key").alias("hk"), F.col("n.c").alias("hc"), "before"))
+    halo = (rows.drop("lot").join(wanted, (F.col("key") == F.col("hk")) & (F.col("c") == F.col("hc")))
             .groupBy("before", "key", "c").agg(F.first("doc").alias("doc"), F.first("text").alias("text"))
             .select(F.col("before").alias("lot"), F.lit(False).alias("own"), "doc", "text", "key", "c"))
     own = rows.select("lot", F.lit(True).alias("own"), "doc", "text", "key", "c")
