@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -268,3 +269,12 @@ def test_variants_odd_rows(spark):
     got = {tuple(r) for r in variants.variants(words).select("word", "form", "root", "n", "n_near", "form_n").collect()}
     assert got == brute_variants(brute_words([(r.doc_id, r.text) for r in docs.collect()]))
     assert variants.variants(words.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("name", "tab"), [("op11_warc", "pages"), ("op13_variants", "documents")])
+def test_queries_match_their_sql(spark, name, tab):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW {tab} AS SELECT * FROM read_parquet('{MID}/{tab}.parquet')")
+    found = queries.queries()[name](spark, MID)
+    want = con.execute(f"SELECT {', '.join(found.columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
+    assert Counter(tuple(r) for r in found.collect()) == Counter(want) and want
