@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickspark.llm import bagminhash, entropy_mix, substring_dedup, word_bpe, zstd_quality
-from tickspark.llm.common import cut, read, recorded, release, stored
+from tickspark.llm.common import flagged, read, recorded, release, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOKENIZER = "word_bpe_49k.json"
@@ -57,7 +57,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     classes = bagminhash.near_duplicates(known, doc_id="_key").select(F.col("doc_id").alias("_key"), "class_id")
     heads = (known.select("_key", "doc_id", F.xxhash64("text").alias("_hash")).join(classes, "_key")
              .groupBy("class_id").agg(F.min(F.struct("doc_id", "_hash", "_key")).alias("_first")).select("_first._key"))
-    return known.join(cut(heads), "_key", "left_semi").unionByName(rows.where("doc_id is null")).select(COLUMNS)
+    return flagged(rows, "_key", heads.withColumn("_kept", F.lit(True)), ["_kept"]).where("_kept or doc_id is null").select(COLUMNS)
 
 
 @frees
@@ -74,9 +74,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as many times as the mix takes it (0 to 3); documents without words do not count and
     stay out."""
     rows = keyed(docs)
-    copies = cut(entropy_mix.mix(rows, keep=["_key"]).where("copies > 0").select("_key", "copies"))
-    return (rows.join(copies, "_key")
-            .select(*COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy")).select(COLUMNS))
+    copies = [f"_copy{c}" for c in range(1, entropy_mix.MAX_COPIES + 1)]
+    taken = entropy_mix.mix(rows, keep=["_key"]).select("_key", *[(F.col("copies") >= c).alias(n) for c, n in enumerate(copies, 1)])
+    rows = flagged(rows, "_key", taken, copies)
+    return rows.withColumn("_copy", F.explode(F.array_compact(F.array(*[F.when(F.col(n), 1) for n in copies])))).select(COLUMNS)
 
 
 @frees

@@ -3,12 +3,13 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from tests.llm.test_operators import MID, ODD, PATH, brute_classes, brute_repeats, table
-from tickspark.llm import entropy_mix, zstd_quality
+from tickspark.llm import common, entropy_mix, zstd_quality
 from tickspark.llm.common import stored
 
 
@@ -88,3 +89,28 @@ def test_mix_takes_each_row_its_own_copies(spark):
             .agg({"copies": "sum"}).withColumnRenamed("sum(copies)", "n").collect()}
     assert {s: sum(r.source == s for r in rows) for s in want} == want
     assert sum(r.source == "s0" and r.doc_id is None for r in rows) <= 3
+
+
+@pytest.mark.parametrize("stage", [corpus_pipeline.near_dedup, corpus_pipeline.mix])
+def test_texts_stay_where_they_are_when_rows_are_picked(spark, stage):
+    docs = table(spark, [(k, " ".join(f"{w}{k}" for w in "abcdefgh"), f"s{k % 3}") for k in range(300)])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of many rows
+    try:
+        picked = stage(spark, docs, MID)
+        assert picked.count()
+        assert "hashpartitioning" not in picked._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("most", [common.BROADCAST_BYTES, 0])
+def test_flags_meet_their_rows(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", most)
+    # partitions of more keys than a bitmap has bits, and rows without a flag
+    rows = stored(spark.range(0, 150_000, 1, 3).withColumn("_key", F.monotonically_increasing_id()))
+    flags = rows.where("id % 11 > 0").select("_key", (F.col("id") % 3 == 0).alias("a"), (F.col("id") % 7 == 0).alias("b"))
+    got = common.flagged(rows, "_key", flags, ["a", "b"])
+    assert got.columns == ["id", "_key", "a", "b"] and got.count() == 150_000
+    assert not got.where("a <> (id % 11 > 0 and id % 3 = 0) or b <> (id % 11 > 0 and id % 7 = 0)").count()
+    assert not common.flagged(rows, "_key", flags.limit(0), ["a"]).where("a").count()

@@ -139,6 +139,29 @@ def cut(df: DataFrame) -> DataFrame:
     return stored(df, "lz4")
 
 
+#: Bytes of a bitmap of Spark's, and the most that the bitmaps of one table may have to be broadcast.
+BITMAP_BYTES = 4096
+BROADCAST_BYTES = 32 << 20
+
+
+def flagged(rows: DataFrame, key: str, flags: DataFrame, names: list[str]) -> DataFrame:
+    """``rows`` with the boolean columns ``names`` of the row of ``flags`` that has the same ``key`` (false where there is
+    none). Keys are what monotonically_increasing_id gave out, a row each.
+
+    The flags are kept as bitmaps, a bit a row and name, and while those have no more than BROADCAST_BYTES they
+    are sent to ``rows``, which stay where they are, however wide; beyond that Spark joins the two as it sees fit."""
+    lot, bit = (f(F.col(key) + 1) for f in (F.bitmap_bucket_number, F.bitmap_bit_position))
+    bits = cut(flags.groupBy(lot.alias("_lot")).agg(*[F.bitmap_construct_agg(F.when(F.col(c), bit)).alias(f"_bits{k}")
+                                                      for k, c in enumerate(names)]))
+    if bits.count() * BITMAP_BYTES * len(names) <= BROADCAST_BYTES:
+        bits = F.broadcast(bits)
+    out = rows.withColumns({"_at": lot, "_bit": bit.cast("int")}).join(bits, F.col("_at") == F.col("_lot"), "left")
+    of_byte = [F.conv(F.hex(F.substring(f"_bits{k}", F.shiftright("_bit", 3) + 1, F.lit(1))), 16, 10).cast("int")
+               for k in range(len(names))]
+    return out.select(*rows.columns, *[F.coalesce(F.getbit(x, F.col("_bit") % 8) == 1, F.lit(False)).alias(c)
+                                       for x, c in zip(of_byte, names, strict=True)])
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
