@@ -9,11 +9,12 @@ import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tickspark.llm import (bagminhash, components, entropy_mix, license_scan, order_minhash, queries, rp_forest,
+from tickspark.llm import (bagminhash, common, components, entropy_mix, license_scan, order_minhash, queries, rp_forest,
                            shard_shuffle, substring_dedup, training_order, word_bpe, zstd_quality)
 from tickspark.llm.common import WordHashes
 
@@ -609,6 +610,29 @@ def test_latin_texts_equal_the_general_way_and_the_library(monkeypatch):
     assert own.encode_all(mixed) == [tok.encode(t, add_special_tokens=False).ids for t in mixed]
 
 
+def test_latin_pieces_seen_before_are_not_cut_again(monkeypatch):
+    tok, own = Tokenizer.from_file(PATH), word_bpe.WordBpe(PATH)
+    texts = [f"Le caf\xe9 no{k % 5}, isn't it?\xa0 \u201c{'x' * (k % 7 * 20)}\u201d\n" for k in range(40)] + ["", " \t", "a"]
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    words, cut = [], own._ids
+    monkeypatch.setattr(own, "_ids", lambda some: words.extend(w for x in some for w in x) or cut(some))
+    assert own.encode_all(texts) == want
+    assert len(words) < 200
+    words.clear()
+    assert own.encode_all(texts) == want and not words
+    # few texts at a time, and a table of pieces that starts again and again
+    monkeypatch.setattr(word_bpe, "TOGETHER", 100)
+    monkeypatch.setattr(word_bpe, "PIECES", 3)
+    assert own.encode_all(texts) == want and own.encode_all([]) == []
+
+
+def test_batches_are_gathered_whole():
+    batches = [pa.RecordBatch.from_pydict({"k": [k, k], "t": ["x" * 10, None]}) for k in range(5)]
+    got = list(common.gathered(iter(batches), 1, 3 * batches[0].column(1).nbytes))
+    assert [len(b) for b in got] == [6, 4] and pa.Table.from_batches(got).equals(pa.Table.from_batches(batches).combine_chunks())
+    assert not list(common.gathered(iter([]), 1, 10))
+
+
 def test_word_bpe_odd_rows(spark):
     tok = Tokenizer.from_file(PATH)
     rows = word_bpe.encode(table(spark, ODD), PATH, keep=["doc_id", "text", "key"]).collect()

@@ -8,6 +8,7 @@ import uuid
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -84,6 +85,19 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
 
 
+def gathered(batches, column: int, size: int):
+    """The batches, joined until their texts in ``column`` have ``size`` bytes."""
+    held, have = [], 0
+    for b in batches:
+        held.append(b)
+        have += b.column(column).nbytes
+        if have >= size:
+            yield pa.concat_batches(held)
+            held, have = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 #: Spark's own setting: the shuffle files of a finished write go at once, not when the driver next collects garbage.
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Folders that ``stored`` writes while someone records them; None: nobody does.

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickspark.llm.common import freed_shuffles, mix64, stored, text_batches
-from tickspark.llm.word_bpe import ID, WordBpe, worker_bpe
+from tickspark.llm.common import freed_shuffles, gathered, mix64, stored, text_batches
+from tickspark.llm.word_bpe import ID, TOGETHER, WordBpe, worker_bpe
 
 #: Tokens a record; ids are two bytes, little endian.
 TOKENS = 512
@@ -52,7 +52,7 @@ def feistel(index: np.ndarray, count: int, key: int = KEY) -> np.ndarray:
 def _records(path: str, tokens: int, end: int):
     def run(batches):
         bpe = worker_bpe(path)
-        for b in batches:
+        for b in gathered(batches, 1, TOGETHER):
             packed = bpe.encode_packed([t or "" for t in b.column(1).to_pylist()])
             n = np.array([len(ids) // ID.itemsize + 1 for ids in packed], np.int64)
             many = -(-n // tokens)

@@ -13,14 +13,16 @@ import json
 import re
 import unicodedata
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickspark.llm.common import text_batches
+from tickspark.llm.common import gathered, text_batches
 
 #: Fixed values of the vocabulary's own normaliser and word pattern: white space, and the letters and
 #: numbers of Unicode 17 that the pattern, which knows Unicode 16, takes for other signs.
@@ -55,6 +57,8 @@ END = "</w>"
 REMEMBERED = 600_000
 PIECES = 300_000
 LONGEST = 64
+#: Characters of Latin texts that are looked up together, and bytes of texts that a task gathers for it.
+TOGETHER = 8_000_000
 #: What str.split() takes for blanks and the word pattern does not.
 OTHER_BLANKS = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Pieces that hold one of these are cut by the general way.
@@ -104,6 +108,7 @@ class WordBpe:
         self._cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")")
         self._known: dict[str, bytes] = {}
         self._pieces: dict[str, bytes] = {}
+        self._forget()
 
     def __reduce__(self):
         return WordBpe, (self.path,)
@@ -202,21 +207,55 @@ class WordBpe:
         return [np.frombuffer(x, ID).tolist() for x in self.encode_packed(texts)]
 
     def encode_packed(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as ID bytes. Texts of Latin characters are cut into words at once. In others no word, special
-        token or change of the normaliser reaches over a blank, so they are cut at blanks first, and pieces seen
-        before are not cut into words again."""
+        """Ids of each text as ID bytes. No word, special token or change of the normaliser reaches over a blank, so texts
+        are cut at blanks first, and pieces seen before are not cut into words again. Texts of Latin characters are cut
+        and looked up many at once in Arrow."""
         latin = ["<|" not in t and self._latin.fullmatch(t) is not None for t in texts]
-        find = self._latin_word.findall
-        ids = iter(self._ids([find(t.lower()) for t, plain in zip(texts, latin, strict=True) if plain]))
+        ids = iter(self._by_numbers([t.lower() for t, plain in zip(texts, latin, strict=True) if plain]))
         rest = iter(self._by_pieces([t for t, plain in zip(texts, latin, strict=True) if not plain]))
         return [next(ids) if plain else next(rest) for plain in latin]
 
+    def _by_numbers(self, texts: list[str]) -> list[bytes]:
+        """Ids of lower-cased texts of Latin characters, some TOGETHER at a time: their pieces become numbers in the table
+        of numbered pieces, which new ones join, and the ids are gathered by number."""
+        out: list[bytes] = []
+        lot = np.cumsum([len(t) for t in texts], dtype=np.int64) // TOGETHER
+        for some in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(lot)) + 1) if texts else []:
+            cut = pc.utf8_split_whitespace(pa.array(texts[some[0]:some[-1] + 1], pa.large_string()))
+            pieces = cut.flatten()
+            if len(self._numbered) > PIECES or self._numbered.nbytes > PIECES * LONGEST:
+                self._forget()
+            at = pc.index_in(pieces, value_set=self._numbered)
+            number = at.fill_null(-1).to_numpy().astype(np.int64)
+            if at.null_count:
+                coded = pieces.filter(at.is_null()).dictionary_encode()
+                number[number < 0] = coded.indices.to_numpy() + len(self._numbered)
+                ids = self._ids(self._latin_words(coded.dictionary.to_numpy(zero_copy_only=False).tolist()))
+                size = np.fromiter(map(len, ids), np.int64, len(ids)) // ID.itemsize
+                self._numbered = pa.concat_arrays([self._numbered, coded.dictionary])
+                self._flat = np.concatenate([self._flat, np.frombuffer(b"".join(ids), ID)])
+                self._end = np.concatenate([self._end, self._end[-1] + np.cumsum(size)])
+            first, size = self._end[number], np.diff(self._end)[number]
+            end = np.concatenate(([0], np.cumsum(size)))
+            raw = self._flat[np.repeat(first - end[:-1], size) + np.arange(end[-1])].tobytes()
+            out.extend(raw[a:b] for a, b in pairwise((end[cut.offsets.to_numpy()] * ID.itemsize).tolist()))
+        return out
+
+    def _forget(self) -> None:
+        """Piece k of the empty table of numbered pieces will have the ids from _end[k] to _end[k + 1] of _flat."""
+        self._numbered = pa.array([], pa.large_string())
+        self._flat, self._end = np.empty(0, ID), np.zeros(1, np.int64)
+
+    def _latin_words(self, pieces: list[str]) -> list[list[str]]:
+        find = self._latin_word.findall
+        return [[p] if p.isalpha() else find(p) for p in pieces]
+
     def _by_pieces(self, texts: list[str]) -> list[bytes]:
         cut = [[t] if any(c in t for c in OTHER_BLANKS) else t.split() for t in texts]
         if len(self._pieces) > PIECES:
             self._pieces.clear()
         ids = self._pieces
-        fresh = list(set().union(*cut) - ids.keys())
+        fresh = [p for p in set().union(*cut) if p not in ids]
         if fresh:
             ids.update(zip(fresh, self._ids(self._pieces_words(fresh)), strict=True))
         out = [b"".join(map(ids.__getitem__, c)) for c in cut]
@@ -232,7 +271,7 @@ class WordBpe:
         known = self._known
         if not known:
             known.update({t: np.array([i], ID).tobytes() for t, i in self.special.items()})
-        fresh = set().union(*cut) - known.keys()
+        fresh = [w for w in set().union(*cut) if w not in known]
         if fresh:
             self._learn(sorted(fresh))
         out = [known[w[0]] if len(w) == 1 else b"".join(map(known.__getitem__, w)) for w in cut]
@@ -265,8 +304,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
 
     def run(batches):
         bpe = worker_bpe(coder)
-        for b in batches:
-            ids = bpe.encode_packed([t or "" for t in b.column(b.num_columns - 1).to_pylist()])
+        for b in gathered(batches, len(types), TOGETHER):
+            ids = bpe.encode_packed([t or "" for t in b.column(len(types)).to_pylist()])
             ends = np.zeros(len(ids) + 1, np.int32)
             np.cumsum([len(x) // ID.itemsize for x in ids], out=ends[1:])
             flat = np.frombuffer(b"".join(ids), ID)
